@@ -52,15 +52,15 @@ def gapless_rank(df: DataFrame, group: str, order: list[str], rank: str, rows_pe
     """
     total = df.count()
     runs = max(1, -(-total // rows_per_run))
-    run = F.pmod(F.xxhash64(*order), F.lit(runs)).alias("_run")
-    dealt = df.withColumn("_run", run)
-    before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.pmod(F.xxhash64(*order), F.lit(runs)).alias("_hd_run")
+    dealt = df.withColumn("_hd_run", run)
+    before = Window.partitionBy(group).orderBy("_hd_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        dealt.groupBy(group, "_run").agg(F.count("*").alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(F.col(group).alias("_g"), F.col("_run").alias("_r"), "_start")
+        dealt.groupBy(group, "_hd_run").agg(F.count("*").alias("_hd_n"))
+        .withColumn("_hd_start", F.coalesce(F.sum("_hd_n").over(before), F.lit(0)))
+        .select(F.col(group).alias("_hd_g"), F.col("_hd_run").alias("_hd_r"), "_hd_start")
     )
-    inside = Window.partitionBy(group, "_run").orderBy(*order)
-    ranked = dealt.withColumn("_k", F.row_number().over(inside) - 1)
-    joined = ranked.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_run") == F.col("_r")), "left")
-    return joined.withColumn(rank, (F.col("_start") + F.col("_k")).cast("bigint")).drop("_g", "_r", "_start", "_k", "_run")
+    inside = Window.partitionBy(group, "_hd_run").orderBy(*order)
+    ranked = dealt.withColumn("_hd_k", F.row_number().over(inside) - 1)
+    joined = ranked.join(starts, F.col(group).eqNullSafe(F.col("_hd_g")) & (F.col("_hd_run") == F.col("_hd_r")), "left")
+    return joined.withColumn(rank, (F.col("_hd_start") + F.col("_hd_k")).cast("bigint")).drop("_hd_g", "_hd_r", "_hd_start", "_hd_k", "_hd_run")
