@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +61,15 @@ class Pieces:
         self.piece = [p.piece for p in proto.pieces]
         self.least = min(self.score[i] for i in self.id.values()) - UNKNOWN_PENALTY
         breaks = any("\n" in p for p in self.id)
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if breaks else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        self.words = re.compile(" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n")
+        self.trie: dict = {}
+        for p, k in self.id.items():
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = k
         self.seen: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
     def merged(self, word: str) -> list[str]:
@@ -79,9 +86,10 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _pair_holds(self, a: int, b: int) -> bool:
-        got = self.fits.get((a, b))
+        at = a * len(self.piece) + b
+        got = self.fits.get(at)
         if got is None:
-            got = self.fits[a, b] = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+            got = self.fits[at] = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
         return got
 
     def _stands(self, k: int) -> bool:
@@ -91,71 +99,75 @@ class Pieces:
             got = self.whole[k] = self.merged(self.piece[k]) == [self.piece[k]]
         return got
 
-    def ids_of(self, parts: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in parts:
-            k = self.id.get(p)
-            if k is not None:
-                out.append(k)
-            elif self.byte:
-                out.extend(self.byte[b] for b in p.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.unknown)
-        return tuple(out)
+    def _bytes_of(self, ch: str) -> tuple[int, ...]:
+        return tuple(self.byte[b] for b in ch.encode("utf-8", "surrogatepass")) if self.byte else (self.unknown,)
+
+    def _extend_merges(self, ch: str, end: int, open_now: list, ends: list[int]) -> tuple[int, int, list]:
+        """The piece in which the prefix up to ``end`` ends and where it begins, and the matches still open."""
+        more, piece, begin = [], -1, end - 1
+        for at, node in [*open_now, (end - 1, self.trie)]:
+            node = node.get(ch)
+            if node is None:
+                continue
+            more.append((at, node))
+            k = node.get("")
+            if k is not None and piece < 0 and (at == 0 or ends[at] < 0 or self._pair_holds(ends[at], k)) and self._stands(k):
+                piece, begin = k, at
+        return piece, begin, more
+
+    def _extend_scores(self, ch: str, end: int, open_now: list, sums: list[float]) -> tuple[int, int, list, float]:
+        more, piece, begin, best = [], -1, end - 1, sums[end - 1] + self.least
+        known = False
+        for at, node in [*open_now, (end - 1, self.trie)]:
+            node = node.get(ch)
+            if node is None:
+                continue
+            more.append((at, node))
+            k = node.get("")
+            if k is not None and (sums[at] + self.score[k] > best or not known and at == end - 1):
+                piece, begin, best, known = k, at, sums[at] + self.score[k], True
+        return piece, begin, more, best
 
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words, by one walk of their trie."""
         out: dict[str, tuple[int, ...]] = {}
-        bpe, ids, longest, score = self.kind == "bpe", self.id, self.longest, self.score
-        # States by length of prefix: the piece that it ends in (-1: an unknown character), where it begins, the sum of scores.
-        ends, begins, sums = [-1], [0], [0.0]
+        bpe = self.kind == "bpe"
+        # By length of prefix: the piece that it ends in (-1: an unknown character), where that begins, the sum, open matches.
+        ends, begins, sums, open_at = [-1], [0], [0.0], [[]]
         before = ""
-        for word in sorted(words):
+        for raw in sorted(words):
+            word = raw.replace(" ", MARK)
             if bpe and word.startswith(MARK * 2):
-                out[word] = self.ids_of(self.merged(word))
+                out[raw] = tuple(chain.from_iterable((self.id[p],) if p in self.id else self._bytes_of(p) for p in self.merged(word)))
                 continue
             same, most = 0, min(len(before), len(word))
             while same < most and before[same] == word[same]:
                 same += 1
-            del ends[same + 1 :], begins[same + 1 :], sums[same + 1 :]
+            del ends[same + 1 :], begins[same + 1 :], sums[same + 1 :], open_at[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 if bpe:
-                    for begin in range(max(0, end - longest), end):
-                        k = ids.get(word[begin:end])
-                        if k is not None and (begin == 0 or ends[begin] < 0 or self._pair_holds(ends[begin], k)) and self._stands(k):
-                            break
-                    else:
-                        begin, k = end - 1, -1
-                    ends.append(k)
-                    begins.append(begin)
-                    sums.append(0.0)
+                    piece, begin, more = self._extend_merges(word[end - 1], end, open_at[end - 1], ends)
                 else:
-                    best, k_best, b_best = None, -1, end - 1
-                    for begin in range(max(0, end - longest), end):
-                        k = ids.get(word[begin:end])
-                        if k is not None:
-                            s = sums[begin] + score[k]
-                        elif begin == end - 1:
-                            k, s = -1, sums[begin] + self.least
-                        else:
-                            continue
-                        if best is None or s > best:
-                            best, k_best, b_best = s, k, begin
-                    ends.append(k_best)
-                    begins.append(b_best)
+                    piece, begin, more, best = self._extend_scores(word[end - 1], end, open_at[end - 1], sums)
                     sums.append(best)
+                ends.append(piece)
+                begins.append(begin)
+                open_at.append(more)
             before = word
             parts, end = [], len(word)
             while end:
-                parts.append(word[begins[end] : end])
+                parts.append((ends[end],) if ends[end] >= 0 else self._bytes_of(word[end - 1]))
                 end = begins[end]
-            out[word] = self.ids_of(parts[::-1])
+            out[raw] = tuple(chain.from_iterable(reversed(parts)))
         return out
 
     def split(self, text: str) -> list[str]:
-        return self.words.findall(self.prefix + text.replace(" ", MARK)) if text else []
+        if not text:
+            return []
+        plain = text.replace(MARK, " ") if MARK in text else text
+        return self.words.findall(" " + plain if self.prefix else plain)
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; words are looked up among those remembered."""
         words = [self.split(t or "") for t in texts]
         new = set(chain.from_iterable(words)).difference(self.seen)
@@ -164,10 +176,10 @@ class Pieces:
             new = set(chain.from_iterable(words))
         self.seen.update(self.encode_words(list(new)))
         get = self.seen.__getitem__
-        return [list(chain.from_iterable(map(get, w))) for w in words]
+        return [np.fromiter(chain.from_iterable(map(get, w)), np.int32) for w in words]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -186,7 +198,9 @@ def _encoder(model: bytes, columns: list[str], text: str):
                 ids = pieces.encode_all(texts)
                 same = [pieces.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-                new = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                n = np.array([len(i) for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(ids) if len(ids) else np.empty(0, np.int32), pa.int32()))
+                new = [pa.array(n), lists, pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(kept + new, names=[*columns, "n_tokens", "token_ids", "round_trip"])
 
     return run

@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import encoding, line_dedup, mixing, ngram_join, quality, sharding
+from heddle.llm import encoding, language, line_dedup, matroska, mixing, ngram_join, quality, sharding, site_style, toxicity
 from heddle.llm.common import load
 from heddle.llm.oracles import ORACLES
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(load(spark, sf_dir, "pages"))
+
+
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(matroska.store(load(spark, sf_dir, "documents")))
+
+
 def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(load(spark, sf_dir, "documents"))
 
@@ -27,10 +35,18 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(load(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_identify(load(spark, sf_dir, "documents"))
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(load(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learn_and_score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.sharded(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
