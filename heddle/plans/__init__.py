@@ -1,0 +1,3 @@
+"""The queries over the driver's tables, by area; importing a module registers its queries."""
+
+from heddle.plans import changes, companies, observations, samples, screens, streams, texts, values  # noqa: F401
