@@ -29,6 +29,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(docs: DataFrame, **names: str) -> DataFrame:
+    """The rows of ``docs`` as one column ``_all``, beside it the columns named, so that no other name can clash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_all"), *[docs[c].alias(n) for n, c in names.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that were packed, those in ``new`` replaced in their place or else added behind."""
+    kept = [new[c].alias(c) if c in new else F.col("_all").getField(c).alias(c) for c in columns]
+    return rows.select(*kept, *[v.alias(c) for c, v in new.items() if c not in columns])
+
+
 def word_array(text: Column) -> Column:
     """All words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

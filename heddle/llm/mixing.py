@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import gapless_rank
+from heddle.llm.common import gapless_rank, packed, unpacked
 
 NO_SOURCE, OTHERS = "\x00none", "\x00others"
 
@@ -105,7 +105,7 @@ def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], period: in
 def mixed(docs: DataFrame, how: Mix = Mix(), *, key: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with ``block`` (its number within the source), ``slot`` and ``position``, by which to order."""
     spark = docs.sparkSession
-    named = docs.withColumn("_src", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
+    named = packed(docs, _key=key, _source=source).withColumn("_src", F.coalesce(F.col("_source").cast("string"), F.lit(NO_SOURCE))).drop("_source")
     top = [(r["_src"], r["count"]) for r in named.groupBy("_src").count().orderBy(F.desc("count"), "_src").limit(how.most_sources).collect()]
     total = named.count() if len(top) == how.most_sources else sum(n for _, n in top)
     sizes = dict(top[: how.most_sources - 1])
@@ -117,9 +117,9 @@ def mixed(docs: DataFrame, how: Mix = Mix(), *, key: str = "doc_id", source: str
     table = spark.createDataFrame(plan, "s string, first long, last long, parts long, turn long, offset long, slot0 long")
     kept = [k for k in sizes if k != OTHERS]
     own = named.withColumn("_src", F.when(F.col("_src").isin(kept), F.col("_src")).otherwise(OTHERS)) if OTHERS in sizes else named
-    ranked = gapless_rank(own, "_src", [key], "_k", how.rows_per_run).withColumn("block", F.expr(f"_k div {how.block_rows}"))
+    ranked = gapless_rank(own, "_src", ["_key"], "_k", how.rows_per_run).withColumn("block", F.expr(f"_k div {how.block_rows}"))
     b = F.col("block")
     joined = ranked.join(F.broadcast(table), (F.col("_src") == F.col("s")) & (b >= F.col("first")) & (b < F.col("last")) & (F.expr("(block - first) % parts") == F.col("turn")), "left")
     slot = F.col("slot0") + F.col("offset") + F.expr(f"((block - first) div parts) * {how.period}")
     out = joined.withColumn("slot", slot).withColumn("position", F.col("slot") * how.block_rows + F.col("_k") % how.block_rows)
-    return out.select(*docs.columns, "block", "slot", "position")
+    return unpacked(out, docs.columns, block=F.col("block"), slot=F.col("slot"), position=F.col("position"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import SHINGLE_WORDS, durable, window_hashes, word_array
+from heddle.llm.common import SHINGLE_WORDS, durable, packed, unpacked, window_hashes, word_array
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -46,7 +46,7 @@ class Rules:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words`` and the integer figures of the sketches, in a struct ``_m``."""
+    ``n_repeat_words`` and the integer figures of the sketches, in a struct ``_m``, and ``_once``, a number."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = docs.withColumns({"_words": word_array(F.col(text)), "_lines": lines})
@@ -74,6 +74,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     return f.select(
         *docs.columns,
+        # Keeps Spark from moving filters on the figures below the steps that compute them, which would repeat all of them.
+        F.monotonically_increasing_id().alias("_once"),
         F.struct(
             F.col("_n_words").alias("n_words"),
             F.col("_word_chars").alias("word_chars"),
@@ -106,7 +108,7 @@ def sketches(figures: DataFrame, rules: Rules, lang: str, source: str) -> DataFr
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), bucket_floor(F.col("_m")[f]).alias("bucket")) for f in FIGURES]))
     return (
-        figures.filter(~base_failed(rules)).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), each.alias("x"))
+        figures.filter((F.col("_once") >= 0) & ~base_failed(rules)).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), each.alias("x"))
         .groupBy("_lang", "_source", "x.figure", "x.bucket").agg(F.count("*").alias("count"))
     )
 
@@ -141,7 +143,7 @@ def _verdict(figures: DataFrame, limits: DataFrame, rules: Rules, lang: str, sou
     for f in FIGURES:
         inside = inside & F.col("_m")[f].between(F.col(f"_t_{f}_low"), F.col(f"_t_{f}_high"))
     bad = base_failed(rules)
-    out = joined.withColumns({"_base_failed": bad, "_kept": ~bad & F.coalesce(inside, F.lit(False))})
+    out = joined.withColumns({"_base_failed": bad, "_kept": (F.col("_once") >= 0) & ~bad & F.coalesce(inside, F.lit(False))})
     return out.drop(*right.columns)
 
 
@@ -154,6 +156,6 @@ def judge(docs: DataFrame, rules: Rules = Rules(), *, key: str = "doc_id", text:
 
 def keep(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns. Texts are measured twice and never shuffled."""
-    figures = measured(docs, text)
-    limits = durable(thresholds(sketches(figures, rules, lang, source), rules))
-    return _verdict(figures, limits, rules, lang, source).filter("_kept").select(*docs.columns)
+    figures = measured(packed(docs, _text=text, _l=lang, _s=source), "_text")
+    limits = durable(thresholds(sketches(figures, rules, "_l", "_s"), rules))
+    return unpacked(_verdict(figures, limits, rules, "_l", "_s").filter("_kept"), docs.columns)

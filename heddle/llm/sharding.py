@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import SPACES, gapless_rank
+from heddle.llm.common import SPACES, gapless_rank, packed, unpacked
 
 
 @dataclass(frozen=True)
@@ -57,14 +57,14 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
 def sharded(docs: DataFrame, how: Packing = Packing(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``."""
     spark = docs.sparkSession
-    t = F.coalesce(F.col(text), F.lit(""))
-    measured = docs.withColumns(
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    measured = packed(docs, _key=key, _text=text).withColumns(
         {
             "size": F.octet_length(t).cast("bigint") + 1,
             "text_crc32": F.crc32(F.encode(t, "UTF-8")),
             "_tokens": F.size(F.array_remove(F.split(t, SPACES), "")).cast("bigint"),
             "_group": F.xxhash64(t),
-            "_piece_hash": F.xxhash64(F.col(key), F.lit(7)),
+            "_piece_hash": F.xxhash64(F.col("_key"), F.lit(7)),
         }
     )
     groups = measured.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count("*").alias("r"))
@@ -91,6 +91,7 @@ def sharded(docs: DataFrame, how: Packing = Packing(), *, key: str = "doc_id", t
     dealt = measured.join(F.broadcast(known), F.col("_group") == F.col("_g"), "left")
     dealt = dealt.withColumns({"_a": F.col("_g").isNotNull(), "_i": F.when(F.col("_g").isNotNull(), F.col("_group")).otherwise(bundle), "_p": F.when(F.col("_g").isNotNull(), F.pmod("_piece_hash", F.col("_n"))).otherwise(0).cast("int")})
     put = dealt.join(F.broadcast(table), (F.col("_a") == F.col("_alone")) & (F.col("_i") == F.col("_item")) & (F.col("_p") == F.col("_piece")), "left")
-    put = put.select(*docs.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
-    order = [key, "text_crc32", "size"]
-    return gapless_rank(put, "shard", order, "slot", how.rows_per_run).withColumn("grown_shard", F.lit(None).cast("int"))
+    put = put.select("_all", "_key", "size", "text_crc32", "shard")
+    ranked = gapless_rank(put, "shard", ["_key", "text_crc32", "size"], "slot", how.rows_per_run)
+    new = {c: F.col(c) for c in ("size", "text_crc32", "shard", "slot")} | {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    return unpacked(ranked, docs.columns, **new)
