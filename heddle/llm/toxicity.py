@@ -12,8 +12,8 @@ words of clean documents. A sentence is as toxic as the word in it with the high
 worst sentence, so in each of a few rounds a toxic document is stood for by that word of that sentence, a clean
 one by its ``hardest`` and some others. Labels are taken to be noisy: from the second round on a toxic document
 counts only if its margin is above that of 95 % of the clean ones. The telling words with a letter put in or doubled
-count as toxic too. The margins of a held-back fifth are made
-probabilities (logistic).
+count as toxic too. The margins of a held-back fifth, and of
+those variants, are made probabilities (logistic).
 
 Sums of kernels are computed once for each different word that a worker meets, as one gather and add for each
 sequence of three.
@@ -45,7 +45,7 @@ REMEMBERED = 800_000
 STOPS = re.compile(r"[.!?]+[\"')]*\s|\n")
 #: Characters that look like letters, when between letters (fixed values).
 LOOKS_LIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|_+$|^_+")
+EDGE = re.compile(r"^[^\w@$]+|^[@$_]{2,}|[\W_]+$")
 INNER = re.compile(r"[\W_]+")
 
 
@@ -62,6 +62,7 @@ class Training:
     others: int = 4
     rounds: int = 4
     penalty: float = 1e-4
+    most_clean: float = 0.002
     held_out_of: int = 5
 
 
@@ -303,7 +304,13 @@ def fit(texts: list[str], y: np.ndarray, held: np.ndarray, how: Training = Train
         margin = mapped @ beta
     out = Detector(kernel, (root @ beta).astype(np.float32), bias, 1.0, 0.0, how)
     check = np.flatnonzero(held) if held.any() and len(set(y[held].tolist())) == 2 else np.arange(len(y))
-    out.slope, out.offset = _logistic(out.margins([texts[i] for i in check]), y[check].astype(float))
+    x, marks = out.margins([texts[i] for i in check]), y[check].astype(float)
+    if variants:
+        x, marks = np.append(x, out.word_margins(variants)), np.append(marks, np.ones(len(variants)))
+    out.slope, out.offset = _logistic(x, marks)
+    # At most so many clean documents may lie above one half.
+    clean = out.margins([t for t, label in zip(texts, y.tolist(), strict=True) if not label])
+    out.offset = min(out.offset, -out.slope * (float(np.quantile(clean, 1 - how.most_clean)) + 0.02))
     return out
 
 
