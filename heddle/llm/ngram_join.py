@@ -35,20 +35,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import SHINGLE_WORDS, durable
+from heddle.llm.common import SHINGLE_WORDS, durable, packed, small_or_shuffled, unpacked
 from heddle.llm.graph import components
 
 GAP = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: A block's entry that needs no answer: its batch has settled it.
 SETTLED = np.uint32(0xFFFFFFFF)
+#: Rows whose words a worker holds at once.
+CHUNK = 400
 
 
 @dataclass(frozen=True)
 class Join:
     percent: int = 80
     words: int = SHINGLE_WORDS
-    block_entries: int = 4_000_000
+    block_entries: int = 1_000_000
     most_passes: int = 4
 
 
@@ -92,8 +94,8 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-PARTS = "block int, base long, keys binary, places binary, about_place binary, about_n binary, about_count binary, about_a binary, about_b binary"
-COUNTED = "row long, shared long, n long, a long, b long"
+PARTS = "block int, base long, keys binary, places binary, about_row binary, about_n binary, about_count binary, about_a binary, about_b binary"
+COUNTED = "base long, place long, row long, shared long, n long, a long, b long"
 
 
 def _scatter(blocks: int, words: int):
@@ -101,17 +103,18 @@ def _scatter(blocks: int, words: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), 2_000):
-                pdf = whole.iloc[at : at + 2_000]
+            for at in range(0, len(whole), CHUNK):
+                pdf = whole.iloc[at : at + CHUNK]
                 if pdf.empty:
                     continue
                 sets = shingle_sets(pdf["text"].tolist(), words) if "text" in pdf else [np.asarray(x).view(np.uint64) for x in pdf["hashes"]]
                 rows = pdf["_row"].to_numpy(np.int64)
-                base = int(rows.min())
+                # A batch is named by its first row, and its rows by their places in it.
+                base = int(rows[0])
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 keys = [_set_key(s) if len(s) else (0, 0) for s in sets]
                 flat = np.concatenate(sets) if n.sum() else np.empty(0, np.uint64)
-                place = np.repeat((rows - base).astype(np.uint32), n)
+                place = np.repeat(np.arange(len(rows), dtype=np.uint32), n)
                 order = np.argsort(flat, kind="stable")
                 flat, place = flat[order], place[order]
                 new = np.ones(len(flat), bool)
@@ -119,7 +122,7 @@ def _scatter(blocks: int, words: int):
                 runs = np.flatnonzero(new)
                 size = np.diff(np.append(runs, len(flat)))
                 several = size > 1
-                settled = np.bincount(place[np.repeat(several, size)], minlength=int((rows - base).max()) + 1)[(rows - base)] if len(flat) else np.zeros(len(rows), np.int64)
+                settled = np.bincount(place[np.repeat(several, size)], minlength=len(rows)) if len(flat) else np.zeros(len(rows), np.int64)
                 sent_key, sent_place = flat[runs], np.where(several, SETTLED, place[runs])
                 block = ((sent_key >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
                 cuts = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
@@ -130,7 +133,7 @@ def _scatter(blocks: int, words: int):
                     x, y = cuts[b], cuts[b + 1]
                     if x == y and b != home:
                         continue
-                    about = [rows - base, n, settled, np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)] if b == home else [np.empty(0, np.int64)] * 5
+                    about = [rows, n, settled, np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)] if b == home else [np.empty(0, np.int64)] * 5
                     out.append((b, base, low[x:y].tobytes(), sent_place[x:y].tobytes(), *(np.asarray(z, np.int64).tobytes() for z in about)))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PARTS.split(", ")])
 
@@ -152,11 +155,12 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
         same[:-1] |= eq
     hit = same & (place != SETTLED)
     base = pdf["base"].to_numpy(np.int64)
-    row, count = np.unique(base[part[hit]] + place[hit].astype(np.int64), return_counts=True)
-    found = pd.DataFrame({"row": row, "shared": count.astype(np.int64), "n": np.int64(0), "a": np.int64(0), "b": np.int64(0)})
-    about = [np.concatenate(as_int(c, np.int64)) for c in ("about_place", "about_count", "about_n", "about_a", "about_b")]
-    sizes = [len(x) // 8 for x in pdf["about_place"]]
-    own = pd.DataFrame({"row": np.repeat(base, sizes) + about[0], "shared": about[1], "n": about[2], "a": about[3], "b": about[4]})
+    cell, count = np.unique(part[hit].astype(np.int64) << 32 | place[hit].astype(np.int64), return_counts=True)
+    found = pd.DataFrame({"base": base[cell >> 32], "place": cell & 0xFFFFFFFF, "row": np.int64(-1), "shared": count.astype(np.int64), "n": np.int64(0), "a": np.int64(0), "b": np.int64(0)})
+    about = [np.concatenate(as_int(c, np.int64)) for c in ("about_row", "about_count", "about_n", "about_a", "about_b")]
+    sizes = np.array([len(x) // 8 for x in pdf["about_row"]])
+    places = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes]) if len(sizes) else np.empty(0, np.int64)
+    own = pd.DataFrame({"base": np.repeat(base, sizes), "place": places, "row": about[0], "shared": about[1], "n": about[2], "a": about[3], "b": about[4]})
     return pd.concat([own, found], ignore_index=True)
 
 
@@ -164,14 +168,14 @@ def shared_counts(rows: DataFrame, blocks: int, words: int) -> DataFrame:
     """For each ``_row``: ``n`` entries, ``shared`` of them in columns with another row, and the set's key ``a, b``."""
     parts = rows.mapInPandas(_scatter(blocks, words), PARTS)
     counted = parts.groupBy("block").applyInPandas(_gather, COUNTED)
-    return counted.groupBy("row").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return counted.groupBy("base", "place").agg(F.max("row").alias("row"), F.sum("shared").alias("shared"), F.max("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).drop("base", "place")
 
 
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), 2_000):
-                pdf = whole.iloc[at : at + 2_000]
+            for at in range(0, len(whole), CHUNK):
+                pdf = whole.iloc[at : at + CHUNK]
                 sets = shingle_sets(pdf["text"].tolist(), words)
                 yield pd.DataFrame({"_row": pdf["_row"].to_numpy(), "n": [len(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
 
@@ -192,7 +196,7 @@ def _alike_sizes(a: str, b: str, how: Join):
 
 def linked(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_row`` (see :func:`numbered`), ``n_shingles``, ``component_id`` and ``is_first``, one row a document."""
-    rows = numbered(docs).select("_row", F.col(key).alias("_id"), F.col(text).alias("text"))
+    rows = numbered(docs, key, text).select("_row", "_id", "text")
     est = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks_for = lambda entries: max(1, -(-int(entries) // how.block_entries))
     first = shared_counts(rows.select("_row", "text"), blocks_for(est / 6), how.words)
@@ -200,7 +204,7 @@ def linked(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: st
     order = F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("row").alias("row"))
     classes = stats.filter("n > 0").groupBy("a", "b").agg(F.min(order).alias("rep"), F.max("n").alias("n"), F.min("shared").alias("shared"), F.count("*").alias("members"))
     enough = lambda shared, n: 100 * F.col(shared) >= how.percent * F.col(n)
-    likely = classes.filter(enough("shared", "n")).select(F.col("rep.row").alias("_row"))
+    likely = small_or_shuffled(durable(classes.filter(enough("shared", "n")).select(F.col("rep.row").alias("_row"))))
     sets = durable(rows.join(likely, "_row", "left_semi").select("_row", "text").mapInPandas(_sets(how.words), "_row long, n long, hashes array<bigint>"))
     before = None
     for _ in range(how.most_passes):
@@ -237,9 +241,9 @@ def linked(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: st
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number that every reading of the same files gives alike."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` packed, with ``_row``, a number that every reading of the same files gives alike."""
+    return packed(docs, _id=key, text=text).withColumn("_row", F.monotonically_increasing_id())
 
 
 def join(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,5 +253,5 @@ def join(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: str
 
 def keep_first(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; documents without words stay."""
-    later = durable(linked(docs, how, key=key, text=text).filter("not is_first").select("_row"))
-    return numbered(docs).join(later, "_row", "left_anti").select(*docs.columns)
+    later = small_or_shuffled(durable(linked(docs, how, key=key, text=text).filter("not is_first").select("_row")))
+    return unpacked(numbered(docs, key, text).join(later, "_row", "left_anti"), docs.columns)
