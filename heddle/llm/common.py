@@ -29,6 +29,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_or_shuffled(side: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A written table (see :func:`durable`), marked for broadcast if it was counted to have at most ``most_rows`` rows.
+
+    Else Spark joins by shuffling, as it would without the count. For narrow rows only.
+    """
+    return F.broadcast(side) if side.limit(most_rows + 1).count() <= most_rows else side
+
+
 def packed(docs: DataFrame, **names: str) -> DataFrame:
     """The rows of ``docs`` as one column ``_all``, beside it the columns named, so that no other name can clash."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_all"), *[docs[c].alias(n) for n, c in names.items()])
@@ -54,7 +62,7 @@ def window_hashes(hashes: str, size: int = SHINGLE_WORDS) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def gapless_rank(df: DataFrame, group: str, order: list[str], rank: str, rows_per_run: int = 100_000) -> DataFrame:
+def gapless_rank(df: DataFrame, group: str, order: list[str], rank: str, rows_per_run: int = 10_000) -> DataFrame:
     """Adds ``rank``: 0, 1, 2 ... within each group, in no task more than about ``rows_per_run`` rows.
 
     Rows of a group are dealt by hash into runs; a run is ranked by one window, and the runs' sizes, summed

@@ -36,7 +36,7 @@ class Mix:
     block_rows: int = 64
     period: int = 1000
     most_sources: int = 100
-    rows_per_run: int = 100_000
+    rows_per_run: int = 10_000
 
 
 def parts(weights: Mapping[str, float], period: int) -> dict[str, int]:

@@ -32,7 +32,7 @@ class Packing:
     shards: int = 8
     bundles: int = 4096
     fine_of: int = 16
-    rows_per_run: int = 100_000
+    rows_per_run: int = 10_000
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
