@@ -1,3 +1,34 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from heddle.llm.quality import FIGURES, LEADING_BITS, Rules
+
+
+def _quality_sql(rules: Rules) -> str:
+    """The measures, sketches, thresholds and verdicts of op3, window by window."""
+    word, figures = r"[^\x20\x09-\x0D]", {"symbols_per_mille": ("1000", "n_symbols", "n_words"), "dup_lines_per_mille": ("1000", "n_dup_lines", "n_lines"), "repeats_per_mille": ("1000", "n_repeat_words", "n_words"), "word_length_cent": ("100", "word_chars", "n_words")}
+    figure = ", ".join(f"({k} * {a}) // greatest({b}, 1) as {name}" for name, (k, a, b) in figures.items())
+    at = lambda q: f"min(bucket) filter (where below >= ceil(total * cast({q} as double)))"
+    reach = lambda m: f"greatest({rules.spread} * (hi - lo), {m})"
+    limits = ", ".join(f"max(case when figure = '{f}' then {'-1' if low is None else 'lo - ' + reach(low)} end) as {f}_low, max(case when figure = '{f}' then hi + {reach(high)} end) as {f}_high" for f, low, high in rules.margins)
+    inside = " and ".join(f"{f} between {f}_low and {f}_high" for f in FIGURES)
+    counters = " union all ".join(f"select lang, source, '{f}' as figure, {f} as v from f where not base_failed" for f in FIGURES)
+    low = f"greatest(length(bin(v)) - {LEADING_BITS}, 0)"
+    return f"""with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{word}+') as w from documents),
+win as (select r, i, array_to_string(w[i:i + 4], ' ') as g from (select r, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+twice as (select r, i, lead(i) over (partition by r order by i) as j from (select r, i, count(*) over (partition by r, g) as n from win) where n > 1),
+rep as (select r, sum(least(5, coalesce(j - i, 5))) as n from twice group by r),
+l as (select r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) as lines from d),
+m as (select d.*, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words from d join l using (r) left join rep using (r)),
+f as (select *, {figure}, n_words < {rules.least_words} or 100 * n_repeat_words > {rules.most_repeated_percent} * n_words as base_failed from m),
+s as (select lang, source, figure, (v >> {low}) << {low} as bucket, count(*) as n from ({counters}) group by all),
+k as (select *, sum(n) over (partition by lang, source, figure order by bucket) as below, sum(n) over (partition by lang, source, figure) as total from s),
+q as (select lang, source, figure, {at(rules.lower_quantile)} as lo, {at(rules.upper_quantile)} as hi from k group by 1, 2, 3),
+t as (select lang, source, {limits} from q group by 1, 2)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({inside}, false) as kept
+from f left join t on f.lang is not distinct from t.lang and f.source is not distinct from t.source"""
+
+
+ORACLES: dict[str, str] = {"op3_adaptive_quality": _quality_sql(Rules())}
