@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import SHINGLE_WORDS, durable, packed, unpacked, window_hashes, word_array
+from heddle.llm.common import SHINGLE_WORDS, durable, packed, small_or_shuffled, unpacked, window_hashes, word_array
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -155,7 +155,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), *, key: str = "doc_id", text:
 
 
 def keep(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. Texts are measured twice and never shuffled."""
+    """The rows of ``docs`` that pass, with all their columns. Texts are measured twice, and shuffled only if there
+    are over 100,000 groups."""
     figures = measured(packed(docs, _text=text, _l=lang, _s=source), "_text")
-    limits = durable(thresholds(sketches(figures, rules, "_l", "_s"), rules))
+    limits = small_or_shuffled(durable(thresholds(sketches(figures, rules, "_l", "_s"), rules)))
     return unpacked(_verdict(figures, limits, rules, "_l", "_s").filter("_kept"), docs.columns)
