@@ -35,9 +35,9 @@ def components(pairs: DataFrame, left: str, right: str, most_rounds: int = 60) -
         .filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     )
     for _ in range(most_rounds):
-        several = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-        chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1)
-        if not several.unionByName(chained.select("u", F.lit(1).alias("n"))).head(1):
+        # Each node as an upper end (how often) and as a lower end: settled if none is both, or twice an upper end.
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        if not ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("low").alias("low")).filter("up > 1 or up = 1 and low = 1").head(1):
             break
         edges = durable(_small_star(_large_star(edges)))
     else:
