@@ -12,9 +12,9 @@ against their sizes, so the product is computed only where such an entry can be:
    can't be in a pair. Rows with equal sets are one row from here on. Both steps repeat while rows fall out.
 3. *Size bounds on entries.* Columns are put in order of their number of rows. Two rows that overlap enough
    have a common column among the first ``n - ceil(0.8 n) + 1`` of either. Only these give candidates.
-4. *Masked product.* In a column every row first meets the column's smallest row. Overlaps are counted for
+4. *Masked product.* In a column every row first meets one row, that with the most neighbours. Overlaps are counted for
    these entries of the product, and components formed. Then every pair of rows in a column whose rows are
-   still in two components and whose sizes are within 80 % is counted as well. Pairs already connected need
+   still in two components and whose sizes are within 80 % and in which the column stands early enough is counted as well. Pairs already connected need
    no count, which is why large groups of near copies cost rows, not pairs, and no link is lost.
 
 Overlaps are counts of equal 64-bit hashes of five words.
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import SHINGLE_WORDS, durable, packed, small_or_shuffled, unpacked
@@ -190,8 +190,12 @@ def _links(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     return both.filter(100 * F.col("_o") >= how.percent * (F.col("nx") + F.col("ny") - F.col("_o"))).select("x", "y")
 
 
-def _alike_sizes(a: str, b: str, how: Join):
-    return 100 * F.least(a, b) >= how.percent * F.greatest(a, b)
+def _may_link(na: str, nb: str, ia: str, ib: str, how: Join) -> Column:
+    """Whether two rows of ``na`` and ``nb`` entries may link if their first common column is the ``ia``-th and ``ib``-th of
+    theirs: by their sizes, and because what is common can't be more than what is left from there on."""
+    sizes = 100 * F.least(na, nb) >= how.percent * F.greatest(na, nb)
+    left = 1 + F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib))
+    return sizes & ((100 + how.percent) * left >= how.percent * (F.col(na) + F.col(nb)))
 
 
 def linked(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,17 +222,20 @@ def linked(docs: DataFrame, how: Join = Join(), *, key: str = "doc_id", text: st
     columns = entry.groupBy("h").agg(F.count("*").alias("df"))
     ranked = entry.join(columns, "h").groupBy("_row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     prefix = F.expr(f"cast(n - (({how.percent} * n + 99) div 100) + 1 as int)")
-    cells = durable(ranked.select("_row", "n", F.explode(F.filter(F.slice("s", 1, prefix), lambda x: x["df"] > 1)).alias("c")).select("_row", "n", F.col("c.h").alias("h")))
-    heads = cells.groupBy("h").agg(F.min("_row").alias("x"), F.min_by("n", "_row").alias("nx"), F.count("*").alias("k")).filter("k > 1")
-    stars = cells.join(heads, "h").filter("_row <> x").filter(_alike_sizes("n", "nx", how)).select("x", F.col("_row").alias("y")).distinct()
+    # A row's weight is the mean number of rows in its columns: of a group of near copies the one that all others were made from has most.
+    weight = F.expr("aggregate(s, 0L, (t, x) -> t + x.df) / n")
+    numbered_cells = F.filter(F.transform(F.slice("s", 1, prefix), lambda x, i: F.struct(x["df"].alias("df"), x["h"].alias("h"), (i + 1).alias("i"))), lambda x: x["df"] > 1)
+    cells = durable(ranked.select("_row", "n", weight.alias("w"), F.explode(numbered_cells).alias("c")).select("_row", "n", "w", F.col("c.h").alias("h"), F.col("c.i").alias("i")))
+    heads = cells.groupBy("h").agg(F.max_by(F.struct(F.col("_row").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix")), F.struct("w", -F.col("_row"))).alias("head"), F.count("*").alias("k")).filter("k > 1").select("h", "head.*")
+    stars = cells.join(heads, "h").filter(F.col("_row") != F.col("x")).filter(_may_link("n", "nx", "i", "ix", how)).select("x", F.col("_row").alias("y")).distinct()
     links = durable(_links(stars, sets, how))
     label = components(links, "x", "y")
     part = cells.join(label.withColumnRenamed("node", "_row"), "_row", "left").withColumn("part", F.coalesce("component", "_row")).drop("component")
     mixed = part.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 < p1").select("h")
     part = durable(part.join(mixed, "h", "left_semi"))
-    one, two = part.select("h", F.col("_row").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px")), part.select("h", F.col("_row").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
-    cross = one.join(two, (one["h"] == two["h"]) & (F.col("px") < F.col("py")) & _alike_sizes("nx", "ny", how)).select("x", "y").distinct()
-    more = durable(_links(cross, sets, how))
+    one, two = (part.select("h", F.col("_row").alias(c), F.col("n").alias(f"n{c}"), F.col("i").alias(f"i{c}"), F.col("part").alias(f"p{c}")) for c in "xy")
+    cross = one.join(two, (one["h"] == two["h"]) & (F.col("px") < F.col("py")) & _may_link("nx", "ny", "ix", "iy", how)).select("x", "y").distinct()
+    more = durable(_links(cross.join(stars, ["x", "y"], "left_anti"), sets, how))
     final = components(links.unionByName(more), "x", "y")
     by_class = classes.select("a", "b", "rep", F.col("rep.row").alias("node")).join(final, "node", "left").withColumn("_c", F.coalesce("component", "node"))
     heads = by_class.groupBy("_c").agg(F.min("rep").alias("head"))
