@@ -95,7 +95,8 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 PARTS = "block int, base long, keys binary, places binary, about_row binary, about_n binary, about_count binary, about_a binary, about_b binary"
-COUNTED = "base long, place long, row long, shared long, n long, a long, b long"
+ANSWER = "base long, places binary, counts binary, about_row binary, about_n binary, about_count binary, about_a binary, about_b binary"
+COUNTED = "row long, shared long, n long, a long, b long"
 
 
 def _scatter(blocks: int, words: int):
@@ -141,9 +142,8 @@ def _scatter(blocks: int, words: int):
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: for each row how many of its entries share a column with another row."""
-    as_int = lambda c, kind: [np.frombuffer(x, kind) for x in pdf[c]]
-    keys, places = as_int("keys", np.uint32), as_int("places", np.uint32)
+    """Of one block, for each batch: the places of rows that share entries with another row, and how many."""
+    keys, places = ([np.frombuffer(x, np.uint32) for x in pdf[c]] for c in ("keys", "places"))
     part = np.repeat(np.arange(len(pdf), dtype=np.int32), [len(k) for k in keys])
     key, place = np.concatenate(keys), np.concatenate(places)
     order = np.argsort(key, kind="stable")
@@ -154,21 +154,29 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
         same[1:] |= eq
         same[:-1] |= eq
     hit = same & (place != SETTLED)
-    base = pdf["base"].to_numpy(np.int64)
     cell, count = np.unique(part[hit].astype(np.int64) << 32 | place[hit].astype(np.int64), return_counts=True)
-    found = pd.DataFrame({"base": base[cell >> 32], "place": cell & 0xFFFFFFFF, "row": np.int64(-1), "shared": count.astype(np.int64), "n": np.int64(0), "a": np.int64(0), "b": np.int64(0)})
-    about = [np.concatenate(as_int(c, np.int64)) for c in ("about_row", "about_count", "about_n", "about_a", "about_b")]
-    sizes = np.array([len(x) // 8 for x in pdf["about_row"]])
-    places = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes]) if len(sizes) else np.empty(0, np.int64)
-    own = pd.DataFrame({"base": np.repeat(base, sizes), "place": places, "row": about[0], "shared": about[1], "n": about[2], "a": about[3], "b": about[4]})
-    return pd.concat([own, found], ignore_index=True)
+    cuts = np.searchsorted(cell >> 32, np.arange(len(pdf) + 1))
+    at = (cell & 0xFFFFFFFF).astype(np.uint32)
+    out = pdf[["base", "about_row", "about_n", "about_count", "about_a", "about_b"]].copy()
+    out["places"] = [at[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+    out["counts"] = [count[x:y].astype(np.int64).tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+    return out[[c.split()[0] for c in ANSWER.split(", ")]]
+
+
+def _total(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one batch: its rows with the sums of what the blocks have answered."""
+    home = pdf[pdf["about_row"].map(len) > 0].iloc[0]
+    row, n, shared, a, b = (np.frombuffer(home[c], np.int64).copy() for c in ("about_row", "about_n", "about_count", "about_a", "about_b"))
+    for places, counts in zip(pdf["places"], pdf["counts"], strict=True):
+        shared[np.frombuffer(places, np.uint32)] += np.frombuffer(counts, np.int64)
+    return pd.DataFrame({"row": row, "shared": shared, "n": n, "a": a, "b": b})
 
 
 def shared_counts(rows: DataFrame, blocks: int, words: int) -> DataFrame:
     """For each ``_row``: ``n`` entries, ``shared`` of them in columns with another row, and the set's key ``a, b``."""
     parts = rows.mapInPandas(_scatter(blocks, words), PARTS)
-    counted = parts.groupBy("block").applyInPandas(_gather, COUNTED)
-    return counted.groupBy("base", "place").agg(F.max("row").alias("row"), F.sum("shared").alias("shared"), F.max("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).drop("base", "place")
+    answers = parts.groupBy("block").applyInPandas(_gather, ANSWER)
+    return answers.groupBy("base").applyInPandas(_total, COUNTED)
 
 
 def _sets(words: int):
