@@ -9,9 +9,13 @@ All in DataFrame functions:
    fixed bounds, going round at the end. Two lines agree there with probability about ``J ** rows``, as
    for ``rows`` independent minima: 0.995 in any of ten bands of four at a similarity of 0.8.
 2. Exact copies are folded before anything else is shuffled, with map-side combining.
-3. *Candidates*: in a bucket every line meets the bucket's smallest line, never every other line.
+3. *Stars*: in a bucket every line first meets one line, that with the most bucket neighbours. Of an original
+   and its variants this is the original, since a variant has left some of the buckets.
 4. *Verification*: the exact Jaccard similarity of all character shingles of both lines.
-5. *Union-find* by star contraction (:mod:`heddle.llm.graph`); the first occurrence of a component stays.
+5. *The rest*: after *union-find* by star contraction (:mod:`heddle.llm.graph`), every pair of lines in a bucket that
+   are still in two components is verified as well, so components are those of all candidate pairs. Two bounds that
+   no alike pair exceeds come before: on the sizes, and on the bits in which parity maps of the shingles differ.
+6. The first occurrence of a component stays.
 
 Defined results: null texts stay null; lines of fewer than ``least_words`` words are never touched, nor are
 empty ones; repeated rows are separate occurrences, so a second copy loses its lines; a document all of
@@ -30,6 +34,8 @@ from heddle.llm.common import durable, packed, small_or_shuffled, unpacked
 from heddle.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]"
+#: 64-bit words of a line's parity map, and about how many lines of a bucket meet its others in one salt.
+MAP_WORDS, BUCKET_RUN = 4, 500
 
 
 @dataclass(frozen=True)
@@ -102,19 +108,55 @@ def signatures(lines: DataFrame, how: Likeness) -> DataFrame:
     return _with_bands(each.select("_key", F.col("_x.f").alias("_family"), F.sort_array("_x.s").alias("_s")), how)
 
 
+def _alike(pairs: DataFrame, shingled: DataFrame, how: Likeness) -> DataFrame:
+    """The pairs ``a, b`` whose similarity is large enough."""
+    left, right = (shingled.select(F.col("_key").alias(x), F.col("_s").alias(f"_s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
+    return both.filter(100 * F.col("_common") >= how.percent * (F.size("_sa") + F.size("_sb") - F.col("_common"))).select("a", "b")
+
+
+def _parity(word: int) -> Column:
+    """64 bits: of every shingle hash dealt to this word one bit is turned."""
+    turned = lambda h: F.when(F.pmod(F.shiftright(h, 6), F.lit(MAP_WORDS)) == word, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    return F.aggregate("_s", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(turned(h)))
+
+
+def _may_be_alike(how: Likeness) -> Column:
+    """False only for pairs that can't be alike. Every bit in which the maps differ is a shingle of one line alone."""
+    differ = sum((F.bit_count(F.col(f"_m{i}a").bitwiseXOR(F.col(f"_m{i}b"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("_m0a").bitwiseXOR(F.col("_m0b"))))
+    na, nb = F.col("_na"), F.col("_nb")
+    return (100 * F.least(na, nb) >= how.percent * F.greatest(na, nb)) & ((100 + how.percent) * differ <= (100 - how.percent) * (na + nb))
+
+
+def _across(shared: DataFrame, label: DataFrame, shingled: DataFrame, how: Likeness) -> DataFrame:
+    """Pairs ``a, b`` in a bucket whose lines are in two components and may be alike. Large buckets are dealt by a salt."""
+    part = shared.join(label.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_part", F.coalesce("component", "_key")).drop("component")
+    mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1")).filter("_p0 < _p1").select("_band")
+    part = durable(part.join(mixed, "_band", "left_semi"))
+    maps = durable(shingled.join(part.select("_key").distinct(), "_key", "left_semi").select("_key", F.size("_s").alias("_size"), *[_parity(i).alias(f"_m{i}") for i in range(MAP_WORDS)]))
+    full = part.join(maps, "_key").withColumn("_salts", F.expr(f"1 + _n div {BUCKET_RUN}"))
+    of = lambda rows, x: rows.select(F.col("_band").alias(f"_band{x}"), F.col("_salt").alias(f"_salt{x}"), F.col("_key").alias(x), F.col("_part").alias(f"_p{x}"), F.col("_size").alias(f"_n{x}"), *[F.col(f"_m{i}").alias(f"_m{i}{x}") for i in range(MAP_WORDS)])
+    one = of(full.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.col("_salts"))), "a")
+    two = of(full.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))), "b")
+    return one.join(two, (F.col("_banda") == F.col("_bandb")) & (F.col("_salta") == F.col("_saltb")) & (F.col("_pa") < F.col("_pb")) & _may_be_alike(how)).select("a", "b").distinct()
+
+
 def near_pairs(rows: DataFrame, text: str, firsts: DataFrame, how: Likeness) -> DataFrame:
-    """Verified edges ``a, b`` between keys of different lines; ``firsts`` has the place where each key is first."""
+    """Edges ``a, b`` between keys of different lines, with the components of all verified candidate pairs.
+
+    ``firsts`` has the place where each key is first.
+    """
     signed = signatures(occurrences(rows, text, how), how).groupBy("_key", "_family").agg(F.any_value("_bands").alias("_bands"))
     banded = signed.select("_key", F.explode("_bands").alias("_band"))
-    first = F.min("_key").over(Window.partitionBy("_band"))
-    pairs = durable(banded.withColumn("_first", first).filter("_first <> _key").select(F.col("_first").alias("a"), F.col("_key").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
+    shared = durable(banded.withColumn("_n", F.count("*").over(Window.partitionBy("_band"))).filter("_n > 1"))
+    nodes = shared.groupBy("_key").agg(F.sum("_n").alias("_w"))
+    heads = shared.join(nodes, "_key").groupBy("_band").agg(F.max(F.struct("_w", "_key"))["_key"].alias("a"))
+    pairs = durable(shared.join(heads, "_band").filter("a <> _key").select("a", F.col("_key").alias("b")).distinct())
     places = durable(firsts.select("_key", F.col("_first.r").alias("_row"), F.col("_first.p").alias("_pos")).join(nodes, "_key", "left_semi"))
     lines = occurrences(rows.join(places.select("_row").distinct(), "_row", "left_semi"), text, how)
     shingled = durable(with_shingles(lines.join(places, ["_key", "_row", "_pos"], "left_semi"), F.col("_line"), how, "_s").select("_key", "_s"))
-    left, right = (shingled.select(F.col("_key").alias(x), F.col("_s").alias(f"_s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
-    return both.filter(100 * F.col("_common") >= how.percent * (F.size("_sa") + F.size("_sb") - F.col("_common"))).select("a", "b")
+    label = components(_alike(pairs, shingled, how), "a", "b")
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_alike(_across(shared, label, shingled, how), shingled, how))
 
 
 def removals(rows: DataFrame, text: str, how: Likeness) -> DataFrame:

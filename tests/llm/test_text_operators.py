@@ -96,6 +96,24 @@ def test_near_lines_go_and_others_stay(spark):
     assert all(got[i].n_removed == 0 for i in range(60))
 
 
+def test_variants_of_one_line_go(spark):
+    """Each variant is alike to the original alone, whichever line a bucket compares with the others."""
+    import random
+
+    for n in (10, 100, 1000):
+        r = random.Random(n)
+        word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+        original = [word() for _ in range(30)]
+        lines = [" ".join(original)]
+        for i in range(n):
+            lines.append(" ".join(word() if k == i % 28 + 1 else w for k, w in enumerate(original)))
+        assert all(len(shingles(lines[0]) & shingles(x)) / len(shingles(lines[0]) | shingles(x)) >= 0.8 for x in lines[1:])
+        assert len(shingles(lines[1]) & shingles(lines[4])) / len(shingles(lines[1]) | shingles(lines[4])) < 0.8
+        docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(docs, counts=True).collect()}
+        assert got == {i: int(i > 0) for i in range(n + 1)}
+
+
 def test_equal_lines_keep_their_first(spark, odd, empty):
     rows = [(3, "this very line is here many times\nb"), (1, "this very line is here many times\n\nshort"), (2, "  this very line is here many times "), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
