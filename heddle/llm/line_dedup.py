@@ -2,10 +2,8 @@
 
 All in DataFrame functions:
 
-1. *Signatures*, at the scan. A line's signature is over its character shingles of ``width`` characters.
-   Lines of up to ``dense_chars`` bytes use the shingles at every place, longer ones those at which a word
-   begins, and lengths near the limit both, so that any two lines which may be alike meet in one family.
-   The hashes are sorted once; band ``j`` is the ``rows`` smallest hashes above the ``j``-th of ``bands``
+1. *Signatures*, at the scan. A line's signature is over all its character shingles of ``width`` characters,
+   the same ones that decide, so its estimate holds for lines of any length, script and white space. The hashes are sorted once; band ``j`` is the ``rows`` smallest hashes above the ``j``-th of ``bands``
    fixed bounds, going round at the end. Two lines agree there with probability about ``J ** rows``, as
    for ``rows`` independent minima: 0.995 in any of ten bands of four at a similarity of 0.8.
 2. Exact copies are folded before anything else is shuffled, with map-side combining.
@@ -47,7 +45,6 @@ class Likeness:
     rows: int = 4
     percent: int = 80
     least_words: int = 5
-    dense_chars: int = 120
 
 
 def _bounds(n: int) -> list[int]:
@@ -55,7 +52,7 @@ def _bounds(n: int) -> list[int]:
 
 
 def _with_bands(rows: DataFrame, how: Likeness) -> DataFrame:
-    """Adds ``_bands``, one hash for each band of the sorted distinct hashes in ``_s``, salted by ``_family``.
+    """Adds ``_bands``, one hash for each band of the sorted distinct hashes in ``_s``.
 
     The bounds are sorted among the hashes, so that a bound's place tells where its band begins. Sorted
     array and ring are columns of their own: expressions inside one column would be computed for each band.
@@ -65,17 +62,16 @@ def _with_bands(rows: DataFrame, how: Likeness) -> DataFrame:
     each = []
     for j, bound in enumerate(_bounds(how.bands)):
         start = (F.array_position("_marked", F.lit(bound)) - j).cast("int")
-        each.append(F.xxhash64(F.lit(j), F.col("_family"), F.slice("_ring", start, how.rows)))
+        each.append(F.xxhash64(F.lit(j), F.slice("_ring", start, how.rows)))
     return rows.withColumn("_bands", F.array(*each)).drop("_marked", "_ring", "_s")
 
 
-def with_shingles(rows: DataFrame, line: Column, how: Likeness, out: str, at_words: bool = False) -> DataFrame:
-    """Adds the distinct hashes of a line's character shingles, at every place or where a word begins.
+def with_shingles(rows: DataFrame, line: Column, how: Likeness, out: str) -> DataFrame:
+    """Adds the distinct hashes of a line's character shingles, at every place.
 
-    A line shorter than a shingle is its own only one; at the end of a line those at words are cut short.
+    A line shorter than a shingle is its own only one.
     """
-    pattern = f"(?s)(?:^| )(?=(.{{1,{how.width}}}))" if at_words else f"(?s)(?=(.{{{how.width}}}))"
-    rows = rows.withColumn("_found", F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
+    rows = rows.withColumn("_found", F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{how.width}}}))"), F.lit(1)))
     rows = rows.withColumn("_some", F.when(F.size("_found") > 0, F.col("_found")).when(line.isNotNull(), F.array(line)))
     return rows.withColumn(out, F.array_distinct(F.transform("_some", lambda x: F.xxhash64(x)))).drop("_found", "_some")
 
@@ -99,13 +95,9 @@ def _key(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame, how: Likeness) -> DataFrame:
-    """``_key``, ``_family`` and ``_bands`` of every line, once for each family to which its length belongs."""
-    n, line = F.octet_length("_line"), F.col("_line")
-    step = with_shingles(lines, F.when(n <= how.dense_chars, line), how, "_d")
-    step = with_shingles(step, F.when(n > how.dense_chars * 3 // 4, line), how, "_w", at_words=True)
-    both = F.array(F.struct(F.lit(0).alias("f"), F.col("_d").alias("s")), F.struct(F.lit(1).alias("f"), F.col("_w").alias("s")))
-    each = step.select("_key", F.explode(both).alias("_x")).filter("_x.s is not null")
-    return _with_bands(each.select("_key", F.col("_x.f").alias("_family"), F.sort_array("_x.s").alias("_s")), how)
+    """``_key`` and ``_bands`` of every line."""
+    step = with_shingles(lines, F.col("_line"), how, "_d").select("_key", F.sort_array("_d").alias("_s"))
+    return _with_bands(step, how)
 
 
 def _alike(pairs: DataFrame, shingled: DataFrame, how: Likeness) -> DataFrame:
@@ -146,7 +138,7 @@ def near_pairs(rows: DataFrame, text: str, firsts: DataFrame, how: Likeness) ->
 
     ``firsts`` has the place where each key is first.
     """
-    signed = signatures(occurrences(rows, text, how), how).groupBy("_key", "_family").agg(F.any_value("_bands").alias("_bands"))
+    signed = signatures(occurrences(rows, text, how), how).groupBy("_key").agg(F.any_value("_bands").alias("_bands"))
     banded = signed.select("_key", F.explode("_bands").alias("_band"))
     shared = durable(banded.withColumn("_n", F.count("*").over(Window.partitionBy("_band"))).filter("_n > 1"))
     nodes = shared.groupBy("_key").agg(F.sum("_n").alias("_w"))

@@ -114,6 +114,25 @@ def test_variants_of_one_line_go(spark):
         assert got == {i: int(i > 0) for i in range(n + 1)}
 
 
+def test_long_lines_without_spaces_meet(spark):
+    """Near copies of over 120 bytes: rows divided by tabs that differ in front, and five long words that differ where each begins."""
+    import random
+
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = []
+    for i in range(30):
+        tail = "\t".join(word(7) for _ in range(25))
+        pairs.append((f"{i:08d}\t{tail}", f"{i + 50:08d}\t{tail}"))
+        long = [word(60) for _ in range(5)]
+        pairs.append((" ".join(long), " ".join(word(1) + x[1:] for x in long)))
+    pairs = [(a, b) for a, b in pairs if a != b]
+    assert all(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8 for a, b in pairs)
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(docs, counts=True).collect()}
+    assert got == {i: i % 2 for i in range(2 * len(pairs))}
+
+
 def test_equal_lines_keep_their_first(spark, odd, empty):
     rows = [(3, "this very line is here many times\nb"), (1, "this very line is here many times\n\nshort"), (2, "  this very line is here many times "), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
