@@ -218,6 +218,36 @@ def test_schedule_stays_within_a_block():
             share = mixing.parts({s: weights[s] for s in live}, 200) if live else {}
 
 
+def test_schedule_keeps_to_the_target_weights():
+    """Within less than a block of the weights given, over many times 1000 slots and for many sources."""
+    many = {f"s{i:03d}": 1 + i % 7 for i in range(150)}
+    for weights, n in (({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.0495, "e": 0.0005}, 60_000), (many, 20_000), ({f"q{i}": (i + 1) ** 0.5 for i in range(9)}, 30_000)):
+        total = sum(weights.values())
+        rows = mixing.schedule(dict.fromkeys(weights, n), weights, 1000)
+        at = {slot + offset + 1000 * ((b - first) // parts): k for k, first, last, parts, turn, offset, slot in rows for b in range(first + turn, last, parts) if b < n}
+        assert sorted(at) == list(range(n * len(weights)))
+        done = Counter()
+        for now in range(1, n + 1):  # no source can have run out
+            done[at[now - 1]] += 1
+            k = at[now - 1]
+            assert abs(done[k] - weights[k] / total * now) < 1
+            if now % 997 == 0:
+                assert all(abs(done[k] - w / total * now) < 1 for k, w in weights.items())
+
+
+def test_mix_keeps_many_sources_apart(spark):
+    """Over 100 sources: each has its own blocks and its own weight."""
+    docs = spark.createDataFrame([(120 * j + i, f"s{i:03d}") for i in range(120) for j in range(20)], "doc_id long, source string")
+    weights = {f"s{i:03d}": 5.0 if i == 119 else 1.0 for i in range(120)}
+    got = mixing.mixed(docs, mixing.Mix(weights=weights, block_rows=2)).collect()
+    assert sorted(r.position for r in got) == list(range(2400))
+    block = defaultdict(set)
+    for r in got:
+        block[r.slot].add(r.source)
+    assert all(len(s) == 1 for s in block.values())
+    assert sum("s119" in block[i] for i in range(124)) == 5
+
+
 def test_mix_places_every_row_once(spark, odd, empty):
     got = mixing.mixed(odd, mixing.Mix(block_rows=2, period=20)).collect()
     assert len(got) == odd.count() and len({r.position for r in got}) == len(got)
