@@ -2,6 +2,10 @@
 
 Each stage takes the documents that the one before kept. Between stages they lie as Parquet in the shared
 folder of ``spark.checkpoint.dir``, so a lost executor costs no more than its own tasks.
+
+The mixing stage decides about order alone, which Spark does not keep when it reads files: it packs them by size.
+So the last stage sorts by where the mixing stage has written a row, its part file and its place in that, and
+returns rows in the order of the mix.
 """
 
 from __future__ import annotations
@@ -9,7 +13,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heddle.llm import encoding, line_dedup, mixing, ngram_join, quality
 
@@ -37,9 +43,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).orderBy("position").select(*docs.columns)
 
 
+def as_written(docs: DataFrame) -> DataFrame:
+    """The rows of files that Spark has written, in the order in which they were written.
+
+    Part files are numbered in the order of the written partitions. Rows that come from no file stay as they are.
+    """
+    place = F.struct(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("part"), "_metadata.file_name", "_metadata.row_index")
+    try:
+        placed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_all"), place.alias("_place"))
+    except AnalysisException:
+        return docs
+    return placed.orderBy("_place").select("_all.*")
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with the result of decoding them again."""
-    return encoding.encoded(docs)
+    """Token ids, with the result of decoding them again, in the order of the mix."""
+    return encoding.encoded(as_written(docs))
 
 
 STAGES = [

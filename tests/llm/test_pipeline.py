@@ -79,6 +79,29 @@ def test_stages(spark, sf_dir, tmp_path):
     assert len(got) == len(text) and all(r.round_trip and r.token_ids == lib.encode(text[r.doc_id]) and r.n_tokens == len(r.token_ids) for r in got)
 
 
+def test_order_of_the_mix_survives_files(spark, sf_dir, tmp_path):
+    """Over several part files of different sizes, which Spark reads largest first."""
+    from heddle.llm import mixing
+
+    docs = load(spark, sf_dir, "documents")
+    rows = [(r.doc_id, "x y z " * (1 + 7 * r.doc_id % 400), r.lang, r.source) for r in docs.collect()] + [(10_000 + i, f"short {i}", "en", f"s{i % 3}") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("position").collect()]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mix_sources(spark, docs, sf_dir).write.parquet(str(tmp_path / "mix"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(list((tmp_path / "mix").glob("part-*"))) > 1
+    again = spark.read.parquet(str(tmp_path / "mix"))
+    assert [r.doc_id for r in corpus_pipeline.encode_pieces(spark, again, sf_dir).collect()] == want
+    corpus_pipeline.encode_pieces(spark, again, sf_dir).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [r.doc_id for r in corpus_pipeline.as_written(out).collect()] == want
+
+
 def test_pipeline_takes_odd_rows(spark, odd, tmp_path):  # noqa: F811
     for name, table in (("odd", odd), ("none", spark.createDataFrame([], SCHEMA))):
         table.write.parquet(str(tmp_path / name / "documents.parquet"))
