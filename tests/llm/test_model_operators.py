@@ -118,6 +118,24 @@ def test_insults_with_gaps_and_inserted_letters():
         assert score(t) < 0.5, t
 
 
+def test_wrong_labels_do_not_hide_insults():
+    """Two in a hundred toxic texts are labelled clean; the others are still caught."""
+    r = random.Random(5)
+    plain = "the and of tree house water green over lamp stone river cloud paper".split()
+    texts, y, true = [], [], []
+    for i in range(1000):
+        s = [r.choice(plain) for _ in range(30)]
+        if i % 2:
+            s[r.randrange(30)] = r.choice(["moron", "idiot", "scumbag"])
+        texts.append(" ".join(s))
+        true.append(i % 2)
+        y.append(0 if i % 100 == 7 or i % 100 == 51 else i % 2)
+    m = toxicity.fit(texts, np.array(y), np.arange(1000) % 5 == 0)
+    got = (m.scores(texts) >= 0.5).astype(int)
+    true = np.array(true)
+    assert (got[true == 1] == 1).mean() >= 0.98 and (got[true == 0] == 0).mean() >= 0.98
+
+
 def test_string_kernel_is_that_of_all_subsequences():
     from itertools import combinations
 
