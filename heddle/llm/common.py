@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,22 +19,40 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors see. Where it is unset, as in tests, one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
-    The copy outlives any executor. Where the setting is missing, as in tests, a local folder is used.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, so that the copy outlives any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_or_shuffled(side: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """A written table (see :func:`durable`), marked for broadcast if it was counted to have at most ``most_rows`` rows.
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`durable`, but as Parquet, of which later steps read only the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/heddle-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_or_shuffled(side: DataFrame, most_rows: int = 100_000, bytes_of: Column | None = None, most_bytes: int = 8_000_000) -> DataFrame:
+    """A written table (see :func:`durable`), marked for broadcast if it was counted to have at most ``most_rows`` rows,
+    or, if rows vary in width, at most ``most_bytes`` by ``bytes_of``, the width of a row.
 
-    Else Spark joins by shuffling, as it would without the count. For narrow rows only.
+    Else Spark joins by shuffling, as it would without the count.
     """
+    if bytes_of is not None:
+        return F.broadcast(side) if (side.agg(F.sum(bytes_of)).head()[0] or 0) <= most_bytes else side
     return F.broadcast(side) if side.limit(most_rows + 1).count() <= most_rows else side
 
 

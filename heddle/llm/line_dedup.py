@@ -1,39 +1,54 @@
 """Fuzzy deduplication of lines: of every group of near-equal lines in the corpus one occurrence stays.
 
-All in DataFrame functions:
-
-1. *Signatures*, at the scan. A line's signature is over all its character shingles of ``width`` characters,
-   the same ones that decide, so its estimate holds for lines of any length, script and white space. The hashes are sorted once; band ``j`` is the ``rows`` smallest hashes above the ``j``-th of ``bands``
-   fixed bounds, going round at the end. Two lines agree there with probability about ``J ** rows``, as
-   for ``rows`` independent minima: 0.995 in any of ten bands of four at a similarity of 0.8.
-2. Exact copies are folded before anything else is shuffled, with map-side combining.
+1. *Signatures*, in one scan. A line's signature is over all its character shingles of ``width`` characters, the same
+   ones that decide, so its estimate holds for lines of any length, script and white space. The hashes are sorted once;
+   band ``j`` is the ``rows`` smallest hashes above the ``j``-th of ``bands`` fixed bounds, going round at the end. Two
+   lines agree there with probability about ``J ** rows``, as for ``rows`` independent minima: 0.995 in any of ten bands
+   of four at a similarity of 0.8. Keys, places and bands are written once; all later steps read those.
+2. *Buckets*. Where one piece of the input has many lines of a band, they are known to share it and only one of them is
+   sent on under the band alone, so a band that a third of all lines have is spread like any other.
 3. *Stars*: in a bucket every line first meets one line, that with the most bucket neighbours. Of an original
    and its variants this is the original, since a variant has left some of the buckets.
-4. *Verification*: the exact Jaccard similarity of all character shingles of both lines.
+4. *Verification*: the exact Jaccard similarity of all character shingles of both lines, from their texts.
 5. *The rest*: after *union-find* by star contraction (:mod:`heddle.llm.graph`), every pair of lines in a bucket that
    are still in two components is verified as well, so components are those of all candidate pairs. Two bounds that
    no alike pair exceeds come before: on the sizes, and on the bits in which parity maps of the shingles differ.
 6. The first occurrence of a component stays.
 
+Signatures and similarities are computed over Arrow batches: in Spark's functions alone one shingle costs some 0.4 µs
+and the operator could not keep to its limits (see README); the joins, buckets and components are DataFrame operations.
+
 Defined results: null texts stay null; lines of fewer than ``least_words`` words are never touched, nor are
-empty ones; repeated rows are separate occurrences, so a second copy loses its lines; a document all of
-whose long lines go and which has no other line with a word is dropped, since its text is kept elsewhere;
-other columns are kept. The input has to be read the same way twice (a file, a table, a checkpoint).
+empty ones; repeated rows are separate occurrences, so a second copy loses its lines; of places with the same key the
+smaller row number is first; a document all of whose long lines go and which has no other line with a word is dropped,
+since its text is kept elsewhere; a line of any length is signed whole, in memory of some 60 bytes a character of the
+longest text; an empty table gives an empty one; other columns are kept, whatever their names. The input has to be
+read the same way twice (a file, a table, a checkpoint).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import durable, packed, small_or_shuffled, unpacked
+from heddle.llm.common import durable, packed, small_or_shuffled, unpacked, written
 from heddle.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]"
+SPACE = " \t\n\x0b\x0c\r"
 #: 64-bit words of a line's parity map, and about how many lines of a bucket meet its others in one salt.
 MAP_WORDS, BUCKET_RUN = 4, 500
+#: Characters, pairs and lines that are worked on at once; lines of a band in one piece that are known to share it.
+CHARS_AT_ONCE, PAIRS_AT_ONCE, LINES_AT_ONCE, KNOWN = 1 << 20, 1 << 11, 100_000, 16
+#: Bits of a shingle's hash in signatures, beside the line's number.
+HASH_BITS = 40
+PRIME = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
@@ -47,122 +62,287 @@ class Likeness:
     least_words: int = 5
 
 
-def _bounds(n: int) -> list[int]:
-    return [-(2**63) + (2**64 // n) * j for j in range(n)]
-
-
-def _with_bands(rows: DataFrame, how: Likeness) -> DataFrame:
-    """Adds ``_bands``, one hash for each band of the sorted distinct hashes in ``_s``.
-
-    The bounds are sorted among the hashes, so that a bound's place tells where its band begins. Sorted
-    array and ring are columns of their own: expressions inside one column would be computed for each band.
-    """
-    s = F.col("_s")
-    rows = rows.withColumns({"_marked": F.sort_array(F.concat(s, F.array(*[F.lit(b) for b in _bounds(how.bands)]))), "_ring": F.concat(s, F.slice(s, 1, how.rows))})
-    each = []
-    for j, bound in enumerate(_bounds(how.bands)):
-        start = (F.array_position("_marked", F.lit(bound)) - j).cast("int")
-        each.append(F.xxhash64(F.lit(j), F.slice("_ring", start, how.rows)))
-    return rows.withColumn("_bands", F.array(*each)).drop("_marked", "_ring", "_s")
-
-
-def with_shingles(rows: DataFrame, line: Column, how: Likeness, out: str) -> DataFrame:
-    """Adds the distinct hashes of a line's character shingles, at every place.
-
-    A line shorter than a shingle is its own only one.
-    """
-    rows = rows.withColumn("_found", F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{how.width}}}))"), F.lit(1)))
-    rows = rows.withColumn("_some", F.when(F.size("_found") > 0, F.col("_found")).when(line.isNotNull(), F.array(line)))
-    return rows.withColumn(out, F.array_distinct(F.transform("_some", lambda x: F.xxhash64(x)))).drop("_found", "_some")
-
-
-def occurrences(rows: DataFrame, text: str, how: Likeness) -> DataFrame:
-    """``_row, _order`` of ``rows`` with each long line's place ``_pos``, ``_line`` and 64-bit key ``_key``.
-
-    Two different lines share a key once in some 10^19 pairs.
-    """
-    lines = rows.select("_row", "_order", F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "_raw")).select("_row", "_order", "_pos", _trimmed(F.col("_raw")).alias("_line"))
-    long = lines.filter(F.col("_line").rlike(rf"^(?:{WORD}++[\x20\x09-\x0D]++){{{how.least_words - 1}}}{WORD}"))
-    return long.select("_row", "_order", "_pos", "_line", _key(F.col("_line")).alias("_key"))
-
-
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-
-
-def _key(line: Column) -> Column:
-    return F.xxhash64(line)
-
-
-def signatures(lines: DataFrame, how: Likeness) -> DataFrame:
-    """``_key`` and ``_bands`` of every line."""
-    step = with_shingles(lines, F.col("_line"), how, "_d").select("_key", F.sort_array("_d").alias("_s"))
-    return _with_bands(step, how)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def _joined(left: np.ndarray, right: np.ndarray, span: int) -> np.ndarray:
+    return left * np.uint64(pow(PRIME, span, 1 << 64)) + right
+
+
+def window_hashes(points: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``width`` code points, put together from windows of powers of two."""
+    part, span, got, done = points.astype(np.uint64) + np.uint64(1), 1, 0, None
+    while True:
+        if width & span:
+            done = part if done is None else _joined(done[: len(part) - got], part[got:], span)
+            got += span
+        if got == width:
+            return _mixed(done)
+        if len(part) <= span:
+            return np.empty(0, np.uint64)
+        part = _joined(part[:-span], part[span:], span)
+        span *= 2
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _shingles(points: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Sorted and distinct: each line's number, shifted, and ``bits`` bits of the hash of each of its shingles. A line
+    shorter than a shingle is its own only one."""
+    length = end - start
+    counts = np.maximum(length - width + 1, 0)
+    line = np.repeat(np.arange(len(start), dtype=np.uint64), counts)
+    at = np.arange(len(line)) + np.repeat(start - (np.cumsum(counts) - counts), counts)
+    down = np.uint64(64 - bits)
+    found = (line << np.uint64(bits)) | (window_hashes(points, width)[at] >> down if len(line) else line)
+    short = np.flatnonzero((counts == 0) & (length > 0))
+    if len(short):
+        whole = [window_hashes(points[start[i] : end[i]], int(length[i]))[0] >> down for i in short]
+        found = np.append(found, (short.astype(np.uint64) << np.uint64(bits)) | np.array(whole, np.uint64))
+    found.sort()
+    return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+
+
+def _lines(points: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text of many lines: the number, start and end of each that has enough words, without white space around it."""
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    first = ~space
+    full = np.flatnonzero(first)
+    first[1:] &= space[:-1]
+    words = np.flatnonzero(first)
+    breaks = np.flatnonzero(points == 10)
+    start, end = np.append(0, breaks + 1), np.append(breaks, len(points))
+    long = np.flatnonzero(np.searchsorted(words, end) - np.searchsorted(words, start) >= max(1, least_words))
+    return long, full[np.searchsorted(full, start[long])], full[np.searchsorted(full, end[long]) - 1] + 1
+
+
+def _bands(found: np.ndarray, n: int, how: Likeness) -> np.ndarray:
+    """``n`` lines' bands, each one hash, from their shingles."""
+    bits, numbers = np.uint64(HASH_BITS), np.arange(n, dtype=np.uint64)
+    begin = np.searchsorted(found, numbers << bits)
+    size = np.append(begin[1:], len(found)) - begin
+    out = np.empty((n, how.bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(how.bands):
+            bound = np.uint64((1 << HASH_BITS) * j // how.bands)
+            at = np.searchsorted(found, (numbers << bits) | bound) - begin
+            h = np.full(n, j + 1, np.uint64)
+            for r in range(how.rows):
+                h = _mixed(h * np.uint64(PRIME) + (found[begin + (at + r) % size] & np.uint64((1 << HASH_BITS) - 1)))
+            out[:, j] = h
+    return out
+
+
+def _chunks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items with about ``CHARS_AT_ONCE`` characters and at most ``most`` items."""
+    first, total = 0, 0
+    for i, n in enumerate(lengths):
+        if i > first and (total + n > CHARS_AT_ONCE or i - first >= most):
+            yield first, i
+            first, total = i, 0
+        total += n + 1
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
+def signed_lines(texts: list[str], how: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
+    """Of runs of texts: each long line's text, place in it, 128-bit key and bands."""
+    for a, b in _chunks([len(t) for t in texts], len(texts)):
+        some = texts[a:b]
+        whole = "\n".join(some)
+        points = _points(whole)
+        number, start, end = _lines(points, how.least_words)
+        if not len(number):
+            continue
+        begins = np.cumsum([0, *(t.count("\n") + 1 for t in some)])
+        text = np.searchsorted(begins, number, "right") - 1
+        bands = _bands(_shingles(points, start, end, how.width, HASH_BITS), len(number), how)
+        keys = [blake2b(whole[s:e].encode("utf-8", "surrogatepass"), digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        yield text + a, (number - begins[text]).astype(np.int32), keys, bands
+
+
+def _sign(how: Likeness, key: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, order = batch.column(0).to_numpy(), batch.column(1)
+            for text, pos, keys, bands in signed_lines(batch.column(2).to_pylist(), how):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row[text]), order.take(pa.array(text)).cast(key), pa.array(pos), pa.array(keys, pa.binary()), pa.array(np.frombuffer(b"".join(keys), np.int64)[::2]), pa.array([x.tobytes() for x in bands], pa.binary())],
+                    names=["_row", "_order", "_pos", "_key", "_k", "_bands"],
+                )
+
+    return run
+
+
+def occurrences(rows: DataFrame, how: Likeness) -> DataFrame:
+    """Written: of every long line of ``rows`` (``_row, _order, _text``) its place, 128-bit key, first half of it, and bands."""
+    kind = rows.schema["_order"].dataType.simpleString()
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    run = _sign(how, to_arrow_type(rows.schema["_order"].dataType))
+    return written(rows.filter(F.col("_text").isNotNull()).select("_row", "_order", "_text").mapInArrow(run, f"_row long, _order {kind}, _pos int, _key binary, _k long, _bands binary"))
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band rows of ``_k, _bands``. Bands that many lines of one piece have stay in a group of that piece, marked ``_piece``;
+    only their least key goes on under the band alone, as all others do."""
+
+    def sent(keys: list[np.ndarray], bands: list[np.ndarray]) -> pa.RecordBatch:
+        band = np.concatenate(bands)
+        k = np.repeat(np.concatenate(keys), band.shape[1])
+        band = band.ravel()
+        order = np.lexsort((k, band))
+        band, k = band[order], k[order]
+        new = np.append(True, (band[1:] != band[:-1]) | (k[1:] != k[:-1]))
+        band, k = band[new], k[new]
+        first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        size = np.diff(np.append(first, len(band)))
+        known = np.repeat(size > KNOWN, size)
+        # The piece's mark is made of the keys it has, so that a task that runs again makes the same.
+        mark = int(_mixed(np.array([np.bitwise_xor.reduce(k.view(np.uint64))], np.uint64))[0] >> np.uint64(1)) | 1
+        heads = first[size > KNOWN]
+        piece = np.where(known, mark, 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(band, band[heads])), pa.array(np.append(k, k[heads])), pa.array(np.append(piece, np.zeros(len(heads), np.int64)))], names=["_band", "_k", "_piece"])
+
+    keys: list[np.ndarray] = []
+    bands: list[np.ndarray] = []
+    for batch in batches:
+        if batch.num_rows:
+            raw = b"".join(batch.column(1).to_pylist())
+            keys.append(batch.column(0).to_numpy())
+            bands.append(np.frombuffer(raw, np.int64).reshape(batch.num_rows, -1))
+        if sum(map(len, keys)) >= LINES_AT_ONCE:
+            yield sent(keys, bands)
+            keys, bands = [], []
+    if keys:
+        yield sent(keys, bands)
+
+
+def buckets(found: DataFrame) -> DataFrame:
+    """``_band, _k`` of the bands that different lines share."""
+    rows = found.select("_k", "_bands").mapInArrow(_deal, "_band long, _k long, _piece long")
+    by = Window.partitionBy("_band", "_piece")
+    return rows.withColumns({"_lo": F.min("_k").over(by), "_hi": F.max("_k").over(by)}).filter("_lo < _hi").select("_band", "_k").distinct()
+
+
+LINE = f"_k long, _key binary, _line string, _size int, {', '.join(f'_m{i} long' for i in range(MAP_WORDS))}"
+
+
+def _pick(how: Likeness):
+    """The lines of ``_text`` at the places ``_at`` (``p``, ``key``, ``k``), with the number and parity map of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines, ks = [], [], []
+            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = text.split("\n")
+                lines += [parts[x["p"]].strip(SPACE) for x in places]
+                keys += [x["key"] for x in places]
+                ks += [x["k"] for x in places]
+            for a, b in _chunks([len(x) for x in lines], PAIRS_AT_ONCE):
+                some = lines[a:b]
+                points = _points("\n".join(some))
+                end = np.cumsum([len(x) + 1 for x in some]) - 1
+                found = _shingles(points, end - [len(x) for x in some], end, how.width, HASH_BITS)
+                owner = (found >> np.uint64(HASH_BITS)).astype(np.int64)
+                bit = (found & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64)
+                odd = (np.bincount(owner * 64 * MAP_WORDS + bit, minlength=len(some) * 64 * MAP_WORDS) & 1).astype(np.uint8)
+                maps = np.packbits(odd.reshape(len(some), -1), axis=1).view(np.int64)
+                cols = [pa.array(ks[a:b], pa.int64()), pa.array(keys[a:b], pa.binary()), pa.array(some), pa.array(np.bincount(owner, minlength=len(some)).astype(np.int32)), *[pa.array(np.ascontiguousarray(maps[:, i])) for i in range(MAP_WORDS)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["_k", "_key", "_line", "_size", *[f"_m{i}" for i in range(MAP_WORDS)]])
+
+    return run
+
+
+def alike(a: list[str], b: list[str], how: Likeness) -> np.ndarray:
+    """Whether each line of ``a`` and that of ``b`` beside it are similar enough, by all their shingles."""
+    out = np.zeros(len(a), bool)
+    for i, j in _chunks([len(x) + len(y) + 1 for x, y in zip(a, b, strict=True)], PAIRS_AT_ONCE):
+        both = [z for x, y in zip(a[i:j], b[i:j], strict=True) for z in (x, y)]
+        bits = 63 - len(both).bit_length()
+        lengths = np.array([len(x) for x in both])
+        end = np.cumsum(lengths + 1) - 1
+        found = _shingles(_points("\n".join(both)), end - lengths, end, how.width, bits)
+        owner = (found >> np.uint64(bits)).astype(np.int64)
+        size = np.bincount(owner, minlength=len(both))
+        met = np.sort(((found >> np.uint64(bits + 1)) << np.uint64(bits)) | (found & np.uint64((1 << bits) - 1)))
+        common = np.bincount((met[1:][met[1:] == met[:-1]] >> np.uint64(bits)).astype(np.int64), minlength=j - i)
+        out[i:j] = 100 * common >= how.percent * (size[::2] + size[1::2] - common)
+    return out
+
+
+def _verify(how: Likeness):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), how)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _alike(pairs: DataFrame, lines: DataFrame, how: Likeness) -> DataFrame:
+    """The pairs ``a, b`` of keys whose similarity is large enough."""
+    left, right = (lines.select(F.col("_key").alias(x), F.col("_line").alias(f"_l{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_la", "_lb").mapInArrow(_verify(how), "a binary, b binary")
 
 
-def _alike(pairs: DataFrame, shingled: DataFrame, how: Likeness) -> DataFrame:
-    """The pairs ``a, b`` whose similarity is large enough."""
-    left, right = (shingled.select(F.col("_key").alias(x), F.col("_s").alias(f"_s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
-    return both.filter(100 * F.col("_common") >= how.percent * (F.size("_sa") + F.size("_sb") - F.col("_common"))).select("a", "b")
+def _may_be_alike(how: Likeness) -> Column:
+    """False only for pairs that can't be alike. Every bit in which the maps differ is a shingle of one line alone. Sizes are
+    taken to be one larger, for a hash that two shingles may share."""
+    differ = sum((F.bit_count(F.col(f"_m{i}a").bitwiseXOR(F.col(f"_m{i}b"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("_m0a").bitwiseXOR(F.col("_m0b"))))
+    na, nb = F.col("_sizea") + 1, F.col("_sizeb") + 1
+    return (100 * F.least(na, nb) >= how.percent * (F.greatest(na, nb) - 1)) & ((100 + how.percent) * differ <= (100 - how.percent) * (na + nb))
 
 
-def _parity(word: int) -> Column:
-    """64 bits: of every shingle hash dealt to this word one bit is turned."""
-    turned = lambda h: F.when(F.pmod(F.shiftright(h, 6), F.lit(MAP_WORDS)) == word, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-    return F.aggregate("_s", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(turned(h)))
+def _side(members: DataFrame, x: str, *more: str) -> DataFrame:
+    return members.select(F.col("_band").alias(f"_band{x}"), F.col("_key").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("_size", *(f"_m{i}" for i in range(MAP_WORDS)), *more)])
 
 
-def _may_be_alike(how: Likeness) -> Column:
-    """False only for pairs that can't be alike. Every bit in which the maps differ is a shingle of one line alone."""
-    differ = sum((F.bit_count(F.col(f"_m{i}a").bitwiseXOR(F.col(f"_m{i}b"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("_m0a").bitwiseXOR(F.col("_m0b"))))
-    na, nb = F.col("_na"), F.col("_nb")
-    return (100 * F.least(na, nb) >= how.percent * F.greatest(na, nb)) & ((100 + how.percent) * differ <= (100 - how.percent) * (na + nb))
+def _across(members: DataFrame, label: DataFrame, how: Likeness) -> DataFrame:
+    """Pairs ``a, b`` in a bucket whose lines are in two components and may be alike. Large buckets are dealt by a salt."""
+    part = members.join(label.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_part", F.coalesce("component", "_key")).drop("component")
+    mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1"), F.count("*").alias("_n")).filter("_p0 < _p1").select("_band", F.expr(f"1 + _n div {BUCKET_RUN}").alias("_salts"))
+    full = durable(part.join(mixed, "_band"))
+    one = _side(full.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.col("_salts"))), "a", "_salt", "_part")
+    two = _side(full.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))), "b", "_salt", "_part")
+    return one.join(two, (F.col("_banda") == F.col("_bandb")) & (F.col("_salta") == F.col("_saltb")) & (F.col("_parta") < F.col("_partb")) & _may_be_alike(how)).select("a", "b").distinct()
 
 
-def _across(shared: DataFrame, label: DataFrame, shingled: DataFrame, how: Likeness) -> DataFrame:
-    """Pairs ``a, b`` in a bucket whose lines are in two components and may be alike. Large buckets are dealt by a salt."""
-    part = shared.join(label.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_part", F.coalesce("component", "_key")).drop("component")
-    mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1")).filter("_p0 < _p1").select("_band")
-    part = durable(part.join(mixed, "_band", "left_semi"))
-    maps = durable(shingled.join(part.select("_key").distinct(), "_key", "left_semi").select("_key", F.size("_s").alias("_size"), *[_parity(i).alias(f"_m{i}") for i in range(MAP_WORDS)]))
-    full = part.join(maps, "_key").withColumn("_salts", F.expr(f"1 + _n div {BUCKET_RUN}"))
-    of = lambda rows, x: rows.select(F.col("_band").alias(f"_band{x}"), F.col("_salt").alias(f"_salt{x}"), F.col("_key").alias(x), F.col("_part").alias(f"_p{x}"), F.col("_size").alias(f"_n{x}"), *[F.col(f"_m{i}").alias(f"_m{i}{x}") for i in range(MAP_WORDS)])
-    one = of(full.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.col("_salts"))), "a")
-    two = of(full.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))), "b")
-    return one.join(two, (F.col("_banda") == F.col("_bandb")) & (F.col("_salta") == F.col("_saltb")) & (F.col("_pa") < F.col("_pb")) & _may_be_alike(how)).select("a", "b").distinct()
-
-
-def near_pairs(rows: DataFrame, text: str, firsts: DataFrame, how: Likeness) -> DataFrame:
+def near_pairs(rows: DataFrame, found: DataFrame, firsts: DataFrame, how: Likeness) -> DataFrame:
     """Edges ``a, b`` between keys of different lines, with the components of all verified candidate pairs.
 
-    ``firsts`` has the place where each key is first.
+    ``found`` are the occurrences, ``firsts`` has the place where each key is first.
     """
-    signed = signatures(occurrences(rows, text, how), how).groupBy("_key").agg(F.any_value("_bands").alias("_bands"))
-    banded = signed.select("_key", F.explode("_bands").alias("_band"))
-    shared = durable(banded.withColumn("_n", F.count("*").over(Window.partitionBy("_band"))).filter("_n > 1"))
-    nodes = shared.groupBy("_key").agg(F.sum("_n").alias("_w"))
-    heads = shared.join(nodes, "_key").groupBy("_band").agg(F.max(F.struct("_w", "_key"))["_key"].alias("a"))
-    pairs = durable(shared.join(heads, "_band").filter("a <> _key").select("a", F.col("_key").alias("b")).distinct())
-    places = durable(firsts.select("_key", F.col("_first.r").alias("_row"), F.col("_first.p").alias("_pos")).join(nodes, "_key", "left_semi"))
-    lines = occurrences(rows.join(places.select("_row").distinct(), "_row", "left_semi"), text, how)
-    shingled = durable(with_shingles(lines.join(places, ["_key", "_row", "_pos"], "left_semi"), F.col("_line"), how, "_s").select("_key", "_s"))
-    label = components(_alike(pairs, shingled, how), "a", "b")
-    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_alike(_across(shared, label, shingled, how), shingled, how))
-
-
-def removals(rows: DataFrame, text: str, how: Likeness) -> DataFrame:
+    shared = durable(buckets(found))
+    places = firsts.join(shared.select("_k").distinct(), "_k", "left_semi").groupBy("_first.r").agg(F.collect_list(F.struct(F.col("_first.p").alias("p"), F.col("_key").alias("key"), F.col("_k").alias("k"))).alias("_at"))
+    places = small_or_shuffled(durable(places.withColumnRenamed("r", "_row")), bytes_of=32 * F.size("_at") + 32)
+    lines = written(rows.join(places, "_row").select("_text", "_at").mapInArrow(_pick(how), LINE))
+    members = durable(shared.join(lines.drop("_line"), "_k").drop("_k"))
+    counts = members.groupBy("_band").agg(F.count("*").alias("_n"))
+    weights = members.select("_band", "_key").join(counts, "_band").groupBy("_key").agg(F.sum("_n").alias("_w"))
+    heads = members.join(weights, "_key").groupBy("_band").agg(F.max_by(F.struct("_band", "_key", "_size", *[f"_m{i}" for i in range(MAP_WORDS)]), F.struct("_w", "_key")).alias("h")).select("h.*")
+    pairs = _side(heads, "a").join(_side(members, "b"), (F.col("_banda") == F.col("_bandb")) & (F.col("a") != F.col("b")) & _may_be_alike(how)).select("a", "b").distinct()
+    label = durable(components(_alike(pairs, lines, how), "a", "b"))
+    rest = _alike(_across(members, label, how), lines, how)
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
+
+
+def removals(rows: DataFrame, how: Likeness) -> DataFrame:
     """``_row`` and ``_gone``, the places of the lines that go, for the rows of ``rows`` that lose any."""
+    found = occurrences(rows, how)
     place = F.struct(F.col("_order").alias("o"), F.col("_row").alias("r"), F.col("_pos").alias("p"))
-    firsts = durable(occurrences(rows, text, how).select("_key", place.alias("_at")).groupBy("_key").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")))
-    group = components(near_pairs(rows, text, firsts, how), "a", "b").withColumnRenamed("node", "_key")
+    firsts = written(found.select("_key", "_k", place.alias("_at")).groupBy("_key", "_k").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")))
+    group = durable(components(near_pairs(rows, found, firsts, how), "a", "b").withColumnRenamed("node", "_key"))
     grouped = firsts.join(group, "_key")
     stays = grouped.groupBy("component").agg(F.min("_first").alias("_stays"))
-    near = grouped.join(stays, "component").select("_key", "_stays")
-    copied = firsts.filter("_n > 1").join(group, "_key", "left_anti").select("_key", F.col("_first").alias("_stays"))
-    doomed = near.unionByName(copied)
-    keys = rows.select("_row", F.transform(F.split(F.col(text), "\n"), lambda x: _key(_trimmed(x))).alias("_keys")).select("_row", F.posexplode("_keys").alias("_pos", "_key"))
-    gone = keys.join(doomed, "_key").filter(~((F.col("_row") == F.col("_stays.r")) & (F.col("_pos") == F.col("_stays.p"))))
+    near = grouped.join(stays, "component").select("_key", "_stays.r", "_stays.p")
+    copied = firsts.filter("_n > 1").join(group, "_key", "left_anti").select("_key", "_first.r", "_first.p")
+    gone = found.select("_row", "_pos", "_key").join(near.unionByName(copied), "_key").filter("_row <> r or _pos <> p")
     return gone.groupBy("_row").agg(F.collect_list("_pos").alias("_gone"))
 
 
@@ -172,7 +352,7 @@ def dedup_lines(docs: DataFrame, how: Likeness = Likeness(), *, key: str = "doc_
     With ``counts``, also ``n_lines`` and ``n_removed`` (long), and no document is dropped.
     """
     numbered = packed(docs, _order=key, _text=text).withColumn("_row", F.monotonically_increasing_id())
-    gone = small_or_shuffled(durable(removals(numbered.select("_row", "_order", "_text"), "_text", how)))
+    gone = small_or_shuffled(durable(removals(numbered.select("_row", "_order", "_text"), how)), bytes_of=4 * F.size("_gone") + 32)
     lines = F.split("_text", "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
     joined = numbered.join(gone, "_row", "left")
