@@ -10,9 +10,10 @@
 3. *Stars*: in a bucket every line first meets one line, that with the most bucket neighbours. Of an original
    and its variants this is the original, since a variant has left some of the buckets.
 4. *Verification*: the exact Jaccard similarity of all character shingles of both lines, from their texts.
-5. *The rest*: after *union-find* by star contraction (:mod:`heddle.llm.graph`), every pair of lines in a bucket that
-   are still in two components is verified as well, so components are those of all candidate pairs. Two bounds that
-   no alike pair exceeds come before: on the sizes, and on the bits in which parity maps of the shingles differ.
+5. *The rest*: after *union-find* by star contraction (:mod:`heddle.llm.graph`), every line of a bucket meets all lines of it
+   that are in other components, so components are those of all candidate pairs. Large buckets are cut into runs of lines,
+   and each two runs meet in one group, which counts common shingles as a product of incidence matrices and gives only
+   edges that join components: work grows with the square of the lines of a bucket left apart, rows and memory don't.
 6. The first occurrence of a component stays.
 
 Signatures and similarities are computed over Arrow batches: in Spark's functions alone one shingle costs some 0.4 µs
@@ -33,19 +34,23 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from heddle.llm.common import durable, packed, small_or_shuffled, unpacked, written
 from heddle.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]"
 SPACE = " \t\n\x0b\x0c\r"
-#: 64-bit words of a line's parity map, and about how many lines of a bucket meet its others in one salt.
-MAP_WORDS, BUCKET_RUN = 4, 500
 #: Characters, pairs and lines that are worked on at once; lines of a band in one piece that are known to share it.
 CHARS_AT_ONCE, PAIRS_AT_ONCE, LINES_AT_ONCE, KNOWN = 1 << 20, 1 << 11, 100_000, 16
+#: Lines and shingles of a bucket in one run; columns of a dense piece of an incidence matrix; entries of a sparse one.
+RUN_LINES, RUN_SHINGLES, COLUMNS, ENTRIES = 2_000, 1_000_000, 4_096, 4_000_000
+#: Lines of a bucket whose pairs are looked at one by one.
+SMALL = 12
 #: Bits of a shingle's hash in signatures, beside the line's number.
 HASH_BITS = 40
 PRIME = 0x9E3779B97F4A7C15
@@ -182,8 +187,6 @@ def _sign(how: Likeness, key: pa.DataType):
 def occurrences(rows: DataFrame, how: Likeness) -> DataFrame:
     """Written: of every long line of ``rows`` (``_row, _order, _text``) its place, 128-bit key, first half of it, and bands."""
     kind = rows.schema["_order"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_type
-
     run = _sign(how, to_arrow_type(rows.schema["_order"].dataType))
     return written(rows.filter(F.col("_text").isNotNull()).select("_row", "_order", "_text").mapInArrow(run, f"_row long, _order {kind}, _pos int, _key binary, _k long, _bands binary"))
 
@@ -230,11 +233,11 @@ def buckets(found: DataFrame) -> DataFrame:
     return rows.withColumns({"_lo": F.min("_k").over(by), "_hi": F.max("_k").over(by)}).filter("_lo < _hi").select("_band", "_k").distinct()
 
 
-LINE = f"_k long, _key binary, _line string, _size int, {', '.join(f'_m{i} long' for i in range(MAP_WORDS))}"
+LINE = "_k long, _key binary, _line string, _size int"
 
 
 def _pick(how: Likeness):
-    """The lines of ``_text`` at the places ``_at`` (``p``, ``key``, ``k``), with the number and parity map of their shingles."""
+    """The lines of ``_text`` at the places ``_at`` (``p``, ``key``, ``k``), with the number of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,37 +248,119 @@ def _pick(how: Likeness):
                 keys += [x["key"] for x in places]
                 ks += [x["k"] for x in places]
             for a, b in _chunks([len(x) for x in lines], PAIRS_AT_ONCE):
-                some = lines[a:b]
-                points = _points("\n".join(some))
-                end = np.cumsum([len(x) + 1 for x in some]) - 1
-                found = _shingles(points, end - [len(x) for x in some], end, how.width, HASH_BITS)
-                owner = (found >> np.uint64(HASH_BITS)).astype(np.int64)
-                bit = (found & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64)
-                odd = (np.bincount(owner * 64 * MAP_WORDS + bit, minlength=len(some) * 64 * MAP_WORDS) & 1).astype(np.uint8)
-                maps = np.packbits(odd.reshape(len(some), -1), axis=1).view(np.int64)
-                cols = [pa.array(ks[a:b], pa.int64()), pa.array(keys[a:b], pa.binary()), pa.array(some), pa.array(np.bincount(owner, minlength=len(some)).astype(np.int32)), *[pa.array(np.ascontiguousarray(maps[:, i])) for i in range(MAP_WORDS)]]
-                yield pa.RecordBatch.from_arrays(cols, names=["_k", "_key", "_line", "_size", *[f"_m{i}" for i in range(MAP_WORDS)]])
+                owner, _ = _sets(lines[a:b], how)
+                size = np.bincount(owner, minlength=b - a).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ks[a:b], pa.int64()), pa.array(keys[a:b], pa.binary()), pa.array(lines[a:b]), pa.array(size)], names=["_k", "_key", "_line", "_size"])
 
     return run
 
 
+def _sets(lines: list[str], how: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of lines: the line's number, and as many bits of the hash as there is room for."""
+    bits = 63 - len(lines).bit_length()
+    lengths = np.array([len(x) for x in lines])
+    end = np.cumsum(lengths + 1) - 1
+    found = _shingles(_points("\n".join(lines)), end - lengths, end, how.width, bits)
+    return (found >> np.uint64(bits)).astype(np.int64), found & np.uint64((1 << bits) - 1)
+
+
 def alike(a: list[str], b: list[str], how: Likeness) -> np.ndarray:
     """Whether each line of ``a`` and that of ``b`` beside it are similar enough, by all their shingles."""
     out = np.zeros(len(a), bool)
     for i, j in _chunks([len(x) + len(y) + 1 for x, y in zip(a, b, strict=True)], PAIRS_AT_ONCE):
-        both = [z for x, y in zip(a[i:j], b[i:j], strict=True) for z in (x, y)]
-        bits = 63 - len(both).bit_length()
-        lengths = np.array([len(x) for x in both])
-        end = np.cumsum(lengths + 1) - 1
-        found = _shingles(_points("\n".join(both)), end - lengths, end, how.width, bits)
-        owner = (found >> np.uint64(bits)).astype(np.int64)
-        size = np.bincount(owner, minlength=len(both))
-        met = np.sort(((found >> np.uint64(bits + 1)) << np.uint64(bits)) | (found & np.uint64((1 << bits) - 1)))
-        common = np.bincount((met[1:][met[1:] == met[:-1]] >> np.uint64(bits)).astype(np.int64), minlength=j - i)
+        owner, h = _sets([z for x, y in zip(a[i:j], b[i:j], strict=True) for z in (x, y)], how)
+        size = np.bincount(owner, minlength=2 * (j - i))
+        bits = np.uint64(63 - (2 * (j - i)).bit_length())
+        met = np.sort(((owner // 2).astype(np.uint64) << bits) | h)
+        common = np.bincount((met[1:][met[1:] == met[:-1]] >> bits).astype(np.int64), minlength=j - i)
         out[i:j] = 100 * common >= how.percent * (size[::2] + size[1::2] - common)
     return out
 
 
+def overlaps(owner: np.ndarray, column: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
+    """How many columns each of the lines ``some`` has in common with each of ``n``. Columns of many lines are multiplied as
+    dense matrices, the others' meetings are counted one by one."""
+    place = np.full(n, -1)
+    place[some] = np.arange(len(some))
+    mine = place[owner] >= 0
+    in_some, in_all = np.bincount(column[mine], minlength=column.max() + 1), np.bincount(column)
+    dense = in_some * in_all * 64 > len(some) * n
+    out = np.zeros((len(some), n), np.float32)
+    number = np.cumsum(dense) - 1
+    many = dense[column]
+    for at in range(0, int(dense.sum()), COLUMNS):
+        here = many & (number[column] >= at) & (number[column] < at + COLUMNS)
+        full = np.zeros((n, min(COLUMNS, int(dense.sum()) - at)), np.float32)
+        full[owner[here], number[column[here]] - at] = 1
+        out += full[some] @ full.T
+    order = np.flatnonzero(~many & (in_some[column] > 0) & (in_all[column] > 1))
+    order = order[np.argsort(column[order], kind="stable")]
+    begin = np.searchsorted(column[order], np.arange(len(in_all)))
+    rows = order[place[owner[order]] >= 0]
+    ends = np.cumsum(in_all[column[rows]])
+    flat = out.ravel()
+    first = 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + ENTRIES)))
+        part = rows[first:last]
+        times = in_all[column[part]]
+        at = np.arange(times.sum()) + np.repeat(begin[column[part]] - (np.cumsum(times) - times), times)
+        flat += np.bincount(np.repeat(place[owner[part]] * n, times) + owner[order[at]], minlength=len(flat)).astype(np.float32)
+        first = last
+    return out
+
+
+def _edges(part: np.ndarray, salt: np.ndarray, lines: list[str], how: Likeness) -> Iterator[tuple[int, int]]:
+    """Alike lines of different components in two runs of a bucket, or in one."""
+    some = np.flatnonzero(part != np.bincount(part).argmax())
+    owner, h = _sets(lines, how)
+    size = np.bincount(owner, minlength=len(lines))
+    common = overlaps(owner, np.unique(h, return_inverse=True)[1], some, len(lines))
+    apart = part[some, None] != part[None, :]
+    if salt.min() != salt.max():
+        apart &= salt[some, None] != salt[None, :]
+    i, j = np.nonzero(apart & (100 * common >= how.percent * (size[some, None] + size[None, :] - common)))
+    return zip(some[i].tolist(), j.tolist(), strict=True)
+
+
+def _meet(how: Likeness):
+    """Edges between lines of different components in each bucket, or two runs of one, of a lot; no more than join these
+    components. Pairs of small buckets are verified together."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_band", "_key"], ignore_index=True)
+        part, _ = pd.factorize(rows["_part"])
+        salt, line, band = rows["_salt"].to_numpy(), rows["_line"].tolist(), rows["_band"].to_numpy()
+        begin = np.flatnonzero(np.append(True, band[1:] != band[:-1])).tolist()
+        over: dict[int, int] = {}
+        edges, pairs = [], {}
+
+        def top(x: int) -> int:
+            while x in over:
+                x = over[x]
+            return x
+
+        def join(i: int, j: int) -> None:
+            x, y = top(part[i]), top(part[j])
+            if x != y:
+                over[x] = y
+                edges.append((rows["_key"][i], rows["_key"][j]))
+
+        for a, b in zip(begin, [*begin[1:], len(rows)], strict=True):
+            if b - a <= SMALL:
+                pairs |= {(rows["_key"][i], rows["_key"][j]): (i, j) for i in range(a, b) for j in range(i + 1, b) if part[i] != part[j]}
+            elif (part[a:b] != part[a]).any():
+                for i, j in _edges(np.unique(part[a:b], return_inverse=True)[1], salt[a:b], line[a:b], how):
+                    join(a + i, a + j)
+        left = [(i, j) for i, j in pairs.values() if top(part[i]) != top(part[j])]
+        for (i, j), good in zip(left, alike([line[i] for i, _ in left], [line[j] for _, j in left], how), strict=True):
+            if good:
+                join(i, j)
+        return pd.DataFrame(edges, columns=["a", "b"])
+
+    return run
+
+
 def _verify(how: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,26 +376,18 @@ def _alike(pairs: DataFrame, lines: DataFrame, how: Likeness) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_la", "_lb").mapInArrow(_verify(how), "a binary, b binary")
 
 
-def _may_be_alike(how: Likeness) -> Column:
-    """False only for pairs that can't be alike. Every bit in which the maps differ is a shingle of one line alone. Sizes are
-    taken to be one larger, for a hash that two shingles may share."""
-    differ = sum((F.bit_count(F.col(f"_m{i}a").bitwiseXOR(F.col(f"_m{i}b"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("_m0a").bitwiseXOR(F.col("_m0b"))))
-    na, nb = F.col("_sizea") + 1, F.col("_sizeb") + 1
-    return (100 * F.least(na, nb) >= how.percent * (F.greatest(na, nb) - 1)) & ((100 + how.percent) * differ <= (100 - how.percent) * (na + nb))
-
-
-def _side(members: DataFrame, x: str, *more: str) -> DataFrame:
-    return members.select(F.col("_band").alias(f"_band{x}"), F.col("_key").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("_size", *(f"_m{i}" for i in range(MAP_WORDS)), *more)])
-
-
-def _across(members: DataFrame, label: DataFrame, how: Likeness) -> DataFrame:
-    """Pairs ``a, b`` in a bucket whose lines are in two components and may be alike. Large buckets are dealt by a salt."""
+def _across(members: DataFrame, label: DataFrame, lines: DataFrame, how: Likeness) -> DataFrame:
+    """Edges ``a, b`` of alike lines in a bucket that are in two components."""
     part = members.join(label.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_part", F.coalesce("component", "_key")).drop("component")
-    mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1"), F.count("*").alias("_n")).filter("_p0 < _p1").select("_band", F.expr(f"1 + _n div {BUCKET_RUN}").alias("_salts"))
-    full = durable(part.join(mixed, "_band"))
-    one = _side(full.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.col("_salts"))), "a", "_salt", "_part")
-    two = _side(full.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))), "b", "_salt", "_part")
-    return one.join(two, (F.col("_banda") == F.col("_bandb")) & (F.col("_salta") == F.col("_saltb")) & (F.col("_parta") < F.col("_partb")) & _may_be_alike(how)).select("a", "b").distinct()
+    runs = F.expr(f"1 + greatest(count(*) div {RUN_LINES}, sum(_size) div {RUN_SHINGLES})")
+    mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1"), runs.alias("_runs")).filter("_p0 < _p1").select("_band", "_runs")
+    dealt = part.join(mixed, "_band").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.col("_runs")))
+    each = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_runs") - 1)))
+    group = [F.least("_salt", "_other").alias("_one"), F.greatest("_salt", "_other").alias("_two")]
+    lots = 1 + members.count() // RUN_LINES
+    lot = F.when(F.col("_runs") == 1, F.pmod(F.xxhash64("_band"), F.lit(lots))).otherwise(F.col("_band")).alias("_lot")
+    full = each.select(lot, "_band", "_runs", *group, "_salt", "_key", "_part").join(lines.select("_key", "_line"), "_key")
+    return full.groupBy("_lot", "_runs", "_one", "_two").applyInPandas(_meet(how), "a binary, b binary")
 
 
 def near_pairs(rows: DataFrame, found: DataFrame, firsts: DataFrame, how: Likeness) -> DataFrame:
@@ -324,12 +401,12 @@ def near_pairs(rows: DataFrame, found: DataFrame, firsts: DataFrame, how: Likene
     lines = written(rows.join(places, "_row").select("_text", "_at").mapInArrow(_pick(how), LINE))
     members = durable(shared.join(lines.drop("_line"), "_k").drop("_k"))
     counts = members.groupBy("_band").agg(F.count("*").alias("_n"))
-    weights = members.select("_band", "_key").join(counts, "_band").groupBy("_key").agg(F.sum("_n").alias("_w"))
-    heads = members.join(weights, "_key").groupBy("_band").agg(F.max_by(F.struct("_band", "_key", "_size", *[f"_m{i}" for i in range(MAP_WORDS)]), F.struct("_w", "_key")).alias("h")).select("h.*")
-    pairs = _side(heads, "a").join(_side(members, "b"), (F.col("_banda") == F.col("_bandb")) & (F.col("a") != F.col("b")) & _may_be_alike(how)).select("a", "b").distinct()
+    weights = members.join(counts, "_band").groupBy("_key").agg(F.sum("_n").alias("_w"))
+    heads = members.join(weights, "_key").groupBy("_band").agg(F.max(F.struct("_w", "_key", "_size")).alias("h")).select("_band", F.col("h._key").alias("a"), F.col("h._size").alias("_size_a"))
+    sizes = how.percent * F.greatest("_size", "_size_a") <= 100 * F.least("_size", "_size_a")
+    pairs = heads.join(members, "_band").filter((F.col("a") != F.col("_key")) & sizes).select("a", F.col("_key").alias("b")).distinct()
     label = durable(components(_alike(pairs, lines, how), "a", "b"))
-    rest = _alike(_across(members, label, how), lines, how)
-    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_across(members, label, lines, how))
 
 
 def removals(rows: DataFrame, how: Likeness) -> DataFrame:
