@@ -6,22 +6,27 @@ into a word or between its letters change the kernel little. Spans are cut at ``
 It is normalised and squared. A word's features are its kernels with the landmarks, mapped by the inverse root
 of the landmarks' own kernel matrix (Nyström). Single letters in a row are one word.
 
-The machine is trained on sentences of labelled documents, at most ``per_label`` of either label, those with the
-smallest hash of their id. Landmarks are the words whose presence tells the labels apart best, and common
-words of clean documents. A sentence is as toxic as the word in it with the highest margin, and a document as its
-worst sentence, so in each of a few rounds a toxic document is stood for by that word of that sentence, a clean
-one by its ``hardest`` and some others. Labels are taken to be noisy: from the second round on a toxic document
-counts only if its margin is above that of 95 % of the clean ones. The telling words with a letter put in or doubled
-count as toxic too. The margins of a held-back fifth, and of
+The machine is trained on sentences of labelled documents, at most ``per_label`` of either label and ``bytes_per_label``
+of their texts, in the order of a hash of the id. Landmarks are found without regard to language: the sequence of 4 to 8
+letters that tells toxic documents best from clean ones, then the one that does so in the words without it, and so
+on while one is significant, so the insults of a language count however rare the language is. To these come words around
+them, common words of clean documents, and, after a first fit, the clean words nearest to insults. A sentence is as toxic
+as the word in it with the highest margin, and a document as its worst sentence, so in each of a few rounds a toxic
+document is stood for by that word of that sentence, a clean one by its ``hardest`` and some others. Labels are taken to
+be noisy: from the second round on a toxic document whose worst word is like that of the median clean one does not count.
+The telling words with a letter put in or doubled count as toxic too. The margins of a held-back fifth, and of
 those variants, are made probabilities (logistic); one half lies where misses and weighted false alarms of that fifth cost least.
-Insults dealt over several tokens are known only as three or more bare single letters in a row.
+Single letters in a row, with or without marks, are one word; an insult in pieces of several letters divided by plain
+spaces is not put together, since neighbouring short words of clean texts would be as well.
 
 Sums of kernels are computed once for each different word that a worker meets, as one gather and add for each
 sequence of three.
 
-Defined results: a null or empty text has the score of the lowest margin, that of no word at all; a null id is never learned from and not held out; if a
-label is missing the score is the share of label 1, or 0 without labels; words over ``longest`` characters are
-scored in overlapping parts; repeated rows score alike; an empty table gives an empty result.
+Defined results: a null or empty text has the score of the lowest margin, that of no word at all; a null id is never
+learned from and not held out; an id with both labels is toxic, and of repeated ids the smallest text is learned from; a text larger than
+a twentieth of ``bytes_per_label`` is not learned from; if a label is missing the score is the share of label 1, or 0 without labels; words
+over ``longest`` characters are scored in overlapping parts, which cover them whole; repeated rows score alike; an empty
+table gives an empty result; only the columns named are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -34,10 +39,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.language import _logistic, fold
+from heddle.llm.line_dedup import window_hashes
 
 SYMBOLS = 64
 #: Tokens whose margins a worker remembers between batches, about 150 MB at most.
@@ -54,11 +60,16 @@ INNER = re.compile(r"[\W_]+")
 class Training:
     decay: float = 0.7
     reach: int = 9
-    longest: int = 24
-    telling: int = 24
-    telling_share: float = 0.5
-    common: int = 40
+    longest: int = 12
+    telling: int = 48
+    least_z: float = 5.0
+    least_documents: int = 4
+    most_clean_share: float = 0.1
+    around: int = 4
+    common: int = 30
+    nearest: int = 50
     per_label: int = 3000
+    bytes_per_label: int = 4_000_000
     hardest: int = 3
     others: int = 4
     rounds: int = 4
@@ -136,35 +147,39 @@ class Kernel:
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             k[word[first]] = np.add.reduceat(self.table[row[word, cell]] * weight[cell, None].astype(np.float32), first, axis=0)
             near = np.flatnonzero(k.any(axis=1))
-            k[near] = k[near] / np.sqrt(_self_kernel(code[near], weight))[:, None].astype(np.float32)
+            if len(near):
+                k[near] = k[near] / np.sqrt(_self_kernel(code[near], weight))[:, None].astype(np.float32)
         return k * k
 
 
 def units(text: str | None) -> list[str]:
-    """The tokens of a text in lower case; three or more single letters in a row are joined."""
+    """The tokens of a text in lower case; three or more single letters in a row are joined, whatever marks are around them."""
     if not text:
         return []
     out = text.lower().split()
-    if 1 in set(map(len, out)):
-        single = [i for i, w in enumerate(out) if len(w) == 1 and w.isalpha()]
-        if any(b - a == 2 for a, b in zip(single, single[2:], strict=False)):
-            joined: list[str] = []
-            run: list[str] = []
-            for w in [*out, "."]:
-                if len(w) == 1 and w.isalpha():
-                    run.append(w)
-                    continue
-                joined += ["".join(run)] if len(run) >= 3 else run
-                run = []
-                joined.append(w)
-            out = joined[:-1]
-    return out
+    short = [i for i, w in enumerate(out) if len(w) < 4 and (len(w) == 1 or not w.isalpha())]
+    if not any(b - a == 2 for a, b in zip(short, short[2:], strict=False)):
+        return out
+    joined: list[str] = []
+    run: list[str] = []
+    letters: list[str] = []
+    for w in [*out, "...."]:
+        bare = [c for c in w if c.isalnum()] if len(w) < 4 else []
+        if len(w) < 4 and (len(bare) == 1 and bare[0].isalpha() or run and not bare):
+            run.append(w)
+            letters += bare
+            continue
+        joined += ["".join(letters)] if len(letters) >= 3 else run
+        run, letters = [], []
+        joined.append(w)
+    return joined[:-1]
 
 
 def plain(token: str, longest: int) -> list[str]:
-    """A token's letters without what surrounds or divides them, in parts of at most ``longest``."""
+    """A token's letters without what surrounds or divides them, in overlapping parts of at most ``longest``."""
     w = token if token.isalpha() else INNER.sub("", EDGE.sub("", token).translate(LOOKS_LIKE) if any(c.isalpha() for c in token) else "")
-    return [w] if len(w) <= longest else [w[i : i + longest] for i in range(0, len(w) - longest // 2, longest // 2)]
+    step = max(1, longest // 3)
+    return [w] if len(w) <= longest else [w[i : i + longest] for i in [*range(0, len(w) - longest, step), len(w) - longest]]
 
 
 @dataclass
@@ -217,22 +232,89 @@ def _sentences(text: str, longest: int) -> list[list[str]]:
     return [s for s in out if s]
 
 
-def _landmarks(docs: list[list[list[str]]], y: np.ndarray, how: Training) -> tuple[list[str], int]:
-    """Words of at least three characters: those with the highest signed root of chi-square, then common clean ones; and how
-    many are of the first kind."""
-    pos, neg = Counter(), Counter()
-    for sentences, label in zip(docs, y.tolist(), strict=True):
-        (pos if label else neg).update({w for s in sentences for w in s if 3 <= len(w) <= how.longest})
-    a_all, b_all = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+#: Lengths of the letter sequences that may tell.
+LENGTHS = range(4, 9)
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all letter sequences of all words, one word after the other, and where each word's begin."""
+    points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(w) for w in words])
+    start = np.cumsum(size + 1) - size - 1
+    owner, found = [], []
+    for n in LENGTHS:
+        times = np.maximum(size - n + 1, 0)
+        at = np.arange(times.sum()) + np.repeat(start - (np.cumsum(times) - times), times)
+        owner.append(np.repeat(np.arange(len(words), dtype=np.int32), times))
+        found.append(window_hashes(points, n)[at] if len(at) else np.empty(0, np.uint64))
+    owner = np.concatenate(owner)
+    number = np.unique(np.concatenate(found), return_inverse=True)[1].astype(np.int32)
+    order = np.argsort(owner, kind="stable")
+    return number[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+def _unlike(texts: list[np.ndarray]) -> np.ndarray:
+    """The first text of each group of near copies, by two minima of the hashes of its neighbouring words, so that copies don't
+    count as evidence. ``texts``: the numbers of all words in order."""
+    first: dict[tuple[int, ...], int] = {}
+    for i, t in enumerate(texts):
+        pairs = window_hashes(t, min(3, len(t)))
+        first.setdefault(tuple(int((pairs * np.uint64(m)).min()) for m in (1, 0x9E3779B97F4A7C15)), i)
+    return np.array(sorted(first.values()))
+
+
+def _telling(docs: list[np.ndarray], kinds: list[str], y: np.ndarray, how: Training) -> list[str]:
+    """Letter sequences that tell toxic documents from clean ones, each without the words that the ones before are in. ``docs``: the
+    numbers of each document's different words."""
+    grams, begin = _grams(kinds)
+    clean, with_it = np.zeros(int(grams.max(initial=0)) + 1, np.int32), np.zeros(int(grams.max(initial=0)) + 1, np.int32)
+    toxic: list[np.ndarray] = []
+
+    def places(words: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([grams[begin[w] : begin[w + 1]] for w in words.tolist()])) if len(words) else np.empty(0, np.int32)
+
+    for words, label in zip(docs, y.tolist(), strict=True):
+        (with_it if label else clean)[places(words)] += 1
+        if label:
+            toxic.append(words)
+    n_toxic, n_clean = max(1, len(toxic)), max(1, len(docs) - len(toxic))
+    share = clean / n_clean
+    least = max(how.least_documents, round(0.005 * n_toxic))
+    out: list[str] = []
+    while len(out) < how.telling:
+        may = np.flatnonzero((with_it >= least) & (share <= how.most_clean_share))
+        p, q = with_it[may] / n_toxic, share[may]
+        both = (with_it[may] + clean[may]) / (n_toxic + n_clean)
+        z = (p - q) / np.sqrt(both * (1 - both) * (1 / n_toxic + 1 / n_clean) + 1e-12)
+        if not len(z) or z.max() < how.least_z:
+            break
+        # Of sequences that tell nearly alike the longest is taken.
+        strength = dict(zip(may[z >= 0.98 * z.max()].tolist(), z[z >= 0.98 * z.max()].tolist(), strict=True))
+        near = np.array(list(strength))
+        names: dict[int, str] = {}
+        for i in np.flatnonzero(np.isin(grams, near)).tolist():
+            if int(grams[i]) not in names:
+                w = int(np.searchsorted(begin, i, "right")) - 1
+                names[int(grams[i])] = _gram(kinds[w], i - int(begin[w]))
+        best = max(strength, key=lambda g: (len(names[g]), strength[g], names[g]))
+        out.append(names[best])
+        told = np.zeros(len(kinds), bool)
+        told[np.searchsorted(begin, np.flatnonzero(grams == best), "right") - 1] = True
+        for i, words in enumerate(toxic):
+            gone = told[words]
+            if gone.any():
+                with_it[places(words)] -= 1
+                toxic[i] = words[~gone]
+                with_it[places(toxic[i])] += 1
+    return out
+
 
-    def strength(w: str) -> float:
-        a, b = pos[w] / a_all, neg[w] / b_all
-        both = (pos[w] + neg[w]) / (a_all + b_all)
-        return (a - b) / np.sqrt(both * (1 - both) * (1 / a_all + 1 / b_all) + 1e-12)
-    ranked = sorted(((strength(w), w) for w in pos if pos[w] >= 3), key=lambda x: (-x[0], x[1]))[: how.telling]
-    telling = [w for z, w in ranked if z >= how.telling_share * ranked[0][0]]
-    common = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if w not in telling][: how.common]
-    return telling + common, len(telling)
+def _gram(word: str, place: int) -> str:
+    for n in LENGTHS:
+        if place < max(0, len(word) - n + 1):
+            return word[place : place + n]
+        place -= max(0, len(word) - n + 1)
+    raise IndexError(place)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -269,32 +351,16 @@ def _cut(margins: np.ndarray, y: np.ndarray, alarm_weight: float) -> float:
     return float(m[at] + m[at + 1]) / 2
 
 
-def fit(texts: list[str], y: np.ndarray, held: np.ndarray, how: Training = Training()) -> Detector:
-    """A detector from labelled texts; those ``held`` only calibrate it."""
-    if not len(y) or y.min() == y.max():
-        return Detector(None, np.zeros(0), 0.0, 0.0, 0.0, how, float(y.mean()) if len(y) else 0.0)
-    docs = [_sentences(t, how.longest) for t in texts]
-    learn = [i for i in range(len(y)) if not held[i] and docs[i]]
-    if len({int(y[i]) for i in learn}) < 2:
-        return Detector(None, np.zeros(0), 0.0, 0.0, 0.0, how, float(y.mean()))
-    landmarks, telling = _landmarks([docs[i] for i in learn], y[learn], how)
-    if not landmarks:
-        return Detector(None, np.zeros(0), 0.0, 0.0, 0.0, how, float(y.mean()))
-    kernel = Kernel(landmarks, how)
-    own, vectors = np.linalg.eigh(kernel(landmarks).astype(float))
+def _rounds(words: list[list[np.ndarray]], labels: np.ndarray, kernel: Kernel, k: np.ndarray, margin: np.ndarray, variants: list[str], how: Training) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Weights, bias, the root that maps kernels, and the margin of each word, whose kernels are ``k``."""
+    own, vectors = np.linalg.eigh(kernel(kernel.landmarks).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(own, 1e-3))) @ vectors.T
-    kinds: dict[str, int] = {}
-    words = [[np.array([kinds.setdefault(w, len(kinds)) for w in s]) for s in docs[i]] for i in learn]
-    k = kernel(list(kinds))
     mapped = (k.astype(float) @ root).astype(np.float32)
-    margin = k[:, :telling].max(axis=1) if telling else np.zeros(len(k))
-    # The telling words with a letter put in or doubled are toxic as well.
-    variants = sorted({w[:i] + c + w[i:] for w in landmarks[:telling] for i in range(1, len(w)) for c in ("x", w[i])} - kinds.keys())
-    bent = list(range(len(kinds), len(kinds) + len(variants)))
-    mapped = np.vstack([mapped, (kernel(variants).astype(float) @ root).astype(np.float32)]) if variants else mapped
+    bent = list(range(len(mapped), len(mapped) + len(variants)))
+    if variants:
+        mapped = np.vstack([mapped, (kernel(variants).astype(float) @ root).astype(np.float32)])
     rng = np.random.default_rng(7)
-    labels = y[learn]
-    beta, bias = np.zeros(len(landmarks)), 0.0
+    beta, bias = np.zeros(mapped.shape[1]), 0.0
     for r in range(how.rounds):
         # Of each sentence the word with the highest margin; of each document its sentences from the worst down.
         ranked = []
@@ -302,7 +368,7 @@ def fit(texts: list[str], y: np.ndarray, held: np.ndarray, how: Training = Train
             tops = np.array([s[np.argmax(margin[s])] for s in sentences])
             ranked.append(tops[np.argsort(-margin[tops], kind="stable")])
         worst = np.array([margin[t[0]] for t in ranked])
-        above = np.quantile(worst[labels == 0], 0.95)
+        above = np.quantile(worst[labels == 0], 0.5)
         rows, target = [], []
         for t, w, label in zip(ranked, worst, labels, strict=True):
             if label:
@@ -315,10 +381,49 @@ def fit(texts: list[str], y: np.ndarray, held: np.ndarray, how: Training = Train
                 target += [0] * len(chosen)
         if not sum(target):
             break
-        rows += bent
-        target += [1] * len(bent)
-        beta, bias = _svm(mapped[rows].astype(float), np.array(target, dtype=float), how.penalty)
-        margin = mapped @ beta
+        beta, bias = _svm(mapped[rows + bent].astype(float), np.array(target + [1] * len(bent), dtype=float), how.penalty)
+        margin = (mapped @ beta)[: len(k)]
+    return beta, bias, root, margin
+
+
+def fit(texts: list[str], y: np.ndarray, held: np.ndarray, how: Training = Training()) -> Detector:
+    """A detector from labelled texts; those ``held`` only calibrate it."""
+    if not len(y) or y.min() == y.max():
+        return Detector(None, np.zeros(0), 0.0, 0.0, 0.0, how, float(y.mean()) if len(y) else 0.0)
+    docs = [_sentences(t, how.longest) for t in texts]
+    learn = [i for i in range(len(y)) if not held[i] and docs[i]]
+    if len({int(y[i]) for i in learn}) < 2:
+        return Detector(None, np.zeros(0), 0.0, 0.0, 0.0, how, float(y.mean()))
+    kinds: dict[str, int] = {}
+    words = [[np.array([kinds.setdefault(w, len(kinds)) for w in s]) for s in docs[i]] for i in learn]
+    names, labels = list(kinds), y[learn]
+    different = [np.unique(np.concatenate(s)) for s in words]
+    unlike = _unlike([np.concatenate(s) for s in words])
+    telling = _telling([different[i] for i in unlike], names, labels[unlike], how)
+    if not telling:
+        return Detector(None, np.zeros(0), 0.0, 0.0, 0.0, how, float(y.mean()))
+    often = [np.bincount(np.concatenate([d for d, label in zip(different, labels, strict=True) if label == k]), minlength=len(names)) for k in (0, 1)]
+    around = [w for t in telling for w in sorted((w for w in names if t in w and w != t), key=lambda w: (-often[1][kinds[w]], w))[: how.around]]
+    common = [names[i] for i in np.argsort(-often[0], kind="stable") if len(names[i]) > 2][: how.common]
+    landmarks = list(dict.fromkeys([*telling, *around, *common]))
+    # The telling words with a letter put in or doubled are toxic as well.
+    variants = sorted({w[:i] + c + w[i:] for w in telling for i in range(1, len(w)) for c in ("x", w[i])} - kinds.keys())
+    kernel = Kernel(landmarks, how)
+    k = kernel(names)
+    margin = k[:, : len(telling)].max(axis=1)
+    for last in (False, True):
+        beta, bias, root, margin = _rounds(words, labels, kernel, k, margin, variants, how)
+        if not last:
+            # The clean words nearest to insults become landmarks, and only words near the cut are looked at from here on.
+            told = np.array([any(t in w for t in telling) for w in names])
+            near = [names[i] for i in np.argsort(-np.where((often[0] > 0) & ~told, margin, -np.inf), kind="stable")[: how.nearest] if len(names[i]) > 2]
+            kernel = Kernel(list(dict.fromkeys([*landmarks, *near])), how)
+            words = [[s[np.argsort(-margin[s], kind="stable")[:6]] for s in d] for d in words]
+            some = np.unique(np.concatenate([s for d in words for s in d]))
+            place = np.full(len(names), -1)
+            place[some] = np.arange(len(some))
+            words = [[place[s] for s in d] for d in words]
+            k, margin = kernel([names[i] for i in some]), margin[some]
     out = Detector(kernel, (root @ beta).astype(np.float32), bias, 1.0, 0.0, how)
     check = np.flatnonzero(held) if held.any() and len(set(y[held].tolist())) == 2 else np.arange(len(y))
     x, marks = out.margins([texts[i] for i in check]), y[check].astype(float)
@@ -333,11 +438,20 @@ def fit(texts: list[str], y: np.ndarray, held: np.ndarray, how: Training = Train
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Detector:
     """A detector from the documents that have a label."""
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y")).withColumn("rank", F.xxhash64("key", F.lit(3)))
-    place = F.row_number().over(Window.partitionBy("y").orderBy("rank", "key"))
-    chosen = marks.withColumn("place", place).filter(F.col("place") <= how.per_label).select("key", "y", (F.col("place") % how.held_out_of == 0).alias("held"))
+    # About a quarter more than are wanted, by a bound on the hash, so that no task ranks all rows of a label.
+    bound = F.lit(1 << 30)
+    for r in marks.groupBy("y").count().collect():
+        bound = F.when(F.col("y") == r["y"], F.lit(int(min(1.0, (1.25 * how.per_label + 100) / r["count"]) * (1 << 30)))).otherwise(bound)
+    chosen = marks.filter(F.pmod("rank", F.lit(1 << 30)) < bound)
     found = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    got = found.groupBy("key").agg(F.min("text").alias("text"), F.max("y").alias("y"), F.max("held").alias("held")).toPandas().sort_values("key", ignore_index=True)
-    return fit(got["text"].tolist(), got["y"].to_numpy(np.int64), got["held"].to_numpy(bool), how)
+    sizes = found.groupBy("key", "y", "rank").agg(F.min(F.octet_length("text")).alias("size")).toPandas().sort_values(["rank", "key"], ignore_index=True)
+    sizes = sizes[sizes["size"] <= how.bytes_per_label // 20]
+    sizes["place"] = sizes.groupby("y").cumcount()
+    sizes = sizes[(sizes["place"] < how.per_label) & (sizes.groupby("y")["size"].cumsum() <= how.bytes_per_label)]
+    held = sizes.set_index("key")["place"] % how.held_out_of == how.held_out_of - 1
+    few = docs.sparkSession.createDataFrame(pd.DataFrame({"key": sizes["key"]}), f"key {docs.schema[key].dataType.simpleString()}")
+    got = found.join(F.broadcast(few), "key", "left_semi").groupBy("key", "y").agg(F.min("text").alias("text")).toPandas().sort_values("key", ignore_index=True)
+    return fit(got["text"].tolist(), got["y"].to_numpy(np.int64), held.reindex(got["key"]).to_numpy(bool), how)
 
 
 def _score(model: Detector):

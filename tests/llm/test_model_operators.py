@@ -136,6 +136,38 @@ def test_wrong_labels_do_not_hide_insults():
     assert (got[true == 1] == 1).mean() >= 0.98 and (got[true == 0] == 0).mean() >= 0.98
 
 
+def test_insults_of_rare_languages_are_caught():
+    """One document in twenty is in a language whose insults are words with a stem of its own; copies of one clean text labelled
+    toxic don't become a stem. Held-out recall is asserted for each language."""
+    r = random.Random(11)
+    parts = {"a": "the and of to in tion er st wh on le ar".split(), "b": "ka ro mu ti ven del sor pa lun geb".split(), "c": "ösch äu tze lich kei ung ver zu ein ber".split()}
+    stem = {"a": ["moron", "scum"], "b": ["grolv"], "c": ["büwei"]}
+    rows = []
+    for i in range(3000):
+        lang = "b" if i % 13 == 3 else "c" if i % 13 == 11 else "a"
+        toxic = r.random() < 0.3
+        words = ["".join(r.choice(parts[lang]) for _ in range(r.randint(1, 3))) for _ in range(40)]
+        if toxic:
+            words[r.randrange(40)] = r.choice(stem[lang]) + ("" if lang == "a" else r.choice(parts[lang]) * r.randint(0, 1))
+        rows.append((lang, " ".join(words), int(toxic)))
+    rows += [("copy", rows[0][1] + f" {i} own", 1) for i in range(30) if not rows[0][2]]
+    learn, test = [x for i, x in enumerate(rows) if i % 5], [x for i, x in enumerate(rows) if not i % 5]
+    m = toxicity.fit([t for _, t, _ in learn], np.array([y for _, _, y in learn]), np.arange(len(learn)) % 5 == 0)
+    got = m.scores([t for _, t, _ in test])
+    for lang in "abc":
+        hit = [s >= 0.5 for s, (x, _, y) in zip(got, test, strict=True) if x == lang and y]
+        false = [s >= 0.5 for s, (x, _, y) in zip(got, test, strict=True) if x == lang and not y]
+        assert len(hit) > 3 and np.mean(hit) >= (0.95 if lang == "a" else 0.65) and np.mean(false) <= 0.02, (lang, np.mean(hit), np.mean(false))
+
+
+def test_single_letters_with_marks_are_one_word():
+    assert toxicity.units("so i. d. i. o. t. it is") == ["so", "idiot", "it", "is"]
+    assert toxicity.units("an i - d - i - o - t") == ["an", "idiot"]
+    assert toxicity.units("a b is as it was - and") == ["a", "b", "is", "as", "it", "was", "-", "and"]
+    long = "schadenfreudeidiotenverein"
+    assert "idiot" in "".join(toxicity.plain(long, 12)) and set("".join(toxicity.plain(long, 12))) == set(long)
+
+
 def test_string_kernel_is_that_of_all_subsequences():
     from itertools import combinations
 
