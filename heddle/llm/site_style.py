@@ -9,18 +9,22 @@ elements have, and which contents. Two importances follow, both between 0 and 1:
 * *content*, of nodes with text: one less the mean entropy of each text over the pages that show it; text
   repeated on all pages counts 0, text of one page 1.
 
-A branch's importance composes its own and its children's, weighted by ``gamma`` to the number of sequences. Branches
-below ``least`` are removed from every page of the host, unless they are part of an article. With one page a node's
-importance is 1. On top of the entropies stand names: elements that are by tag, class, id or role a menu, header,
-footer, sidebar, notice, advert, form, script, style or reader comments have importance 0, and if a page has an
-article or main element, so has all outside of it.
+A branch's importance composes its own and its children's, these by the pages that show them, weighted by ``gamma`` to the
+number of sequences. A branch in which no node reaches ``least`` is removed from every page of the host, and so is a text that by itself
+is below it among the pages with its node, inside of articles as well as outside. On a page that would lose over half
+of its text to that, which is a copy of other pages rather than a frame around a story, nothing is removed. With one page a node's importance is 1.
+
+Names are a prior: elements that are by tag or role a menu, header, footer, sidebar, advert, form, script or style never
+count; class and id names of that kind, or of notices and reader comments, count for blocks, but not for what encloses the
+page's article, not for words inside a paragraph, and not if nothing else were left. If a page has an article or main
+element, what is outside of it is left out, unless it is over three times as long.
 
 What a host's tree holds grows with its different paths, not with its pages: texts and sequences are counted by
-Spark before a host's tree is put together.
+Spark before a host's tree is put together, in one task a host.
 
 Defined results: a null or empty page, or one without a body text, gives an empty string; a page without a host
-is merged with others of that kind; pages cut off in the middle of a tag or element are read up to there; repeated
-rows count as pages of the host; an empty table gives an empty result.
+is merged with others of that kind; pages cut off in the middle of a tag or element are read up to there; a page of any length
+is read whole; repeated rows count as pages of the host; an empty table gives an empty result; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -54,6 +58,8 @@ NOISE_NAMES = frozenset(
     "overlay pager pagination paywall popup promo promos promotion recommended related reply replies respond share sharing sidebar sidebars signup skip skyscraper social sponsor "
     "sponsored sponsors subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: Elements whose inline elements are words of a text (fixed values).
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote figcaption pre".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "title"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
@@ -64,40 +70,41 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Style:
     gamma: float = 0.9
     least: float = 0.2
-    least_pages: int = 4
     broadcast_bytes: int = 8_000_000
 
 
 @lru_cache(maxsize=20_000)
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's name in paths, whether it is noise by name, and whether it is main content."""
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """An element's name in paths, whether it is noise by tag or role, whether by its names, and whether it is main content."""
     got = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     names = f"{got.get('class', '')} {got.get('id', '')}".strip()
     role = got.get("role", "").lower()
     label = tag + ("." + re.sub(r"\d+", "", " ".join(sorted(names.split()))) if names else "")
-    noise = tag in NOISE_TAGS or role in NOISE_ROLES or (bool(names) and not NOISE_NAMES.isdisjoint(x.lower() for x in NAME_PART.findall(names)))
+    parts = {x.lower() for x in NAME_PART.findall(names)}
+    noise = tag in NOISE_TAGS or role in NOISE_ROLES
+    named = not NOISE_NAMES.isdisjoint(parts)
     if tag in ("body", "html", "article", "main"):
         # A page may carry its layout's name ("has-sidebar"); comments are often articles.
-        noise = role in NOISE_ROLES or tag == "article" and any(x.lower() in ("comment", "comments", "reply", "replies") for x in NAME_PART.findall(names))
-    return label, noise, (tag in ("article", "main") or role in ("main", "article")) and not noise
+        noise, named = role in NOISE_ROLES, tag == "article" and not parts.isdisjoint(("comment", "comments", "reply", "replies"))
+    return label, noise, named, (tag in ("article", "main") or role in ("main", "article")) and not noise and not named
 
 
 @dataclass
 class Page:
-    """``blocks``: path, text, whether noise by name, whether in an article. ``nodes``: path and its children's labels."""
+    """``blocks``: path, text, whether noise by tag, whether by name, whether in an article. ``nodes``: path and its children's labels."""
 
-    blocks: list[tuple[str, str, bool, bool]]
+    blocks: list[tuple[str, str, bool, bool, bool]]
     nodes: list[tuple[str, tuple[str, ...]]]
     has_main: bool
 
 
 def read(page: str | None) -> Page:
     """The blocks and nodes of a page, in page order."""
-    blocks: list[tuple[str, str, bool, bool]] = []
+    blocks: list[tuple[str, str, bool, bool, bool]] = []
     nodes: list[tuple[str, tuple[str, ...]]] = []
     has_main = False
-    # Open elements: tag, path, noise, main, children. Inline elements are open too if they are noise.
-    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+    # Open elements: tag, path, noise by tag, by name, main, children.
+    stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
     text: list[str] = []
     page = page or ""
 
@@ -108,12 +115,12 @@ def read(page: str | None) -> Page:
             words = (references.unescape(joined) if "&" in joined else joined).split()
             if words:
                 top = stack[-1]
-                blocks.append((top[1], " ".join(words), top[2], top[3]))
+                blocks.append((top[1], " ".join(words), top[2], top[3], top[4]))
 
     def close(down_to: int) -> None:
         flush()
         while len(stack) > down_to:
-            tag, path, _, _, children = stack.pop()
+            tag, path, _, _, _, children = stack.pop()
             nodes.append((path, tuple(children)))
 
     at = 0
@@ -148,8 +155,8 @@ def read(page: str | None) -> Page:
                 if tag in RAW:
                     at = _after_raw(page, at, tag)
                 continue
-            # An inline element with a telling name counts as a block of its own.
-            if not _kind(tag, m[3])[1]:
+            # An inline element with a telling name counts as a block of its own, unless it is among the words of a paragraph.
+            if not any(_kind(tag, m[3])[1:3]) or any(x[0] in RUNNING for x in stack):
                 continue
         flush()
         if tag in CLOSES_P:
@@ -164,9 +171,9 @@ def read(page: str | None) -> Page:
                 close(i)
             elif stack[i][0] in SCOPES[tag]:
                 break
-        label, noise, main = _kind(tag, m[3])
+        label, noise, named, main = _kind(tag, m[3])
         above = stack[-1]
-        above[4].append(label)
+        above[5].append(label)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
         has_main = has_main or main and not above[2]
@@ -182,16 +189,26 @@ def read(page: str | None) -> Page:
                     break
             path = f"{stack[-1][1]}/{label}"
             above = stack[-1]
-        stack.append((tag, path, above[2] or noise, (above[3] or main) and not noise, []))
+        main = main and not above[2]
+        stack.append((tag, path, above[2] or noise, (above[3] or named) and not main, (above[4] or main) and not noise and not named, []))
         if tag not in BLOCKS and tag not in NOISE_TAGS:
-            # Inline noise ends with its own closing tag, found by name at once.
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            # Inline noise ends with its own closing tag.
             close(len(stack) - 1)
-            at = shut.end() if shut else at
+            at = _after_inline(page, at, tag)
     close(1)
     return Page(blocks, nodes, has_main)
 
 
+def _after_inline(page: str, at: int, tag: str) -> int:
+    """Behind the closing tag of an element that begins before ``at``; ``at`` itself if it is never closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
+
+
 def _after_raw(page: str, at: int, tag: str) -> int:
     m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
     return m.end() if m else len(page)
@@ -230,8 +247,8 @@ def _tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def importances(tree: pd.DataFrame, how: Style = Style()) -> pd.DataFrame:
-    """Paths of one host with their importance. ``tree``: ``path, parent, pages, shapes, shape_entropy, texts, text_entropy``,
-    where the entropies are in nats and that of texts is summed over the different texts."""
+    """Paths of one host with their importance, and the highest of the branch. ``tree``: ``path, parent, pages, shapes, shape_entropy, texts,
+    text_entropy``, where the entropies are in nats and that of texts is summed over the different texts."""
     own, below = {}, {}
     rows = tree.set_index("path")
     for path, r in rows.iterrows():
@@ -241,21 +258,25 @@ def importances(tree: pd.DataFrame, how: Style = Style()) -> pd.DataFrame:
         own[path] = (shape, content if r["texts"] else None)
         below.setdefault(r["parent"], []).append(path)
     out: dict[str, float] = {}
+    best: dict[str, float] = {}
     for path in sorted(rows.index, key=lambda p: -p.count("/")):
         shape, content = own[path]
         weight = how.gamma ** max(1.0, rows.at[path, "shapes"])
-        parts = [out[c] for c in below.get(path, ()) if c in out]
-        inner = parts + ([content] if content is not None else [])
-        out[path] = (1 - weight) * shape + weight * (sum(inner) / len(inner)) if inner else (content if content is not None else shape)
-        if parts:
-            # A branch is worth keeping if any part of it is.
-            out[path] = max(out[path], *parts)
-    return pd.DataFrame({"path": list(out), "importance": list(out.values())})
-
-
-def style_tree(pages: DataFrame, how: Style = Style()) -> DataFrame:
-    """``host, path, importance`` of every node of every host, from the columns ``host`` and ``html``."""
-    counted = pages.mapInPandas(_tree_rows, COUNTS).groupBy("host", "path", "parent", "kind", "feature").agg(F.sum("n").alias("n"))
+        inner = [(out[c], rows.at[c, "pages"]) for c in below.get(path, ()) if c in out]
+        if content is not None:
+            inner.append((content, rows.at[path, "pages"]))
+        out[path] = (1 - weight) * shape + weight * sum(x * n for x, n in inner) / sum(n for _, n in inner) if inner else shape
+        best[path] = max(out[path] if below.get(path) or content is None else content, *(best[c] for c in below.get(path, ()) if c in best), 0.0)
+    return pd.DataFrame({"path": list(out), "importance": list(out.values()), "highest": list(best.values())})
+
+
+def counts(pages: DataFrame) -> DataFrame:
+    """How often each node, sequence of children and text occurs, by host, from the columns ``host`` and ``html``."""
+    return pages.mapInPandas(_tree_rows, COUNTS).groupBy("host", "path", "parent", "kind", "feature").agg(F.sum("n").alias("n"))
+
+
+def style_tree(counted: DataFrame, how: Style = Style()) -> DataFrame:
+    """``host, path, importance, highest`` of every node of every host."""
     n = F.col("n").cast("double")
     # For texts each page that shows one counts once: the entropy over those pages is the logarithm of their number.
     sums = counted.groupBy("host", "path", "parent").agg(
@@ -269,28 +290,53 @@ def style_tree(pages: DataFrame, how: Style = Style()) -> DataFrame:
 
     def one_host(pdf: pd.DataFrame) -> pd.DataFrame:
         got = importances(pdf, how)
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "path": got["path"], "pages": got["path"].map(pdf.set_index("path")["pages"]).astype(np.int64), "importance": got["importance"]})
+        return pd.DataFrame({"host": pdf["host"].iloc[0], "path": got["path"], "importance": got["importance"], "highest": got["highest"]})
 
-    return nodes.groupBy("host").applyInPandas(one_host, "host string, path string, pages long, importance double")
+    return nodes.groupBy("host").applyInPandas(one_host, "host string, path string, importance double, highest double")
 
 
-def main_text(page: Page, removed: set[str]) -> str:
-    """The text of the blocks that neither their names nor the host's tree remove."""
-    kept = []
-    for path, text, noise, inside in page.blocks:
-        if noise or page.has_main and not inside:
-            continue
-        if not inside and removed and any(path == r or path.startswith(r + "/") for r in removed):
-            continue
-        kept.append(text)
-    return " ".join(kept)
+def repeated(counted: DataFrame, how: Style = Style()) -> DataFrame:
+    """``host, path`` of the texts below ``least``, the text's hash behind the path: those on nearly all pages with their node."""
+    pages = counted.filter("kind = 'page' and n > 1").select("host", "path", F.col("n").alias("pages"))
+    low = counted.filter("kind = 'text' and n > 1").join(pages, ["host", "path"]).filter(1 - F.log("n") / F.log("pages") < how.least)
+    return low.select("host", F.concat_ws("\x01", "path", F.col("feature").cast("string")).alias("path"))
+
+
+def main_text(page: Page, removed: set[str], hashes: list[int] | None = None) -> str:
+    """The text of the blocks that neither their names nor the host's tree remove. ``hashes``: of the blocks' texts."""
+    left = [i for i, b in enumerate(page.blocks) if not b[2] and not b[3]] or [i for i, b in enumerate(page.blocks) if not b[2]]
+    size = lambda some: sum(len(page.blocks[i][1]) for i in some)
+
+    def stays(i: int) -> bool:
+        path = page.blocks[i][0]
+        if hashes is not None and f"{path}\x01{hashes[i]}" in removed:
+            return False
+        return not any(path == r or path.startswith(r + "/") for r in removed)
+
+    def cleaned(some: list[int]) -> list[int]:
+        kept = [i for i in some if stays(i)] if removed else some
+        return kept if 2 * size(kept) >= size(some) else some
+
+    if page.has_main:
+        inside = cleaned([i for i in left if page.blocks[i][4]])
+        outside = [i for i in left if not page.blocks[i][4] and (not removed or stays(i))]
+        left = inside if 3 * size(inside) >= size(outside) else sorted(inside + outside)
+    else:
+        left = cleaned(left)
+    return " ".join(page.blocks[i][1] for i in left)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in batches:
         for at in range(0, len(whole), 500):
             pdf = whole.iloc[at : at + 500]
-            text = [main_text(read(h), set() if r is None else set(r)) for h, r in zip(pdf["html"], pdf["removed"], strict=True)]
+            got = [read(h) for h in pdf["html"]]
+            hashes = _hash([b[1] for page in got for b in page.blocks]).tolist()
+            text, first = [], 0
+            for page, r in zip(got, pdf["removed"], strict=True):
+                last = first + len(page.blocks)
+                text.append(main_text(page, set() if r is None else set(r), hashes[first:last]))
+                first = last
             yield pd.DataFrame({"_key": pdf["_key"], "_url": pdf["_url"], "text": text, "n_chars": [len(t) for t in text]})
 
 
@@ -298,10 +344,10 @@ def extract(pages: DataFrame, how: Style = Style(), *, key: str = "page_id", url
     """For every row: the key, the url, ``text`` and ``n_chars``."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host.alias("host"), F.col(html).alias("html"))
-    tree = style_tree(rows.select("host", "html"), how)
-    low = durable(tree.filter((F.col("importance") < how.least) & (F.col("pages") >= how.least_pages)).groupBy("host").agg(F.collect_list("path").alias("removed")))
-    if (low.agg(F.sum(F.octet_length(F.concat_ws("", "removed")))).head()[0] or 0) <= how.broadcast_bytes:
-        low = small_or_shuffled(low)
+    counted = durable(counts(rows.select("host", "html")))
+    tree = style_tree(counted, how).filter(F.col("highest") < how.least).select("host", "path")
+    low = durable(tree.unionByName(repeated(counted, how)).groupBy("host").agg(F.collect_list("path").alias("removed")))
+    low = small_or_shuffled(low, bytes_of=F.octet_length(F.concat_ws("", "removed")) + 16 * F.size("removed"), most_bytes=how.broadcast_bytes)
     kinds = [pages.schema[c].dataType.simpleString() for c in (key, url)]
     out = rows.join(low, "host", "left").select("_key", "_url", "html", "removed").mapInPandas(_extract, f"_key {kinds[0]}, _url {kinds[1]}, text string, n_chars long")
     return out.withColumnsRenamed({"_key": key, "_url": url})

@@ -252,6 +252,30 @@ def test_main_text():
     assert read("<div>open <!-- never closed") == "open"
 
 
+def test_names_are_a_prior_only():
+    read = lambda h: site_style.main_text(site_style.read(h), set())
+    assert read('<body><div class="layout has-sidebar"><article><p>The story</p></article></div>') == "The story"
+    assert read('<body><div class="elementor-widget-container"><p>The story</p></div>') == "The story"
+    assert read('<body><p>A story on <span class="social">social</span> policy</p>') == "A story on social policy"
+    assert read('<body><div>Text <span class="ad"><span>x</span>promo words</span> more</div>') == "Text more"
+    assert read("<body><article class=card><p>Teaser</p></article><div class=c><p>" + "The main text is here. " * 9 + "</p></div>").startswith("Teaser The main text")
+
+
+def test_tree_decides_inside_articles(spark):
+    """A notice without a telling name on all pages of a host goes, though it is in the article; without the tree it stays."""
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Story number {i} of the day with words of its own.</p><p>Read our terms here.</p><div class=x><p>Tell a friend</p></div></article></body>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(50 + i, "http://copies.example/", page(3)) for i in range(5)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_style.extract(pages).collect()}
+    assert all(got[i] == f"Title {i} Story number {i} of the day with words of its own." for i in range(12))
+    assert "terms" in site_style.main_text(site_style.read(page(2)), set())
+    assert all(got[50 + i] == site_style.main_text(site_style.read(page(3)), set()) for i in range(5))
+
+
+def test_long_pages_are_read_whole():
+    words = " ".join(f"w{i}" for i in range(200_000))
+    assert site_style.main_text(site_style.read(f"<body><article><p>{words}</p></article>"), set()) == words
+
+
 def test_tree_removes_what_a_host_repeats(spark):
     page = lambda i: f"<body><div class=top><p>Menu home about us</p></div><div class=text><p>story {i} of the day</p><p>more about {i * 7}</p></div><div class=end><p>All rights</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)] + [(100, "http://other.example/", page(3)), (101, None, None), (102, "x", "")]
