@@ -28,8 +28,9 @@ LEADING_BITS = 6
 
 @dataclass(frozen=True)
 class Rules:
-    """``fences``: for each figure how many interquartile ranges, and at least how much, a document may lie
-    beyond the outer quartiles of its group, below (None: no lower fence) and above."""
+    """``margins``: for each figure at least how much a document may lie beyond the outer quartiles of its group, below
+    (None: no lower fence) and above; ``spread``: how many interquartile ranges. Where a group's quartiles are close, the
+    margin alone decides, as a fixed distance from them. That of repeats is half of what the base rule allows."""
 
     least_words: int = 10
     most_repeated_percent: int = 20
@@ -39,7 +40,7 @@ class Rules:
     margins: tuple[tuple[str, int | None, int], ...] = (
         ("symbols_per_mille", None, 100),
         ("dup_lines_per_mille", None, 300),
-        ("repeats_per_mille", None, 200),
+        ("repeats_per_mille", None, 100),
         ("word_length_cent", 250, 600),
     )
 
