@@ -7,7 +7,8 @@ are never rounded to a period, so at every slot of any table every source with b
 less than one block. When a source runs out, the others' weights are scaled up and a new phase begins; so
 all rows are placed, once each.
 
-The driver walks through all slots, one for ``block_rows`` rows, and holds one row of the plan for each.
+The driver walks through all slots, one for each block, and holds one row of the plan for each. A block has ``block_rows`` rows, or
+so many more that there are about ``most_slots`` blocks, so the driver's work has a bound at any size of the table.
 
 Defined results: rows with a null source are a source of their own; every source has its own weight, however
 many there are; sources of weight 0 come after all others, with equal shares; blocks due at once go by weight,
@@ -39,6 +40,7 @@ class Mix:
 
     weights: Mapping[str, float] | None = field(default=None)
     block_rows: int = 64
+    most_slots: int = 1 << 20
     period: int = 1000
     most_sources: int = 100
     rows_per_run: int = 10_000
@@ -133,8 +135,9 @@ def mixed(docs: DataFrame, how: Mix = Mix(), *, key: str = "doc_id", source: str
     sizes = {r["_src"]: r["count"] for r in named.groupBy("_src").count().collect()}
     given = how.weights or {k: math.sqrt(n) for k, n in sizes.items()}
     weights = {k: given.get("" if k == NO_SOURCE else k, min(given.values())) for k in sizes}
-    table = _table(spark, {k: -(-n // how.block_rows) for k, n in sizes.items()}, weights)
-    ranked = gapless_rank(named, "_src", ["_key"], "_k", how.rows_per_run).withColumn("block", F.expr(f"_k div {how.block_rows}"))
+    block_rows = max(how.block_rows, -(-sum(sizes.values()) // how.most_slots))
+    table = _table(spark, {k: -(-n // block_rows) for k, n in sizes.items()}, weights)
+    ranked = gapless_rank(named, "_src", ["_key"], "_k", how.rows_per_run).withColumn("block", F.expr(f"_k div {block_rows}"))
     joined = ranked.join(table, (F.col("_src") == F.col("s")) & (F.col("block") == F.col("b")), "left")
-    out = joined.withColumn("position", F.col("slot") * how.block_rows + F.col("_k") % how.block_rows)
+    out = joined.withColumn("position", F.col("slot") * block_rows + F.col("_k") % block_rows)
     return unpacked(out, docs.columns, block=F.col("block"), slot=F.col("slot"), position=F.col("position"))

@@ -257,6 +257,12 @@ def test_mix_places_every_row_once(spark, odd, empty):
     assert mixing.mixed(odd).columns == [*odd.columns, "block", "slot"]
 
 
+def test_blocks_grow_so_that_slots_have_a_bound(spark):
+    docs = spark.range(1000).selectExpr("id as doc_id", "cast(id % 3 as string) as source")
+    got = mixing.mixed(docs, mixing.Mix(block_rows=2, most_slots=40)).collect()
+    assert len({r.slot for r in got}) <= 40 + 3 and len({r.position for r in got}) == 1000
+
+
 def test_shards(spark, odd, empty, sf_dir):
     docs = load(spark, sf_dir, "documents")
     got = sharding.sharded(docs).collect()
