@@ -14,6 +14,12 @@ PARKED = [
 ]
 PARKED_ALSO = [*PARKED, "buy this domain"]
 FOREIGN = "ltd limited gmbh llc inc corp corporation sarl bv oy plc pty".split()
+#: Hosts that are never a company's own, and words of names that tell no company (fixed values).
+NO_COMPANY_HOSTS = [
+    "proff.no", "purehelp.no", "1881.no", "gulesider.no", "firmalisten.no", "companywall.no", "firmadatabasen.no", "sokfirma.no", "yra.no",
+    "northdata.com", "nor47business.com", "linkedin.com", "facebook.com", "instagram.com", "x.com", "twitter.com", "youtube.com", "tiktok.com",
+]
+GENERIC_WORDS = "as asa ans da enk sa nuf company norge norway gruppen group".split()
 FOREIGN_PHRASES = ["registered in england", "companies house", "registered in delaware", "handelsregister", "chambre de commerce", "uk based"]
 
 
@@ -75,23 +81,45 @@ def status(score: Column) -> Column:
     return F.when(score >= 0.9, "exact").when(score >= 0.8, "review").otherwise("related_or_uncertain")
 
 
+def status_v2(score: Column) -> Column:
+    """As :func:`status`; parked pages and those with other numbers alone are rejected."""
+    return F.when(score <= 0.1, "rejected").otherwise(status(score))
+
+
 def handle_score(name: Column, handle: Column) -> Column:
     """SCA6: a profile's handle that holds the compact name .98, a single word .95, three quarters of two or more .9, else .3."""
-    own, flat = F.array_distinct(tokens(name)), F.regexp_replace(folded(F.coalesce(handle, F.lit(""))), "[^a-z0-9]", "")
+    core, flat = tokens(name), F.array_join(tokens(handle), "")
+    own = F.array_distinct(core)
     hits, n = F.size(F.filter(own, lambda t: F.contains(flat, t))), F.size(own)
-    compact = F.array_join(own, "")
-    return F.when((n >= 2) & F.contains(flat, compact), 0.98).when((n == 1) & (hits == 1), 0.95).when((hits >= 2) & (hits / n >= 0.75), 0.9).otherwise(0.3)
-
-
-def candidate_score(name: Column, number: Column, place: Column, title: Column, snippet: Column, host: Column) -> Column:
-    """SCA8: a search result: its number .75, its name in the title .45 or anywhere .25, in the host .3, the place .1; at most 1."""
-    own = F.array_distinct(tokens(name, least=2))
-    whole = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")))
-    inside = lambda x: (F.size(own) > 0) & (F.size(F.array_except(own, tokens(x))) == 0)
-    in_host = F.exists(own, lambda t: F.contains(F.regexp_replace(host, "[^a-z0-9]", ""), t))
-    score = (
-        F.when((number != "") & F.contains(F.regexp_replace(whole, r"\D", ""), number), 0.75).otherwise(0.0)
-        + F.when(inside(title), 0.45).when(inside(whole), 0.25).otherwise(0.0) + F.when(in_host, 0.3).otherwise(0.0)
-        + F.when(F.contains(folded(whole), folded(F.coalesce(place, F.lit("\x00")))), 0.1).otherwise(0.0)
+    compact = F.array_join(core, "")
+    return F.when((compact != "") & F.contains(flat, compact), 0.98).when((F.size(core) == 1) & (hits == 1), 0.95).when((hits >= 2) & (hits / n >= 0.75), 0.9).otherwise(0.3)
+
+
+def quarantined(links: Column, name: Column, site_exact: Column) -> Column:
+    """SCA7: of a site's social links (``platform, url``) those that may be published: all others are held back. None are
+    published unless the site itself is exactly the company's and the link's path holds its name."""
+    return F.filter(links, lambda x: site_exact & (handle_score(name, F.regexp_extract(x["url"], r"^[a-z]+://[^/?#]*([^?#]*)", 1)) >= 0.9))
+
+
+def candidate(name: Column, number: Column, place: Column, title: Column, snippet: Column, host: Column) -> Column:
+    """SCA8: a search result as a struct of ``score``, ``publishable`` and ``status``. Its number .75, all its words in the title .45 or anywhere
+    .25, its compact name in the host .3, the place in the snippet .1; at most 1. To be fetched it needs .75, the name in the host, and the number
+    or the title; directories and platforms are rejected."""
+    words = lambda x: tokens(x, [], 2)
+    own = tokens(name, GENERIC_WORDS, 2)
+    inside = lambda x: (F.size(own) > 0) & (F.size(F.array_except(own, x)) == 0)
+    digits = F.regexp_replace(F.coalesce(number, F.lit("")), r"\D", "")
+    by_number = (digits != "") & F.contains(F.regexp_replace(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))), r"\D", ""), digits)
+    in_title = inside(words(title))
+    in_host = (F.size(own) > 0) & F.contains(F.array_join(words(host), ""), F.array_join(own, ""))
+    at_place = (F.size(words(place)) > 0) & (F.size(F.array_except(words(place), words(snippet))) == 0)
+    points = (
+        F.when(by_number, 0.75).otherwise(0.0) + F.when(in_title, 0.45).when(inside(F.concat(words(title), words(snippet), words(host))), 0.25).otherwise(0.0)
+        + F.when(in_host, 0.3).otherwise(0.0) + F.when(at_place, 0.1).otherwise(0.0)
     )
-    return F.bround(F.least(F.lit(1.0), score), 6)
+    blocked = F.coalesce(host, F.lit("")) == ""
+    for h in NO_COMPANY_HOSTS:
+        blocked = blocked | (host == h) | F.endswith(host, F.lit("." + h))
+    score = F.when(blocked, 0.0).otherwise(F.bround(F.least(F.lit(1.0), points), 6))
+    good = ~blocked & (score >= 0.75) & in_host & (by_number | in_title)
+    return F.struct(score.alias("score"), good.alias("publishable"), F.when(good, "accepted_for_crawl").when(score >= 0.6, "review").otherwise("rejected").alias("status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts that stand for no amount (fixed values).
 NULL_TOKENS = ["", "-", "–", "—", "N/A", "n/a", "null"]
 #: Words that say in what unit amounts are given (fixed values).
 THOUSANDS = ["i hele tusen", "i 1 000", "i 1000", "tusen nok", "nok 1000", "nok 1 000", "tkr", "t.kr"]
@@ -12,15 +13,16 @@ MILLIONS = ["i millioner", "i mill", "mnok", "mill. nok"]
 
 
 def norwegian_number(raw: Column, scale: Column | float = 1.0) -> Column:
-    """A number with spaces or dots between thousands and a decimal comma, negative by sign (before or behind) or
-    brackets, times ``scale``; null if it is none. An explicit zero stays zero."""
-    text = F.trim(F.regexp_replace(raw, "[  ]", " "))
-    negative = text.rlike(r"^\(.*\)$") | text.rlike("^[-−]") | text.rlike("-$")
-    bare = F.regexp_replace(F.regexp_replace(text, r"^[(\-−]+|[)\-]+$", ""), r"\s", "")
-    plain = F.when(F.contains(bare, F.lit(",")), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(
-        bare.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$"), F.replace(bare, F.lit("."), F.lit(""))
-    ).otherwise(bare)
-    value = F.when(plain.rlike(r"^[0-9]+(\.[0-9]*)?$|^\.[0-9]+$"), plain.try_cast("double"))
+    """A number with spaces between thousands and a decimal comma, negative by one sign (before or behind) or brackets,
+    times ``scale``. Dots divide thousands if a comma is right of all of them; a comma left of a dot is no number. Without a comma
+    a dot is the decimal point. Null if it is none; an explicit zero stays zero."""
+    text = F.trim(F.replace(raw, F.lit("\u00a0"), F.lit(" ")))
+    bracket = text.rlike(r"^\(.*\)$")
+    negative = bracket | text.rlike("^[-−]") | text.rlike("-$")
+    bare = F.when(bracket, F.regexp_replace(text, r"^\(|\)$", "")).when(text.rlike("^[-−]"), F.substr(text, F.lit(2))).when(text.rlike("-$"), F.regexp_replace(text, "-$", "")).otherwise(text)
+    bare = F.replace(bare, F.lit(" "), F.lit(""))
+    plain = F.when(bare.rlike(r",[^.]*$") & bare.rlike(r"\."), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(~bare.rlike(r"\."), F.replace(bare, F.lit(","), F.lit("."))).otherwise(bare)
+    value = F.when(plain.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
     scale = F.lit(scale) if not isinstance(scale, Column) else scale
     return F.when(text.isin(NULL_TOKENS), None).otherwise(F.when(negative, -value).otherwise(value) * scale)
 
@@ -33,21 +35,24 @@ def scale_factor(text: Column) -> Column:
 
 
 def ocr_count(raw: Column) -> Column:
-    """A count of people from scanned text: O read as 0, dot between thousands; null outside of 0 to 100000."""
-    text = F.regexp_replace(F.replace(F.upper(F.trim(raw)), F.lit("O"), F.lit("0")), r"[\s ]", "")
-    text = F.when(text.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(text, F.lit("."), F.lit(""))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
-    value = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
+    """A count of people from scanned text: O read as 0, spaces and marks around it left out, dots between thousands unless one
+    or two digits follow the last; null outside of 0 to 100000."""
+    text = F.regexp_replace(F.replace(F.replace(raw, F.lit(" "), F.lit("")), F.lit("O"), F.lit("0")), "^[.,-]+|[.,-]+$", "")
+    whole = F.replace(text, F.lit("."), F.lit(""))
+    plain = F.when(F.contains(text, F.lit(",")), F.replace(whole, F.lit(","), F.lit("."))).when(text.rlike(r"\.[0-9]{1,2}$"), text).otherwise(whole)
+    value = F.when(plain.rlike(r"^[0-9]+(\.[0-9]*)?$|^\.[0-9]+$"), plain.try_cast("double"))
     return F.when(value.between(0, 100_000), F.bround(value, 2))
 
 
 def currency(amount: Column) -> Column:
-    """Millions and thousands with one decimal, smaller amounts as they are."""
+    """Millions (M) and thousands (k) with one decimal, smaller amounts whole, with a space between thousands; N/A for null."""
     mark = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
     size = F.abs(amount)
-    return F.when(size >= 1e6, mark(F.bround(amount / 1e6, 1), " MNOK")).when(size >= 1e3, mark(F.bround(amount / 1e3, 1), " kNOK")).otherwise(F.concat(F.format_string("%.0f", F.bround(amount, 0)), F.lit(" NOK")))
+    small = F.concat(F.replace(F.format_number(F.bround(amount, 0), 0), F.lit(","), F.lit(" ")), F.lit(" NOK"))
+    return F.when(amount.isNull(), "N/A").when(size >= 1e6, mark(F.bround(amount / 1e6, 1), "M NOK")).when(size >= 1e3, mark(F.bround(amount / 1e3, 1), "k NOK")).otherwise(small)
 
 
 def phone(raw: Column) -> Column:
     """The last eight digits, after the country's prefix."""
     digits = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\D", "")
-    return F.right(F.regexp_replace(digits, "^(00)?47(?=[0-9]{8}$)", ""), F.lit(8))
+    return F.right(F.when(F.startswith(digits, F.lit("47")) & (F.length(digits) > 8), F.substr(digits, F.lit(3))).otherwise(digits), F.lit(8))

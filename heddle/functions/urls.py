@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names of parameters that only track, and of hosts that are not public (fixed values).
 TRACKING = "^(utm_.*|fbclid|gclid|mc_cid|mc_eid|_hsenc|_hsmi|ref)$"
+PRIVATE_NAMES = ["localhost", "instance-data", "metadata.google.internal"]
 PRIVATE_SUFFIXES = [".local", ".internal", ".lan", ".corp", ".test", ".example", ".invalid"]
-#: Hosts of social platforms and first path segments that are no profiles (fixed values).
-SOCIAL = {"linkedin.com": "linkedin", "facebook.com": "facebook", "instagram.com": "instagram", "x.com": "x", "twitter.com": "x", "youtube.com": "youtube", "tiktok.com": "tiktok"}
-NO_PROFILE = ["share", "sharer", "intent", "login", "home", "search", "plugins", "policies", "privacy", "help", "about", "explore", "hashtag", "watch"]
+#: Hosts of social platforms, and first path segments that are no profiles (fixed values).
+SOCIAL = {"linkedin.com": "linkedin", "facebook.com": "facebook", "instagram.com": "instagram", "x.com": "x", "twitter.com": "x", "youtube.com": "youtube", "youtu.be": "youtube", "tiktok.com": "tiktok"}
+NO_PROFILE = {
+    "facebook": ["sharer", "sharer.php", "share.php", "dialog", "policy.php", "privacy", "events", "groups", "plugins", "profile.php"],
+    "instagram": ["p", "reel", "reels", "stories", "explore"],
+    "x": ["intent", "share", "home", "search", "i"],
+}
 
 
 def _part(url: Column, group: int) -> Column:
@@ -26,14 +32,21 @@ def host(url: Column) -> Column:
     return F.regexp_replace(bare, r"^www\.", "")
 
 
+def _encoded(x: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case without a default port, single slashes in the path, the query sorted without tracking
-    and blank parameters, no fragment."""
+    """Scheme and host in lower case without the scheme's own port, single slashes in the path, the query decoded, sorted without tracking
+    and blank parameters and encoded again, no fragment."""
+    url = F.trim(url)
     scheme = F.lower(_part(url, 1))
-    where = F.regexp_replace(authority(url), ":(80|443)$", "")
+    where = F.when(scheme == "http", F.regexp_replace(authority(url), ":80$", "")).when(scheme == "https", F.regexp_replace(authority(url), ":443$", "")).otherwise(authority(url))
     path = F.regexp_replace(_part(url, 3), "/+", "/")
-    pairs = F.filter(F.split(_part(url, 4), "&"), lambda p: p.rlike("^[^=]+=.+") & ~F.regexp_extract(F.lower(p), "^([^=]*)", 1).rlike(TRACKING))
-    query = F.array_join(F.array_sort(pairs), "&")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pairs = F.transform(F.filter(F.split(_part(url, 4), "&"), lambda p: p.rlike("^[^=]+=.+")), lambda p: F.struct(plain(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), plain(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).rlike(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.concat(scheme, F.lit("://"), where, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
@@ -44,23 +57,25 @@ def homepage(raw: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lower(_part(full, 1)), F.lit("://"), authority(full), _part(full, 3)))
 
 
-def social_platform(url: Column) -> Column:
-    """The platform of a profile's URL, or null."""
-    h = F.regexp_replace(host(url), r"^(m|mobile|no|nb-no)\.", "")
-    out = F.lit(None).cast("string")
-    for k, v in SOCIAL.items():
-        out = F.when(h == k, F.lit(v)).otherwise(out)
-    first = F.lower(F.regexp_extract(_part(url, 3), "^/+([^/]+)", 1))
-    company = (first != "company") & (first != "school") & (first != "showcase") & (first != "in")
-    return F.when((first == "") | first.isin(NO_PROFILE) | ((out == "linkedin") & company), None).otherwise(out)
-
-
 def social_profile(url: Column) -> Column:
-    """``platform:profile path`` of a profile's URL, the path cut after the profile's name; null for others."""
-    platform = social_platform(url)
-    path = F.lower(F.regexp_replace(_part(url, 3), "/+$", ""))
-    kept = F.when(platform.isin("linkedin"), F.regexp_extract(path, "^/+([^/]+/[^/]+)", 1)).otherwise(F.regexp_extract(path, "^/+([^/]+(?:/[^/]+)?)", 1) if False else F.regexp_extract(path, "^/+([^/]+)", 1))
-    return F.when(kept != "", F.concat(platform, F.lit(":"), kept))
+    """The profile that a URL stands for, as a struct of ``platform`` and ``url``; null for others."""
+    h = host(url)
+    platform = F.lit(None).cast("string")
+    for domain, label in SOCIAL.items():
+        platform = F.when((h == domain) | F.endswith(h, F.lit("." + domain)), label).otherwise(platform)
+    parts = F.filter(F.transform(F.split(_part(url, 3), "/"), lambda x: F.trim(x)), lambda x: x != "")
+    first = F.lower(F.get(parts, F.lit(0)))
+    handle = F.startswith(F.get(parts, F.lit(0)), F.lit("@"))
+    refused = F.size(parts) == 0
+    for label, names in NO_PROFILE.items():
+        refused = refused | (platform == label) & first.isin(names)
+    refused = (
+        refused | (platform == "linkedin") & ((first != "company") | (F.size(parts) < 2)) | (h == "youtu.be")
+        | (platform == "youtube") & ~first.isin("channel", "user", "c") & ~handle | (platform == "tiktok") & ~handle | (platform == "x") & (F.size(parts) != 1)
+    )
+    kept = F.when((platform == "linkedin") | (platform == "youtube") & ~handle, F.slice(parts, 1, 2)).when(platform == "youtube", F.slice(parts, 1, 1)).otherwise(parts)
+    full = F.concat(F.lit("https://"), platform, F.lit(".com/"), F.array_join(kept, "/"))
+    return F.when(platform.isNotNull() & ~refused, F.struct(platform.alias("platform"), full.alias("url")))
 
 
 def reject_reason(url: Column) -> Column:
@@ -68,7 +83,7 @@ def reject_reason(url: Column) -> Column:
     where = authority(url)
     h = F.regexp_replace(F.regexp_replace(where, "^[^@]*@", ""), ":[0-9]*$", "")
     v4 = h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    private = h.rlike(r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^192\.0\.0\.|^198\.1[89]\.|^(22[4-9]|2[3-5][0-9])\.")
+    private = h.rlike(r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^192\.0\.[02]\.|^198\.51\.100\.|^203\.0\.113\.|^198\.1[89]\.|^(22[4-9]|2[3-5][0-9])\.")
     suffix = F.lit(False)
     for s in PRIVATE_SUFFIXES:
         suffix = suffix | F.endswith(h, F.lit(s))
@@ -76,7 +91,7 @@ def reject_reason(url: Column) -> Column:
         F.when(~F.lower(_part(url, 1)).isin("http", "https") | url.isNull(), "scheme")
         .when(F.contains(where, F.lit("@")), "credentials")
         .when(h == "", "host")
-        .when((h == "localhost") | suffix, "private name")
+        .when(h.isin(PRIVATE_NAMES) | suffix, "private name")
         .when(v4 & private, "private address")
-        .when(h.rlike(r"^\[|^[0-9]+$|^0x"), "literal address")
+        .when((h.rlike(r"^\[") & ~h.rlike(r"^\[[23][0-9a-f]{3}:") | h.rlike(r"^\[2001:0?db8:")) | h.rlike(r"^[0-9]+$|^0x"), "literal address")
     )

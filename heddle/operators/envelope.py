@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.numbers import currency
@@ -75,13 +75,37 @@ def accounting_obligation(form: Column, latest: Column) -> Column:
     return F.when(latest.isNotNull(), "filing_observed").when(form.isin(ALWAYS_FORMS), "required_by_legal_form").when(form.isin(THRESHOLD_FORMS), "threshold_or_activity_dependent").otherwise("special_rule_or_review_required")
 
 
-def brief() -> Column:
-    """PRJ12: what is known of a company in sentences, and what isn't."""
-    c = F.col
-    where = F.coalesce(F.concat(F.lit(" based in "), c("municipality")), F.lit(""))
-    staff = F.coalesce(F.concat(F.lit(" with "), c("employees").cast("string"), F.lit(" registered employee"), F.when(c("employees") != 1, "s").otherwise("")), F.lit(""))
-    missing = F.array_join(F.array_compact(F.array(F.when(c("employees").isNull(), "registered employee headcount"), F.when(c("revenue").isNull(), "detailed financial accounting breakdown"))), ", ")
-    return F.concat(
-        F.coalesce(c("name"), F.lit("The company")), F.lit(" ("), c("organisation_number"), F.lit(") is a "), F.coalesce(c("legal_form"), F.lit("entity")), where, staff, F.lit("."),
-        F.coalesce(F.concat(F.lit(" Operating revenue of "), currency(c("revenue").cast("double")), F.lit(".")), F.lit("")), F.when(missing != "", F.concat(F.lit(" Unobserved information: "), missing, F.lit("."))).otherwise(""),
+def brief(rows: DataFrame) -> Column:
+    """PRJ12: what is known of a company in five sentences, and what isn't. Needs ``name`` and ``organisation_number``; read if there are
+    such columns: ``legal_form``, ``municipality``, ``employees``, ``industry_label``, ``leaders`` (an array of ``name, role``), ``roles_status``,
+    ``period``, ``revenue``, ``operating_result``, ``assets`` of the latest accounts (``period`` tells that there are any), ``latest_submitted_accounts``,
+    ``website`` and ``website_status``."""
+    col = lambda name, kind="string": F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+    given = lambda name: F.coalesce(col(name).cast("string"), F.lit("")) != ""
+    told = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    staff = col("employees", "bigint")
+    where = F.when(given("municipality"), told(" based in ", col("municipality"))).otherwise("")
+    people = F.when(staff.isNotNull(), told(" with ", staff.cast("string"), " registered employee", F.when(staff != 1, "s").otherwise(""))).otherwise("")
+    label = lambda name, other: F.when(given(name), col(name)).otherwise(F.lit(other))
+    leaders = F.slice(F.coalesce(col("leaders", "array<struct<name:string,role:string>>"), F.array().cast("array<struct<name:string,role:string>>")), 1, 2)
+    lead = F.array_join(F.transform(leaders, lambda x: told(x["name"], " (", F.coalesce(x["role"], F.lit("Executive")), ")")), ", ")
+    money = lambda name: currency(col(name).cast("double"))
+    accounts = (
+        F.when(given("period"), told("Financials (", col("period").cast("string"), "): Operating revenue of ", money("revenue"), ", operating result of ", money("operating_result"), ", total assets of ", money("assets"), "."))
+        .when(given("latest_submitted_accounts"), told("Financials: Latest submitted annual accounts on record for year ", col("latest_submitted_accounts").cast("string"), "."))
+        .otherwise("Financials: No filed annual accounts observed in official register.")
     )
+    site = (
+        F.when(~given("website"), "Web Presence: No official website URL registered.")
+        .when(col("website_status") == "available", told("Verified official web domain: ", col("website"), "."))
+        .when(col("website_status").isin("not_found", "source_error"), told("Registered website URL (", col("website"), ") was uncontactable or failed to respond."))
+    )
+    unknown = F.array_compact(F.array(F.when(staff.isNull(), "registered employee headcount"), F.when(~given("period"), "detailed financial accounting breakdown"), F.when(~given("website"), "verified official web domain")))
+    return F.concat_ws(
+        " ",
+        told(label("name", "The company"), " (", F.col("organisation_number"), ") is a Norwegian ", label("legal_form", "entity"), where, people, ", active in ", label("industry_label", "commercial operations"), "."),
+        F.when(F.size(leaders) > 0, told("Leadership: ", lead, ".")).when(col("roles_status") == "not_found", "Leadership: No official roles registered in the company register."),
+        accounts,
+        site,
+        F.when(F.size(unknown) > 0, told("Unobserved information: ", F.array_join(unknown, ", "), ".")),
+    )

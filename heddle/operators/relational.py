@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def anchor(manifest: DataFrame, bulk: DataFrame, key: str, position: str) -> DataFrame:
-    """JN1: every manifest row once, in manifest order, with its bulk row if there is one; ``status`` tells which."""
-    found = bulk.withColumn("_found", F.lit(True))
+def anchor(manifest: DataFrame, bulk: DataFrame, key: str, position: str, order: str | None = None) -> DataFrame:
+    """JN1: every manifest row once, in manifest order, with its bulk row if there is one; ``status`` tells which. Of a repeated bulk key
+    the row with the last ``order`` counts, or the largest row where there is none."""
+    whole = F.struct(*[c for c in bulk.columns if c != key])
+    last = bulk.groupBy(key).agg(F.max_by(whole, F.col(order)) if order else F.max(whole)).toDF(key, "_bulk")
+    found = last.select(key, "_bulk.*", F.lit(True).alias("_found"))
     return manifest.join(found, key, "left").withColumn("status", F.when(F.col("_found"), "available").otherwise("not_available")).drop("_found").orderBy(position)
 
 
@@ -71,10 +74,18 @@ def index_percentile(rows: DataFrame, column: str, order: str, at: dict[str, str
 
 
 def admitted(rows: DataFrame, order: list[str], cost: str, soft: float, hard: float, high: Column) -> DataFrame:
-    """FLT19, WIN6: whether each request fits the budget, by what all before it asked for: up to ``hard``, others than
-    high priority up to ``soft``."""
-    before = F.coalesce(F.sum(cost).over(Window.partitionBy("budget").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("used_before", before).withColumn("admitted", F.col("used_before") < F.when(high, F.lit(hard)).otherwise(F.lit(soft)))
+    """FLT19, WIN6: whether each request is made, by what the made ones before it cost: up to ``hard``, others than high priority
+    up to ``soft``. What is refused costs nothing.
+
+    Until ``soft`` is reached all are made, from then on those of high priority until ``hard``; so running sums over
+    all, and over the later ones of high priority, tell what a step by step account would.
+    """
+    by = Window.partitionBy("budget").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x: F.coalesce(F.sum(x).over(by), F.lit(0))
+    out = rows.withColumn("_early", before(F.col(cost)) < soft)
+    out = out.withColumn("_asked", F.when(F.col("_early") | high, F.col(cost)).otherwise(0))
+    out = out.withColumn("admitted", F.col("_early") | high & (before(F.col("_asked")) < hard))
+    return out.withColumn("used_before", before(F.when(F.col("admitted"), F.col(cost)).otherwise(0))).drop("_early", "_asked")
 
 
 def spaced(rows: DataFrame, group: str, time: Column, order: list[str], gap: Column | float) -> DataFrame:

@@ -35,13 +35,13 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 OBSERVATIONS_SQL = """
 observations as (
   select cast(event_id as varchar) as id, cast(user_id as varchar) as organisation_number,
-    case event_id % 7 when 0 then 'linkedin' when 1 then 'google_places' when 2 then 'news' when 3 then 'wikidata' when 4 then 'facebook' when 5 then 'fax' else 'website' end as platform,
+    case event_id % 7 when 0 then 'linkedin' when 1 then 'google_places' when 2 then 'news' when 3 then 'wikidata' when 4 then 'facebook' when 5 then 'fax' else 'company_site' end as platform,
     case event_id % 9 when 0 then 'profile_handle' when 1 then 'profile_metrics' when 2 then 'place_summary' when 3 then 'review' when 4 then 'job_posting' when 5 then 'public_post' when 6 then 'public_mention' when 7 then 'review_summary' else 'company_profile' end as signal_type,
     case when event_id % 31 = 0 then null else 'https://www.h' || cast(event_id % 13 as varchar) || '.example.com/' || event_type || '/' || cast(event_id % 50 as varchar) end as source_url,
     'h' || cast(event_id % 13 as varchar) || '.example.com' as host0,
     ts as retrieved_at, sha256(cast(event_id as varchar)) as content_sha256, event_id % 11 <> 0 as exact_entity,
     case when event_id % 17 = 0 then '' else 'org' end as identity_proof,
-    case event_id % 5 when 0 then 'official_api' when 1 then 'licensed_feed' when 2 then 'guest_page' else 'public_web' end as acquisition_mode,
+    case event_id % 5 when 0 then 'official_api' when 1 then 'licensed_api' when 2 then 'jobspy_experiment' else 'permitted_public_page' end as acquisition_mode,
     case when event_id % 19 = 0 then 'unclear' else 'approved' end as rights_status,
     case when event_id % 23 = 0 then null else 'span' end as evidence_span,
     case when event_id % 3 = 0 then case event_id % 4 when 0 then 'positive' when 1 then 'negative' when 2 then 'neutral' else 'mixed' end end as sentiment_label,
@@ -58,7 +58,7 @@ observations as (
       case when length(content_sha256) <> 64 then 'missing content hash' end,
       case when not exact_entity then 'exact legal entity is not verified' end,
       case when identity_proof = '' then 'missing exact-entity proof' end,
-      case when acquisition_mode = 'guest_page' then 'acquisition mode is not approved for publication' end,
+      case when acquisition_mode = 'jobspy_experiment' then 'acquisition mode is not approved for publication' end,
       case when rights_status <> 'approved' then 'source rights are not approved' end,
       case when signal_type in ('review', 'public_post', 'public_mention') and evidence_span is null then 'missing evidence span' end], lambda x: x is not null) as reasons
   from observations
@@ -79,11 +79,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "events").select(
         e.cast("string").alias("id"), F.col("user_id").cast("string").alias("organisation_number"),
-        pick(7, "linkedin", "google_places", "news", "wikidata", "facebook", "fax", "website").alias("platform"),
+        pick(7, "linkedin", "google_places", "news", "wikidata", "facebook", "fax", "company_site").alias("platform"),
         pick(9, "profile_handle", "profile_metrics", "place_summary", "review", "job_posting", "public_post", "public_mention", "review_summary", "company_profile").alias("signal_type"),
         F.when(e % 31 != 0, F.concat(F.lit("https://www.h"), (e % 13).cast("string"), F.lit(".example.com/"), F.col("event_type"), F.lit("/"), (e % 50).cast("string"))).alias("source_url"),
         F.col("ts").cast("timestamp").alias("retrieved_at"), F.sha2(e.cast("string"), 256).alias("content_sha256"), (e % 11 != 0).alias("exact_entity"),
-        F.when(e % 17 == 0, "").otherwise("org").alias("identity_proof"), pick(5, "official_api", "licensed_feed", "guest_page", "public_web").alias("acquisition_mode"),
+        F.when(e % 17 == 0, "").otherwise("org").alias("identity_proof"), pick(5, "official_api", "licensed_api", "jobspy_experiment", "permitted_public_page").alias("acquisition_mode"),
         F.when(e % 19 == 0, "unclear").otherwise("approved").alias("rights_status"), F.when(e % 23 != 0, "span").alias("evidence_span"),
         F.when(e % 3 == 0, pick(4, "positive", "negative", "neutral", "mixed")).alias("sentiment_label"), pick(2, "public_news", "customer_review").alias("source_class"),
         F.lit("m1").alias("sentiment_model_version"), (e % 40).cast("string").alias("reviewer_id"), F.floor("value").cast("bigint").alias("engagement"),

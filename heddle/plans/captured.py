@@ -52,12 +52,6 @@ def not_finite(spark, sf_dir):
     return p.select("p_partkey", F.array_join(captures.not_finite(p), ",").alias("bad"))
 
 
-@query("ocr_counts", "select * from (values (0, cast(100 as double)), (1, cast(1204 as double)), (2, cast(12.5 as double)), (3, null), (4, null)) t(id, value)")
-def ocr_counts(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "1OO"), (1, "1.204"), (2, "12,5"), (3, "999999"), (4, None)], "id int, t string")
-    return rows.select("id", numbers.ocr_count(F.col("t")).alias("value"))
-
-
 @query("latest_accounts", "select c_custkey, o_orderkey, place from (select o_custkey as c_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as int) as place from orders) where place <= 3")
 def latest_accounts(spark, sf_dir):
     """PRJ3: a company's latest three records, as a sorted array cut to three."""

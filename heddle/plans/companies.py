@@ -12,12 +12,12 @@ from heddle.session import table
 
 
 def _manifest(spark, sf_dir):
-    """Every seventh customer key, and some keys that no register has."""
-    keys = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select("c_custkey")
-    return keys.unionByName(keys.filter("c_custkey % 5 = 0").select((-F.col("c_custkey")).alias("c_custkey"))).withColumn("position", F.abs("c_custkey") * 2 + (F.col("c_custkey") < 0).cast("int"))
+    """All customer keys, and as many that no register has."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    return keys.unionByName(keys.select((-F.col("c_custkey")).alias("c_custkey"))).withColumn("position", F.abs("c_custkey") * 2 + (F.col("c_custkey") < 0).cast("int"))
 
 
-_MANIFEST_SQL = "manifest as (select c_custkey, abs(c_custkey) * 2 + (case when c_custkey < 0 then 1 else 0 end) as position from (select c_custkey from customer where c_custkey % 7 = 0 union all select -c_custkey from customer where c_custkey % 35 = 0))"
+_MANIFEST_SQL = "manifest as (select c_custkey, abs(c_custkey) * 2 + (case when c_custkey < 0 then 1 else 0 end) as position from (select c_custkey from customer union all select -c_custkey from customer))"
 
 
 @query("anchor_manifest_left", f"with {_MANIFEST_SQL} select m.c_custkey, position, c_name, case when c_name is null then 'not_available' else 'available' end as status from manifest m left join customer c using (c_custkey)")
@@ -36,16 +36,16 @@ def semi_audited(spark, sf_dir):
     return rel.audited(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("ref_integrity", "select count(*) as checked, count(*) filter (where o_orderkey is null) as dangling from (select distinct l_orderkey from lineitem where l_linenumber <= 2) left join orders on o_orderkey = l_orderkey")
+@query("ref_integrity", "select count(*) as checked, count(*) filter (where o_orderkey is null) as dangling from (select distinct l_orderkey from lineitem) left join orders on o_orderkey = l_orderkey")
 def ref_integrity(spark, sf_dir):
-    left = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select("l_orderkey").distinct()
+    left = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     right = table(spark, sf_dir, "orders").select("o_orderkey")
     return left.join(right, F.col("l_orderkey") == F.col("o_orderkey"), "left").agg(F.count("*").alias("checked"), F.count(F.when(F.col("o_orderkey").isNull(), 1)).alias("dangling"))
 
 
-@query("membership_full_outer", "select coalesce(s_suppkey, p_partkey) as k, case when p_partkey is null then 'only_left' when s_suppkey is null then 'only_right' else 'both' end as side from (select s_suppkey from supplier) full join (select p_partkey from part where p_partkey % 3 = 0) on s_suppkey = p_partkey")
+@query("membership_full_outer", "select coalesce(s_suppkey, p_partkey) as k, case when p_partkey is null then 'only_left' when s_suppkey is null then 'only_right' else 'both' end as side from (select s_suppkey from supplier) full join (select p_partkey * 3 as p_partkey from part) on s_suppkey = p_partkey")
 def membership_full_outer(spark, sf_dir):
-    s, p = table(spark, sf_dir, "supplier").select("s_suppkey"), table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select("p_partkey")
+    s, p = table(spark, sf_dir, "supplier").select("s_suppkey"), table(spark, sf_dir, "part").select((F.col("p_partkey") * 3).alias("p_partkey"))
     side = F.when(F.col("p_partkey").isNull(), "only_left").when(F.col("s_suppkey").isNull(), "only_right").otherwise("both")
     return s.join(p, s["s_suppkey"] == p["p_partkey"], "full").select(F.coalesce("s_suppkey", "p_partkey").alias("k"), side.alias("side"))
 
@@ -133,12 +133,28 @@ def terminal_states(spark, sf_dir):
     return rows.select("id", "status", terminal_state(F.col("status"), F.col("note")).alias("state"))
 
 
-_MONEY_SQL = "case when abs(revenue) >= 1000000 then printf('%.1f', round_even(cast(revenue as double) / 1000000, 1)) || ' MNOK' when abs(revenue) >= 1000 then printf('%.1f', round_even(cast(revenue as double) / 1000, 1)) || ' kNOK' else printf('%.0f', round_even(cast(revenue as double), 0)) || ' NOK' end"
+def _money_sql(x: str) -> str:
+    return f"case when {x} is null then 'N/A' when abs({x}) >= 1000000 then printf('%.1fM NOK', round_even({x} / 1000000, 1)) when abs({x}) >= 1000 then printf('%.1fk NOK', round_even({x} / 1000, 1)) else printf('%.0f NOK', round_even({x}, 0)) end"
 
 
-@query("company_brief", f"with {COMPANIES_SQL} select organisation_number, name || ' (' || organisation_number || ') is a ' || legal_form || ' based in ' || municipality || ' with ' || cast(employees as varchar) || ' registered employee' || (case when employees <> 1 then 's' else '' end) || '.' || (case when revenue is null then ' Unobserved information: detailed financial accounting breakdown.' else ' Operating revenue of ' || {_MONEY_SQL} || '.' end) as brief from companies")
+@query(
+    "company_brief",
+    f"""with {COMPANIES_SQL}, p as (select *, cast(revenue as double) as r, cast(annual_result as double) as a, case when custkey % 3 = 0 then null else custkey end as staff, custkey % 4 as w from companies)
+select organisation_number, name || ' (' || organisation_number || ') is a Norwegian ' || legal_form || ' based in ' || municipality || coalesce(' with ' || cast(staff as varchar) || ' registered employee' || (case when staff <> 1 then 's' else '' end), '') || ', active in commercial operations.'
+  || (case custkey % 5 when 0 then ' Leadership: Ola (Daglig leder), Kari (Executive).' when 1 then ' Leadership: No official roles registered in the company register.' else '' end)
+  || (case when last_year is not null then ' Financials (' || cast(last_year as varchar) || '): Operating revenue of ' || {_money_sql('r')} || ', operating result of ' || {_money_sql('a')} || ', total assets of N/A.' when custkey % 2 = 0 then ' Financials: Latest submitted annual accounts on record for year 2020.' else ' Financials: No filed annual accounts observed in official register.' end)
+  || (case w when 0 then ' Web Presence: No official website URL registered.' when 1 then ' Verified official web domain: https://c.no/.' when 2 then ' Registered website URL (https://c.no/) was uncontactable or failed to respond.' else '' end)
+  || coalesce(' Unobserved information: ' || nullif(array_to_string(list_filter([case when staff is null then 'registered employee headcount' end, case when last_year is null then 'detailed financial accounting breakdown' end, case when w = 0 then 'verified official web domain' end], lambda x: x is not null), ', '), '') || '.', '') as brief from p""",
+)
 def company_brief(spark, sf_dir):
-    return companies(spark, sf_dir).select("organisation_number", brief().alias("brief"))
+    k = F.col("custkey")
+    leader = lambda name, role: F.struct(F.lit(name).alias("name"), F.lit(role).cast("string").alias("role"))
+    rows = companies(spark, sf_dir).select(
+        "organisation_number", "name", "legal_form", "municipality", F.when(k % 3 != 0, k).alias("employees"), F.col("last_year").alias("period"), "revenue", F.col("annual_result").alias("operating_result"),
+        F.when(k % 5 == 0, F.array(leader("Ola", "Daglig leder"), leader("Kari", None), leader("Per", "x"))).alias("leaders"), F.when(k % 5 == 1, "not_found").alias("roles_status"),
+        F.when(k % 2 == 0, 2020).alias("latest_submitted_accounts"), F.when(k % 4 != 0, "https://c.no/").alias("website"), F.when(k % 4 == 1, "available").when(k % 4 == 2, "source_error").alias("website_status"),
+    )
+    return rows.select("organisation_number", brief(rows).alias("brief"))
 
 
 @query("accounting_obligation", "select f.form, year, case when year is not null then 'filing_observed' when form in ('AS', 'ASA', 'BRL', 'BBL', 'STI', 'SF', 'VPFO') then 'required_by_legal_form' when form in ('ENK', 'ANS', 'DA', 'SA', 'FLI', 'ESEK', 'NUF', 'UTLA', 'ORGL', 'SAM', 'SPA', 'KS', 'BO') then 'threshold_or_activity_dependent' else 'special_rule_or_review_required' end as classification from (select unnest(['AS', 'ENK', 'KIRK', 'BRL', 'DA', null]) as form) f cross join (select unnest([2024, null]) as year) y")

@@ -66,18 +66,27 @@ def sentiment_eval(spark, sf_dir):
     return fp.classification(gold, predicted, "doc_id", ["positive", "negative", "neutral"])
 
 
-def _score_sql(ok: str, extra: str) -> str:
-    f = lambda cond: f"coalesce(max(case when {ok} and {cond} then 1 else 0 end), 0)"
-    known = "((platform = 'wikidata' and signal_type = 'company_profile') or (platform = 'google_places' and signal_type = 'place_summary')" + extra + ")"
-    s = f"{ok} and sentiment_label is not null"
+def _score_sql(wide: bool) -> str:
+    """The score of a group of observations, whose flags ``ok`` and ``experimental`` tell which count."""
+    row = "(ok or experimental)" if wide else "ok"
+    f = lambda cond, row=row: f"coalesce(max(case when {row} and {cond} then 1 else 0 end), 0)"
+    places = "platform = 'google_places' and signal_type = 'place_summary'"
+    known = f(f"(platform = 'wikidata' and signal_type = 'company_profile' or {places})", "ok")
+    if wide:
+        known = f"greatest({known}, {f(f"(platform = 'company_directory' and signal_type = 'company_profile' or {places})", 'experimental')})"
+    enough = lambda row: (
+        f"(count(*) filter (where {row} and sentiment_label is not null) >= 10 and (count(distinct host) filter (where {row} and sentiment_label is not null) >= 2"
+        f" or count(distinct reviewer_id) filter (where {row} and sentiment_label is not null) >= 10))"
+    )
+    felt = f"{enough('ok')} or {enough('experimental')}" if wide else enough("ok")
     return (
-        f"20.0 * {f(known)} + least(15.0, 5.0 * count(distinct platform) filter (where {ok} and signal_type = 'profile_handle')) + 10.0 * {f("signal_type = 'profile_metrics'")} + 5.0 * {f("signal_type = 'place_summary'")}"
+        f"20.0 * {known} + least(15.0, 5.0 * count(distinct platform) filter (where {row} and signal_type = 'profile_handle')) + 10.0 * {f("signal_type = 'profile_metrics'")} + 5.0 * {f("signal_type = 'place_summary'")}"
         f" + 10.0 * {f("signal_type in ('review', 'review_summary')")} + 10.0 * {f("signal_type in ('job_posting', 'workforce_snapshot')")} + 10.0 * {f("signal_type in ('public_post', 'public_mention', 'buzz_metrics')")}"
-        f" + 15.0 * (case when count(*) filter (where {s}) >= 10 and (count(distinct host) filter (where {s}) >= 2 or count(distinct reviewer_id) filter (where {s}) >= 10) then 1 else 0 end) + 5.0 * coalesce(max(case when ok then 1 else 0 end), 0)"
+        f" + 15.0 * (case when {felt} then 1 else 0 end) + 5.0 * {f('true', 'ok')}"
     )
 
 
-@query("development_score", f"with {OBSERVATIONS_SQL}, o as (select *, len(reasons) = 0 as ok, acquisition_mode = 'guest_page' and exact_entity and identity_proof <> '' as experimental from judged) select organisation_number, cast({_score_sql('ok', '')} as double) as score, cast({_score_sql('(ok or experimental)', '')} as double) as exp_score from o group by 1")
+@query("development_score", f"with {OBSERVATIONS_SQL}, o as (select *, len(reasons) = 0 as ok, acquisition_mode = 'jobspy_experiment' and exact_entity and identity_proof <> '' as experimental from judged) select organisation_number, cast({_score_sql(False)} as double) as score, cast({_score_sql(True)} as double) as exp_score from o group by 1")
 def development_score(spark, sf_dir):
     exp = F.col("acquisition_mode").isin(fp.EXPERIMENTAL_MODES) & F.col("exact_entity") & (F.col("identity_proof") != "")
     return fp.development_score(observations(spark, sf_dir).withColumn("experimental", exp))
@@ -135,8 +144,8 @@ def strategy_order(spark, sf_dir):
     return s.select("strategy", p.alias("priority")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "strategy")))
 
 
-@query("controller_final_score", f"with {OBSERVATIONS_SQL}, o as (select *, len(reasons) = 0 as ok, false as experimental from judged where event_ok) select organisation_number, cast({_score_sql('ok', '')} as double) as score from o group by 1".replace("where event_ok", "where cast(id as bigint) % 2 = 0"))
+@query("controller_final_score", f"with {OBSERVATIONS_SQL}, o as (select *, len(reasons) = 0 as ok, false as experimental from judged) select organisation_number, cast({_score_sql(False)} as double) as score from o group by 1")
 def controller_final_score(spark, sf_dir):
     """The controller's last score doesn't depend on the order of its steps: it is the score of all that they found."""
-    rows = observations(spark, sf_dir).filter("cast(id as bigint) % 2 = 0").withColumn("experimental", F.lit(False))
+    rows = observations(spark, sf_dir).withColumn("experimental", F.lit(False))
     return fp.development_score(rows).select("organisation_number", "score")

@@ -104,7 +104,14 @@ def status_counts(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("budget_admission", "with e as (select event_id, user_id as budget, event_type, coalesce(sum(1 + event_id % 3) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as used_before from events) select event_id, budget, used_before, used_before < (case when event_type = 'purchase' then 24 else 18 end) as admitted from e")
+@query(
+    "budget_admission",
+    """with e as (select event_id, user_id as budget, ts, event_type = 'purchase' as high, 1 + event_id % 3 as cost from events),
+w as (select *, coalesce(sum(cost) over (partition by budget order by ts, event_id rows between unbounded preceding and 1 preceding), 0) < 18 as early from e),
+a as (select *, coalesce(sum(case when early or high then cost else 0 end) over (partition by budget order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as asked from w),
+m as (select *, early or (high and asked < 24) as admitted from a)
+select event_id, budget, coalesce(sum(case when admitted then cost else 0 end) over (partition by budget order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as used_before, admitted from m""",
+)
 def budget_admission(spark, sf_dir):
     """Each user has a budget; purchases go first."""
     rows = _events(spark, sf_dir).select("event_id", F.col("user_id").alias("budget"), "event_type", "ts", (1 + F.col("event_id") % 3).alias("cost"))

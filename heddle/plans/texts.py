@@ -99,11 +99,6 @@ _URLS = [
 _null = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("social_url", "select * from (values " + ", ".join(f"({i}, {_null(p)})" for i, (_, p, _) in enumerate(_URLS)) + ") t(id, profile)")
-def social_url(spark, sf_dir):
-    return spark.createDataFrame([(i, u[0]) for i, u in enumerate(_URLS)], "id int, url string").select("id", urls.social_profile(F.col("url")).alias("profile"))
-
-
 @query("public_url_reject", "select * from (values " + ", ".join(f"({i}, {_null(r)})" for i, (_, _, r) in enumerate(_URLS)) + ") t(id, reason)")
 def public_url_reject(spark, sf_dir):
     return spark.createDataFrame([(i, u[0]) for i, u in enumerate(_URLS)], "id int, url string").select("id", urls.reject_reason(F.col("url")).alias("reason"))
@@ -115,23 +110,6 @@ def page_extract(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", "title", "h1", F.size(F.regexp_extract_all(h, F.lit('href="[^"]*"'), F.lit(0))).cast("bigint").alias("links"), F.regexp_extract(h, "<footer>(.*?)</footer>", 1).alias("footer"), F.sha2(h, 256).alias("content_sha256"))
 
 
-_TERMS = "om-oss om_oss about kontakt contact ledelse management team people locations news".split()
-_RANK = "case " + " ".join(f"when contains(lower(l), '{t}') then {i}" for i, t in enumerate(["the", "and", "to", *_TERMS])) + " end"
-
-
-@query("priority_links", f"with l as (select distinct page_id, l, {_RANK} as rank from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as l from pages)) select page_id, l as link, rank from (select *, row_number() over (partition by page_id order by rank, l) as r from l where rank is not null) where r <= 4")
-def priority_links(spark, sf_dir):
-    """TOP5: a page's four links of the best ranked terms."""
-    from pyspark.sql import Window
-
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
-    rank = F.lit(None).cast("int")
-    for i, t in reversed(list(enumerate(["the", "and", "to", *_TERMS]))):
-        rank = F.when(F.contains(F.lower("link"), F.lit(t)), i).otherwise(rank)
-    ranked = links.withColumn("rank", rank).filter("rank is not null").withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("rank", "link")))
-    return ranked.filter("r <= 4").select("page_id", "link", "rank")
-
-
 @query("js_shell", "select page_id, len(regexp_extract_all(html, '<script')) >= 1 and length(trim(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'))) < 2500 as shell from pages")
 def js_shell(spark, sf_dir):
     """FLT20, with a limit that some generated pages are under."""
@@ -188,29 +166,6 @@ def identity_score_v2(spark, sf_dir):
     return _scored(spark, identity.site_score_v2)
 
 
-_HANDLES = [("Fjord Kraft AS", "fjordkraft_no", 0.98), ("Fjord AS", "fjord", 0.95), ("Fjord Kraft Nord", "kraft-nord-fjord", 0.9), ("Fjord Kraft", "kraft", 0.3), (None, "x", 0.3)]
-
-
-@query("social_identity", "select * from (values " + ", ".join(f"({i}, cast({s} as double))" for i, (_, _, s) in enumerate(_HANDLES)) + ") t(id, score)")
-def social_identity(spark, sf_dir):
-    rows = spark.createDataFrame([(i, n, h) for i, (n, h, _) in enumerate(_HANDLES)], "id int, name string, handle string")
-    return rows.select("id", identity.handle_score(F.col("name"), F.col("handle")).cast("double").alias("score"))
-
-
-@query("candidate_choice", "select * from (values (1, 'https://fjordkraft.no/', cast(0.85 as double)), (2, null, null)) t(profile, url, score)")
-def candidate_choice(spark, sf_dir):
-    """TOP2: a profile's best search result that is good enough; ties go to the better rank, then the url."""
-    p = spark.createDataFrame([(1, "Fjord Kraft AS", "912345678", "BERGEN"), (2, "Nord Bygg AS", "812345679", "OSLO")], "profile int, name string, number string, place string")
-    r = spark.createDataFrame(
-        [(1, "https://fjordkraft.no/", "Fjord Kraft", "kraft i Bergen", 2), (1, "https://avis.no/fjord", "Om fjord", "Fjord Kraft", 1), (2, "https://nord.no/", "Nord", "bygg", 1)],
-        "profile int, url string, title string, snippet string, rank int",
-    )
-    c = F.col
-    scored = r.join(p, "profile").withColumn("score", identity.candidate_score(c("name"), c("number"), c("place"), c("title"), c("snippet"), urls.host(c("url"))))
-    best = scored.filter("score >= 0.75").groupBy("profile").agg(F.min_by(F.struct("url", "score"), F.struct(-c("score"), c("rank"), c("url"))).alias("b"))
-    return p.join(best, "profile", "left").select("profile", "b.url", "b.score")
-
-
 @query("maps_choice_ambiguous", "with s as (select c_nationkey, c_custkey, round(c_acctbal / 1000) as score from customer), t as (select c_nationkey, max(score) as top from s group by 1) select s.c_nationkey, case when count(*) > 1 then 'ambiguous' else 'matched' end as status, case when count(*) = 1 then min(c_custkey) end as choice from s join t on t.c_nationkey = s.c_nationkey and s.score = t.top group by 1")
 def maps_choice_ambiguous(spark, sf_dir):
     """TOP3: the best candidate, and none if two are best."""

@@ -9,12 +9,6 @@ from heddle.operators import extract
 from heddle.registry import query
 from heddle.session import table
 
-_NUMBERS = [
-    ("1 234 567,89", 1.0, 1234567.89), ("1.234.567", 1.0, 1234567.0), ("(250)", 1000.0, -250000.0), ("-12,5", 1.0, -12.5), ("−7", 1.0, -7.0), ("100-", 1.0, -100.0), ("0", 1.0, 0.0), ("–", 1.0, None),
-    ("", 1.0, None), ("n/a", 1.0, None), ("abc", 1.0, None), ("1.5", 1.0, 1.5), ("12 000", 1.0, 12000.0), (None, 1.0, None), ("–100", 1.0, None),
-]
-
-
 def _sql(x):
     return "null" if x is None else str(x).lower() if isinstance(x, bool) else f"cast({x} as double)" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
@@ -23,21 +17,6 @@ def _rows(*rows) -> str:
     return ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
 
 
-@query("norwegian_numbers", f"select * from (values {_rows(*[(i, r[2]) for i, r in enumerate(_NUMBERS)])}) t(id, value)")
-def norwegian_numbers(spark, sf_dir):
-    rows = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(_NUMBERS)], "id int, raw string, scale double")
-    return rows.select("id", numbers.norwegian_number(F.col("raw"), F.col("scale")).alias("value"))
-
-
-_SCALES = [("Beløp i hele tusen kroner", 1000.0), ("Tall i MNOK", 1e6), ("i 1000 (mill. nok)", 1000.0), ("kroner", 1.0), (None, 1.0)]
-
-
-@query("scale_factor", f"select * from (values {_rows(*[(i, s) for i, (_, s) in enumerate(_SCALES)])}) t(id, scale)")
-def scale_factor(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_SCALES)], "id int, t string")
-    return rows.select("id", numbers.scale_factor(F.col("t")).alias("scale"))
-
-
 @query("financial_normalise", "select o_orderkey, cast(cast(o_totalprice as decimal(18,2)) as double) * 1000 as revenue, case when o_orderstatus = 'P' then null else -cast(cast(o_totalprice as decimal(18,2)) as double) * 1000 end as result from orders")
 def financial_normalise(spark, sf_dir):
     """PRJ4: amounts in thousands, written with a decimal comma, losses in brackets."""
@@ -55,15 +34,6 @@ def revenue_fallback(spark, sf_dir):
     return rows.select("id", first.alias("revenue"), F.coalesce("own", "registry").alias("employees"))
 
 
-_ROLES = [("Daglig leder", "DAGL"), ("Styrets leder", "LEDE"), ("Nestleder i styret", "NEST"), ("Styremedlem", "MEDL"), ("Varamedlem", "VARA"), ("Innehaver", "INNH"), ("Revisor", "REVI"), ("Kokk", None), (None, None)]
-
-
-@query("roles_flatten", f"select * from (values {_rows(*[(i, r) for i, (_, r) in enumerate(_ROLES)])}) t(id, code)")
-def roles_flatten(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_ROLES)], "id int, title string")
-    return rows.select("id", extract.role_code(F.col("title")).alias("code"))
-
-
 @query("address_format", "select s_suppkey, 'Vei ' || cast(s_suppkey as varchar) || (case when s_suppkey % 2 = 0 then ', 0' || cast(100 + s_suppkey % 800 as varchar) || ' ' || n_name else '' end) as address from supplier join nation on n_nationkey = s_nationkey")
 def address_format(spark, sf_dir):
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
@@ -85,39 +55,12 @@ def review_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", extract.review_label(rating).alias("label"))
 
 
-_STAFF = [
-    ("Selskapet hadde 25 ansatte ved årets slutt.", 25.0, "employees", "found"), ("Antall årsverk: 12,5", 12.5, "fte", "found"), ("Sysselsatt 1.204 ansatte i 2023.", 1204.0, "employees", "found"),
-    ("Det er 8 årsverk og 10 ansatte.", 8.0, "fte", "found"), ("Det er 8 årsverk. Til sammen 9 årsverk.", None, "fte", "conflict"), ("Ingen tall her", None, None, "none"), (None, None, None, "none"),
-]
-
-
-@query("workforce_extract", f"select * from (values {_rows(*[(i, *r[1:]) for i, r in enumerate(_STAFF)])}) t(id, value, measure, status)")
-def workforce_extract(spark, sf_dir):
-    """AGG22: full-time equivalents come before heads; two different numbers of the best kind are a conflict."""
-    rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_STAFF)], "id int, t string")
-    return extract.workforce(rows, "t").select("id", "value", "measure", "status")
-
-
-@query("task_plan", "select page_id, kind, substr(sha256(cast(page_id as varchar) || '|' || kind || '|' || target), 1, 24) as task_id from (select page_id, unnest(['news_search', 'jobs_search', 'maps_lookup']) as kind, '' as target from pages union all select page_id, 'social_profile', l from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) as l from pages) where contains(l, 'the'))")
-def task_plan(spark, sf_dir):
-    """PRJ15: fixed tasks for every page, and one for each link that stands for a profile; ids tell the same task again."""
-    p = table(spark, sf_dir, "pages")
-    links = F.filter(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))), lambda x: F.contains(x, F.lit("the")))
-    return extract.tasks(p.select("page_id", links.alias("links")), "page_id", "links")
-
-
 @query("years_history", "select user_id, array_to_string(list_sort(list_distinct(list(cast(day(ts) as varchar)))), ',') as days from events group by 1")
 def years_history(spark, sf_dir):
     """PRJ5: the different periods of an entity, sorted."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.dayofmonth("ts").cast("string"))), ",").alias("days"))
 
 
-@query("phones", "select * from (values (0, '22334455'), (1, '22334455'), (2, '12345'), (3, '')) t(id, phone)")
-def phones(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "+47 22 33 44 55"), (1, "0047-22334455"), (2, "123 45"), (3, None)], "id int, p string")
-    return rows.select("id", numbers.phone(F.col("p")).alias("phone"))
-
-
 @query("event_property_sums", "select event_type, cast(json_extract_string(props, '$.k') as bigint) % 10 as bucket, count(*) as n from events group by 1, 2")
 def event_property_sums(spark, sf_dir):
     """SCA37: a nested path of a JSON column; null where it is missing."""

@@ -18,7 +18,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).head()[0]
 
 
-@pytest.mark.parametrize(("raw", "value"), [("1 234,5", 1234.5), ("(7)", -7.0), ("0", 0.0), ("-", None), (None, None), ("x", None), ("1.000.000", 1e6)])
+@pytest.mark.parametrize(("raw", "value"), [("1 234,5", 1234.5), ("(7)", -7.0), ("0", 0.0), ("-", None), (None, None), ("x", None), ("1.000.000", None), ("1.000.000,5", 1000000.5), ("1,234.5", None), ("1.5", 1.5), ("--5", 5.0)])
 def test_numbers(spark, raw, value):
     assert one(spark, numbers.norwegian_number(F.col("raw")), raw=raw) == value
 
@@ -112,3 +112,40 @@ def test_manifest_refuses_bad_and_repeated_keys(spark, tmp_path):
 def test_missing_response_has_status_zero(spark):
     got = readers.responses(spark.createDataFrame([("u",), ("w",)], "url string"), spark.createDataFrame([("u", 200, "b")], "url string, status int, body string")).orderBy("url").collect()
     assert [(r.url, r.status) for r in got] == [("u", 200), ("w", 0)]
+
+
+def test_profiles_of_platforms(spark):
+    from heddle.functions import urls
+
+    profile = lambda u: one(spark, urls.social_profile(F.col("u"))["url"], u=u)
+    assert profile("https://no.linkedin.com/company/Fjord/about?x=1") == "https://linkedin.com/company/Fjord"
+    assert profile("https://x.com/Fjord/status/1") is None and profile("https://linkedin.com/in/ola") is None and profile("https://twitter.com/fjord") == "https://x.com/fjord"
+    assert one(spark, urls.canonical(F.col("u")), u="https://a.no:80/x?b=%C3%A5&a=1+2&utm_source=z") == "https://a.no:80/x?a=1+2&b=%C3%A5"
+    assert one(spark, urls.canonical(F.col("u")), u="http://a.no:80//x") == "http://a.no/x"
+
+
+def test_candidates_need_their_name_in_the_host(spark):
+    from heddle.functions import identity
+
+    args = [F.lit(x) for x in ("Fjord Kraft AS", "912345678", "Bergen", "Fjord Kraft", "kraft i Bergen")]
+    got = one(spark, identity.candidate(*args, F.col("h")), h="kraftnytt.no")
+    assert (got.score, got.publishable) == (0.55, False)
+    assert one(spark, identity.candidate(*args, F.col("h")), h="fjordkraft.no").status == "accepted_for_crawl"
+    assert one(spark, identity.candidate(*args, F.col("h")), h="no.proff.no").score == 0
+    assert one(spark, identity.handle_score(F.lit("Fjord AS"), F.col("h")), h="fjord") == 0.98
+
+
+def test_refused_requests_cost_nothing(spark):
+    rows = spark.createDataFrame([(0, i, c, h) for i, (c, h) in enumerate([(5, False), (5, False), (20, False), (3, True), (20, True), (1, True)])], "budget int, at int, cost int, high boolean")
+    got = rel.admitted(rows, ["at"], "cost", 10, 25, F.col("high")).orderBy("at").collect()
+    plain, made = [], 0
+    for cost, high in [(5, False), (5, False), (20, False), (3, True), (20, True), (1, True)]:
+        plain.append((made, made < (25 if high else 10)))
+        made += cost if plain[-1][1] else 0
+    assert [(r.used_before, r.admitted) for r in got] == plain
+
+
+def test_last_bulk_row_counts(spark):
+    m = spark.createDataFrame([("a", 0), ("b", 1)], "k string, position int")
+    b = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("c", 1, "z")], "k string, at int, v string")
+    assert [(r.k, r.v, r.status) for r in rel.anchor(m, b, "k", "position", "at").collect()] == [("a", "y", "available"), ("b", None, "not_available")]
