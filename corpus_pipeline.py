@@ -6,11 +6,17 @@ folder of ``spark.checkpoint.dir``, so a lost executor costs no more than its ow
 The mixing stage decides about order alone, which Spark does not keep when it reads files: it packs them by size.
 So the last stage sorts by where the mixing stage has written a row, its part file and its place in that, and
 returns rows in the order of the mix.
+
+Defined results: documents with a null or empty text, or fewer words than the base rule asks for, go in the first stage;
+repeated rows are separate documents until the third, which keeps one of each group of near copies; null languages and
+sources are groups of their own; texts of any length are read whole; an empty table gives an empty one with the same
+columns; all stages but the last return the columns they got, others than those of ``documents`` too, and the last one the
+ids, language and source with the tokens. The tables between stages stay in the shared folder until it is emptied,
+since the last stage reads the one before when its rows are asked for.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -18,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import encoding, line_dedup, mixing, ngram_join, quality
+from heddle.llm.common import load, shared_folder
 
 #: No SQL for signatures, components and token ids: tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
@@ -72,10 +79,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shared = shared_folder(spark)
+    docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
