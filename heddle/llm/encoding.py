@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 #: The public vocabulary used where no other is named.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words that a worker remembers between batches, about 200 MB at most.
-REMEMBERED = 400_000
+#: Distinct words that a worker remembers between batches, about 120 MB at most.
+REMEMBERED = 250_000
 #: What an unknown character costs below the least score, fixed by the format.
+#: Pairs of pieces that a worker remembers.
+MOST_PAIRS = 300_000
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -74,21 +77,38 @@ class Pieces:
 
     def merged(self, word: str) -> list[str]:
         """The merges themselves: the best-scored neighbours become one, the leftmost first, until none can."""
-        parts = list(word)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.id.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        open_pairs: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                both = parts[i] + parts[after[i]]
+                k = self.id.get(both)
+                if k is not None:
+                    heappush(open_pairs, (-self.score[k], i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while open_pairs:
+            _, i, both = heappop(open_pairs)
+            # A pair that one of its ends has left since is not there any more.
+            if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != both:
+                continue
+            gone = after[i]
+            parts[i], parts[gone], after[i] = both, None, after[gone]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
 
     def _pair_holds(self, a: int, b: int) -> bool:
         at = a * len(self.piece) + b
         got = self.fits.get(at)
         if got is None:
+            if len(self.fits) >= MOST_PAIRS:
+                self.fits.clear()
             got = self.fits[at] = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
         return got
 

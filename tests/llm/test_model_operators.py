@@ -55,6 +55,31 @@ def test_encoding_odd_rows(spark):
     assert encoding.encoded(rows.limit(0), keep=("doc_id",)).count() == 0
 
 
+def test_runs_of_spaces_take_linear_time(model):
+    """Ids as merging step by step gives them, and 200,000 spaces in seconds."""
+    import time
+
+    own = encoding.Pieces(model)
+
+    def plain(word):
+        parts = list(word)
+        while True:
+            got = [(own.score[own.id[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in own.id]
+            if not got:
+                return parts
+            at = -max(got)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    r = random.Random(4)
+    for n in (1, 2, 3, 7, 16, 17, 33, 70):
+        assert own.merged(encoding.MARK * n) == plain(encoding.MARK * n)
+        word = "".join(r.choice("aehinrst" + encoding.MARK) for _ in range(n))
+        assert own.merged(word) == plain(word)
+    begin = time.perf_counter()
+    assert "".join(own.merged(encoding.MARK * 200_000)) == encoding.MARK * 200_000
+    assert time.perf_counter() - begin < 20
+
+
 def test_models_are_distributions():
     """The probabilities of all strings of one more character after a context, with the closing space, add up to one or less."""
     import pandas as pd
