@@ -45,10 +45,10 @@ from heddle.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]"
 SPACE = " \t\n\x0b\x0c\r"
-#: Characters, pairs and lines that are worked on at once; lines of a band in one piece that are known to share it.
-CHARS_AT_ONCE, PAIRS_AT_ONCE, LINES_AT_ONCE, KNOWN = 1 << 20, 1 << 11, 100_000, 16
+#: Characters, pairs, lines and texts that are worked on at once; lines of a band in one piece that are known to share it.
+CHARS_AT_ONCE, PAIRS_AT_ONCE, LINES_AT_ONCE, TEXTS_AT_ONCE, KNOWN = 1 << 18, 1 << 10, 30_000, 500, 16
 #: Lines and shingles of a bucket in one run; columns of a dense piece of an incidence matrix; entries of a sparse one.
-RUN_LINES, RUN_SHINGLES, COLUMNS, ENTRIES = 2_000, 1_000_000, 4_096, 4_000_000
+RUN_LINES, RUN_SHINGLES, COLUMNS, ENTRIES = 1_000, 500_000, 2_048, 1_000_000
 #: Lines of a bucket whose pairs are looked at one by one.
 SMALL = 12
 #: Bits of a shingle's hash in signatures, beside the line's number.
@@ -171,9 +171,16 @@ def signed_lines(texts: list[str], how: Likeness) -> Iterator[tuple[np.ndarray,
         yield text + a, (number - begins[text]).astype(np.int32), keys, bands
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def _sign(how: Likeness, key: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, order = batch.column(0).to_numpy(), batch.column(1)
             for text, pos, keys, bands in signed_lines(batch.column(2).to_pylist(), how):
                 yield pa.RecordBatch.from_arrays(
@@ -240,7 +247,7 @@ def _pick(how: Likeness):
     """The lines of ``_text`` at the places ``_at`` (``p``, ``key``, ``k``), with the number of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keys, lines, ks = [], [], []
             for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = text.split("\n")
