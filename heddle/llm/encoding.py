@@ -9,7 +9,8 @@ encoding ends and where that piece begins.
 * ``unigram`` models: the state is the best sum of scores, as in Viterbi's algorithm.
 * ``bpe`` models: the best encoding is the one that the merges give. A split is that encoding exactly if all its
   neighbouring pieces, merged afresh, come out as the two pieces again. So a prefix ends in the piece that passes
-  with the end of the prefix before it; there is one. Summing a BPE model's scores as Viterbi does would give
+  with the end of the prefix before it; there is one. The pieces that end where a prefix ends are read off the
+  state of a suffix automaton (goto and failure links over the vocabulary), longest first. Summing a BPE model's scores as Viterbi does would give
   other ids than the model's own, so scores are not summed there.
 
 Words with more than one leading space, whose pieces have equal scores, are merged plainly. Characters outside of
@@ -22,6 +23,7 @@ mark itself decodes to a space there, and ``round_trip`` is false; an empty tabl
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
@@ -36,9 +38,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words that a worker remembers between batches, about 120 MB at most.
 REMEMBERED = 250_000
-#: What an unknown character costs below the least score, fixed by the format.
 #: Pairs of pieces that a worker remembers.
 MOST_PAIRS = 300_000
+#: What an unknown character costs below the least score, fixed by the format.
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -66,15 +68,55 @@ class Pieces:
         breaks = any("\n" in p for p in self.id)
         self.words = re.compile(" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n")
         self.trie: dict = {}
-        for p, k in self.id.items():
-            node = self.trie
-            for ch in p:
-                node = node.setdefault(ch, {})
-            node[""] = k
-        self.seen: dict[str, tuple[int, ...]] = {}
+        if self.kind == "bpe":
+            self._link_suffixes()
+        else:
+            for p, k in self.id.items():
+                node = self.trie
+                for ch in p:
+                    node = node.setdefault(ch, {})
+                node[""] = k
+        self.seen: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
+    def _link_suffixes(self) -> None:
+        """The automaton of the vocabulary: by state its next states, its longest proper suffix, and the pieces (with their
+        lengths) that end in it, longest first."""
+        self.next: list[dict[str, int]] = [{}]
+        own: list[tuple[int, int] | None] = [None]
+        for p, k in self.id.items():
+            at = 0
+            for ch in p:
+                to = self.next[at].get(ch)
+                if to is None:
+                    to = self.next[at][ch] = len(self.next)
+                    self.next.append({})
+                    own.append(None)
+                at = to
+            own[at] = (k, len(p))
+        self.suffix = [0] * len(self.next)
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for ch, to in self.next[at].items():
+                    self.suffix[to] = self._step(self.suffix[at], ch) if at else 0
+                    rest = self.ending[self.suffix[to]]
+                    self.ending[to] = (own[to], *rest) if own[to] else rest
+                    below.append(to)
+            level = below
+
+    def _step(self, state: int, ch: str) -> int:
+        while True:
+            to = self.next[state].get(ch)
+            if to is not None:
+                return to
+            if not state:
+                return 0
+            state = self.suffix[state]
+
     def merged(self, word: str) -> list[str]:
         """The merges themselves: the best-scored neighbours become one, the leftmost first, until none can."""
         parts: list[str | None] = list(word)
@@ -104,12 +146,13 @@ class Pieces:
         return [p for p in parts if p is not None]
 
     def _pair_holds(self, a: int, b: int) -> bool:
+        """Whether two pieces side by side stay apart, and the merges make the second at all."""
         at = a * len(self.piece) + b
         got = self.fits.get(at)
         if got is None:
             if len(self.fits) >= MOST_PAIRS:
                 self.fits.clear()
-            got = self.fits[at] = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+            got = self.fits[at] = self._stands(b) and self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
         return got
 
     def _stands(self, k: int) -> bool:
@@ -122,18 +165,26 @@ class Pieces:
     def _bytes_of(self, ch: str) -> tuple[int, ...]:
         return tuple(self.byte[b] for b in ch.encode("utf-8", "surrogatepass")) if self.byte else (self.unknown,)
 
-    def _extend_merges(self, ch: str, end: int, open_now: list, ends: list[int]) -> tuple[int, int, list]:
-        """The piece in which the prefix up to ``end`` ends and where it begins, and the matches still open."""
-        more, piece, begin = [], -1, end - 1
-        for at, node in [*open_now, (end - 1, self.trie)]:
-            node = node.get(ch)
-            if node is None:
-                continue
-            more.append((at, node))
-            k = node.get("")
-            if k is not None and piece < 0 and (at == 0 or ends[at] < 0 or self._pair_holds(ends[at], k)) and self._stands(k):
-                piece, begin = k, at
-        return piece, begin, more
+    def _extend_merges(self, word: str, ends: list[int], begins: list[int], states: list[int]) -> None:
+        """From the prefix that the lists cover to the whole word: the piece in which each prefix ends, where that begins, and the
+        automaton's state."""
+        state, width, fits, step, ending = states[-1], len(self.piece), self.fits, self.next, self.ending
+        for end in range(len(states), len(word) + 1):
+            ch = word[end - 1]
+            to = step[state].get(ch)
+            state = self._step(self.suffix[state], ch) if to is None else to
+            piece, begin = -1, end - 1
+            for k, long in ending[state]:
+                last = ends[end - long]
+                holds = self._stands(k) if last < 0 else fits.get(last * width + k)
+                if holds is None:
+                    holds = self._pair_holds(last, k)
+                if holds:
+                    piece, begin = k, end - long
+                    break
+            ends.append(piece)
+            begins.append(begin)
+            states.append(state)
 
     def _extend_scores(self, ch: str, end: int, open_now: list, sums: list[float]) -> tuple[int, int, list, float]:
         more, piece, begin, best = [], -1, end - 1, sums[end - 1] + self.least
@@ -152,8 +203,8 @@ class Pieces:
         """Ids of distinct words, by one walk of their trie."""
         out: dict[str, tuple[int, ...]] = {}
         bpe = self.kind == "bpe"
-        # By length of prefix: the piece that it ends in (-1: an unknown character), where that begins, the sum, open matches.
-        ends, begins, sums, open_at = [-1], [0], [0.0], [[]]
+        # By length of prefix: the piece that it ends in (-1: an unknown character), where that begins, the sum, open matches or state.
+        ends, begins, sums, open_at = [-1], [0], [0.0], [0] if bpe else [[]]
         before = ""
         for raw in sorted(words):
             word = raw.replace(" ", MARK)
@@ -164,21 +215,24 @@ class Pieces:
             while same < most and before[same] == word[same]:
                 same += 1
             del ends[same + 1 :], begins[same + 1 :], sums[same + 1 :], open_at[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                if bpe:
-                    piece, begin, more = self._extend_merges(word[end - 1], end, open_at[end - 1], ends)
-                else:
-                    piece, begin, more, best = self._extend_scores(word[end - 1], end, open_at[end - 1], sums)
-                    sums.append(best)
+            if bpe:
+                self._extend_merges(word, ends, begins, open_at)
+            for end in range(len(ends), len(word) + 1):
+                piece, begin, more, best = self._extend_scores(word[end - 1], end, open_at[end - 1], sums)
+                sums.append(best)
                 ends.append(piece)
                 begins.append(begin)
                 open_at.append(more)
             before = word
-            parts, end = [], len(word)
+            ids, end = [], len(word)
             while end:
-                parts.append((ends[end],) if ends[end] >= 0 else self._bytes_of(word[end - 1]))
+                if ends[end] >= 0:
+                    ids.append(ends[end])
+                else:
+                    ids.extend(reversed(self._bytes_of(word[end - 1])))
                 end = begins[end]
-            out[raw] = tuple(chain.from_iterable(reversed(parts)))
+            ids.reverse()
+            out[raw] = tuple(ids)
         return out
 
     def split(self, text: str) -> list[str]:
@@ -188,15 +242,15 @@ class Pieces:
         return self.words.findall(" " + plain if self.prefix else plain)
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; words are looked up among those remembered."""
+        """Ids of each text; words are looked up among those remembered. When they grow too many, those of the texts at hand stay."""
         words = [self.split(t or "") for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.seen)
+        here = set(chain.from_iterable(words))
+        new = here.difference(self.seen)
         if len(self.seen) + len(new) > REMEMBERED:
-            self.seen = {}
-            new = set(chain.from_iterable(words))
-        self.seen.update(self.encode_words(list(new)))
+            self.seen = {w: self.seen[w] for w in here.difference(new)}
+        self.seen.update((w, array("i", ids).tobytes()) for w, ids in self.encode_words(list(new)).items())
         get = self.seen.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, w)), np.int32) for w in words]
+        return [np.frombuffer(b"".join(map(get, w)), np.intc) for w in words]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
