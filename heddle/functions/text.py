@@ -23,8 +23,12 @@ def folded(text: Column) -> Column:
 def tokens(text: Column, stop: list[str] = LEGAL_WORDS, least: int = 2) -> Column:
     """T1: folded runs of letters and digits without legal words and single characters; none for null."""
     found = F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    keep = F.filter(found, lambda x: F.length(x) >= least)
-    return F.filter(keep, lambda x: ~x.isin(stop)) if stop else keep
+    return without(F.filter(found, lambda x: F.length(x) >= least), stop)
+
+
+def without(words: Column, stop: list[str] = LEGAL_WORDS) -> Column:
+    """Words that aren't among ``stop``."""
+    return F.filter(words, lambda x: ~x.isin(stop)) if stop else words
 
 
 def search_tokens(text: Column) -> Column:

@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 FAILED = ["source_error", "failed", "blocked"]
 
 
-def unpivoted(rows: DataFrame, key: str, fields: list[str], status: str | None = None, kept: list[str] = ()) -> DataFrame:
-    """One row for each entity and tracked field, value as string, nulls kept."""
-    cols = [F.col(f).cast("string").alias(f) for f in fields]
-    extra = [F.col(status).alias("status")] if status else [F.lit("available").alias("status")]
-    return rows.select(key, *kept, *extra, *cols).unpivot([key, *kept, "status"], fields, "field", "value")
-
-
-def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """REF1, REF2: differing fields. A null that a failed source left behind is no change; unequal memberships show as
-    rows with ``side``."""
-    o = old.select(key, "field", F.col("value").alias("old_value"), F.lit(1).alias("_o"))
-    n = new.select(key, "field", F.col("value").alias("new_value"), F.col("status").alias("new_status"), F.lit(1).alias("_n"))
-    both = o.join(n, [key, "field"], "full")
-    differs = ~F.col("old_value").eqNullSafe(F.col("new_value"))
-    silent = F.col("new_value").isNull() & F.coalesce(F.col("new_status").isin(FAILED), F.lit(False))
-    side = F.when(F.col("_o").isNull(), "only_new").when(F.col("_n").isNull(), "only_old").otherwise("both")
-    return both.withColumn("side", side).filter((differs & ~silent) | (F.col("side") != "both")).select(key, "field", "old_value", "new_value", "side")
+def changes(old: DataFrame, new: DataFrame, key: str, fields: dict[str, str], status: str | None = None, strict: bool = False) -> DataFrame:
+    """REF1, REF2: differing fields, compared as strings; ``fields`` names the tracked field of each column. A null that a failed source
+    left behind (``status`` of the new row) is no change. An entity of one snapshot alone shows all its fields with ``side``, or fails the
+    query if ``strict``.
+
+    The snapshots are joined once, a row an entity; only what changed becomes rows.
+    """
+    packed = lambda rows, name, *more: rows.select(key, F.struct(*[F.col(c).cast("string").alias(c) for c in fields], *more).alias(name))
+    both = packed(old, "_old").join(packed(new, "_new", *([F.col(status).alias("_status")] if status else [])), key, "full")
+    lone = lambda side: F.raise_error(F.lit("both snapshots must have the same entities")).cast("string") if strict else F.lit(side)
+    both = both.withColumn("side", F.when(F.col("_old").isNull(), lone("only_new")).when(F.col("_new").isNull(), lone("only_old")).otherwise("both"))
+    failed = F.coalesce(F.col("_new._status").isin(FAILED), F.lit(False)) if status else F.lit(False)
+
+    def change(column: str, field: str) -> Column:
+        was, now = F.col(f"_old.{column}"), F.col(f"_new.{column}")
+        differs = ~was.eqNullSafe(now) & ~(now.isNull() & failed)
+        return F.when(differs | (F.col("side") != "both"), F.struct(F.lit(field).alias("field"), was.alias("old_value"), now.alias("new_value")))
+
+    each = both.select(key, "side", F.explode(F.array_compact(F.array(*[change(c, f) for c, f in fields.items()]))).alias("_c"))
+    return each.select(key, "_c.field", "_c.old_value", "_c.new_value", "side")
 
 
 def change_type(field: Column, old: Column, new: Column) -> Column:

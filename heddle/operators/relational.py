@@ -54,12 +54,19 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, n: int, seed
     return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def split(rows: DataFrame, key: str, seed: str, total: int) -> DataFrame:
-    """WIN5: development, validation and held-out by rank, at 60, 20 and 20 %, rounded half to even."""
-    w = Window.orderBy(hash_rank(F.col(key), seed), key)
-    at = F.row_number().over(w)
-    dev, val = round(total * 0.6), round(total * 0.2)
-    return rows.withColumn("split", F.when(at <= dev, "development").when(at <= dev + val, "validation").otherwise("held_out"))
+def split(rows: DataFrame, key: str, seed: str, digits: int = 4) -> DataFrame:
+    """WIN5: development, validation and held-out by rank, at 60, 20 and 20 %, rounded half to even.
+
+    Ranks are counted in runs of the hash's first ``digits``; of these there are at most ``16 ** digits``, whose starts are broadcast.
+    """
+    hashed = rows.withColumn("_hash", hash_rank(F.col(key), seed)).withColumn("_run", F.substring("_hash", 1, digits))
+    runs = hashed.groupBy("_run").agg(F.count("*").alias("_in"))
+    w = Window.orderBy("_run")
+    starts = runs.select("_run", (F.sum("_in").over(w) - F.col("_in")).alias("_start"), F.sum("_in").over(Window.partitionBy()).alias("_n"))
+    at = F.row_number().over(Window.partitionBy("_run").orderBy("_hash", key)) + F.col("_start")
+    dev, val = F.bround(F.col("_n") * 0.6), F.bround(F.col("_n") * 0.2)
+    named = F.when(at <= dev, "development").when(at <= dev + val, "validation").otherwise("held_out")
+    return hashed.join(F.broadcast(starts), "_run").withColumn("split", named).drop("_hash", "_run", "_start", "_n")
 
 
 def nearest_rank(column: str, q: float) -> Column:
@@ -67,10 +74,29 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) within group (order by {column})")
 
 
-def index_percentile(rows: DataFrame, column: str, order: str, at: dict[str, str]) -> DataFrame:
-    """AGG6, AGG7: values at the zero-based places given as SQL over ``n``, the number of rows."""
-    ranked = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.row_number().over(Window.orderBy(column, order)).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.agg(*[F.max(F.when(F.col("r") == F.expr(place) + 1, F.col("v"))).alias(name) for name, place in at.items()])
+def values_at(rows: DataFrame, column: str, at: dict[str, str], by: str | None = None, runs: int = 128) -> DataFrame:
+    """AGG5-AGG7: the values at zero-based places of the sorted ones, given as SQL over ``n``, the number of rows that aren't null; for
+    each ``by``, if given. A group without values, or an empty table with ``by``, gives no row.
+
+    Equal values are counted first. Approximate quantiles only deal the different values into ``runs``; places are exact, from the counts of the
+    runs, and only runs that hold a place are sorted.
+    """
+    group = F.col(by) if by else F.lit(0)
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(group.alias("_g"), F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    edges = counted.groupBy("_g").agg(F.percentile_approx("_v", [i / runs for i in range(1, runs)], 1_000).alias("_edges"))
+    same = F.col("_g").eqNullSafe(F.col("_h"))
+    dealt = counted.join(edges.withColumnRenamed("_g", "_h"), same).select("_g", "_v", "_c", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_run"))
+    w = Window.partitionBy("_g")
+    held = dealt.groupBy("_g", "_run").agg(F.sum("_c").alias("_in")).withColumns({"n": F.sum("_in").over(w), "_upto": F.sum("_in").over(w.orderBy("_run"))})
+    places = {name: F.expr(place) for name, place in at.items()}
+    has = [(F.col("_upto") > p) & (F.col("_upto") - F.col("_in") <= p) for p in places.values()]
+    wanted = held.filter(F.greatest(*has, F.lit(False))).select(F.col("_g").alias("_h"), F.col("_run").alias("_r"), "n", (F.col("_upto") - F.col("_in")).alias("_before"))
+    found = dealt.join(wanted, same & (F.col("_run") == F.col("_r")))
+    last = F.sum("_c").over(Window.partitionBy("_g", "_run").orderBy("_v")) + F.col("_before")
+    found = found.withColumn("_last", last)
+    here = lambda p: (F.col("_last") > p) & (F.col("_last") - F.col("_c") <= p)
+    picked = [F.max(F.when(here(p), F.col("_v"))).alias(name) for name, p in places.items()]
+    return found.groupBy(F.col("_g").alias(by)).agg(*picked) if by else found.agg(*picked)
 
 
 def admitted(rows: DataFrame, order: list[str], cost: str, soft: float, hard: float, high: Column) -> DataFrame:

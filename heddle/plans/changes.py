@@ -26,19 +26,21 @@ def _snapshots(spark, sf_dir):
         "k", F.col("o_orderpriority").alias(names[0]), F.when(k % 97 == 0, F.concat("price", F.lit("0"))).when(k % 101 != 0, F.col("price")).alias(names[1]),
         F.when(k % 89 == 0, "X").otherwise(F.col("o_orderstatus")).alias(names[2]), F.when(k % 202 == 0, "source_error").otherwise("available").alias("status"),
     )
-    back = F.create_map(*[F.lit(x) for n, f in zip(names, FIELDS, strict=True) for x in (n, f)])
-    dotted = lambda rows: rows.withColumn("field", back[F.col("field")])
-    return dotted(refresh.unpivoted(old, "k", names)), dotted(refresh.unpivoted(new, "k", names, "status"))
+    return old, new
+
+
+def _changes(old, new):
+    return refresh.changes(old, new, "k", {f.replace(".", "_"): f for f in FIELDS}, "status")
 
 
 @query("refresh_diff", f"with {_BOTH_SQL} select * from changed")
 def refresh_diff(spark, sf_dir):
-    return refresh.changes(*_snapshots(spark, sf_dir), "k").select("k", "field", "old_value", "new_value")
+    return _changes(*_snapshots(spark, sf_dir)).select("k", "field", "old_value", "new_value")
 
 
 @query("refresh_typed_changes", f"with {_BOTH_SQL} select k, field, case when old_value is null then 'new_fact' when contains(field, 'roles') then 'role_changed' when contains(field, 'financial') then 'financial_update' when contains(field, 'employees') then 'workforce_updated' when contains(field, 'website') then 'website_updated' else 'value_updated' end as change_type, 'evt-' || substr(sha256(cast(k as varchar) || ':' || field || ':' || sha256(coalesce(new_value, 'null'))), 1, 16) as event_id from changed")
 def refresh_typed_changes(spark, sf_dir):
-    c = refresh.changes(*_snapshots(spark, sf_dir), "k")
+    c = _changes(*_snapshots(spark, sf_dir))
     content = F.sha2(F.coalesce("new_value", F.lit("null")), 256)
     return c.select("k", "field", refresh.change_type(F.col("field"), F.col("old_value"), F.col("new_value")).alias("change_type"), refresh.event_id(F.col("k"), F.col("field"), content).alias("event_id"))
 
@@ -47,19 +49,19 @@ def refresh_typed_changes(spark, sf_dir):
 def refresh_suppression(spark, sf_dir):
     """How many nulls left by failed sources were not taken for removals."""
     old, new = _snapshots(spark, sf_dir)
-    loud = refresh.changes(old, new.withColumn("status", F.lit("available")), "k")
-    return loud.join(refresh.changes(old, new, "k"), ["k", "field"], "left_anti").agg(F.count("*").alias("suppressed"))
+    loud = _changes(old, new.withColumn("status", F.lit("available")))
+    return loud.join(_changes(old, new), ["k", "field"], "left_anti").agg(F.count("*").alias("suppressed"))
 
 
 @query("refresh_idempotent_count", "select 0 as changes")
 def refresh_idempotent_count(spark, sf_dir):
     _, new = _snapshots(spark, sf_dir)
-    return refresh.changes(new, new, "k").agg(F.count("*").cast("int").alias("changes"))
+    return _changes(new, new).agg(F.count("*").cast("int").alias("changes"))
 
 
 @query("refresh_replay_metrics", f"with {_BOTH_SQL}, e as (select k, field from changed where k % 2 = 0 or field = 'website.title' union select k, 'registry.employees' from o where k % 1000 = 1), t as (select count(*) filter (where a.k is not null and b.k is not null) as tp, count(*) filter (where a.k is null) as fp, count(*) filter (where b.k is null) as fn from e a full join changed b on a.k = b.k and a.field = b.field) select tp, fp, fn, case when tp + fp = 0 then 1.0 else round_even(tp / (tp + fp), 6) end as precision, case when tp + fn = 0 then 1.0 else round_even(tp / (tp + fn), 6) end as recall from t")
 def refresh_replay_metrics(spark, sf_dir):
-    observed = refresh.changes(*_snapshots(spark, sf_dir), "k").select("k", "field")
+    observed = _changes(*_snapshots(spark, sf_dir)).select("k", "field")
     extra = table(spark, sf_dir, "orders").filter("o_orderkey % 1000 = 1").select(F.col("o_orderkey").alias("k"), F.lit("registry.employees").alias("field"))
     return refresh.replay_metrics(observed.filter("k % 2 = 0 or field = 'website.title'").unionByName(extra), observed, ["k", "field"])
 

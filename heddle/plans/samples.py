@@ -74,7 +74,7 @@ def stratified_hash_sample(spark, sf_dir):
 @query("split_assignment", "with r as (select s_suppkey, row_number() over (order by sha256('sp:' || cast(s_suppkey as varchar)), s_suppkey) as i, count(*) over () as n from supplier) select s_suppkey, case when i <= round_even(n * 0.6, 0) then 'development' when i <= round_even(n * 0.6, 0) + round_even(n * 0.2, 0) then 'validation' else 'held_out' end as split from r")
 def split_assignment(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
-    return rel.split(s, "s_suppkey", "sp", s.count())
+    return rel.split(s, "s_suppkey", "sp")
 
 
 @query("selected_set_hash", "select sha256(string_agg(cast(k as varchar), chr(10) order by cast(k as varchar))) as set_hash from (select o_orderkey as k from orders order by sha256('20260822:' || cast(o_orderkey as varchar)), o_orderkey limit 100)")
@@ -85,12 +85,14 @@ def selected_set_hash(spark, sf_dir):
 
 @query("latency_summary", "select event_type, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as top from events group by 1")
 def latency_summary(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), rel.nearest_rank("value", 0.5).alias("p50"), rel.nearest_rank("value", 0.95).alias("p95"), F.max("value").alias("top"))
+    e = _events(spark, sf_dir)
+    ranks = rel.values_at(e, "value", {"p50": "cast(ceil(n * 0.5) as bigint) - 1", "p95": "cast(ceil(n * 0.95) as bigint) - 1"}, "event_type")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top")).join(ranks, "event_type", "left")
 
 
 @query("index_percentiles", "with r as (select value as v, row_number() over (order by value, event_id) - 1 as i, count(*) over () as n from events where value is not null) select max(v) filter (where i = least(n - 1, cast(floor(n * 0.95) as bigint))) as p95_capped, max(v) filter (where i = n // 2) as p50_half, max(v) filter (where i = cast(floor((n - 1) * 0.95) as bigint)) as p95_inner from r")
 def index_percentiles(spark, sf_dir):
-    return rel.index_percentile(_events(spark, sf_dir), "value", "event_id", {"p95_capped": "least(n - 1, cast(floor(n * 0.95) as bigint))", "p50_half": "n div 2", "p95_inner": "cast(floor((n - 1) * 0.95) as bigint)"})
+    return rel.values_at(_events(spark, sf_dir), "value", {"p95_capped": "least(n - 1, cast(floor(n * 0.95) as bigint))", "p50_half": "n div 2", "p95_inner": "cast(floor((n - 1) * 0.95) as bigint)"})
 
 
 @query("domain_fairness", f"select quantile_disc(n, 0.5) as p50, quantile_disc(n, 0.95) as p95, max(n) as top, count(*) as domains from (select {_HOST_SQL} as host, count(*) as n from pages group by 1)")

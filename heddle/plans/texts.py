@@ -18,8 +18,8 @@ def _tok(x: str, stop: list[str] = text.LEGAL_WORDS, least: int = 2) -> str:
 
 @query("token_counts", f"select lang, sum(len({_tok('text', [])})) as tokens, count(*) as docs, sum(len(list_distinct({_tok('text')}))) as different from documents group by 1")
 def token_counts(spark, sf_dir):
-    t = F.col("text")
-    g = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.size(text.search_tokens(t))).alias("tokens"), F.count("*").alias("docs"), F.sum(F.size(F.array_distinct(text.tokens(t)))).alias("different"))
+    words = table(spark, sf_dir, "documents").select("lang", text.search_tokens(F.col("text")).alias("w"))
+    g = words.groupBy("lang").agg(F.sum(F.size("w")).alias("tokens"), F.count("*").alias("docs"), F.sum(F.size(F.array_distinct(text.without(F.col("w"))))).alias("different"))
     return g.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("tokens", "different")})
 
 
@@ -40,12 +40,17 @@ def _pages(spark, sf_dir):
 
 @query("benchmark_ngram_match", f"with b as (select item_id, ' ' || array_to_string({_tok('text', [])}, ' ') || ' ' as n from benchmark), d as (select doc_id, ' ' || array_to_string({_tok('text', [])}, ' ') || ' ' as h from documents) select item_id, doc_id from b join d on contains(h, n)")
 def benchmark_ngram_match(spark, sf_dir):
-    """FLT16's core: benchmark passages that stand word for word in documents, found by their first five words."""
-    words = lambda t: text.search_tokens(F.col(t))
-    b = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("needle")).filter(F.size("needle") >= 5).withColumn("k", F.array_join(F.slice("needle", 1, 5), " "))
-    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("hay")).filter(F.size("hay") >= 5)
-    starts = d.select("doc_id", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("hay") - 4), lambda i: F.array_join(F.slice("hay", i, 5), " ")))).alias("k"))
-    return starts.join(b, "k").filter(text.contiguous(F.col("hay"), F.col("needle"))).select("item_id", "doc_id").distinct()
+    """FLT16's core: benchmark passages that stand word for word in documents, found by their first five words, or their first
+    where they have fewer. Only keys meet; texts are fetched for the pairs that they give."""
+    split = lambda name, key: table(spark, sf_dir, name).select(key, text.search_tokens(F.col("text")).alias("w"))
+    five = lambda w, i: F.array_join(F.slice(w, i, 5), " ")
+    b = split("benchmark", "item_id").filter(F.size("w") > 0).withColumn("k", F.when(F.size("w") >= 5, five("w", 1)).otherwise(F.get("w", F.lit(0))))
+    d = split("documents", "doc_id")
+    windows = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: five("w", i))).otherwise(F.array().cast("array<string>"))
+    starts = d.select("doc_id", F.explode(F.array_distinct(F.concat("w", windows))).alias("k"))
+    pairs = starts.join(b.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()
+    found = pairs.join(b.select("item_id", F.col("w").alias("needle")), "item_id").join(d.select("doc_id", F.col("w").alias("hay")), "doc_id")
+    return found.filter(text.contiguous(F.col("hay"), F.col("needle"))).select("item_id", "doc_id")
 
 
 _HEADLINES = [

@@ -57,13 +57,30 @@ def test_anchor_keeps_every_manifest_row(spark):
 def test_failed_source_is_no_removal(spark):
     old = spark.createDataFrame([("1", "a"), ("2", "b")], "k string, v string")
     new = spark.createDataFrame([("1", None, "source_error"), ("2", None, "available")], "k string, v string, s string")
-    got = refresh.changes(refresh.unpivoted(old, "k", ["v"]), refresh.unpivoted(new, "k", ["v"], "s"), "k").collect()
+    got = refresh.changes(old, new, "k", {"v": "v"}, "s").collect()
     assert [(r.k, r.old_value, r.new_value) for r in got] == [("2", "b", None)]
 
 
 def test_same_snapshot_twice_is_no_change(spark):
-    rows = refresh.unpivoted(spark.createDataFrame([("1", "a", None)], "k string, v string, w string"), "k", ["v", "w"])
-    assert refresh.changes(rows, rows, "k").count() == 0
+    rows, none = spark.createDataFrame([("1", "a", None)], "k string, v string, w string"), {"v": "v", "w": "w"}
+    assert refresh.changes(rows, rows, "k", none).count() == 0
+
+
+def test_strict_changes_need_the_same_entities(spark):
+    a, b = spark.createDataFrame([("1", "a")], "k string, v string"), spark.createDataFrame([("2", "a")], "k string, v string")
+    assert {r.side for r in refresh.changes(a, b, "k", {"v": "v"}).collect()} == {"only_old", "only_new"}
+    with pytest.raises(Exception, match="same entities"):
+        refresh.changes(a, b, "k", {"v": "v"}, strict=True).collect()
+
+
+def test_values_at_places(spark):
+    values = [None, 5.0, 1.0, 1.0, 1.0, 9.0, 3.0] + [7.0] * 300 + [float(i) for i in range(100, 400)]
+    rows = spark.createDataFrame([(g, v) for g in ("a", "b", None) for v in values], "g string, v double")
+    places = {"first": "0", "half": "n div 2", "last": "n - 1"}
+    want = sorted(v for v in values if v is not None)
+    got = rel.values_at(rows, "v", places, "g", runs=8).collect()
+    assert {(r.g, r.first, r.half, r.last) for r in got} == {(g, want[0], want[len(want) // 2], want[-1]) for g in ("a", "b", None)}
+    assert rel.values_at(rows.filter("false"), "v", places, "g").count() == 0
 
 
 def test_nothing_expected_and_nothing_seen_is_perfect(spark):
