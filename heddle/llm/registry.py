@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import encoding, language, line_dedup, matroska, mixing, ngram_join, quality, sharding, site_style, toxicity
+from heddle.llm import divergence, encoding, filter_audit, language, line_dedup, matroska, mixing, ngram_join, quality, sharding, simhash, site_style, toxicity
 from heddle.llm.common import load
 from heddle.llm.oracles import ORACLES
 
@@ -52,6 +52,18 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found
