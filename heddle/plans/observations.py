@@ -125,27 +125,3 @@ def external_evaluation(spark, sf_dir):
     sets = {"workforce": ["job_posting", "workforce_snapshot"], "reviews": ["review", "review_summary", "place_summary"], "buzz": ["public_post", "public_mention", "profile_metrics"]}
     per = observations(spark, sf_dir).filter(F.size("reasons") == 0).groupBy("organisation_number").agg(*[F.max(F.col("signal_type").isin(v).cast("int")).alias(k) for k, v in sets.items()])
     return per.agg(F.count("*").alias("companies"), *[F.bround(F.avg(k), 6).alias(k) for k in sets])
-
-
-@query("strategy_history", "select event_type as strategy, count(*) as runs, count(*) filter (where value > 20) as successes, round_even(avg(value), 6) as mean_gain from events group by 1")
-def strategy_history(spark, sf_dir):
-    """AGG18."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("strategy")).agg(F.count("*").alias("runs"), F.count_if(F.col("value") > 20).alias("successes"), F.bround(F.avg("value"), 6).alias("mean_gain"))
-
-
-@query("strategy_order", "with s as (select event_type as strategy, avg(value) as m, count(*) as n, sum(count(*)) over () as t from events group by 1) select strategy, round_even(m + 0.35 * sqrt(ln(t + 1) / (n + 1)), 6) as priority, cast(row_number() over (order by round_even(m + 0.35 * sqrt(ln(t + 1) / (n + 1)), 6) desc, strategy) as int) as place from s")
-def strategy_order(spark, sf_dir):
-    """TOP4: mean gain and a bonus for what was tried little; ties by name."""
-    from pyspark.sql import Window
-
-    s = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("strategy")).agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    s = s.withColumn("t", F.sum("n").over(Window.partitionBy()))
-    p = F.bround(F.col("m") + 0.35 * F.sqrt(F.ln(F.col("t") + 1) / (F.col("n") + 1)), 6)
-    return s.select("strategy", p.alias("priority")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "strategy")))
-
-
-@query("controller_final_score", f"with {OBSERVATIONS_SQL}, o as (select *, len(reasons) = 0 as ok, false as experimental from judged) select organisation_number, cast({_score_sql(False)} as double) as score from o group by 1")
-def controller_final_score(spark, sf_dir):
-    """The controller's last score doesn't depend on the order of its steps: it is the score of all that they found."""
-    rows = observations(spark, sf_dir).withColumn("experimental", F.lit(False))
-    return fp.development_score(rows).select("organisation_number", "score")
