@@ -8,8 +8,8 @@ documents have which mask, so a part needs one vector of counts and the 120 orde
    by xxhash. A chain holds the whole text of each entry, so two texts with one fingerprint stay two, and its smallest id. Ids that
    aren't the smallest are done with where they are met; each text goes on once, to the partition of its fingerprint, with
    its smallest id. So of a group of copies, however large, a task sends one row.
-2. *Chain.* The receiving partition chains the same way and settles the smallest ids against each other. Partitions are four for
-   each that was read, so the texts that a task holds don't grow with the corpus.
+2. *Chain.* The receiving partition chains the same way and settles the smallest ids against each other. There are as many partitions as the
+   bytes of all texts, summed up before, ask for, so the texts that a task holds don't grow with the corpus.
 3. *Merge.* Documents with labels get them by a join on ids, without texts. ``combineByKey`` adds each to its part's vector, on the map
    side first, so a part that holds a third of all rows sends one vector a task.
 
@@ -37,10 +37,10 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 100, 80, 10
 CAPITALS, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
-#: Bytes of texts that a task chains before it sends them on.
+#: Bytes of texts that a task chains before it sends them on, and that a receiving partition gets.
 HELD_BYTES = 32_000_000
-#: Receiving partitions for each partition that is read.
-SPREAD = 4
+#: Partitions of the parts' vectors.
+PARTS = 4
 
 RESULT = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
@@ -126,8 +126,10 @@ def _settled(routed: Iterable[tuple[int, tuple]]) -> Iterator[tuple]:
 
 def masks(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang", held_bytes: int = HELD_BYTES) -> RDD:
     """``(id, part, mask, rows)`` for all documents."""
+    total = docs.agg(F.sum(F.octet_length(docs[text]))).head()[0] or 0
     rows = docs.select(docs[key], docs[text], F.coalesce(docs[part], F.lit(""))).rdd
-    return rows.mapPartitions(_sent(held_bytes)).partitionBy(SPREAD * rows.getNumPartitions(), int).mapPartitions(_settled)
+    partitions = max(rows.getNumPartitions(), -(-total // HELD_BYTES))
+    return rows.mapPartitions(_sent(held_bytes)).partitionBy(partitions, int).mapPartitions(_settled)
 
 
 def _vector() -> np.ndarray:
@@ -167,5 +169,5 @@ def audit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     found = spark.createDataFrame(masks(docs, key, text, part), f"id {kind}, part string, mask int, n long", verifySchema=False)
     marked = labels.groupBy(labels[key].alias("id")).agg(F.max(labels["quality"] == 1).alias("good"), F.max(labels["toxic"] == 1).alias("toxic")).filter("good or toxic")
     rows = found.join(marked, "id", "left").select("part", "mask", "n", "good", "toxic").rdd.map(lambda r: (r[0], r[1:]))
-    merged = rows.combineByKey(lambda r: _counted(_vector(), r), _counted, np.add, numPartitions=SPREAD)
+    merged = rows.combineByKey(lambda r: _counted(_vector(), r), _counted, np.add, numPartitions=PARTS)
     return spark.createDataFrame(merged.flatMap(lambda x: lattice(*x)), RESULT, verifySchema=False)
