@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,33 @@ def local_session(cores: int | None = None, name: str = "heddle", **extra: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of the input folder, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors see. Where it is unset, as in tests, one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a session, so that they import it from wherever the driver was started."""
+    sent = spark.conf.get("spark.heddle.shipped", None)
+    if sent == spark.sparkContext.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="heddle-"), "heddle.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("heddle", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("spark.heddle.shipped", spark.sparkContext.applicationId)
