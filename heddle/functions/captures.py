@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.text import meaningful_name_tokens
 
 
 def news_items(feed: Column) -> Column:
@@ -33,15 +32,6 @@ def job_cards(html: Column, most: int = 30) -> Column:
     return F.slice(F.array_distinct(F.filter(plain, lambda x: F.length(x).between(4, 100))), 1, most)
 
 
-def listing_score(name: Column, street: Column, postcode: Column, phone: Column, title: Column, address: Column, listed_phone: Column) -> Column:
-    """SCA9, its exact parts: share of the name's words in the title (.6), street and postcode in the address (.1 each), equal
-    phones (.2)."""
-    own = F.array_distinct(meaningful_name_tokens(name))
-    share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, meaningful_name_tokens(title))) / F.size(own)).otherwise(0.0)
-    inside = lambda x: F.coalesce((x != "") & F.contains(F.lower(address), F.lower(x)), F.lit(False)).cast("double")
-    return F.bround(0.6 * share + 0.1 * inside(street) + 0.1 * inside(postcode) + 0.2 * F.coalesce((phone != "") & (phone == listed_phone), F.lit(False)).cast("double"), 6)
-
-
 def channels(videos: DataFrame, key: str, channel: str, views: str) -> DataFrame:
     """SRC20, AGG23: a company's channels with their number of videos and mean views, the largest first by number and name."""
     from pyspark.sql import Window

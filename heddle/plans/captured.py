@@ -32,15 +32,6 @@ def job_cards(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(captures.job_cards(h)).cast("bigint").alias("cards"))
 
 
-@query("listing_scores", "select * from (values (0, cast(1.0 as double)), (1, cast(0.3 as double)), (2, cast(0.0 as double))) t(id, score)")
-def listing_scores(spark, sf_dir):
-    rows = spark.createDataFrame(
-        [(0, "Fjord Kraft AS", "Strandgaten 1", "5004", "22334455", "Fjord Kraft", "Strandgaten 1, 5004 Bergen", "22334455"), (1, "Fjord Kraft AS", "Vei 2", "1", "", "Kraft kafé", "x", ""), (2, None, None, None, None, None, None, None)],
-        "id int, name string, street string, postcode string, phone string, title string, address string, listed string",
-    )
-    return rows.select("id", captures.listing_score(*[F.col(c) for c in rows.columns[1:]]).cast("double").alias("score"))
-
-
 @query("channel_groups", "select user_id, event_type as channel, n, mean_views, cast(row_number() over (partition by user_id order by n desc, event_type) as int) as place from (select user_id, event_type, count(*) as n, round_even(avg(event_id), 3) as mean_views from events group by 1, 2)")
 def channel_groups(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "channel")

@@ -171,15 +171,6 @@ def identity_score_v2(spark, sf_dir):
     return _scored(spark, identity.site_score_v2)
 
 
-@query("maps_choice_ambiguous", "with s as (select c_nationkey, c_custkey, round(c_acctbal / 1000) as score from customer), t as (select c_nationkey, max(score) as top from s group by 1) select s.c_nationkey, case when count(*) > 1 then 'ambiguous' else 'matched' end as status, case when count(*) = 1 then min(c_custkey) end as choice from s join t on t.c_nationkey = s.c_nationkey and s.score = t.top group by 1")
-def maps_choice_ambiguous(spark, sf_dir):
-    """TOP3: the best candidate, and none if two are best."""
-    s = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.round(F.col("c_acctbal") / 1000).alias("score"))
-    top = s.groupBy("c_nationkey").agg(F.max("score").alias("top"))
-    g = s.join(top, "c_nationkey").filter("score = top").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
-    return g.select("c_nationkey", F.when(F.col("n") > 1, "ambiguous").otherwise("matched").alias("status"), F.when(F.col("n") == 1, F.col("first")).alias("choice"))
-
-
 @query("name_dialects", "select * from (values (0, 'fjord kraft as', 'fjord kraft', 'fjord-kraft-as', 'fjord kraft'), (1, 'as på ås as', 'as på ås', 'as-pa-as-as', 'på ås'), (2, '', '', '', '')) t(id, full_name, company_name, slug, news_name)")
 def name_dialects(spark, sf_dir):
     rows = spark.createDataFrame([(0, "Fjord Kraft AS"), (1, "AS På Ås AS"), (2, None)], "id int, n string")
