@@ -95,3 +95,39 @@ def reject_reason(url: Column) -> Column:
         .when(v4 & private, "private address")
         .when((h.rlike(r"^\[") & ~h.rlike(r"^\[[23][0-9a-f]{3}:") | h.rlike(r"^\[2001:0?db8:")) | h.rlike(r"^[0-9]+$|^0x"), "literal address")
     )
+
+
+def bound(value: Column, of) -> Column:
+    """``of(value)``, with the value worked out once however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _stepped(full: Column) -> Column:
+    """A path with its steps of ``.`` and ``..`` taken."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(F.regexp_replace(full, "^/", ""), "/")
+    tail = F.when(full.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    walked = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    taken = bound(walked, lambda w: F.concat(F.lit("/"), w, F.when(w == "", "").otherwise(tail)))
+    return F.when(full.rlike(r"(^|/)\.{1,2}(/|$)"), taken).otherwise(full)
+
+
+def joined(base: Column, reference: Column) -> Column:
+    """A reference as it stands on the page ``base``, absolute: with the page's scheme, host, path or query where it has none of its own, steps of ``.`` and
+    ``..`` taken. Null if either is null."""
+
+    def absolute(ref: Column) -> Column:
+        origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        path, query = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+        folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
+        own, rest = F.regexp_extract(ref, "^([^?#]*)", 1), F.regexp_extract(ref, "^[^?#]*(.*)$", 1)
+        full = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+        return (
+            F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+            .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), ref))
+            .when(ref == "", base)
+            .when(own == "", F.concat(origin, path, F.when(F.startswith(rest, F.lit("?")), rest).otherwise(F.concat(query, rest))))
+            .otherwise(F.concat(origin, bound(full, _stepped), rest))
+        )
+
+    return bound(F.trim(reference), absolute)

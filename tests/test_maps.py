@@ -87,5 +87,5 @@ def test_reviews_are_labelled_by_their_stars(spark):
     said = [("a", 5.0, " Bra ", "t", "u1"), ("b", 3.0, "", None, None), (None, 1.0, "x" * 2000, None, ""), ("d", 0.0, "y", None, "u2"), ("e", 5.5, "y", None, "u2"), ("f", None, "y", None, "u2")]
     rows = spark.createDataFrame([("1", "exact_match", ("l", said)), ("2", "ambiguous_exact_match", None), ("3", "exact_match", ("l", None))], schema)
     got = maps.reviews(rows, "t").orderBy("reviewer_id").collect()
-    assert [(r.reviewer_id, r.sentiment_label, r.evidence_span[:30], len(r.evidence_span)) for r in got] == [("anonymous-1", "neutral", "Explicit customer rating: 3.0/5", 31)[:2] + ("Explicit customer rating: 3.0/", 31), ("anonymous-2", "negative", "x" * 30, 1200), ("u1", "positive", "Bra", 3)]
+    assert [(r.reviewer_id, r.sentiment_label, r.evidence_span[:30], len(r.evidence_span)) for r in got] == [("anonymous-1", "neutral", "Explicit customer rating: 3.0/", 31), ("anonymous-2", "negative", "x" * 30, 1200), ("u1", "positive", "Bra", 3)]
     assert got[2].id == "gmaps-review-1-a" and len(got[1].id) == len("gmaps-review-1-") + 20
