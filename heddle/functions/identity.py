@@ -50,10 +50,16 @@ def _facts(name: Column, number: Column, headers: list[Column], body: Column):
     return whole, core, overlap, ratio, together, digits, there
 
 
-def site_score_v1(name: Column, number: Column, headers: list[Column], body: Column) -> Column:
+def site_score_v1(name: Column, number: Column, headers: list[Column], body: Column, pages: Column | None = None) -> Column:
     """SCA4, first match: parked .1; sports club without a mention .3; number 1; name in a header .95 (a single word only with
-    100 characters of text); three quarters of its words .85; half .65; else .3. At least two words for the last two."""
+    100 characters of text); three quarters of its words .85; half .65; else .3. At least two words for the last two.
+
+    ``pages`` is the text of other pages of the site: it counts for all but the number and the headers, which have to be the homepage's."""
     whole, core, overlap, ratio, together, _, there = _facts(name, number, headers, body)
+    if pages is not None:
+        whole = F.concat_ws(" ", whole, F.coalesce(pages, F.lit("")))
+        overlap = F.size(F.array_intersect(core, tokens(whole)))
+        ratio = F.when(F.size(core) > 0, overlap / F.size(core)).otherwise(0.0)
     low, n = folded(whole), F.size(core)
     club = F.coalesce(name, F.lit("")).rlike(r"(?i)(^|\s)B\.?\s*I\.?\s*L\.?(\s|$)") & ~F.contains(low, F.lit("bedriftsidrett")) & ~F.contains(F.array_join(tokens(whole), " "), F.lit("b i l"))
     enough = F.length(F.trim(F.coalesce(body, F.lit("")))) >= 100

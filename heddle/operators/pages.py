@@ -46,19 +46,28 @@ class _Text:
         return " ".join(" ".join(self.pieces).split())
 
 
+def _selector(text: str):
+    """Whether an element begins a card: ``tag.class``, or ``[attribute=start of its value]``."""
+    if text.startswith("["):
+        name, _, start = text[1:-1].partition("=")
+        return lambda tag, a: a.get(name, "").startswith(start) and name in a
+    wanted, _, kind = text.partition(".")
+    return lambda tag, a: tag == wanted and (not kind or kind in a.get("class", "").split())
+
+
 class PageReader(HTMLParser):
     """One pass over markup: open elements on a stack, each with the texts that it gathers."""
 
-    def __init__(self, card: tuple[str, str]) -> None:
+    def __init__(self, wanted: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.card = card
+        self.wanted = [_selector(x) for x in wanted.split(",") if x]
         self.open: list[tuple[str, list[_Text], bool]] = []
         self.gathering: list[_Text] = []
         self.silent = self.aside = self.inside = 0
         self.title: _Text | None = None
         self.raw: list[str] | None = None
         self.metas, self.links, self.embedded, self.json_ld, self.identity, self.cards = [], [], [], [], [], []
-        self.card_depth = 0
+        self.open_cards: list[list] = []
         self.own, self.other = _Text(), _Text()
         self.scripts = 0
 
@@ -84,14 +93,15 @@ class PageReader(HTMLParser):
         if tag in IDENTITY_TAGS or set(a.get("itemprop", "").split()) & IDENTITY_PROPERTIES:
             gathers.append(own := _Text())
             self.identity.append(own)
-        begins = tag == self.card[0] and self.card[1] in a.get("class", "").split()
+        begins = any(fits(tag, a) for fits in self.wanted)
         if begins:
-            self.cards.append([])
-            self.card_depth += 1
-        if self.card_depth:
+            self.open_cards.append([])
+            self.cards.append(self.open_cards[-1])
+        if self.open_cards:
             gathers.append(own := _Text())
-            self.cards[-1].append((tag, {k: a[k] for k in CARD_ATTRIBUTES if k in a}, own))
+            self.open_cards[-1].append((tag, {k: a[k] for k in CARD_ATTRIBUTES if k in a}, own))
         if tag in VOID:
+            del self.open_cards[len(self.open_cards) - begins :]
             return
         self.silent += tag in SILENT
         self.aside += tag in ASIDE
@@ -112,7 +122,7 @@ class PageReader(HTMLParser):
             if gathers:
                 ended = set(map(id, gathers))
                 self.gathering = [g for g in self.gathering if id(g) not in ended]
-            self.card_depth -= began
+            del self.open_cards[len(self.open_cards) - began :]
             self.silent -= name in SILENT
             self.aside -= name in ASIDE
             self.inside -= name in ("article", "main")
@@ -141,19 +151,19 @@ class PageReader(HTMLParser):
 
 @F.udtf(returnType=PARTS)
 class PageParts:
-    """A page's parts as one row; ``card`` is the element and class of the cards that are wanted, with a dot between, or empty."""
+    """A page's parts as one row; ``cards`` tells which elements are cards (see :func:`_selector`), with commas between. An element belongs to the
+    innermost card that it is in."""
 
-    def eval(self, html: str | None, card: str) -> Iterator[tuple]:
-        tag, _, name = (card or ".").partition(".")
-        reader = PageReader((tag, name))
+    def eval(self, html: str | None, cards: str) -> Iterator[tuple]:
+        reader = PageReader(cards)
         reader.feed(html or "")
         reader.close()
         yield reader.row()
 
 
-def with_parts(pages: DataFrame, html: str = "html", card: str = "") -> DataFrame:
+def with_parts(pages: DataFrame, html: str = "html", cards: str = "") -> DataFrame:
     """Pages with the columns of their parts (see ``PARTS``)."""
-    return pages.lateralJoin(PageParts(F.col(html).outer(), F.lit(card)))
+    return pages.lateralJoin(PageParts(F.col(html).outer(), F.lit(cards)))
 
 
 def description(metas: Column) -> Column:

@@ -22,7 +22,7 @@ HTML = """<!DOCTYPE html><html><head><title> Fjord &amp; Kraft <b>x</b></title><
 
 def test_parts_of_a_page(spark):
     rows = spark.createDataFrame([(1, HTML), (2, None), (3, ""), (4, "<p>bare"), (5, "</div><div class='card x'><a class=l href=u>A</a><time datetime=2024></time></div><div class='card'>B<div>C</div></div><p>D")], "id int, html string")
-    got = {r.id: r for r in pages.with_parts(rows, card="div.card").collect()}
+    got = {r.id: r for r in pages.with_parts(rows, cards="div.card").collect()}
     r = got[1]
     assert (r.title, r.main_text, r.identity_text, r.scripts) == ("Fjord & Kraft x", "Velkommen Vi selger strøm . Alltid. Ring <oss>", "22 33 Fjord AS Vei 1 Vei 1", 1)
     assert [(m.name, m.content) for m in r.metas] == [("description", "Strøm  til alle"), ("og:description", "og")]
@@ -31,6 +31,9 @@ def test_parts_of_a_page(spark):
     assert [json.loads(t)["@context"] for t in r.json_ld] == ["x"] and r.cards == []
     assert all((got[k].title, got[k].links, got[k].json_ld, got[k].scripts) == ("", [], [], 0) for k in (2, 3, 4)) and got[4].main_text == "bare"
     assert [[(e.tag, e.attributes, e.text) for e in c] for c in got[5].cards] == [[("div", {"class": "card x"}, "A"), ("a", {"class": "l", "href": "u"}, "A"), ("time", {"datetime": "2024"}, "")], [("div", {"class": "card"}, "B C"), ("div", {}, "C")]]
+    nested = spark.createDataFrame([("<section class=a><p>1</p><b data-test-id=about-x>2<i>3</i></b><p>4</p></section><hr data-test-id=about-y><b>5</b>",)], "html string")
+    cards = pages.with_parts(nested, cards="section.a,[data-test-id=about-]").head().cards
+    assert [[(e.tag, e.text) for e in c] for c in cards] == [[("section", "1 2 3 4"), ("p", "1"), ("p", "4")], [("b", "2 3"), ("i", "3")], [("hr", "")]]
 
 
 def test_profiles_and_priority_links(spark):
