@@ -16,8 +16,9 @@ TRAILING_FORMS = "as asa ba da enk nuf sa stiftelsen".split()
 
 
 def folded(text: Column) -> Column:
-    """Lower case without marks: æ becomes ae, ø o, å a; letters without a plain form go. Null stays null."""
-    return F.translate(F.replace(F.lower(text), F.lit("æ"), F.lit("ae")), MARKED, PLAIN)
+    """Lower case without marks: æ becomes ae, ø o, å a; letters without a plain form go. Null stays null. Texts of plain letters alone are only put in lower case."""
+    low = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(F.translate(F.replace(low, F.lit("æ"), F.lit("ae")), MARKED, PLAIN))
 
 
 def tokens(text: Column, stop: list[str] = LEGAL_WORDS, least: int = 2) -> Column:

@@ -71,6 +71,31 @@ def stratified_hash_sample(spark, sf_dir):
     return rel.stratified_sample(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 20, "st").select("c_mktsegment", "c_custkey", "place")
 
 
+_STRATA_SQL = "case when c_mktsegment = 'BUILDING' then c_mktsegment || '|' || (c_custkey % 3) when c_custkey % 40 = 1 then 'rare|' || (c_custkey % 5) else 'OTHER' end"
+_SHARE_SQL = lambda weight, total, keep: f"select {keep}, floor(cast({weight} as double) * {total} / nullif(sum({weight}) over (), 0)) as low, cast({weight} as double) * {total} / nullif(sum({weight}) over (), 0) as share"
+
+
+@query(
+    "population_stress_sample",
+    f"""with c as (select c_custkey, {_STRATA_SQL} as stratum from customer), s as (select stratum, count(*) as have, least(70, sum(count(*)) over ()) as target from c group by 1),
+a as ({_SHARE_SQL("have", "target", "stratum, have, target")} from s),
+p as (select *, low + case when row_number() over (order by share - low desc, stratum) <= target - sum(low) over () then 1 else 0 end as population from a),
+f as (select stratum, have, population, least(greatest(1, least(3, floor(30 / count(*) over ()))), have - population) as wish, 100 - sum(population) over () as room from p),
+g as (select *, greatest(0, least(wish, room - coalesce(sum(wish) over (order by stratum rows between unbounded preceding and 1 preceding), 0))) as floored from f),
+r as (select *, have - population - floored as rest, least(room - sum(floored) over (), sum(have - population - floored) over ()) as missing from g),
+b as ({_SHARE_SQL("rest", "missing", "stratum, population, floored, rest, missing")} from r),
+q as (select stratum, population, population + floored + coalesce(low, 0) + case when rest > 0 and row_number() over (order by coalesce(share - low, 0) desc, stratum) <= missing - sum(coalesce(low, 0)) over () then 1 else 0 end as quota from b),
+k as (select *, row_number() over (partition by stratum order by sha256('20260822:' || cast(c_custkey as varchar)), c_custkey) as place from c)
+select c_custkey, k.stratum, cast(place as int) as place, case when place <= population then 'population' else 'stress' end as sample_slice from k join q using (stratum) where place <= quota""",
+)
+def population_stress_sample(spark, sf_dir):
+    """SMP1: a hundred customers, seventy in proportion to their strata, the others such that rare strata are there."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    stratum = F.when(segment == "BUILDING", F.concat(segment, F.lit("|"), (k % 3).cast("string"))).when(k % 40 == 1, F.concat(F.lit("rare|"), (k % 5).cast("string"))).otherwise("OTHER")
+    c = table(spark, sf_dir, "customer").select("c_custkey", stratum.alias("stratum"))
+    return rel.population_and_stress(c, "stratum", "c_custkey", 100, "20260822").select("c_custkey", "stratum", "place", "sample_slice")
+
+
 @query("split_assignment", "with r as (select s_suppkey, row_number() over (order by sha256('sp:' || cast(s_suppkey as varchar)), s_suppkey) as i, count(*) over () as n from supplier) select s_suppkey, case when i <= round_even(n * 0.6, 0) then 'development' when i <= round_even(n * 0.6, 0) + round_even(n * 0.2, 0) then 'validation' else 'held_out' end as split from r")
 def split_assignment(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
@@ -85,9 +110,8 @@ def selected_set_hash(spark, sf_dir):
 
 @query("latency_summary", "select event_type, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as top from events group by 1")
 def latency_summary(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    ranks = rel.values_at(e, "value", {"p50": "cast(ceil(n * 0.5) as bigint) - 1", "p95": "cast(ceil(n * 0.95) as bigint) - 1"}, "event_type")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top")).join(ranks, "event_type", "left")
+    ranks = {"p50": "cast(ceil(n * 0.5) as bigint) - 1", "p95": "cast(ceil(n * 0.95) as bigint) - 1"}
+    return rel.values_at(_events(spark, sf_dir), "value", ranks, "event_type", summary=True)
 
 
 @query("index_percentiles", "with r as (select value as v, row_number() over (order by value, event_id) - 1 as i, count(*) over () as n from events where value is not null) select max(v) filter (where i = least(n - 1, cast(floor(n * 0.95) as bigint))) as p95_capped, max(v) filter (where i = n // 2) as p50_half, max(v) filter (where i = cast(floor((n - 1) * 0.95) as bigint)) as p95_inner from r")
@@ -97,8 +121,9 @@ def index_percentiles(spark, sf_dir):
 
 @query("domain_fairness", f"select quantile_disc(n, 0.5) as p50, quantile_disc(n, 0.95) as p95, max(n) as top, count(*) as domains from (select {_HOST_SQL} as host, count(*) as n from pages group by 1)")
 def domain_fairness(spark, sf_dir):
-    g = table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
-    return g.agg(rel.nearest_rank("n", 0.5).alias("p50"), rel.nearest_rank("n", 0.95).alias("p95"), F.max("n").alias("top"), F.count("*").alias("domains"))
+    g = table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n_requests"))
+    ranks = {"p50": "cast(ceil(n * 0.5) as bigint) - 1", "p95": "cast(ceil(n * 0.95) as bigint) - 1"}
+    return rel.values_at(g, "n_requests", ranks, summary=True).withColumnRenamed("n", "domains")
 
 
 @query("status_counts", "select event_type, count(*) as n, count(distinct user_id) as users from events group by 1")
@@ -134,13 +159,13 @@ def budget_summary(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("event_type").agg(used.cast("decimal(38,0)").alias("requests"), (used >= 1750).alias("soft_limit_hit"), (used >= 1900).alias("hard_limit_hit"))
 
 
-@query("history_ring", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 3")
+@query("history_ring", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 100")
 def history_ring(spark, sf_dir):
-    """WIN9: the last entries of each workspace."""
+    """WIN9: the last hundred entries of each workspace."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return _events(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r <= 3").select("user_id", "event_id")
+    return _events(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r <= 100").select("user_id", "event_id")
 
 
 @query("set_operations", "select 'intersect' as op, count(*) as n from (select c_nationkey from customer where c_acctbal > 0 intersect select s_nationkey from supplier) union all select 'except', count(*) from (select o_custkey from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderstatus = 'O') union all select 'union', count(*) from (select c_nationkey from customer union select s_nationkey from supplier)")

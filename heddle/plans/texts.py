@@ -47,7 +47,9 @@ def benchmark_ngram_match(spark, sf_dir):
     b = split("benchmark", "item_id").filter(F.size("w") > 0).withColumn("k", F.when(F.size("w") >= 5, five("w", 1)).otherwise(F.get("w", F.lit(0))))
     d = split("documents", "doc_id")
     windows = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: five("w", i))).otherwise(F.array().cast("array<string>"))
-    starts = d.select("doc_id", F.explode(F.array_distinct(F.concat("w", windows))).alias("k"))
+    # Single words are looked up only if a passage has no five of them.
+    short = bool(b.filter(F.size("w") < 5).head(1))
+    starts = d.select("doc_id", F.explode(F.array_distinct(F.concat("w", windows) if short else windows)).alias("k"))
     pairs = starts.join(b.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()
     found = pairs.join(b.select("item_id", F.col("w").alias("needle")), "item_id").join(d.select("doc_id", F.col("w").alias("hay")), "doc_id")
     return found.filter(text.contiguous(F.col("hay"), F.col("needle"))).select("item_id", "doc_id")
