@@ -85,11 +85,10 @@ HEADLINE_BEFORE = "av for fra hos i med om på til og kjøper velger".split()
 
 
 def headline_match(name: Column, title: Column) -> Column:
-    """Whether a headline names the company: the words of its name in a row, first or after a word that may stand
+    """FLT16: whether a headline names the company: the words of its whole legal name in a row, first or after a word that may stand
     before; what follows the last `` - `` (the publisher) doesn't count."""
     words = lambda x: F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9æøå]+"), F.lit(0))
-    head = words(F.regexp_replace(title, r" - (?:(?! - ).)*$", ""))
-    own = F.filter(words(name), lambda x: ~x.isin(TRAILING_FORMS))
+    head, own = words(F.regexp_replace(title, r" - (?:(?! - ).)*$", "")), words(name)
     n = F.size(own)
     places = F.sequence(F.lit(1), F.greatest(F.size(head) - n + 1, F.lit(1)))
     at = F.exists(places, lambda i: (F.slice(head, i, n) == own) & ((i == 1) | F.coalesce(F.get(head, (i - 2).cast("int")).isin(HEADLINE_BEFORE), F.lit(False))))

@@ -47,10 +47,13 @@ class _Text:
 
 
 def _selector(text: str):
-    """Whether an element begins a card: ``tag.class``, or ``[attribute=start of its value]``."""
+    """Whether an element begins a card: ``tag.class``, ``tag*part of a class``, or ``[attribute=start of its value]``."""
     if text.startswith("["):
         name, _, start = text[1:-1].partition("=")
         return lambda tag, a: a.get(name, "").startswith(start) and name in a
+    if "*" in text:
+        wanted, _, part = text.partition("*")
+        return lambda tag, a: tag == wanted and part in a.get("class", "")
     wanted, _, kind = text.partition(".")
     return lambda tag, a: tag == wanted and (not kind or kind in a.get("class", "").split())
 

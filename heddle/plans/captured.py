@@ -9,29 +9,6 @@ from heddle.functions import captures, numbers, udfs
 from heddle.registry import query
 from heddle.session import table
 
-_FEED = "<rss><item><title>Fjord vokser - Avisen</title><link>https://a.no/1</link><pubDate>Tue, 02 Jan 2024 08:00:00 GMT</pubDate></item><item><title>Ny</title><link></link><pubDate>igår</pubDate></item></rss>"
-
-
-@query("news_feed", "select * from (values (0, 0, 'Fjord vokser - Avisen', 'https://a.no/1', '2024-01-02 08:00:00'), (0, 1, 'Ny', null, null)) t(id, place, title, link, published_at)")
-def news_feed(spark, sf_dir):
-    rows = spark.createDataFrame([(0, _FEED), (1, "no feed"), (2, None)], "id int, feed string")
-    items = rows.select("id", F.posexplode(captures.news_items(F.col("feed"))).alias("place", "i"))
-    return items.select("id", "place", "i.title", "i.link", F.date_format("i.published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
-
-
-@query("iso_times", "select * from (values (0, '2024-01-02 08:00:00'), (1, '2024-01-02 06:00:00'), (2, '2024-01-02 08:00:00'), (3, null), (4, null)) t(id, moment)")
-def iso_times(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "2024-01-02T08:00:00Z"), (1, "2024-01-02T08:00:00+02:00"), (2, "2024-01-02T08:00:00"), (3, "soon"), (4, None)], "id int, t string")
-    return rows.select("id", F.date_format(captures.iso_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("moment"))
-
-
-@query("job_cards", "select page_id, len(list_filter(list_distinct(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)), lambda x: length(trim(x)) between 4 and 100)) as cards from pages")
-def job_cards(spark, sf_dir):
-    """Headings of pages read as job cards."""
-    h = F.replace(F.replace(F.col("html"), F.lit("<h1>"), F.lit("<h3>")), F.lit("</h1>"), F.lit("</h3>"))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(captures.job_cards(h)).cast("bigint").alias("cards"))
-
-
 @query("channel_groups", "select user_id, event_type as channel, n, mean_views, cast(row_number() over (partition by user_id order by n desc, event_type) as int) as place from (select user_id, event_type, count(*) as n, round_even(avg(event_id), 3) as mean_views from events group by 1, 2)")
 def channel_groups(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "channel")

@@ -53,12 +53,6 @@ def refresh_suppression(spark, sf_dir):
     return loud.join(_changes(old, new), ["k", "field"], "left_anti").agg(F.count("*").alias("suppressed"))
 
 
-@query("refresh_idempotent_count", "select 0 as changes")
-def refresh_idempotent_count(spark, sf_dir):
-    _, new = _snapshots(spark, sf_dir)
-    return _changes(new, new).agg(F.count("*").cast("int").alias("changes"))
-
-
 @query("refresh_replay_metrics", f"with {_BOTH_SQL}, e as (select k, field from changed where k % 2 = 0 or field = 'website.title' union select k, 'registry.employees' from o where k % 1000 = 1), t as (select count(*) filter (where a.k is not null and b.k is not null) as tp, count(*) filter (where a.k is null) as fp, count(*) filter (where b.k is null) as fn from e a full join changed b on a.k = b.k and a.field = b.field) select tp, fp, fn, case when tp + fp = 0 then 1.0 else round_even(tp / (tp + fp), 6) end as precision, case when tp + fn = 0 then 1.0 else round_even(tp / (tp + fn), 6) end as recall from t")
 def refresh_replay_metrics(spark, sf_dir):
     observed = _changes(*_snapshots(spark, sf_dir)).select("k", "field")
@@ -71,3 +65,11 @@ def fact_fingerprint(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     value = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"'))
     return o.select("o_orderkey", refresh.fingerprint(F.col("o_orderkey"), F.lit("status"), value, F.year("o_orderdate").cast("string")).alias("fingerprint"))
+
+
+@query("refresh_idempotent_count", f"with {_BOTH_SQL} select 'first' as run, count(*) as changes from changed union all select 'again', 0")
+def refresh_idempotent_count(spark, sf_dir):
+    """REF2: what a refresh finds, and what the same snapshot finds against itself."""
+    old, new = _snapshots(spark, sf_dir)
+    told = lambda name, changes: changes.agg(F.count("*").alias("changes")).select(F.lit(name).alias("run"), "changes")
+    return told("first", _changes(old, new)).unionByName(told("again", _changes(new, new.repartition(3))))

@@ -157,12 +157,6 @@ def company_brief(spark, sf_dir):
     return rows.select("organisation_number", brief(rows).alias("brief"))
 
 
-@query("accounting_obligation", "select f.form, year, case when year is not null then 'filing_observed' when form in ('AS', 'ASA', 'BRL', 'BBL', 'STI', 'SF', 'VPFO') then 'required_by_legal_form' when form in ('ENK', 'ANS', 'DA', 'SA', 'FLI', 'ESEK', 'NUF', 'UTLA', 'ORGL', 'SAM', 'SPA', 'KS', 'BO') then 'threshold_or_activity_dependent' else 'special_rule_or_review_required' end as classification from (select unnest(['AS', 'ENK', 'KIRK', 'BRL', 'DA', null]) as form) f cross join (select unnest([2024, null]) as year) y")
-def accounting_obligation_query(spark, sf_dir):
-    rows = spark.createDataFrame([(f, y) for f in ("AS", "ENK", "KIRK", "BRL", "DA", None) for y in (2024, None)], "form string, year int")
-    return rows.select("form", "year", accounting_obligation(F.col("form"), F.col("year")).alias("classification"))
-
-
 @query("claims_per_company", f"{_CLAIMS_SQL} select n_claims, count(*) as companies from (select organisation_number, count(*) as n_claims from claims where availability = 'available' group by 1) group by 1")
 def claims_per_company(spark, sf_dir):
     ok = F.size(F.filter(claims(), lambda c: c["availability"] == "available")).cast("bigint")

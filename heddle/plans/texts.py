@@ -19,7 +19,7 @@ def _tok(x: str, stop: list[str] = text.LEGAL_WORDS, least: int = 2) -> str:
 @query("token_counts", f"select lang, sum(len({_tok('text', [])})) as tokens, count(*) as docs, sum(len(list_distinct({_tok('text')}))) as different from documents group by 1")
 def token_counts(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select("lang", text.search_tokens(F.col("text")).alias("w"))
-    g = words.groupBy("lang").agg(F.sum(F.size("w")).alias("tokens"), F.count("*").alias("docs"), F.sum(F.size(F.array_distinct(text.without(F.col("w"))))).alias("different"))
+    g = words.groupBy("lang").agg(F.sum(F.size("w")).alias("tokens"), F.count("*").alias("docs"), F.sum(F.size(F.array_except("w", F.array(*map(F.lit, text.LEGAL_WORDS))))).alias("different"))
     return g.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("tokens", "different")})
 
 
@@ -55,18 +55,6 @@ def benchmark_ngram_match(spark, sf_dir):
     return found.filter(text.contiguous(F.col("hay"), F.col("needle"))).select("item_id", "doc_id")
 
 
-_HEADLINES = [
-    ("Fjord Kraft AS", "Fjord Kraft vokser i vest - Avisen", True), ("Fjord Kraft AS", "Nytt fra Fjord Kraft - E24", True), ("Fjord Kraft AS", "Store Fjord Kraft avtaler", False),
-    ("Fjord Kraft AS", "Kraft fra fjord", False), ("Fjord Kraft AS", "Ny leder - Fjord Kraft", False), ("Ås Bakeri", "Ås Bakeri kjøper ovn", True), ("", "Tomt", False), ("Nord AS", None, False),
-]
-
-
-@query("headline_match", "select * from (values " + ", ".join(f"({i}, {str(r).lower()})" for i, (_, _, r) in enumerate(_HEADLINES)) + ") t(id, named)")
-def headline_match(spark, sf_dir):
-    rows = spark.createDataFrame([(i, n, t) for i, (n, t, _) in enumerate(_HEADLINES)], "id int, name string, title string")
-    return rows.select("id", text.headline_match(F.col("name"), F.col("title")).alias("named"))
-
-
 @query("token_set_ops", f"with t as (select a.doc_id, list_distinct({_tok('a.text')}) as x, list_distinct({_tok('b.text')}) as y from documents a join documents b on b.doc_id = a.doc_id + 1 where a.n_chars < 3000 and b.n_chars < 3000) select doc_id, len(list_intersect(x, y)) as both, len(x) - len(list_intersect(x, y)) as only_left, len(list_distinct(list_concat(x, y))) as either, len(list_intersect(x, y)) > 0 as overlap from t".replace(" where a.n_chars < 3000 and b.n_chars < 3000", ""))
 def token_set_ops(spark, sf_dir):
     """SET2-SET4 and SET7 over the words of neighbouring documents."""
@@ -98,88 +86,12 @@ def homepage_normalise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.homepage(F.col("url")).alias("homepage"))
 
 
-_URLS = [
-    ("https://www.linkedin.com/company/fjord/about/?x=1", "linkedin:company/fjord", None), ("https://facebook.com/sharer/x", None, None), ("https://x.com/Fjord/status/1", "x:fjord", None), ("https://linkedin.com/feed", None, None),
-    ("http://10.0.0.1/a", None, "private address"), ("ftp://a.b/c", None, "scheme"), ("https://u:p@a.no/", None, "credentials"), ("https://intranet.local/", None, "private name"), ("https://a.example.com/", None, None),
-    ("http://172.31.0.9/", None, "private address"), ("http://172.32.0.9/", None, None), ("http://localhost/", None, "private name"), ("http://[::1]/", None, "literal address"), (None, None, "scheme"), ("https:///x", None, "host"),
-]
-_null = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-@query("public_url_reject", "select * from (values " + ", ".join(f"({i}, {_null(r)})" for i, (_, _, r) in enumerate(_URLS)) + ") t(id, reason)")
-def public_url_reject(spark, sf_dir):
-    return spark.createDataFrame([(i, u[0]) for i, u in enumerate(_URLS)], "id int, url string").select("id", urls.reject_reason(F.col("url")).alias("reason"))
-
-
 @query("page_extract", f"select page_id, {_TITLE} as title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as h1, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) as links, regexp_extract(html, '<footer>(.*?)</footer>', 1) as footer, sha256(html) as content_sha256 from pages")
 def page_extract(spark, sf_dir):
     h = F.col("html")
     return _pages(spark, sf_dir).select("page_id", "title", "h1", F.size(F.regexp_extract_all(h, F.lit('href="[^"]*"'), F.lit(0))).cast("bigint").alias("links"), F.regexp_extract(h, "<footer>(.*?)</footer>", 1).alias("footer"), F.sha2(h, 256).alias("content_sha256"))
 
 
-@query("js_shell", "select page_id, len(regexp_extract_all(html, '<script')) >= 1 and length(trim(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'))) < 2500 as shell from pages")
-def js_shell(spark, sf_dir):
-    """FLT20, with a limit that some generated pages are under."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    return table(spark, sf_dir, "pages").select("page_id", ((F.size(F.regexp_extract_all("html", F.lit("<script"), F.lit(0))) >= 1) & (F.length(F.trim(bare)) < 2500)).alias("shell"))
-
-
-_NUMBERS = [("Org 912 345 678 og 812345679", "812345679,912345678"), ("tel 91234567", ""), ("x912345678", ""), ("912345678, 912345678", "912345678"), ("foretak 9 1 2 3 4 5 6 7 8", "912345678"), (None, "")]
-
-
-@query("org_number_extract", "select * from (values " + ", ".join(f"({i}, '{r}')" for i, (_, r) in enumerate(_NUMBERS)) + ") t(id, numbers)")
-def org_number_extract(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_NUMBERS)], "id int, t string")
-    return rows.select("id", F.coalesce(F.array_join(identity.organisation_numbers(F.col("t")), ","), F.lit("")).alias("numbers"))
-
-
-_LONG = "Vi lager energi for hele landet. " * 4
-_SITES = [  # name, number, title, description, body, score by the first list, by the second
-    ("Fjord Kraft AS", "912345678", "This domain is for sale", "", "", 0.1, 0.1),
-    ("Fjord Kraft AS", "912345678", "Fjord Kraft", "", "Org 912 345 678", 1.0, 1.0),
-    ("Fjord Kraft AS", "912345678", "Fjord Kraft", "", "Org 812345679", 0.95, 0.0),
-    ("Fjord Kraft AS", "912345678", "Fjord Kraft Ltd", "", "", 0.95, 0.3),
-    ("Fjord Kraft AS", "912345678", "Velkommen til Fjord Kraft", "", "", 0.95, 0.95),
-    ("Fjord AS", "912345678", "Fjord", "", _LONG, 0.95, 0.9),
-    ("Fjord AS", "912345678", "Fjord", "", "kort", 0.3, 0.6),
-    ("Fjord Kraft Nord Vest AS", "", "Fjord Kraft Nord", "", "", 0.85, 0.85),
-    ("Fjord Kraft Nord Vest AS", "", "Fjord Kraft", "", "", 0.65, 0.6),
-    ("Fjord Kraft AS", "", "Noe helt annet", "", "", 0.3, 0.3),
-    ("Havn B.I.L.", "912345678", "Havn", "", "912345678", 0.3, 1.0),
-    ("Fjord Kraft AS", "", "buy this domain", "", "", 0.3, 0.1),
-    (None, None, None, None, None, 0.3, 0.3),
-]
-
-
-def _scored(spark, f):
-    rows = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(_SITES)], "id int, name string, number string, title string, description string, body string")
-    c = F.col
-    score = f(c("name"), c("number"), [c("title"), c("description")], c("body"))
-    return rows.select("id", score.cast("double").alias("score"), identity.status(score).alias("status"))
-
-
-def _sites_sql(i: int) -> str:
-    values = ", ".join(f"({k}, cast({r[i]} as double), '{'exact' if r[i] >= 0.9 else 'review' if r[i] >= 0.8 else 'related_or_uncertain'}')" for k, r in enumerate(_SITES))
-    return f"select * from (values {values}) t(id, score, status)"
-
-
-@query("identity_score_v1", _sites_sql(5))
-def identity_score_v1(spark, sf_dir):
-    return _scored(spark, identity.site_score_v1)
-
-
-@query("identity_score_v2", _sites_sql(6))
-def identity_score_v2(spark, sf_dir):
-    return _scored(spark, identity.site_score_v2)
-
-
-@query("name_dialects", "select * from (values (0, 'fjord kraft as', 'fjord kraft', 'fjord-kraft-as', 'fjord kraft'), (1, 'as på ås as', 'as på ås', 'as-pa-as-as', 'på ås'), (2, '', '', '', '')) t(id, full_name, company_name, slug, news_name)")
-def name_dialects(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "Fjord Kraft AS"), (1, "AS På Ås AS"), (2, None)], "id int, n string")
-    n = F.col("n")
-    return rows.select("id", text.full_name(n).alias("full_name"), text.company_name(n).alias("company_name"), text.slug(n).alias("slug"), text.news_name(n).alias("news_name"))
-
-
 @query("sequence_ratio")
 def sequence_ratio(spark, sf_dir):
     """SCA10, of the title and the first heading of every page."""

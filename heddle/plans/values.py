@@ -26,14 +26,6 @@ def financial_normalise(spark, sf_dir):
     return o.select("o_orderkey", numbers.norwegian_number(F.col("raw"), scale).alias("revenue"), numbers.norwegian_number(F.col("raw_result"), scale).alias("result"))
 
 
-@query("revenue_fallback", f"select * from (values {_rows((0, 5.0, 0), (1, 7.0, 0), (2, 0.0, 3), (3, None, 4))}) t(id, revenue, employees)")
-def revenue_fallback(spark, sf_dir):
-    """Two ways to fall back: a revenue of 0 gives way to the nested value, an employee count of 0 stands."""
-    rows = spark.createDataFrame([(0, 5.0, 1.0, 0, 2), (1, 0.0, 7.0, 0, None), (2, 0.0, None, None, 3), (3, None, None, 4, None)], "id int, top double, nested double, own int, registry int")
-    first = F.when(F.col("top") != 0, F.col("top")).when(F.col("nested").isNotNull(), F.col("nested")).otherwise(F.col("top"))
-    return rows.select("id", first.alias("revenue"), F.coalesce("own", "registry").alias("employees"))
-
-
 @query("address_format", "select s_suppkey, 'Vei ' || cast(s_suppkey as varchar) || (case when s_suppkey % 2 = 0 then ', 0' || cast(100 + s_suppkey % 800 as varchar) || ' ' || n_name else '' end) as address from supplier join nation on n_nationkey = s_nationkey")
 def address_format(spark, sf_dir):
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")

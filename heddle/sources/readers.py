@@ -41,11 +41,20 @@ def bulk(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3, SRC4: keys in file order from a text file with one key a line, or JSON lines; fails on a key that hasn't nine
-    digits and on a repeated one."""
-    raw = spark.read.json(path) if path.endswith((".json", ".jsonl", ".jsonl.gz")) else spark.read.text(path).withColumnRenamed("value", "organisation_number")
-    digits = F.regexp_replace(F.col("organisation_number").cast("string"), r"\D", "")
-    rows = raw.withColumn("organisation_number", digits).withColumn("position", F.monotonically_increasing_id()).filter(digits != "")
+    """SRC3, SRC4: keys in file order with ``evaluation_split`` and ``sample_slice`` where they are told: from a text file with one key a line, from JSON lines, or from one JSON
+    value, a list or an object with the list ``organisation_numbers``; entries are keys or objects. Fails on a key that hasn't nine digits and on a
+    repeated one."""
+    if path.endswith(".json"):
+        whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+        listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.organisation_numbers", "array<variant>"), F.array().cast("array<variant>"))
+        entries = whole.select(F.posexplode(listed).alias("position", "v"))
+    else:
+        lines = spark.read.text(path).filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("position"), "value")
+        # A line that is no JSON is the key itself.
+        entries = lines.select("position", F.parse_json("value").alias("v")) if ".jsonl" in path else lines.select("position", F.to_variant_object(F.struct(F.col("value").alias("organisation_number"))).alias("v"))
+    told = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    digits = F.regexp_replace(F.coalesce(told("organisation_number"), F.when(F.try_variant_get("v", "$", "map<string,variant>").isNull(), F.try_variant_get("v", "$", "string")), F.lit("")), r"\D", "")
+    rows = entries.select(digits.alias("organisation_number"), F.col("position").cast("long").alias("position"), told("evaluation_split").alias("evaluation_split"), told("sample_slice").alias("sample_slice"))
     bad = F.assert_true(F.length("organisation_number") == 9, F.concat(F.lit("not a nine-digit key: "), F.col("organisation_number")))
     rows = rows.filter(bad.isNull())
     twice = rows.groupBy("organisation_number").count().filter("count > 1").limit(1).collect()
