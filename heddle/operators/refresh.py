@@ -30,6 +30,62 @@ def changes(old: DataFrame, new: DataFrame, key: str, fields: dict[str, str], st
     return each.select(key, "_c.field", "_c.old_value", "_c.new_value", "side")
 
 
+#: Tracked fields of a profile, in order, each with the module whose evidence tells of it (fixed values).
+TRACKED = [
+    "registry.name", "registry.legal_form", "registry.employees", "registry.municipality", "registry.website", "registry.latest_submitted_accounts",
+    "financials.records", "financial_history.years", "roles.roles", "locations.locations", "website.title", "website.description", "website.social_links",
+]
+
+
+def evidence_for(evidence: Column, field: str) -> Column:
+    """REF4: the record that tells of a tracked field; the register's live one before its other."""
+    module = field.split(".", 1)[0]
+    return F.coalesce(evidence["registry_live"], evidence["registry"]) if module == "registry" else evidence[module]
+
+
+def profile_changes(old: DataFrame, new: DataFrame, key: str = "organisation_number") -> DataFrame:
+    """REF1, REF2: what changed between two sets of profiles in the tracked fields: field by field in order, with both values, the source and time of the new one,
+    and the content's hashes on both sides. Fails the query if the sets aren't of the same entities, or have one twice.
+
+    Profiles have a column for each tracked field (its name with an underscore for the dot; lists and objects as JSON) and ``evidence``, a map by module of
+    ``status, source_url, retrieved_at, effective_at, as_of, source_class, source_type, content_sha256``. A null that a failed or blocked source left is no change.
+    """
+    c = F.col
+    packed = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(f"_n{name}"), F.first(F.struct("evidence", *[c(f.replace(".", "_")).cast("string").alias(f.replace(".", "_")) for f in TRACKED])).alias(f"_{name}"))
+    both = packed(old, "old").join(packed(new, "new"), key, "full")
+    fault = F.when(c("_old").isNull() | c("_new").isNull(), "Refresh datasets must have identical organisation-number membership").when((c("_nold") > 1) | (c("_nnew") > 1), "Refresh datasets must have each organisation number once")
+    both = both.withColumn("_ok", F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True)).filter("_ok")
+
+    def change(field: str, place: int) -> Column:
+        column = field.replace(".", "_")
+        was, now = c(f"_old.{column}"), c(f"_new.{column}")
+        before, record = evidence_for(c("_old.evidence"), field), evidence_for(c("_new.evidence"), field)
+        unseen = now.isNull() & F.coalesce(record["status"].isin(FAILED), F.lit(False))
+        told = F.struct(
+            F.lit(place).alias("place"), F.lit(field).alias("field"), was.alias("old_value"), now.alias("new_value"), record["source_url"].alias("source_url"), record["retrieved_at"].alias("retrieved_at"), F.coalesce(record["effective_at"], record["as_of"]).alias("effective_at"),
+            F.coalesce(record["source_class"], record["source_type"]).alias("source_class"), before["content_sha256"].alias("old_content_sha256"), record["content_sha256"].alias("new_content_sha256"), record["status"].alias("status"),
+        )
+        return F.when(~was.eqNullSafe(now) & ~unseen, told)
+
+    each = both.select(key, F.explode(F.array_compact(F.array(*[change(f, i) for i, f in enumerate(TRACKED)]))).alias("x"))
+    return each.select(key, "x.*")
+
+
+def evidence_complete(changes: DataFrame) -> DataFrame:
+    """AGG16: whether each change has source, times, and the hashes of both sides, and how many don't."""
+    there = F.lit(True)
+    for name in ("source_url", "retrieved_at", "effective_at", "old_content_sha256", "new_content_sha256"):
+        there = there & (F.coalesce(name, F.lit("")) != "")
+    return changes.agg(F.count("*").alias("changes"), F.count_if(~there).alias("incomplete")).withColumn("evidence_complete", F.col("incomplete") == 0)
+
+
+def materialized(base: DataFrame, live: DataFrame, fields: list[str], key: str = "organisation_number") -> DataFrame:
+    """PRJ19: profiles with the fields that a live response (``status`` and the fields) has, where it is available."""
+    said = live.select(key, F.struct("status", *fields).alias("_live"))
+    now = lambda f: F.when(F.col("_live.status") == "available", F.col(f"_live.{f}"))
+    return base.join(said, key, "left").select(*[F.coalesce(now(c), F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns])
+
+
 def change_type(field: Column, old: Column, new: Column) -> Column:
     """SCA36: the first that fits."""
     has = lambda s: F.contains(field, F.lit(s))

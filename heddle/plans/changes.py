@@ -73,3 +73,59 @@ def refresh_idempotent_count(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
     told = lambda name, changes: changes.agg(F.count("*").alias("changes")).select(F.lit(name).alias("run"), "changes")
     return told("first", _changes(old, new)).unionByName(told("again", _changes(new, new.repartition(3))))
+
+
+#: The columns of a profile that stands for an order, before and after, and the module that tells of each.
+_TRACKED = {f: f.replace(".", "_") for f in refresh.TRACKED}
+_OLD = {f: f"'{f}-' || k" for f in refresh.TRACKED}
+_CHANGED = lambda i: f"k % {40 + i} = {i}"
+_GONE = lambda i: f"k % {60 + i} = {i}"
+_MODULES = ["registry", "registry_live", "financials", "financial_history", "roles", "locations", "website"]
+
+
+def _profile_changes_sql() -> str:
+    parts = []
+    for i, f in enumerate(refresh.TRACKED):
+        module = f.split(".")[0]
+        live = "case when k % 3 = 0 then 'registry_live' else 'registry' end" if module == "registry" else f"'{module}'"
+        new = f"case when {_GONE(i)} then null when {_CHANGED(i)} then {_OLD[f]} || '!' else {_OLD[f]} end"
+        old = f"case when k % {80 + i} = {i} then null else {_OLD[f]} end"
+        parts.append(f"select k, {i} as place, '{f}' as field, {old} as old_value, {new} as new_value, {live} as module from o")
+    return f"""with o as (select o_orderkey as k from orders), c as ({" union all ".join(parts)}),
+s as (select *, case when k % 5 = 0 and module = 'website' then 'blocked' when k % 7 = 0 and module = 'registry' then 'source_error' else 'available' end as status from c)
+select cast(k as varchar) as organisation_number, cast(place as int) as place, field, old_value, new_value, 'https://' || module || '.example.com/' || k as source_url, '2024-02-01' as retrieved_at, case when k % 2 = 0 then '2024-01-15' else '2024-01-20' end as effective_at,
+  case when k % 2 = 0 then 'class-' || module else 'type-' || module end as source_class, sha256('old' || module || k) as old_content_sha256, sha256('new' || module || k) as new_content_sha256, status
+from s where old_value is distinct from new_value and not (new_value is null and status in ('blocked', 'source_error', 'failed'))"""
+
+
+def _profiles(spark, sf_dir, side: str):
+    k = F.col("k")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+
+    def record(m: str):
+        status = F.when((k % 5 == 0) & F.lit(m == "website"), "blocked").when((k % 7 == 0) & F.lit(m == "registry"), "source_error").otherwise("available")
+        even = k % 2 == 0
+        return F.struct(
+            status.alias("status"), F.concat(F.lit(f"https://{m}.example.com/"), k.cast("string")).alias("source_url"), F.lit("2024-02-01").alias("retrieved_at"), F.when(even, "2024-01-15").alias("effective_at"), F.lit("2024-01-20").alias("as_of"),
+            F.when(even, f"class-{m}").alias("source_class"), F.lit(f"type-{m}").alias("source_type"), F.sha2(F.concat(F.lit(f"{side}{m}"), k.cast("string")), 256).alias("content_sha256"),
+        )
+
+    records = F.map_filter(F.create_map(*[x for m in _MODULES for x in (F.lit(m), F.when(F.lit(m != "registry_live") | (k % 3 == 0), record(m)))]), lambda m, v: v.isNotNull())
+    values = {}
+    for i, (f, column) in enumerate(_TRACKED.items()):
+        text = F.concat(F.lit(f"{f}-"), k.cast("string"))
+        new = F.when(k % (60 + i) != i, F.when(k % (40 + i) == i, F.concat(text, F.lit("!"))).otherwise(text))
+        values[column] = F.when(k % (80 + i) != i, text) if side == "old" else new
+    return o.select(k.cast("string").alias("organisation_number"), records.alias("evidence"), *[v.alias(c) for c, v in values.items()])
+
+
+@query("refresh_profiles", _profile_changes_sql())
+def refresh_profiles(spark, sf_dir):
+    """REF1, REF2, REF4: changes of profiles in all tracked fields, with the sources and hashes of both sides; fails if the sets differ in their members."""
+    return refresh.profile_changes(_profiles(spark, sf_dir, "old"), _profiles(spark, sf_dir, "new"))
+
+
+@query("refresh_evidence_complete", f"select count(*) as changes, count(*) filter (where effective_at is null) as incomplete, true as evidence_complete from ({_profile_changes_sql()})")
+def refresh_evidence_complete(spark, sf_dir):
+    """AGG16: whether each change has what proves it."""
+    return refresh.evidence_complete(refresh_profiles(spark, sf_dir))

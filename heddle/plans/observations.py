@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heddle.operators import footprint as fp
-from heddle.plans.base import COMPANIES_SQL, OBSERVATIONS_SQL, companies, observations
+from heddle.plans.base import OBSERVATIONS_SQL, observations
 from heddle.registry import query
 from heddle.session import table
 
@@ -66,8 +66,8 @@ def sentiment_eval(spark, sf_dir):
     return fp.classification(gold, predicted, "doc_id", ["positive", "negative", "neutral"])
 
 
-def _score_sql(wide: bool) -> str:
-    """The score of a group of observations, whose flags ``ok`` and ``experimental`` tell which count."""
+def components_sql(wide: bool) -> dict[str, str]:
+    """The components of the score of a group of observations, whose flags ``ok`` and ``experimental`` tell which count."""
     row = "(ok or experimental)" if wide else "ok"
     f = lambda cond, row=row: f"coalesce(max(case when {row} and {cond} then 1 else 0 end), 0)"
     places = "platform = 'google_places' and signal_type = 'place_summary'"
@@ -79,49 +79,19 @@ def _score_sql(wide: bool) -> str:
         f" or count(distinct reviewer_id) filter (where {row} and sentiment_label is not null) >= 10))"
     )
     felt = f"{enough('ok')} or {enough('experimental')}" if wide else enough("ok")
-    return (
-        f"20.0 * {known} + least(15.0, 5.0 * count(distinct platform) filter (where {row} and signal_type = 'profile_handle')) + 10.0 * {f("signal_type = 'profile_metrics'")} + 5.0 * {f("signal_type = 'place_summary'")}"
-        f" + 10.0 * {f("signal_type in ('review', 'review_summary')")} + 10.0 * {f("signal_type in ('job_posting', 'workforce_snapshot')")} + 10.0 * {f("signal_type in ('public_post', 'public_mention', 'buzz_metrics')")}"
-        f" + 15.0 * (case when {felt} then 1 else 0 end) + 5.0 * {f('true', 'ok')}"
-    )
+    kinds = lambda *x: f"signal_type in ({', '.join(repr(v) for v in x)})"
+    return {
+        "exact_external_identity": f"20.0 * {known}", "verified_handles": f"least(15.0, 5.0 * count(distinct platform) filter (where {row} and signal_type = 'profile_handle'))", "profile_metrics": f"10.0 * {f(kinds('profile_metrics'))}",
+        "places_identity": f"5.0 * {f(kinds('place_summary'))}", "places_reviews": f"10.0 * {f(kinds('review', 'review_summary'))}", "workforce_jobs": f"10.0 * {f(kinds('job_posting', 'workforce_snapshot'))}",
+        "public_buzz": f"10.0 * {f(kinds('public_post', 'public_mention', 'buzz_metrics'))}", "independent_sentiment": f"15.0 * (case when {felt} then 1 else 0 end)", "freshness_evidence": f"5.0 * {f('true', 'ok')}",
+    }
+
+
+def _score_sql(wide: bool) -> str:
+    return " + ".join(components_sql(wide).values())
 
 
 @query("development_score", f"with {OBSERVATIONS_SQL}, o as (select *, len(reasons) = 0 as ok, acquisition_mode = 'jobspy_experiment' and exact_entity and identity_proof <> '' as experimental from judged) select organisation_number, cast({_score_sql(False)} as double) as score, cast({_score_sql(True)} as double) as exp_score from o group by 1")
 def development_score(spark, sf_dir):
     exp = F.col("acquisition_mode").isin(fp.EXPERIMENTAL_MODES) & F.col("exact_entity") & (F.col("identity_proof") != "")
     return fp.development_score(observations(spark, sf_dir).withColumn("experimental", exp))
-
-
-@query("completeness_scores", f"with {COMPANIES_SQL}, s as (select municipality, 5.0 + (case when revenue is not null then 10.0 else 0 end) + (case when employees >= 5 then 5.0 else 0 end) + round_even(8.0 * least(1, greatest(0, employees / 20.0)), 3) as score from companies) select municipality, count(*) as n, round_even(avg(score), 6) as mean_score, count(*) filter (where score >= 20) as strict, min(score) as lowest, max(score) as highest from s group by 1")
-def completeness_scores(spark, sf_dir):
-    """AGG9: weighted components, capped, and their distribution."""
-    c = companies(spark, sf_dir)
-    capped = F.bround(8.0 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("employees") / 20.0)), 3)
-    score = F.lit(5.0) + F.when(F.col("revenue").isNotNull(), 10.0).otherwise(0.0) + F.when(F.col("employees") >= 5, 5.0).otherwise(0.0) + capped
-    g = c.withColumn("score", score).groupBy("municipality")
-    return g.agg(F.count("*").alias("n"), F.bround(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") >= 20).alias("strict"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
-
-
-@query("transfer_report", f"with {COMPANIES_SQL}, r as (select *, row_number() over (order by organisation_number) <= 200 as base from companies) select case when base then 'base' else 'extension' end as part, count(*) as n, round_even(avg(case when revenue is not null then 1.0 else 0.0 end), 6) as coverage, round_even(avg(employees), 6) as mean_employees from r group by 1")
-def transfer_report(spark, sf_dir):
-    """AGG10: the first rows against those after them."""
-    c = companies(spark, sf_dir)
-    first = c.select("organisation_number").orderBy("organisation_number").limit(200).withColumn("part", F.lit("base"))
-    g = c.join(first, "organisation_number", "left").groupBy(F.coalesce("part", F.lit("extension")).alias("part"))
-    return g.agg(F.count("*").alias("n"), F.bround(F.avg(F.when(F.col("revenue").isNotNull(), 1.0).otherwise(0.0)), 6).alias("coverage"), F.bround(F.avg("employees"), 6).alias("mean_employees"))
-
-
-@query("competition_score", f"with {COMPANIES_SQL}, t as (select count(*) as n, count(revenue) as money, count(*) filter (where employees > 10) as staff, count(*) filter (where annual_result > 0) as gain from companies) select round_even(10.0 * least(1, greatest(0, money / n)), 3) as identity, round_even(7.0 * least(1, greatest(0, staff / n / 0.5)), 3) as workforce, round_even(8.0 * least(1, greatest(0, gain / n)), 3) as reviews, money = n as gate_complete from t")
-def competition_score(spark, sf_dir):
-    """AGG12: capped ratios times weights, and a gate."""
-    t = companies(spark, sf_dir).agg(F.count("*").alias("n"), F.count("revenue").alias("money"), F.count_if(F.col("employees") > 10).alias("staff"), F.count_if(F.col("annual_result") > 0).alias("gain"))
-    cap = lambda w, x: F.bround(w * F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), 3)
-    return t.select(cap(10.0, F.col("money") / F.col("n")).alias("identity"), cap(7.0, F.col("staff") / F.col("n") / 0.5).alias("workforce"), cap(8.0, F.col("gain") / F.col("n")).alias("reviews"), (F.col("money") == F.col("n")).alias("gate_complete"))
-
-
-@query("external_evaluation", f"with {OBSERVATIONS_SQL}, c as (select organisation_number, max(case when signal_type in ('job_posting', 'workforce_snapshot') then 1 else 0 end) as w, max(case when signal_type in ('review', 'review_summary', 'place_summary') then 1 else 0 end) as r, max(case when signal_type in ('public_post', 'public_mention', 'profile_metrics') then 1 else 0 end) as b from judged where len(reasons) = 0 group by 1) select count(*) as companies, round_even(avg(w), 6) as workforce, round_even(avg(r), 6) as reviews, round_even(avg(b), 6) as buzz from c")
-def external_evaluation(spark, sf_dir):
-    """AGG11: the shares of companies with signals of each kind."""
-    sets = {"workforce": ["job_posting", "workforce_snapshot"], "reviews": ["review", "review_summary", "place_summary"], "buzz": ["public_post", "public_mention", "profile_metrics"]}
-    per = observations(spark, sf_dir).filter(F.size("reasons") == 0).groupBy("organisation_number").agg(*[F.max(F.col("signal_type").isin(v).cast("int")).alias(k) for k, v in sets.items()])
-    return per.agg(F.count("*").alias("companies"), *[F.bround(F.avg(k), 6).alias(k) for k in sets])
