@@ -67,6 +67,18 @@ def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return rows.select(*kept, *[v.alias(c) for c, v in new.items() if c not in columns])
 
 
+def free_names(columns: list[str], wanted: list[str]) -> dict[str, str]:
+    """For each column that is to be added the name it gets: its own, with an underscore behind as often as that is taken."""
+    taken, out = {c.lower() for c in columns}, {}
+    for name in wanted:
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        out[name] = free
+        taken.add(free.lower())
+    return out
+
+
 def word_array(text: Column) -> Column:
     """All words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -13,7 +13,8 @@
 5. *The rest*: after *union-find* by star contraction (:mod:`heddle.llm.graph`), every line of a bucket meets all lines of it
    that are in other components, so components are those of all candidate pairs. Large buckets are cut into runs of lines,
    and each two runs meet in one group, which counts common shingles as a product of incidence matrices and gives only
-   edges that join components: work grows with the square of the lines of a bucket left apart, rows and memory don't.
+   edges that join components. A task holds two runs. Of ``n`` lines of one bucket that stars leave apart each is sent to all its runs, that is
+   ``n / RUN_LINES`` times: work, and beyond a thousand such lines rows too, grow with the square of ``n``.
 6. The first occurrence of a component stays.
 
 Signatures and similarities are computed over Arrow batches: in Spark's functions alone one shingle costs some 0.4 µs
@@ -23,7 +24,8 @@ Defined results: null texts stay null; lines of fewer than ``least_words`` words
 empty ones; repeated rows are separate occurrences, so a second copy loses its lines; of places with the same key the
 smaller row number is first; a document all of whose long lines go and which has no other line with a word is dropped,
 since its text is kept elsewhere; a line of any length is signed whole, in memory of some 60 bytes a character of the
-longest text; an empty table gives an empty one; other columns are kept, whatever their names. The input has to be
+longest text; an empty table gives an empty one; other columns are kept, whatever their names, and a new column whose name is taken gets an
+underscore behind. The input has to be
 read the same way twice (a file, a table, a checkpoint).
 """
 
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from heddle.llm.common import durable, packed, small_or_shuffled, unpacked, written
+from heddle.llm.common import durable, free_names, packed, small_or_shuffled, unpacked, written
 from heddle.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -445,4 +447,5 @@ def dedup_lines(docs: DataFrame, how: Likeness = Likeness(), *, key: str = "doc_
         return unpacked(out.filter(F.col("_gone").isNull() | F.col("_left").rlike(WORD)), docs.columns, **{text: F.col("_left")})
     n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint")
-    return unpacked(out, docs.columns, **{text: F.col("_left"), "n_lines": n_lines, "n_removed": n_removed})
+    names = free_names(docs.columns, ["n_lines", "n_removed"])
+    return unpacked(out, docs.columns, **{text: F.col("_left"), names["n_lines"]: n_lines, names["n_removed"]: n_removed})

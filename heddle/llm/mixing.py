@@ -13,13 +13,15 @@ so many more that there are about ``most_slots`` blocks, so the driver's work ha
 Defined results: rows with a null source are a source of their own; every source has its own weight, however
 many there are; sources of weight 0 come after all others, with equal shares; blocks due at once go by weight,
 then by name; without given weights they are the square roots of the sources' row counts; a source that given weights
-don't name has the least of them; an empty table gives an empty one; other columns stay. Repeated rows each get a place.
+don't name has the least of them; an empty table gives an empty one; all columns stay as they are, and a new column whose name is taken gets
+an underscore behind (:func:`new_names`). Repeated rows each get a place.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from fractions import Fraction
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import gapless_rank, packed, unpacked
+from heddle.llm.common import free_names, gapless_rank, packed, unpacked
 
 NO_SOURCE = "\x00none"
 
@@ -97,7 +99,7 @@ def _order(left: dict[str, int], whole: Mapping[str, int]) -> Iterator[str]:
                 heapq.heappush(waiting, (j * total // -w, w, k, j + 1))
             else:
                 ended = True
-                names.remove(k)
+                del names[bisect_left(names, (-whole[k], k), key=lambda x: (-whole[x], x))]
                 total -= whole[k]
 
 
@@ -124,12 +126,17 @@ def _table(spark: SparkSession, blocks: Mapping[str, int], weights: Mapping[str,
     block[by_source] = np.arange(len(turn)) - np.repeat(starts, np.bincount(turn, minlength=len(names)))
     slots = pa.table({"c": turn, "b": block, "slot": np.arange(len(turn), dtype=np.int64)})
     coded = spark.createDataFrame([(i, k) for k, i in code.items()], "c int, s string")
-    table = spark.createDataFrame(slots).join(F.broadcast(coded), "c").select("s", "b", "slot")
+    table = spark.createDataFrame(slots).join(F.broadcast(coded) if len(code) <= most_broadcast // 10 else coded, "c").select("s", "b", "slot")
     return F.broadcast(table) if len(turn) <= most_broadcast else table
 
 
+def new_names(docs: DataFrame) -> dict[str, str]:
+    """What the new columns of :func:`mixed` are called."""
+    return free_names(docs.columns, ["block", "slot", "position"])
+
+
 def mixed(docs: DataFrame, how: Mix = Mix(), *, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with ``block`` (its number within the source), ``slot`` and ``position``, by which to order."""
+    """``docs`` with ``block`` (its number within the source), ``slot`` and ``position``, by which to order; see :func:`new_names`."""
     spark = docs.sparkSession
     named = packed(docs, _key=key, _source=source).withColumn("_src", F.coalesce(F.col("_source").cast("string"), F.lit(NO_SOURCE))).drop("_source")
     sizes = {r["_src"]: r["count"] for r in named.groupBy("_src").count().collect()}
@@ -140,4 +147,4 @@ def mixed(docs: DataFrame, how: Mix = Mix(), *, key: str = "doc_id", source: str
     ranked = gapless_rank(named, "_src", ["_key"], "_k", how.rows_per_run).withColumn("block", F.expr(f"_k div {block_rows}"))
     joined = ranked.join(table, (F.col("_src") == F.col("s")) & (F.col("block") == F.col("b")), "left")
     out = joined.withColumn("position", F.col("slot") * block_rows + F.col("_k") % block_rows)
-    return unpacked(out, docs.columns, block=F.col("block"), slot=F.col("slot"), position=F.col("position"))
+    return unpacked(out, docs.columns, **{new: F.col(name) for name, new in new_names(docs).items()})

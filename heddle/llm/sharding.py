@@ -13,7 +13,8 @@ into the fewest equal pieces that fit, by the hash of the row.
 The law that holds is ``bytes``: shard sizes are equal within about the size of a fine bundle.
 
 Defined results: a null text has size 1 and no tokens, and is grouped with the empty text; repeated rows keep to their group; ties go to
-the lower shard; an empty table gives an empty result; other columns stay.
+the lower shard; an empty table gives an empty result; all columns stay as they are, and a new column whose name is taken
+gets an underscore behind (:func:`new_names`).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import SPACES, gapless_rank, packed, unpacked
+from heddle.llm.common import SPACES, durable, free_names, gapless_rank, packed, unpacked
 
 
 @dataclass(frozen=True)
@@ -54,8 +55,13 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def new_names(docs: DataFrame) -> dict[str, str]:
+    """What the new columns of :func:`sharded` are called."""
+    return free_names(docs.columns, ["size", "text_crc32", "shard", "slot", "law", "grown_shard"])
+
+
 def sharded(docs: DataFrame, how: Packing = Packing(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``."""
+    """``docs`` with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``; see :func:`new_names`."""
     spark = docs.sparkSession
     t = F.coalesce(F.col("_text"), F.lit(""))
     measured = packed(docs, _key=key, _text=text).withColumns(
@@ -67,7 +73,8 @@ def sharded(docs: DataFrame, how: Packing = Packing(), *, key: str = "doc_id", t
             "_piece_hash": F.xxhash64(F.col("_key"), F.lit(7)),
         }
     )
-    groups = measured.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count("*").alias("r"))
+    # Written once, since totals, large groups and bundles are made of them.
+    groups = durable(measured.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count("*").alias("r")))
     total = groups.agg(F.sum("b"), F.sum("t"), F.sum("r")).head()
     total = [max(1, x or 0) for x in total]
     large = " or ".join(f"{c} * {how.bundles} > {n}" for c, n in zip("btr", total, strict=True))
@@ -94,4 +101,5 @@ def sharded(docs: DataFrame, how: Packing = Packing(), *, key: str = "doc_id", t
     put = put.select("_all", "_key", "size", "text_crc32", "shard")
     ranked = gapless_rank(put, "shard", ["_key", "text_crc32", "size"], "slot", how.rows_per_run)
     new = {c: F.col(c) for c in ("size", "text_crc32", "shard", "slot")} | {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
-    return unpacked(ranked, docs.columns, **new)
+    names = new_names(docs)
+    return unpacked(ranked, docs.columns, **{names[c]: v for c, v in new.items()})

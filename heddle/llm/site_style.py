@@ -15,8 +15,9 @@ is below it among the pages with its node, inside of articles as well as outside
 of its text to that, which is a copy of other pages rather than a frame around a story, nothing is removed. With one page a node's importance is 1.
 
 Names are a prior: elements that are by tag or role a menu, header, footer, sidebar, advert, form, script or style never
-count; class and id names of that kind, or of notices and reader comments, count for blocks, but not for what encloses the
-page's article, not for words inside a paragraph, and not if nothing else were left. If a page has an article or main
+count, but for an article's own header; class and id names of that kind, or of notices and reader comments, count for blocks, but not for what encloses the
+page's article, not for words inside a paragraph, and not if nothing else were left. A name that only begins like one of that kind
+(``social-policy``) counts only where at least as much text is left without it. If a page has an article or main
 element, what is outside of it is left out, unless it is over three times as long.
 
 What a host's tree holds grows with its different paths, not with its pages: texts and sequences are counted by
@@ -66,6 +67,10 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: How much a name tells that an element is noise.
+WEAK, STRONG = 1, 2
+
+
 @dataclass(frozen=True)
 class Style:
     gamma: float = 0.9
@@ -74,37 +79,39 @@ class Style:
 
 
 @lru_cache(maxsize=20_000)
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """An element's name in paths, whether it is noise by tag or role, whether by its names, and whether it is main content."""
+def _kind(tag: str, attributes: str) -> tuple[str, bool, int, bool]:
+    """An element's name in paths, whether it is noise by tag or role, how much so by its names, and whether it is main content."""
     got = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     names = f"{got.get('class', '')} {got.get('id', '')}".strip()
     role = got.get("role", "").lower()
     label = tag + ("." + re.sub(r"\d+", "", " ".join(sorted(names.split()))) if names else "")
     parts = {x.lower() for x in NAME_PART.findall(names)}
     noise = tag in NOISE_TAGS or role in NOISE_ROLES
-    named = not NOISE_NAMES.isdisjoint(parts)
+    # A name tells by its last part, or by all: a site-header is a header, a header-story a story.
+    tokens = [[x.lower() for x in NAME_PART.findall(t)] for t in names.split()]
+    named: int = STRONG if any(t and t[-1] in NOISE_NAMES for t in tokens) else WEAK if not NOISE_NAMES.isdisjoint(parts) else 0
     if tag in ("body", "html", "article", "main"):
         # A page may carry its layout's name ("has-sidebar"); comments are often articles.
-        noise, named = role in NOISE_ROLES, tag == "article" and not parts.isdisjoint(("comment", "comments", "reply", "replies"))
+        noise, named = role in NOISE_ROLES, STRONG if tag == "article" and not parts.isdisjoint(("comment", "comments", "reply", "replies")) else 0
     return label, noise, named, (tag in ("article", "main") or role in ("main", "article")) and not noise and not named
 
 
 @dataclass
 class Page:
-    """``blocks``: path, text, whether noise by tag, whether by name, whether in an article. ``nodes``: path and its children's labels."""
+    """``blocks``: path, text, whether noise by tag, how much by name, whether in an article. ``nodes``: path and its children's labels."""
 
-    blocks: list[tuple[str, str, bool, bool, bool]]
+    blocks: list[tuple[str, str, bool, int, bool]]
     nodes: list[tuple[str, tuple[str, ...]]]
     has_main: bool
 
 
 def read(page: str | None) -> Page:
     """The blocks and nodes of a page, in page order."""
-    blocks: list[tuple[str, str, bool, bool, bool]] = []
+    blocks: list[tuple[str, str, bool, int, bool]] = []
     nodes: list[tuple[str, tuple[str, ...]]] = []
     has_main = False
     # Open elements: tag, path, noise by tag, by name, main, children.
-    stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
+    stack: list[tuple[str, str, bool, int, bool, list[str]]] = [("", "", False, 0, False, [])]
     text: list[str] = []
     page = page or ""
 
@@ -190,7 +197,10 @@ def read(page: str | None) -> Page:
             path = f"{stack[-1][1]}/{label}"
             above = stack[-1]
         main = main and not above[2]
-        stack.append((tag, path, above[2] or noise, (above[3] or named) and not main, (above[4] or main) and not noise and not named, []))
+        if tag == "header" and above[4]:
+            # The header of an article is its headline and lead.
+            noise = False
+        stack.append((tag, path, above[2] or noise, 0 if main else max(above[3], named), (above[4] or main) and not noise and named < STRONG, []))
         if tag not in BLOCKS and tag not in NOISE_TAGS:
             # Inline noise ends with its own closing tag.
             close(len(stack) - 1)
@@ -304,14 +314,23 @@ def repeated(counted: DataFrame, how: Style = Style()) -> DataFrame:
 
 def main_text(page: Page, removed: set[str], hashes: list[int] | None = None) -> str:
     """The text of the blocks that neither their names nor the host's tree remove. ``hashes``: of the blocks' texts."""
-    left = [i for i, b in enumerate(page.blocks) if not b[2] and not b[3]] or [i for i, b in enumerate(page.blocks) if not b[2]]
     size = lambda some: sum(len(page.blocks[i][1]) for i in some)
+    at_most = lambda named: [i for i, b in enumerate(page.blocks) if not b[2] and b[3] <= named]
+    left, weak = at_most(0), at_most(WEAK)
+    if len(weak) > len(left) and 2 * size(left) < size(weak):
+        left = weak
+    left = left or at_most(STRONG)
 
     def stays(i: int) -> bool:
         path = page.blocks[i][0]
         if hashes is not None and f"{path}\x01{hashes[i]}" in removed:
             return False
-        return not any(path == r or path.startswith(r + "/") for r in removed)
+        at = len(path)
+        while at > 0:
+            if path[:at] in removed:
+                return False
+            at = path.rfind("/", 0, at)
+        return True
 
     def cleaned(some: list[int]) -> list[int]:
         kept = [i for i in some if stays(i)] if removed else some
@@ -333,9 +352,13 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got = [read(h) for h in pdf["html"]]
             hashes = _hash([b[1] for page in got for b in page.blocks]).tolist()
             text, first = [], 0
-            for page, r in zip(got, pdf["removed"], strict=True):
+            # One set for all pages of a host.
+            of_host: dict[str, set[str]] = {}
+            for page, host, r in zip(got, pdf["host"], pdf["removed"], strict=True):
                 last = first + len(page.blocks)
-                text.append(main_text(page, set() if r is None else set(r), hashes[first:last]))
+                if host not in of_host:
+                    of_host[host] = set() if r is None else set(r)
+                text.append(main_text(page, of_host[host], hashes[first:last]))
                 first = last
             yield pd.DataFrame({"_key": pdf["_key"], "_url": pdf["_url"], "text": text, "n_chars": [len(t) for t in text]})
 
@@ -349,5 +372,5 @@ def extract(pages: DataFrame, how: Style = Style(), *, key: str = "page_id", url
     low = durable(tree.unionByName(repeated(counted, how)).groupBy("host").agg(F.collect_list("path").alias("removed")))
     low = small_or_shuffled(low, bytes_of=F.octet_length(F.concat_ws("", "removed")) + 16 * F.size("removed"), most_bytes=how.broadcast_bytes)
     kinds = [pages.schema[c].dataType.simpleString() for c in (key, url)]
-    out = rows.join(low, "host", "left").select("_key", "_url", "html", "removed").mapInPandas(_extract, f"_key {kinds[0]}, _url {kinds[1]}, text string, n_chars long")
+    out = rows.join(low, "host", "left").select("_key", "_url", "host", "html", "removed").mapInPandas(_extract, f"_key {kinds[0]}, _url {kinds[1]}, text string, n_chars long")
     return out.withColumnsRenamed({"_key": key, "_url": url})

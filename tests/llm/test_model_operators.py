@@ -318,3 +318,19 @@ def test_generated_pages(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
     want = {r.page_id: " ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.search(r"<article>(.*?)</article>", r.html, re.S)[1])).split()) for r in pages.collect()}
     assert {r.page_id: r.text for r in site_style.extract(pages).collect()} == want
+
+
+def test_names_lower_importance_and_do_not_decide_alone():
+    read = lambda h: site_style.main_text(site_style.read(h), set())
+    assert read('<body><div class="social-policy"><p>Article on policy</p></div><div class="x"><p>hello</p></div>') == "Article on policy hello"
+    assert read("<article><h1>T</h1><header><h2>Sub head</h2></header><p>Body text</p><footer>Share</footer></article>") == "T Sub head Body text"
+    assert read('<body><header>Site</header><div class="story"><p>A story of some length here</p></div><div class="footer-links"><p>More</p></div><div class="post-comments"><p>Reader says a lot, much more than the story itself, and then more</p></div>') == "A story of some length here"
+    assert read('<body><div class="header-story"><p>Only this</p></div>') == "Only this"
+
+
+def test_branches_are_found_by_their_paths():
+    page = site_style.read("<body><div class=a><p>one</p><div class=b><p>two</p></div></div><div class=ab><p>three</p></div>")
+    assert [b[0] for b in page.blocks] == ["/body/div.a/p", "/body/div.a/div.b/p", "/body/div.ab/p"]
+    assert site_style.main_text(page, {"/body/div.a/div.b"}) == "one three"
+    assert site_style.main_text(page, {"/body/div.a"}) == "one two three"  # over half would go
+    assert site_style.main_text(page, {"/body/div.ab"}) == "one two"

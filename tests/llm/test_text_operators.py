@@ -250,11 +250,12 @@ def test_mix_keeps_many_sources_apart(spark):
 
 def test_mix_places_every_row_once(spark, odd, empty):
     got = mixing.mixed(odd, mixing.Mix(block_rows=2, period=20)).collect()
-    assert len(got) == odd.count() and len({r.position for r in got}) == len(got)
+    assert len(got) == odd.count() and len({r.position_ for r in got}) == len(got) and {r.position for r in got} == {"p"}
     assert mixing.mixed(empty).count() == 0
     few = mixing.mixed(odd, mixing.Mix(block_rows=1, period=10, most_sources=2))
-    assert len({r.position for r in few.collect()}) == odd.count()
-    assert mixing.mixed(odd).columns == [*odd.columns, "block", "slot"]
+    assert len({r.position_ for r in few.collect()}) == odd.count()
+    assert mixing.mixed(odd).columns == [*odd.columns, "block", "slot", "position_"]
+    assert mixing.new_names(odd.withColumn("Block", odd["lang"]).withColumn("block_", odd["lang"])) == {"block": "block__", "slot": "slot", "position": "position_"}
 
 
 def test_blocks_grow_so_that_slots_have_a_bound(spark):
@@ -280,6 +281,10 @@ def test_shards(spark, odd, empty, sf_dir):
 
     assert all(r.text_crc32 == zlib.crc32(r.text.encode()) and r.size == len(r.text.encode()) + 1 for r in got)
     assert sharding.sharded(empty).count() == 0 and sharding.sharded(odd).count() == odd.count()
+    clash = odd.withColumn("size", odd["lang"]).withColumn("shard", odd["lang"])
+    named = sharding.sharded(clash)
+    assert named.columns == [*clash.columns, "size_", "text_crc32", "shard_", "slot", "law", "grown_shard"]
+    assert sorted((str(r["size"]), str(r["shard"])) for r in named.collect()) == sorted((str(r["lang"]),) * 2 for r in odd.collect())
 
 
 def test_a_group_larger_than_a_shard_is_dealt(spark):
