@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +46,16 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order in which blocks of their sources are to be read."""
-    return mixing.mixed(docs).orderBy("position").select(*docs.columns)
+    return mixing.mixed(docs).orderBy(mixing.new_names(docs)["position"]).select(*docs.columns)
 
 
 def as_written(docs: DataFrame) -> DataFrame:
     """The rows of files that Spark has written, in the order in which they were written.
 
-    Part files are numbered in the order of the written partitions. Rows that come from no file stay as they are.
+    Part files are numbered in the order of the written partitions. Fails on rows that come from no file, which have no such order.
     """
     place = F.struct(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("part"), "_metadata.file_name", "_metadata.row_index")
-    try:
-        placed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_all"), place.alias("_place"))
-    except AnalysisException:
-        return docs
+    placed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_all"), place.alias("_place"))
     return placed.orderBy("_place").select("_all.*")
 
 
