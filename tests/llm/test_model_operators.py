@@ -210,6 +210,8 @@ def test_string_kernel_is_that_of_all_subsequences():
 
     marks, others = ["idiot", "banana", "abc"], ["idiiot", "bandana", "xyz", "abc", "ab"]
     got = toxicity.Kernel(marks, how)(others)
+    begun = toxicity.Kernel(["^boco", "boco"], how)(["^bocoes", "xbocoes", "^xbocoes"])
+    assert begun[0, 0] > begun[2, 0] > 0 and begun[1, 1] > 0 and begun[1, 0] < begun[0, 0]
     for i, w in enumerate(others):
         for j, m in enumerate(marks):
             want = (k(w, m) ** 2 / (k(w, w) * k(m, m))) if len(w) > 2 and k(w, w) else 0
@@ -334,3 +336,34 @@ def test_branches_are_found_by_their_paths():
     assert site_style.main_text(page, {"/body/div.a/div.b"}) == "one three"
     assert site_style.main_text(page, {"/body/div.a"}) == "one two three"  # over half would go
     assert site_style.main_text(page, {"/body/div.ab"}) == "one two"
+
+
+def test_few_labelled_documents_still_tell(spark, sf_dir):
+    """No constant score on the smallest table: of its eleven toxic documents, four in languages that have two, some are caught, and the clean ones left alone."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    got = {r.doc_id: r for r in toxicity.learn_and_score(docs, labels).collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    caught = [got[i].predicted for i, t in toxic.items() if t == 1 and i in got]
+    alarms = [got[i].predicted for i, t in toxic.items() if t == 0 and i in got]
+    assert len({r.score for r in got.values()}) > 10
+    assert sum(caught) >= 4 and sum(alarms) <= 0.05 * len(alarms)
+
+
+def test_stems_count_where_words_begin():
+    """A language of few documents whose insults are stems that its clean documents have inside of words, and by chance once at their beginning."""
+    r = random.Random(5)
+    word = lambda *parts: "".join(r.choice(["ra", "ci", "do", "mi", "ta", "que", "ar"]) for _ in range(r.randint(1, 3))) + "".join(parts)
+    texts, y = [], []
+    for i in range(400):
+        texts.append(" ".join([word() for _ in range(60)] + ["idiot" if i % 8 == 0 else "nothing", word("boco"), word("bomente")]))
+        y.append(int(i % 8 == 0))
+    for i in range(60):
+        bad = i % 3 == 0
+        stems = [r.choice(["boco", "bomente"]) + word() for _ in range(3 if bad else i % 5 == 1)]
+        texts.append(" ".join([word() for _ in range(40)] + stems + [word("boco"), word("bomente")]))
+        y.append(int(bad))
+    y = np.array(y)
+    held = np.arange(len(y)) % 5 == 0
+    got = toxicity.fit(texts, y, held).scores(texts) >= 0.5
+    rare = np.arange(len(y)) >= 400
+    assert got[rare & (y == 1)].mean() >= 0.8 and got[y == 0].mean() <= 0.05 and got[~rare & (y == 1)].mean() >= 0.9
