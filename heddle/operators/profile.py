@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heddle.functions.numbers import norwegian_number, scale_factor
+
 #: The register's field of each profile field (fixed values).
 ENTITY = {
     "organisation_number": ("$.organisasjonsnummer", "string"), "name": ("$.navn", "string"), "legal_form": ("$.organisasjonsform.kode", "string"),
@@ -85,6 +87,59 @@ def locations(body: Column) -> Column:
     return F.transform(units, lambda u: F.struct(u["organisasjonsnummer"].alias("organisation_number"), u["navn"].alias("name"), address(u).alias("address"), u["naeringskode1"].alias("industry"), u["antallAnsatte"].alias("employees")))
 
 
+#: Amounts of an account record: the name that it may have itself, which counts first, and its path in the register's response (fixed values).
+AMOUNTS = {name: path for name, path in ACCOUNT.items() if name not in ("record_id", "account_type", "period", "currency")}
+
+
+def normalized_account(record: Column, default_scale: float = 1.0) -> Column:
+    """PRJ4: an account record, as JSON, in whole currency: names, period and currency, and each amount from its own name or else its nested path, as a number
+    or as a Norwegian text, times the unit that ``scale`` tells. What is missing is null; an amount of 0 of its own gives way to the nested one."""
+    at = lambda path: F.get_json_object(record, f"$.{path}")
+    some = lambda *paths: F.coalesce(*[F.nullif(at(p), F.lit("")) for p in paths])
+    scale = F.when(at("scale").isNotNull(), scale_factor(at("scale"))).otherwise(F.lit(default_scale))
+
+    def amount(name: str, path: str) -> Column:
+        own = F.nullif(at(name), F.lit(""))
+        text = F.coalesce(F.when(own.try_cast("double") == 0, F.lit(None)).otherwise(own), F.nullif(at(path), F.lit("")))
+        plain = text.try_cast("double")
+        return F.when(plain.isNotNull(), plain * scale).otherwise(norwegian_number(text, scale))
+
+    named = [some("id", "record_id").alias("record_id"), some("regnskapstype", "account_type").alias("account_type"), some("regnskapsperiode", "period").alias("reporting_period"), F.coalesce(some("valuta", "currency"), F.lit("NOK")).alias("currency")]
+    return F.struct(*named, *[amount(n, p).alias(n) for n, p in AMOUNTS.items()])
+
+
+_ADDRESS = "struct<adresse: array<string>, postnummer: string, poststed: string, kommune: string, kommunenummer: string, land: string>"
+_UNITS = f"struct<_embedded: struct<underenheter: array<struct<organisasjonsnummer: string, navn: string, beliggenhetsadresse: {_ADDRESS}, postadresse: {_ADDRESS}, antallAnsatte: bigint, naeringskode1: struct<kode: string>>>>>"
+
+
+def formatted_address(a: Column) -> Column:
+    """SCA21: an address of the register as one line: its lines, postcode and city (or municipality), and its country if that isn't Norge; null without any."""
+    some = lambda x: F.nullif(x, F.lit(""))
+    city = F.coalesce(some(a["poststed"]), some(a["kommune"]))
+    lines = F.when(F.size(F.coalesce(a["adresse"], F.array())) > 0, F.array_join(a["adresse"], ", "))
+    place = F.when(some(a["postnummer"]).isNotNull() & city.isNotNull(), F.concat_ws(" ", a["postnummer"], city)).otherwise(city)
+    return F.nullif(F.concat_ws(", ", lines, place, F.when(some(a["land"]) != "Norge", a["land"])), F.lit(""))
+
+
+def typed_locations(entity_body: Column, subunits_body: Column) -> Column:
+    """PRJ7: a company's places in order, each with its type: the registered office, the postal address if it is another, and the subunits."""
+    body = F.from_json(entity_body, f"struct<forretningsadresse: {_ADDRESS}, postadresse: {_ADDRESS}>")
+    business, postal = body["forretningsadresse"], body["postadresse"]
+    none = F.lit(None).cast("string")
+
+    def own(kind: str, a: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), none.alias("organisation_number"), none.alias("name"), formatted_address(a).alias("address"), a["kommune"].alias("municipality"), a["kommunenummer"].alias("municipality_number"), a["postnummer"].alias("postal_code"), a["poststed"].alias("city"), F.lit(None).cast("bigint").alias("employees"), none.alias("industry"))
+
+    def unit(u: Column) -> Column:
+        a = F.coalesce(u["beliggenhetsadresse"], u["postadresse"])
+        return F.struct(F.lit("subunit").alias("type"), u["organisasjonsnummer"].alias("organisation_number"), u["navn"].alias("name"), formatted_address(a).alias("address"), none.alias("municipality"), none.alias("municipality_number"), none.alias("postal_code"), none.alias("city"), u["antallAnsatte"].alias("employees"), u["naeringskode1"]["kode"].alias("industry"))
+
+    here, there = formatted_address(business), formatted_address(postal)
+    first = F.array_compact(F.array(F.when(here.isNotNull(), own("registered_office", business)), F.when(there.isNotNull() & ~there.eqNullSafe(here), own("postal_address", postal))))
+    units = F.coalesce(F.from_json(subunits_body, _UNITS)["_embedded"]["underenheter"], F.array())
+    return F.concat(first, F.transform(units, unit))
+
+
 #: Words that lead to a topic (fixed values).
 FINANCIAL = ["financial", "finance", "account", "revenue", "income", "profit", "result", "debt", "asset", "regnskap"]
 ROUTES = {"registry": ["employee"], "financials": FINANCIAL, "roles": ["lead", "role"], "locations": ["location", "where"], "website": ["social"], "sentiment": ["sentiment"]}
