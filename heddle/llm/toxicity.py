@@ -24,8 +24,8 @@ those variants, are made probabilities (logistic); one half lies where misses an
 Single letters in a row, with or without marks, are one word; an insult in pieces of several letters divided by plain
 spaces is not put together, since neighbouring short words of clean texts would be as well.
 
-Sums of kernels are computed once for each different word that a worker meets, as one gather and add for each
-sequence of three.
+Sums of kernels are computed once for each different word that a worker meets, as products of the weights of its sequences
+with their rows in the landmarks' table.
 
 Defined results: a null or empty text has the score of the lowest margin, that of no word at all; a null id is never
 learned from and not held out; an id with both labels is toxic, and of repeated ids the smallest text is learned from; a text larger than
@@ -54,6 +54,8 @@ from heddle.llm.line_dedup import window_hashes
 SYMBOLS, BEGIN = 65, "^"
 #: Tokens whose margins a worker remembers between batches, about 150 MB at most.
 REMEMBERED = 800_000
+#: Weights of words' sequences in landmarks that are summed up at once.
+AT_ONCE = 4_000_000
 #: Ends of sentences.
 STOPS = re.compile(r"[.!?]+[\"')]*\s|\n")
 #: Characters that look like letters, when between letters (fixed values).
@@ -133,7 +135,8 @@ class Kernel:
             for c, w in zip(code[0].tolist(), weight.tolist(), strict=True):
                 cells.setdefault(c, np.zeros(len(self.landmarks), np.float32))[m] += w / norm
         self.row_of = np.full(SYMBOLS**3, -1, np.int32)
-        self.table = np.zeros((max(1, len(cells)), len(self.landmarks)), np.float32)
+        # Sequences that no landmark has are in the last row, of zeros.
+        self.table = np.zeros((len(cells) + 1, len(self.landmarks)), np.float32)
         for r, (c, v) in enumerate(sorted(cells.items())):
             self.row_of[c], self.table[r] = r, v
 
@@ -150,15 +153,14 @@ class Kernel:
 
     def _of(self, words: list[str], n: int) -> np.ndarray:
         code, weight = _cells(words, n, self.how)
-        row = self.row_of[code]
-        word, cell = np.nonzero(row >= 0)
-        k = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if len(word):
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            k[word[first]] = np.add.reduceat(self.table[row[word, cell]] * weight[cell, None].astype(np.float32), first, axis=0)
-            near = np.flatnonzero(k.any(axis=1))
-            if len(near):
-                k[near] = k[near] / np.sqrt(_self_kernel(code[near], weight))[:, None].astype(np.float32)
+        row, w = self.row_of[code], weight.astype(np.float32)
+        k = np.empty((len(words), len(self.landmarks)), np.float32)
+        step = max(1, AT_ONCE // (len(w) * max(1, len(self.landmarks))))
+        for at in range(0, len(words), step):
+            k[at : at + step] = np.matmul(w, self.table[row[at : at + step]])
+        near = np.flatnonzero(k.any(axis=1))
+        if len(near):
+            k[near] = k[near] / np.sqrt(_self_kernel(code[near], weight))[:, None].astype(np.float32)
         return k * k
 
 
