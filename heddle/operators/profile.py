@@ -93,14 +93,16 @@ AMOUNTS = {name: path for name, path in ACCOUNT.items() if name not in ("record_
 
 def normalized_account(record: Column, default_scale: float = 1.0) -> Column:
     """PRJ4: an account record, as JSON, in whole currency: names, period and currency, and each amount from its own name or else its nested path, as a number
-    or as a Norwegian text, times the unit that ``scale`` tells. What is missing is null; an amount of 0 of its own gives way to the nested one."""
+    or as a Norwegian text, times the unit that ``scale`` tells. What is missing is null; a number 0 of its own gives way to the nested one."""
     at = lambda path: F.get_json_object(record, f"$.{path}")
     some = lambda *paths: F.coalesce(*[F.nullif(at(p), F.lit("")) for p in paths])
     scale = F.when(at("scale").isNotNull(), scale_factor(at("scale"))).otherwise(F.lit(default_scale))
 
     def amount(name: str, path: str) -> Column:
         own = F.nullif(at(name), F.lit(""))
-        text = F.coalesce(F.when(own.try_cast("double") == 0, F.lit(None)).otherwise(own), F.nullif(at(path), F.lit("")))
+        # Only a number may be zero and give way; a text that says zero is what was told.
+        told = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), f"$.{name}", "variant")) == "STRING"
+        text = F.coalesce(F.when((own.try_cast("double") == 0) & ~F.coalesce(told, F.lit(False)), F.lit(None)).otherwise(own), F.nullif(at(path), F.lit("")))
         plain = text.try_cast("double")
         return F.when(plain.isNotNull(), plain * scale).otherwise(norwegian_number(text, scale))
 
