@@ -41,8 +41,17 @@ EXPLORE, EXPERIMENTAL_SHARE = 0.35, 0.25
 GAIN = "decimal(24,6)"
 
 
+def thousandths(total: Column, n: Column) -> Column:
+    """A decimal sum over a count, rounded half to even at three places by whole numbers, as a double can't hold such a half."""
+    micro, step = F.abs(total * 1_000_000).cast("decimal(38,0)"), (n * 1000).cast("decimal(38,0)")
+    low = F.floor(micro / step).cast("long")
+    rest = 2 * (micro - low * step)
+    up = (rest > step) | (rest == step) & (low % 2 == 1)
+    return F.signum(total.cast("double")) * (low + up.cast("int")).cast("double") / 1000
+
+
 def histories(runs: DataFrame, by: tuple[str, ...] = (), of: DataFrame | None = None) -> DataFrame:
-    """AGG18: of earlier runs (``strategy``, ``learning_gain``, ``score_delta``) a row for each strategy: runs, successes, mean gain.
+    """AGG18: of earlier runs (``strategy``, ``learning_gain``, ``score_delta``) a row for each strategy: runs, successes, mean gain, and that as it is shown.
 
     A run's gain is its learning gain or, where that is null or zero, its score's change; a run that gained over zero is a success. Strategies
     without runs are there with zeros (for each row of ``of``, if runs are told apart ``by`` its columns), others than those known as well.
@@ -50,13 +59,14 @@ def histories(runs: DataFrame, by: tuple[str, ...] = (), of: DataFrame | None =
     """
     gain = F.coalesce(F.nullif(F.col("learning_gain").cast(GAIN), F.lit(0).cast(GAIN)), F.col("score_delta").cast(GAIN), F.lit(0).cast(GAIN))
     each = runs.select(*by, F.coalesce(F.col("strategy").cast("string"), F.lit("")).alias("strategy"), gain.alias("gain"))
-    seen = each.groupBy(*by, "strategy").agg(F.count("*").alias("runs"), F.count_if(F.col("gain") > 0).alias("successes"), (F.sum("gain").cast("double") / F.count("*")).alias("mean"))
+    seen = each.groupBy(*by, "strategy").agg(F.count("*").alias("runs"), F.count_if(F.col("gain") > 0).alias("successes"), F.sum("gain").alias("_sum"))
+    seen = seen.withColumns({"mean": F.col("_sum").cast("double") / F.col("runs"), "mean_shown": thousandths(F.col("_sum"), F.col("runs"))}).drop("_sum")
     known = runs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(STRATEGIES)], "strategy string, place int")
     if by:
         of = of if of is not None else runs.select(*by).distinct()
         known, seen = of.select(*by).crossJoin(F.broadcast(known)), seen.join(of.select(*by), list(by), "left_semi")
     full = known.join(seen, [*by, "strategy"], "full")
-    return full.select(*by, "strategy", "place", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "successes")], F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    return full.select(*by, "strategy", "place", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "successes")], F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("mean_shown", F.lit(0.0)).alias("mean_shown"))
 
 
 def priority(mean: Column, runs: Column, total: Column) -> Column:
@@ -69,7 +79,7 @@ def orders(history: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     At most as many entries as there are strategies are held for a history.
     """
-    entry = F.struct("place", "strategy", "runs", "successes", "mean")
+    entry = F.struct("place", "strategy", "runs", "successes", "mean", "mean_shown")
     g = history.groupBy(*by).agg(F.sum("runs").alias("total"), F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), entry))).alias("left"))
 
     def choose(state: Column, i: Column) -> Column:
@@ -79,7 +89,7 @@ def orders(history: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     start = F.struct("left", F.slice("left", 1, 0).alias("done"))
     done = F.aggregate(F.sequence(F.lit(0), F.lit(len(STRATEGIES) - 1)), start, choose, lambda s: s["done"])
-    return g.select(*by, F.posexplode(done).alias("at", "x")).select(*by, (F.col("at") + 1).alias("iteration"), "x.strategy", "x.runs", "x.successes", F.bround("x.mean", 3).alias("mean"))
+    return g.select(*by, F.posexplode(done).alias("at", "x")).select(*by, (F.col("at") + 1).alias("iteration"), "x.strategy", "x.runs", "x.successes", F.col("x.mean_shown").alias("mean"))
 
 
 def trace(companies: DataFrame, observations: DataFrame, runs: DataFrame, *, own_history: bool = False, most_iterations: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from heddle.functions.numbers import norwegian_number, scale_factor
+from heddle.functions.urls import bound
 
 #: The register's field of each profile field (fixed values).
 ENTITY = {
@@ -94,20 +95,22 @@ AMOUNTS = {name: path for name, path in ACCOUNT.items() if name not in ("record_
 def normalized_account(record: Column, default_scale: float = 1.0) -> Column:
     """PRJ4: an account record, as JSON, in whole currency: names, period and currency, and each amount from its own name or else its nested path, as a number
     or as a Norwegian text, times the unit that ``scale`` tells. What is missing is null; a number 0 of its own gives way to the nested one."""
-    at = lambda path: F.get_json_object(record, f"$.{path}")
-    some = lambda *paths: F.coalesce(*[F.nullif(at(p), F.lit("")) for p in paths])
-    scale = F.when(at("scale").isNotNull(), scale_factor(at("scale"))).otherwise(F.lit(default_scale))
-
-    def amount(name: str, path: str) -> Column:
-        own = F.nullif(at(name), F.lit(""))
-        # Only a number may be zero and give way; a text that says zero is what was told.
-        told = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), f"$.{name}", "variant")) == "STRING"
-        text = F.coalesce(F.when((own.try_cast("double") == 0) & ~F.coalesce(told, F.lit(False)), F.lit(None)).otherwise(own), F.nullif(at(path), F.lit("")))
-        plain = text.try_cast("double")
-        return F.when(plain.isNotNull(), plain * scale).otherwise(norwegian_number(text, scale))
-
-    named = [some("id", "record_id").alias("record_id"), some("regnskapstype", "account_type").alias("account_type"), some("regnskapsperiode", "period").alias("reporting_period"), F.coalesce(some("valuta", "currency"), F.lit("NOK")).alias("currency")]
-    return F.struct(*named, *[amount(n, p).alias(n) for n, p in AMOUNTS.items()])
+    def read(v: Column) -> Column:
+        at = lambda path: F.nullif(F.try_variant_get(v, f"$.{path}", "string"), F.lit(""))
+        scale = F.when(at("scale").isNotNull(), scale_factor(at("scale"))).otherwise(F.lit(default_scale))
+
+        def amount(name: str, path: str) -> Column:
+            # Only a number may be zero and give way; a text that says zero is what was told.
+            told = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING"
+            zero = (at(name).try_cast("double") == 0) & ~F.coalesce(told, F.lit(False))
+            raw = F.coalesce(F.when(~F.coalesce(zero, F.lit(False)), at(name)), at(path))
+            value = lambda x: F.coalesce(x["t"].try_cast("double") * x["s"], norwegian_number(x["t"], x["s"]))
+            return bound(F.struct(raw.alias("t"), scale.alias("s")), value)
+
+        named = [F.coalesce(at("id"), at("record_id")).alias("record_id"), F.coalesce(at("regnskapstype"), at("account_type")).alias("account_type"), F.coalesce(at("regnskapsperiode"), at("period")).alias("reporting_period"), F.coalesce(at("valuta"), at("currency"), F.lit("NOK")).alias("currency")]
+        return F.struct(*named, *[amount(n, p).alias(n) for n, p in AMOUNTS.items()])
+
+    return bound(F.try_parse_json(record), read)
 
 
 _ADDRESS = "struct<adresse: array<string>, postnummer: string, poststed: string, kommune: string, kommunenummer: string, land: string>"

@@ -18,6 +18,11 @@ _N = len(controller.STRATEGIES)
 RUNS_SQL = f"""runs as (select cast(user_id as varchar) as org, event_id % {_N - 1} as idx, cast(coalesce(nullif(case when event_id % 7 <> 0 then round_even((value - 50) / 25, 3) end, 0), round_even(value / 100, 3), 0) as decimal(24,6)) as gain from events)"""
 
 
+#: A mean at three places, half to even, by whole numbers: of micro units ``total`` over ``n`` runs.
+_SHOWN = "(sign(total) * (abs(total) // (1000 * n) + case when 2 * (abs(total) % (1000 * n)) > 1000 * n or 2 * (abs(total) % (1000 * n)) = 1000 * n and (abs(total) // (1000 * n)) % 2 = 1 then 1 else 0 end) / 1000.0)"
+_TOTAL = "cast(sum(gain) * 1000000 as bigint) as total"
+
+
 def runs(spark, sf_dir):
     e, v = F.col("event_id"), F.col("value")
     names = F.array(*map(F.lit, controller.STRATEGIES))
@@ -35,24 +40,25 @@ def found(spark, sf_dir):
     return observations(spark, sf_dir).withColumns({"experimental": exp, "strategy": F.get(names, at)})
 
 
-@query("strategy_history", f"with {RUNS_SQL}, s as (select unnest({_NAMES}) as strategy, unnest(range({_N})) as idx), g as (select idx, count(*) as n, count(*) filter (where gain > 0) as ok, cast(sum(gain) as double) / count(*) as mean from runs group by 1) select strategy, coalesce(n, 0) as runs, coalesce(ok, 0) as successes, round_even(coalesce(mean, 0), 3) as mean_gain from s left join g using (idx)")
+@query("strategy_history", f"with {RUNS_SQL}, s as (select unnest({_NAMES}) as strategy, unnest(range({_N})) as idx), g as (select idx, count(*) as n, count(*) filter (where gain > 0) as ok, {_TOTAL} from runs group by 1) select strategy, coalesce(n, 0) as runs, coalesce(ok, 0) as successes, cast(coalesce({_SHOWN}, 0) as double) as mean_gain from s left join g using (idx)")
 def strategy_history(spark, sf_dir):
     """AGG18: runs, runs that gained, and mean gain, for strategies without runs too."""
     h = controller.histories(runs(spark, sf_dir))
-    return h.select("strategy", "runs", "successes", F.bround("mean", 3).alias("mean_gain"))
+    return h.select("strategy", "runs", "successes", F.col("mean_shown").alias("mean_gain"))
 
 
 def _walk_sql(by_company: bool) -> str:
     """The order of strategies as a recursion: in each step the best of those that are left."""
     org = "cast(user_id as varchar)" if by_company else "''"
     return f"""{RUNS_SQL}, orgs as (select distinct {org} as org from events), s as (select unnest(range({_N})) as idx, unnest({_NAMES}) as strategy),
-g as (select {'org' if by_company else "'' as org"}, idx, count(*) as n, count(*) filter (where gain > 0) as ok, cast(sum(gain) as double) / count(*) as mean from runs group by all),
-h as (select orgs.org, s.idx, s.strategy, coalesce(n, 0) as n, coalesce(ok, 0) as ok, coalesce(mean, 0) as mean, sum(coalesce(n, 0)) over (partition by orgs.org) as total from orgs cross join s left join g on g.org = orgs.org and g.idx = s.idx),
+g as (select {'org' if by_company else "'' as org"}, idx, count(*) as n, count(*) filter (where gain > 0) as ok, cast(sum(gain) as double) / count(*) as mean, {_TOTAL} from runs group by all),
+gs as (select *, cast({_SHOWN} as double) as shown from g),
+h as (select orgs.org, s.idx, s.strategy, coalesce(n, 0) as n, coalesce(ok, 0) as ok, coalesce(mean, 0) as mean, coalesce(shown, 0) as shown, sum(coalesce(n, 0)) over (partition by orgs.org) as total from orgs cross join s left join gs as g on g.org = orgs.org and g.idx = s.idx),
 walk as (select org, 0 as i, cast(-1 as bigint) as idx, cast([] as bigint[]) as used from orgs
   union all select org, i + 1, best, list_append(used, best) from (
     select w.org, w.i, any_value(w.used) as used, arg_min(h.idx, (-(h.mean + 0.35 * sqrt(ln(greatest(1, h.total + w.i) + 1) / (h.n + 1))), h.idx)) as best
     from walk as w join h on h.org = w.org and not list_contains(w.used, h.idx) where w.i < {_N} group by w.org, w.i)),
-steps as (select walk.org, i, h.idx, strategy, n, ok, mean from walk join h on h.org = walk.org and h.idx = walk.idx where i > 0)"""
+steps as (select walk.org, i, h.idx, strategy, n, ok, shown as mean from walk join h on h.org = walk.org and h.idx = walk.idx where i > 0)"""
 
 
 @query("strategy_order", f"with recursive {_walk_sql(False)} select strategy, cast(i as int) as place, n as runs from steps")
@@ -76,8 +82,8 @@ placed as (select o.*, plan.i from o join plan on plan.org = o.organisation_numb
 v as (select plan.org, plan.i, count(*) filter (where placed.i = plan.i) as added, cast({_score_sql(False)} as double) as score, cast({_score_sql(True)} as double) as exp_score, {_ready('ok')} as ready, {_ready('experimental')} as exp_ready
   from plan left join placed on placed.organisation_number = plan.org and placed.i <= plan.i group by 1, 2),
 d as (select *, coalesce(lag(score) over w, 0) as before, score - coalesce(lag(score) over w, 0) as delta, exp_score - coalesce(lag(exp_score) over w, 0) as exp_delta from v window w as (partition by org order by i)),
-t as (select plan.org as organisation_number, cast(plan.i as int) as iteration, strategy, case when round_even(mean, 3) > 0 then 'replicate' else 'explore' end as controller_action, n as prior_runs, good as prior_successes,
-  round_even(mean, 3) as prior_mean_learning_gain, added as new_observations, before as score_before, score as score_after, delta as score_delta, exp_delta as experimental_potential_delta,
+t as (select plan.org as organisation_number, cast(plan.i as int) as iteration, strategy, case when mean > 0 then 'replicate' else 'explore' end as controller_action, n as prior_runs, good as prior_successes,
+  mean as prior_mean_learning_gain, added as new_observations, before as score_before, score as score_after, delta as score_delta, exp_delta as experimental_potential_delta,
   round_even(delta + greatest(0.0, exp_delta - delta) * 0.25, 3) as learning_gain, exp_score as experimental_potential_score, case when ready then 'available' else 'abstain' end as sentiment_status,
   case when exp_ready then 'available' else 'abstain' end as experimental_sentiment_status,
   case when delta > 0 then 'reinforce_publishable' when exp_delta > 0 then 'reinforce_experimental' when added > 0 then 'hold' else 'blocked_no_input' end as result from plan join d on d.org = plan.org and d.i = plan.i)"""

@@ -12,7 +12,14 @@ from heddle.registry import query
 from heddle.session import shared_folder, table
 from heddle.sources import resumable
 
-ROWS = 40
+#: Rows of a batch: an eighth of the customers, at least 40.
+ROWS_SQL = "greatest(40, (select count(*) from customer) // 8)"
+
+
+def _rows(n: int) -> int:
+    return max(40, n // 8)
+
+
 MODULES = ["registry", "website", "accounting_obligation"]
 
 
@@ -20,12 +27,12 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("resume_after_stop", f"with m as (select c_custkey, (row_number() over (order by c_custkey) - 1) // {ROWS} as batch from customer) select c_custkey, cast(batch as bigint) as batch, (select count(*) from orders where o_custkey = c_custkey) as orders from m")
+@query("resume_after_stop", f"with m as (select c_custkey, (row_number() over (order by c_custkey) - 1) // {ROWS_SQL} as batch from customer) select c_custkey, cast(batch as bigint) as batch, (select count(*) from orders where o_custkey = c_custkey) as orders from m")
 def resume_after_stop(spark, sf_dir):
     """STR5, SNK2: a run that is stopped after two batches, and goes on."""
     manifest, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_custkey")
     work = lambda batch, number: batch.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_custkey").alias("orders"))
-    folder, options = _folder(spark, "resume"), {"key": "c_custkey", "position": "c_custkey", "rows": ROWS, "parameters": {"counted": "orders"}}
+    folder, options = _folder(spark, "resume"), {"key": "c_custkey", "position": "c_custkey", "rows": _rows(manifest.count()), "parameters": {"counted": "orders"}}
     resumable.run(manifest, work, folder, **options, most_batches=2)
     resumable.run(manifest, work, folder, **options, most_batches=None)
     return resumable.committed(spark, folder, "c_custkey long, orders long").select("c_custkey", "batch", "orders")
@@ -42,7 +49,7 @@ def _profiles(spark, sf_dir):
     return c.select("custkey", "organisation_number", records.alias("evidence"))
 
 
-_STATES_SQL = f"""with {COMPANIES_SQL}, p as (select custkey, organisation_number, (row_number() over (order by custkey) - 1) // {ROWS} as batch from companies),
+_STATES_SQL = f"""with {COMPANIES_SQL}, p as (select custkey, organisation_number, (row_number() over (order by custkey) - 1) // {ROWS_SQL} as batch from companies),
 s as (select *, 'registry' as module, 'complete' as module_state, 0 as retry_count, '2024-01-01T00:00:00Z' as final_timestamp from p
   union all select *, 'accounting_obligation', 'not_applicable', 0, '2024-02-01T00:00:00Z' from p
   union all select *, 'website', case when custkey % 4 = 0 then 'submission_error' when custkey % 3 = 0 then 'complete' when custkey % 3 = 1 then 'source_error' when custkey % 2 = 0 then 'blocked_robots' else 'blocked_policy' end,
@@ -56,16 +63,15 @@ def envelope_package(spark, sf_dir):
     profiles = _profiles(spark, sf_dir)
     manifest = profiles.select("organisation_number", "custkey")
     n = manifest.count()
-    expected = lambda b: min(ROWS * 8, n - ROWS * 8 * b)
+    size = _rows(n)
+    expected = lambda b: min(size, n - size * b)
     built = lambda batch: package.envelopes(profiles.join(batch, "organisation_number", "left_semi"), MODULES, **_RUN)
     check = package.checked(built(manifest), expected)[1]
     folder = _folder(spark, "package")
-    resumable.run(manifest, lambda b, number: package.checked(built(b), expected)[0], folder, key="organisation_number", position="custkey", rows=ROWS * 8, parameters=_RUN, check=check)
+    resumable.run(manifest, lambda b, number: package.checked(built(b), expected)[0], folder, key="organisation_number", position="custkey", rows=size, parameters=_RUN, check=check)
     found = resumable.committed(spark, folder, package.checked(built(manifest), expected)[0].schema)
-    each = found.select("organisation_number", "state", F.explode("modules").alias("module", "x"))
-    place = manifest.select("organisation_number", "custkey")
-    numbered = resumable.batched(place, "organisation_number", "custkey", ROWS).select("organisation_number", "batch")
-    return each.join(numbered, "organisation_number").select("organisation_number", "batch", "state", "module", F.col("x.state").alias("module_state"), "x.retry_count", "x.final_timestamp")
+    each = found.select("organisation_number", "batch", "state", F.explode("modules").alias("module", "x"))
+    return each.select("organisation_number", "batch", "state", "module", F.col("x.state").alias("module_state"), "x.retry_count", "x.final_timestamp")
 
 
 @query("envelope_validation", "select false as passed, count(*) filter (where c_custkey % 10 = 0) = 0 as exact_expected_count, count(*) filter (where c_custkey % 10 = 0) = 0 as unique_organisation_numbers, true as all_entity_states_terminal, count(*) filter (where c_custkey % 5 = 0) = 0 as all_module_states_terminal, count(*) filter (where c_custkey % 10 = 0) = 0 as zero_silent_drops, cast(count(*) filter (where c_custkey % 5 = 0) + count(*) filter (where c_custkey % 10 = 0) as bigint) as invalid_states from customer")

@@ -271,12 +271,12 @@ def register_files(spark, sf_dir):
     return both.select("organisation_number", "name", "legal_form", "employees", "website", "bankrupt")
 
 
-@query("manifest_forms", "select form, lpad(cast(s_suppkey as varchar), 9, '8') as organisation_number, case when form in ('lines', 'array') and s_suppkey % 2 = 0 then 'held_out' end as evaluation_split from supplier, (select unnest(['text', 'lines', 'array', 'object']) as form) where length(cast(s_suppkey as varchar)) < 9 and (s_suppkey <> 8 and s_suppkey <> 88 and s_suppkey <> 888 and s_suppkey <> 8888)")
+@query("manifest_forms", "select form, lpad(cast(s_suppkey as varchar), 9, '0') as organisation_number, case when form in ('lines', 'array') and s_suppkey % 2 = 0 then 'held_out' end as evaluation_split from supplier, (select unnest(['text', 'lines', 'array', 'object']) as form)")
 def manifest_forms(spark, sf_dir):
     """SRC3, SRC4: one manifest as keys in lines, as JSON lines, as a JSON list, and as an object with a list."""
     k = F.col("s_suppkey")
-    key = F.lpad(k.cast("string"), 9, "8")
-    s = table(spark, sf_dir, "supplier").filter(~k.isin(8, 88, 888, 8888)).select("s_suppkey", key.alias("key"))
+    key = F.lpad(k.cast("string"), 9, "0")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", key.alias("key"))
     entry = F.when(k % 2 == 0, F.to_json(F.struct(F.col("key").alias("organisation_number"), F.lit("held_out").alias("evaluation_split")))).otherwise(F.to_json(F.struct(F.col("key").alias("organisation_number"))))
     folder = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
     s.orderBy("s_suppkey").select(F.concat_ws(" ", F.substring("key", 1, 3), F.substring("key", 4, 6))).write.text(f"{folder}/m.txt")

@@ -98,7 +98,7 @@ def sequence_ratio(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.round(udfs.sequence_ratio(F.col("title"), F.col("h1")), 6).alias("ratio"))
 
 
-@query("jsonld_walk")
+@query("jsonld_walk", "select s_suppkey, 0 as place, 'Organization' as type, s_name as name, cast(null as varchar) as url from supplier union all select s_suppkey, 1, 'JobPosting', 't' || s_suppkey, null from supplier")
 def jsonld_walk(spark, sf_dir):
     """SCA38, over graphs made of suppliers."""
     s = table(spark, sf_dir, "supplier")
