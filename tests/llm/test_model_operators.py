@@ -367,3 +367,16 @@ def test_stems_count_where_words_begin():
     got = toxicity.fit(texts, y, held).scores(texts) >= 0.5
     rare = np.arange(len(y)) >= 400
     assert got[rare & (y == 1)].mean() >= 0.8 and got[y == 0].mean() <= 0.05 and got[~rare & (y == 1)].mean() >= 0.9
+
+
+def test_toxic_documents_by_language(spark):
+    """Held-out rows of the larger table: recall and false alarms in each language, learned without knowing languages."""
+    import os
+
+    folder = f"{os.environ.get('HEDDLE_TESTDATA', '/root/testdata')}/sf0.1"
+    docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
+    rows = toxicity.learn_and_score(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", "toxic"), "doc_id").filter("toxic is not null").collect()
+    share = lambda lang, toxic, held: np.mean([r.predicted for r in rows if r.lang == lang and r.toxic == toxic and r.held_out in held])
+    for lang, recall in (("en", 0.85), ("de", 0.7), ("fr", 0.85), ("es", 0.8)):
+        assert share(lang, 1, (True,)) >= recall and share(lang, 0, (True,)) <= 0.06, lang
+    assert share("es", 1, (False,)) >= 0.8
