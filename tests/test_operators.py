@@ -166,3 +166,28 @@ def test_last_bulk_row_counts(spark):
     m = spark.createDataFrame([("a", 0), ("b", 1)], "k string, position int")
     b = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("c", 1, "z")], "k string, at int, v string")
     assert [(r.k, r.v, r.status) for r in rel.anchor(m, b, "k", "position", "at").collect()] == [("a", "y", "available"), ("b", None, "not_available")]
+
+
+def test_ratios_and_folds_of_whole_tables(spark, sf_dir):
+    """The two Arrow functions against the standard library, on every page and document."""
+    import unicodedata
+    from difflib import SequenceMatcher
+    from hashlib import sha256
+
+    from heddle.functions.udfs import KEPT
+    from heddle.plans import texts
+    from heddle.registry import QUERIES
+
+    pages = {r.page_id: (r.title, r.h1) for r in texts._pages(spark, sf_dir).collect()}
+    assert {r.page_id: r.ratio for r in QUERIES["sequence_ratio"](spark, sf_dir).collect()} == {k: round(SequenceMatcher(None, a, b).ratio(), 6) for k, (a, b) in pages.items()}
+    plain = lambda t: unicodedata.normalize("NFKD", t.translate(KEPT)).encode("ascii", "ignore").decode().casefold()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert {r.doc_id: r.folded_sha256 for r in QUERIES["ascii_fold"](spark, sf_dir).collect()} == {r.doc_id: sha256(plain(r.text).encode()).hexdigest() for r in docs}
+
+
+def test_workspaces_recover(spark):
+    from heddle.operators import register
+
+    cases = {None: ([], 0, None), "": ([], 0, "JSONDecodeError"), "{": ([], 0, "JSONDecodeError"), "[]": ([], 0, "ValueError"), '{"schema_version":1,"pins":"x","history":[]}': ([], 0, "ValueError"), '{"schema_version":1,"pins":["b"],"history":[{"a":1}]}': (["b"], 1, None)}
+    rows = spark.createDataFrame([(b,) for b in cases], "b string").select("b", register.workspace(F.col("b")).alias("w")).collect()
+    assert {r.b: (r.w.pins, len(r.w.history), r.w.warning and r.w.warning.split()[-1]) for r in rows} == cases
