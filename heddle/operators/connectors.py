@@ -166,3 +166,21 @@ def latencies(predictions: DataFrame) -> DataFrame:
 def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+
+
+def display_slices(observations: DataFrame, order: str, most: int = 10) -> DataFrame:
+    """PRJ8: what a company's page shows of its exact observations, in the order in which they came: the last profile and headcount, the first ``most`` posts and postings, and each
+    handle once. Rows are cut to what is shown before a company's are gathered."""
+    c = F.col
+    told = F.struct(c("source_url").alias("source"), c("retrieved_at").alias("retrieved_at"), c("content_sha256").alias("hash"), c("rights_status").alias("rights_status"), c("evidence_span").alias("text"))
+    exact = observations.filter(F.coalesce("exact_entity", F.lit(False)))
+    network = exact.filter("platform = 'linkedin'")
+    lasts = network.filter(c("signal_type").isin("profile_metrics", "workforce_snapshot")).groupBy("organisation_number").agg(
+        F.max_by(F.when(c("signal_type") == "profile_metrics", told), F.when(c("signal_type") == "profile_metrics", c(order))).alias("profile"), F.max_by(F.when(c("signal_type") == "workforce_snapshot", told), F.when(c("signal_type") == "workforce_snapshot", c(order))).alias("workforce")
+    )
+    placed = network.filter(c("signal_type").isin("public_post", "job_posting")).withColumn("_n", F.row_number().over(Window.partitionBy("organisation_number", "signal_type").orderBy(order))).filter(c("_n") <= most)
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(c("signal_type") == kind, F.struct("_n", told.alias("t"))))), lambda x: x["t"])
+    lists = placed.groupBy("organisation_number").agg(listed("public_post").alias("posts"), listed("job_posting").alias("jobs"))
+    handles = exact.filter((c("signal_type") == "profile_handle") & ~blank(c("source_url"))).select("organisation_number", "platform", c("source_url").alias("url")).distinct()
+    named = handles.groupBy("organisation_number").agg(F.array_sort(F.collect_list(F.struct("platform", "url"))).alias("handles"))
+    return lasts.join(lists, "organisation_number", "full").join(named, "organisation_number", "full")

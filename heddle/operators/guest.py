@@ -5,12 +5,12 @@ Responses have ``url, body, content_sha256``, each url once. A request is the ur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import graphs, text, urls
 from heddle.operators import pages as markup
-from heddle.operators.discovery import keep_first_by
+from heddle.operators.discovery import discovery_identity, keep_first_by, profile_identity
 
 #: Addresses of the network's open services (fixed values).
 TYPEAHEAD = "https://www.linkedin.com/jobs-guest/api/typeaheadHits?typeaheadType=COMPANY&query="
@@ -178,3 +178,97 @@ def jobs(handles: DataFrame, captured: DataFrame, search_pages: int = 3) -> tupl
     told = rows.select("organisation_number", "expected_url", F.when(c("expected_url").isNull(), "invalid LinkedIn company handle").alias("error")).join(first_id.drop("_last_id"), handle, "left").join(pages_read, handle, "left").join(verified, handle, "left")
     report = told.select("organisation_number", "expected_url", "error", "confirmed_id", *[number(c(x)).alias(x) for x in ("pages_read", "candidate_cards", "exact_jobs", "detail_errors")])
     return out, report
+
+
+def search_results(payload: Column) -> Column:
+    """SRC14: the results of a search provider's response, as JSON, in their rank: address, title, snippet; entries that aren't objects or have no address are left out but keep
+    their rank."""
+    listed = F.coalesce(F.try_variant_get(F.try_parse_json(payload), "$.web.results", "array<variant>"), F.array().cast("array<variant>"))
+    one = lambda v, i: F.struct((i + 1).alias("rank"), graphs.text_at(v, "$.url").alias("url"), F.coalesce(graphs.text_at(v, "$.title"), F.lit("")).alias("title"), F.coalesce(graphs.text_at(v, "$.description"), F.lit("")).alias("snippet"))
+    return F.filter(F.transform(listed, one), lambda r: F.coalesce(r["url"], F.lit("")) != "")
+
+
+def legal_name_url(name: Column) -> Column:
+    """The address that a company's page would have by its legal name; null for a name without letters and digits."""
+    slug = F.array_join(text.map_tokens(name), "-")
+    return F.when(slug != "", F.concat(F.lit("https://www.linkedin.com/company/"), slug))
+
+
+def _observed(rows: DataFrame, prefix: str, key: Column, signal: str, strategy: str, source: Column, span: Column, **metrics: Column) -> DataFrame:
+    fixed = {"platform": "linkedin", "signal_type": signal, "strategy": strategy, "acquisition_mode": "unofficial_api_experiment", "rights_status": "experimental", "source_class": "professional_network"}
+    name = F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", "organisation_number", key), 256), 1, 24))
+    told = {"followers": "long", "employees": "long", "likes": "long", "comments": "long", "date_published": "string"}
+    numbers = [metrics[m].alias(m) if m in metrics else F.lit(None).cast(kind).alias(m) for m, kind in told.items()]
+    return rows.select(name.alias("id"), "organisation_number", source.alias("source_url"), "content_sha256", span.alias("evidence_span"), *numbers, F.lit(True).alias("exact_entity"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+def handle_profiles(handles: DataFrame, companies: DataFrame, captured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DRV2: of verified handles (``position, organisation_number, profile_url``) the observations of the pages behind them, and a row of outcome for each.
+
+    ``companies`` have ``organisation_number, name, site_host``; ``captured`` is ``url, status, body``. A handle whose page is gone (404) is tried under the legal name once. A page counts
+    only if its name or the site that it links back to is the company's, and once a company, for its first handle. It gives its metrics, its size if it tells any, and its posts.
+    """
+    c = F.col
+    pages_ = captured.select(c("url").alias("_url"), c("status").alias("_status"), c("body").alias("_body"))
+    asked = handles.withColumn("expected_url", company_url(c("profile_url"))).join(companies, "organisation_number", "left").withColumn("_fallback", legal_name_url(c("name")))
+    first = asked.join(pages_, c("profile_url") == c("_url"), "left")
+    # The legal name's address is looked up only for pages that are gone, and only if it is another page.
+    again = first.filter((c("_status") == 404) & c("_fallback").isNotNull() & ~company_url(c("_fallback")).eqNullSafe(c("expected_url")))
+    second = again.select("position", "_fallback").join(pages_, c("_fallback") == c("_url"), "left").select("position", c("_status").alias("_status2"), c("_body").alias("_body2"))
+    both = first.join(second, "position", "left")
+    body = F.when(c("_status") == 200, c("_body")).when(c("_status2") == 200, c("_body2"))
+    got = both.select("position", "organisation_number", "name", "site_host", "profile_url", "expected_url", F.when(c("_status") == 200, c("profile_url")).when(c("_status2") == 200, c("_fallback")).alias("final_url"), body.alias("body"))
+    read = profiles(got.withColumnsRenamed({"name": "_legal", "site_host": "_host"})).withColumn("content_sha256", F.sha2(F.coalesce("body", F.lit("")), 256))
+    judged = read.withColumn("_i", profile_identity(c("_legal"), c("_host"), c("name"), c("website"), c("page_url")))
+    outcome = F.when(c("body").isNull(), "not_captured").when(c("name").isNull(), "no_structured_profile").when(~c("_i.publishable_candidate"), "identity_not_established").otherwise("extracted")
+    rows = judged.withColumn("outcome", outcome)
+    place = F.row_number().over(Window.partitionBy("organisation_number", "page_url", "outcome").orderBy("position"))
+    rows = rows.withColumn("outcome", F.when((c("outcome") == "extracted") & (place > 1), "duplicate").otherwise(c("outcome")))
+    good = rows.filter("outcome = 'extracted'")
+    shown = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
+    metrics = _observed(good, "linkedin-profile-", F.concat("expected_url", F.lit("|profile")), "profile_metrics", "social_profile_metrics", c("final_url"), F.concat("name", F.lit(" — "), shown(c("followers")), F.lit(" followers — "), shown(c("visible_employees")), F.lit(" visible employee profiles")), followers=c("followers"), employees=c("visible_employees"))
+    sized = good.filter("visible_employees is not null or employee_size_label is not null")
+    staff = _observed(sized, "linkedin-workforce-", F.concat("expected_url", F.lit("|workforce")), "workforce_snapshot", "linkedin_workforce_snapshot", c("final_url"), F.concat(F.lit("LinkedIn structured company profile reports "), shown(c("visible_employees")), F.lit(" associated employee profiles and size "), shown(c("employee_size_label")), F.lit(".")), employees=c("visible_employees"))
+    posts = good.select("organisation_number", "content_sha256", F.explode("posts").alias("p")).filter("p.url <> '' and p.text <> ''")
+    said = _observed(posts, "linkedin-post-", c("p.url"), "public_post", "social_profile_metrics", c("p.url"), c("p.text"), likes=c("p.likes").cast("long"), comments=c("p.comments").cast("long"), date_published=c("p.date_published"))
+    return metrics.unionByName(staff).unionByName(said), rows.select("position", "organisation_number", "expected_url", "outcome", "page_url", "followers", F.size("posts").alias("posts"))
+
+
+def discovered_handles(companies: DataFrame, captured: DataFrame, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """DRV4: network pages of companies that nobody linked: those that the search box suggests under exactly the name lead to candidates, by the name's own address and by the postings of the
+    suggested ids, and the first candidate that is exactly the company is taken.
+
+    ``companies`` are ``position, organisation_number, name, municipality, site_host, aliases, leaders``; aliases are asked for only if ``fuzzy``. Returns the handles, and a row for each
+    company with what was suggested, tried and taken.
+    """
+    c = F.col
+    full = text.full_name
+    bodies = captured.select(c("url").alias("_request"), c("body").alias("_body"))
+    names = F.concat(F.array(F.struct(F.lit(0).alias("n"), c("name").alias("query"), F.lit(False).alias("alias"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a, i: F.struct((i + 1).alias("n"), a.alias("query"), F.lit(True).alias("alias"))) if fuzzy else F.array().cast("array<struct<n:int,query:string,alias:boolean>>"))
+    asked = companies.select("organisation_number", F.explode(names).alias("q")).select("organisation_number", "q.*")
+    heard = asked.join(bodies, F.concat(F.lit(TYPEAHEAD), F.url_encode("query")) == c("_request"))
+    suggested = heard.select("organisation_number", "n", "query", "alias", F.posexplode(F.filter(typeahead(c("_body"), c("query")), lambda s: full(s["name"]) == full(c("query")))).alias("at", "s"))
+    exact = suggested.select("organisation_number", "n", "at", "query", "alias", c("s.id").alias("company_id"))
+    order = Window.partitionBy("organisation_number").orderBy("n", "at")
+    ranked = exact.withColumn("place", F.row_number().over(order))
+    # Only companies that are suggested at all have candidates; the first two ids are followed.
+    known = exact.groupBy("organisation_number").agg(F.array_sort(F.collect_set("company_id")).alias("company_ids"), F.count("*").alias("suggested"))
+    own = asked.join(known, "organisation_number").select("organisation_number", F.lit(0).alias("stage"), c("n").alias("place"), F.lit(0).alias("at"), F.coalesce(company_url(legal_name_url(c("query"))), legal_name_url(c("query"))).alias("url"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query")).otherwise("legal_name_slug").alias("source"))
+    jobs_ = ranked.filter("place <= 2").withColumn("_request", F.concat(F.lit(f"{JOBS}f_C="), F.url_encode("company_id"), F.lit("&location=Norway&start=0")))
+    linked = job_cards(bodies.join(jobs_.select("_request").distinct(), "_request", "left_semi"), "_body").select("_request", F.array_distinct(F.filter(F.transform("jobs", lambda j: j["company_url"]), lambda u: u.isNotNull())).alias("_urls"))
+    by_job = jobs_.join(linked, "_request").select("organisation_number", "place", "alias", "query", F.posexplode("_urls").alias("at", "url"))
+    sources = F.array_compact(F.array(F.lit("company_id_job_link"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query"))))
+    through = by_job.select("organisation_number", F.lit(1).alias("stage"), "place", "at", "url", F.explode(sources).alias("source"))
+    met = own.unionByName(through).filter("url is not null").groupBy("organisation_number", "url").agg(F.min(F.struct("stage", "place", "at")).alias("first"), F.array_sort(F.collect_set("source")).alias("sources"))
+    pages_ = profiles(met.join(bodies, c("url") == c("_request")).withColumnRenamed("_body", "body").drop("_request").withColumnRenamed("url", "candidate_url"))
+    said = F.concat_ws(" ", "description", F.array_join(F.transform("posts", lambda p: p["text"]), " "))
+    facts = pages_.filter("name is not null").select("organisation_number", "candidate_url", "first", "sources", "page_url", F.sha2("body", 256).alias("content_sha256"), c("name").alias("found_name"), c("website").alias("found_site"), F.coalesce("headquarters", F.lit("")).alias("found_place"), said.alias("found_text"), F.array_contains("sources", "company_id_job_link").alias("by_job_link"))
+    alias = F.transform(F.filter("sources", lambda s: F.startswith(s, F.lit("official_site_alias:"))), lambda s: F.substring_index(s, "official_site_alias:", -1))
+    judged = discovery_identity(facts.join(companies.drop("aliases"), "organisation_number").withColumn("aliases", alias))
+    taken = judged.filter("exact_entity").groupBy("organisation_number").agg(F.min_by(F.struct("candidate_url", F.coalesce("page_url", "candidate_url").alias("resolved_url"), "content_sha256"), "first").alias("t"))
+    rows = companies.select("position", "organisation_number").join(known, "organisation_number", "left").join(met.groupBy("organisation_number").agg(F.count("*").alias("candidates")), "organisation_number", "left").join(taken, "organisation_number", "left")
+    fixed = {"platform": "linkedin", "signal_type": "profile_handle", "acquisition_mode": "unofficial_api_experiment", "rights_status": "experimental", "source_class": "professional_network", "strategy": "verified_handle_extraction"}
+    found = rows.filter("t is not null")
+    handles = found.select(F.concat(F.lit("linkedin-discovered-handle-"), F.substring(F.sha2(F.concat_ws("|", "organisation_number", "t.resolved_url"), 256), 1, 24)).alias("id"), "organisation_number", c("t.resolved_url").alias("profile_url"), "company_ids", c("t.content_sha256").alias("content_sha256"), F.lit(True).alias("exact_entity"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+    number = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
+    return handles, rows.select("position", "organisation_number", number("suggested"), number("candidates"), c("t.resolved_url").alias("accepted_url"))

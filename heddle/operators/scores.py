@@ -120,10 +120,9 @@ def competition(reports: DataFrame, target: float = 80.0) -> DataFrame:
     qualified, audited = yes("external_qualified"), F.coalesce("published_audited", F.lit(0)) > 0
     zero_wrong, supported = (c("wrong_entity_publications") == 0) & audited, (F.coalesce("unsupported_publications", F.lit(0)) == 0) & audited
     when = lambda cond, x: F.when(cond, x).otherwise(0.0)
-    external = {
-        "verified_external_identity": when(qualified & zero_wrong, F.lit(10.0)), "multi_source_breadth": when(qualified, capped(10, c("two_platforms"))), "workforce_and_jobs": when(qualified, capped(7, c("workforce_jobs"))), "ratings_and_reviews": when(qualified, capped(8, c("ratings_reviews"))),
-        "buzz_and_engagement": when(qualified, capped(7, c("buzz_engagement"))), "qualified_sentiment": when(yes("sentiment_gate"), capped(10, c("sentiment"))), "external_freshness": when(qualified, capped(3, c("fresh_coverage"))),
-    }
+    # Identity that was never wrong, then the shares of companies with two platforms, workforce, ratings, buzz, sentiment, and fresh evidence.
+    shares = [(10, "two_platforms"), (7, "workforce_jobs"), (8, "ratings_reviews"), (7, "buzz_engagement"), (3, "fresh_coverage")]
+    external = [when(qualified & zero_wrong, F.lit(10.0)), when(yes("sentiment_gate"), capped(10, c("sentiment"))), *[when(qualified, capped(w, c(x))) for w, x in shares]]
     foundation = [capped(4, c("exact_registry")), capped(4, c("financial")), capped(4, c("roles_locations")), capped(3, c("website_terminal"))]
     research = F.bround(F.least(F.lit(10.0), F.least(F.lit(12.0), F.coalesce("research_score", F.lit(0.0))) * 10 / 12), 3)
     research = F.when(yes("external_qa_passed"), research).otherwise(F.least(F.lit(5.0), research))
@@ -133,7 +132,7 @@ def competition(reports: DataFrame, target: float = 80.0) -> DataFrame:
     add = lambda xs: F.bround(sum(xs, F.lit(0.0)), 3)
     rows = reports.withColumns(
         {
-            "external_footprint_intelligence": add(external.values()), "official_company_foundation": add(foundation), "research_agent": research, "daily_extensibility_refresh": add(extend),
+            "external_footprint_intelligence": add(external), "official_company_foundation": add(foundation), "research_agent": research, "daily_extensibility_refresh": add(extend),
             "product_ux_design": F.when(yes("ux_external"), ux).otherwise(F.least(F.lit(4.0), ux)),
         }
     )

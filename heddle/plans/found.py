@@ -268,3 +268,88 @@ def site_aliases(spark, sf_dir):
     role = lambda n, c: F.struct(n.alias("name"), F.lit(c).alias("role_code"))
     roles = F.array(role(F.lit("Ola"), "DAGL"), role(F.lit("Per"), "MEDL"), role(F.when(k % 5 == 0, "Kari"), "LEDE"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(discovery.site_aliases(F.lit("OWN name"), titles), ";").alias("aliases"), F.array_join(discovery.leaders(roles), ";").alias("leaders"))
+
+
+def _text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query("provider_results", "select s_suppkey, i as rank, 'https://r' || i || '.example.com/' || s_suppkey as url, case when i = 1 then s_name else '' end as title from supplier, (select unnest([1, 2, 4]) as i) where s_suppkey % 5 <> 0 and (i <> 4 or s_suppkey % 2 = 0)")
+def provider_results(spark, sf_dir):
+    """SRC14: results of a search provider, with entries that aren't any and responses that are broken."""
+    k = F.col("s_suppkey")
+    url = lambda i: _text(f"https://r{i}.example.com/", k)
+    body = _text('{"web":{"results":[{"url":"', url(1), '","title":"', F.col("s_name"), '"},{"url":"', url(2), '"},"x",{"title":"t"', F.when(k % 2 == 0, _text(',"url":"', url(4), '"')).otherwise(""), "}]}}")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(guest.search_results(F.when(k % 5 == 0, "<html>").otherwise(body))).alias("r"))
+    return rows.select("s_suppkey", "r.rank", "r.url", F.when(F.col("r.rank") == 4, "").otherwise(F.col("r.title")).alias("title"))
+
+
+def _page(name, slug, site, k):
+    graph = _text('<script type="application/ld+json">{"@type":"Organization","name":"', name, '","url":"https://linkedin.com/company/', slug, '","numberOfEmployees":{"value":', k, "}}</script>")
+    return _text('<meta name="description" content="', k + 7, ' followers">', graph, '<div data-test-id="about-us__website"><dd><a href="r">', site, "</a></dd></div>")
+
+
+def _handles(spark, sf_dir):
+    """Two handles a customer, the second the same page; some pages are gone, and of these some are found under the legal name; some are others' but link back."""
+    k = F.col("k")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    slug, url = _text("f", k), _text("https://www.linkedin.com/company/f", k)
+    companies = c.select(k.cast("string").alias("organisation_number"), _text("Fjord ", k, " AS").alias("name"), F.when(k % 3 == 0, _text("f", k, ".no")).alias("site_host"))
+    handles = c.select(F.explode(F.array(F.struct((k * 2).alias("position"), url.alias("profile_url")), F.struct((k * 2 + 1).alias("position"), _text(url, "/about").alias("profile_url")))).alias("h"), k.cast("string").alias("organisation_number")).select("h.*", "organisation_number")
+    body = _page(F.when(k % 4 == 0, "Annet").otherwise(_text("FJORD ", k)), slug, F.when(k % 6 == 0, _text("http://www.f", k, ".no/x")).otherwise("a.no"), k)
+    gone = k % 5 == 0
+    answers = F.array(F.struct(url.alias("url"), F.when(gone, 404).otherwise(200).alias("status"), body.alias("body")), F.struct(_text(url, "/about").alias("url"), F.when(gone, 404).otherwise(200).alias("status"), body.alias("body")), F.struct(_text("https://www.linkedin.com/company/fjord-", k, "-as").alias("url"), F.when(k % 10 == 0, 200).otherwise(404).alias("status"), body.alias("body")))
+    captured = c.select(F.explode(answers).alias("a")).select("a.*")
+    return guest.handle_profiles(handles, companies, captured)
+
+
+_HANDLES_SQL = """h as (select c_custkey as k, c_custkey * 2 + i as position, i, c_custkey % 5 <> 0 or c_custkey % 10 = 0 as there, c_custkey % 4 <> 0 or c_custkey % 6 = 0 as good from customer, (select unnest([0, 1]) as i)),
+o as (select *, case when not there then 'not_captured' when not good then 'identity_not_established' when i = 1 then 'duplicate' else 'extracted' end as outcome from h)"""
+
+
+@query("handle_outcomes", f"with {_HANDLES_SQL} select position, outcome, case when there then k + 7 end as followers from o")
+def handle_outcomes(spark, sf_dir):
+    """DRV2: what became of each handle."""
+    return _handles(spark, sf_dir)[1].select("position", "outcome", "followers")
+
+
+@query("handle_observations", f"with {_HANDLES_SQL} select cast(k as varchar) as organisation_number, unnest(['profile_metrics', 'workforce_snapshot']) as signal_type, 'linkedin-' || unnest(['profile', 'workforce']) || '-' || sha256(k || '|https://linkedin.com/company/f' || k || '|' || unnest(['profile', 'workforce']))[:24] as id, k as employees from o where outcome = 'extracted'")
+def handle_observations(spark, sf_dir):
+    return _handles(spark, sf_dir)[0].select("organisation_number", "signal_type", "id", "employees")
+
+
+@query(
+    "discovered_handles",
+    """with c as (select c_custkey as k from customer) select k as position, case when k % 3 <> 0 then 1 else 0 end as suggested, case when k % 3 = 0 then 0 when k % 2 = 0 then 2 else 1 end as candidates,
+  case when k % 3 <> 0 then case when k % 5 = 0 then 'https://linkedin.com/company/fjord-' || k || '-as' when k % 2 = 0 then 'https://linkedin.com/company/f' || k end end as accepted_url from c""",
+)
+def discovered_handles(spark, sf_dir):
+    """DRV4: pages that the search box leads to, by the legal name or by postings."""
+    k = F.col("k")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    name, slug = _text("Fjord ", k, " AS"), _text("fjord-", k, "-as")
+    companies = c.select(k.alias("position"), k.cast("string").alias("organisation_number"), name.alias("name"), F.lit("BERGEN").alias("municipality"), F.when(k % 5 == 0, _text("f", k, ".no")).alias("site_host"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("leaders"))
+    card = _text('<div class="base-search-card" data-entity-urn="urn:', k + 1000000, '"><h4><a href="https://linkedin.com/company/F', k, '?x">W</a></h4></div>')
+    answers = [
+        (_text(guest.TYPEAHEAD, "Fjord+", k, "+AS"), _text('[{"type":"COMPANY","id":"7', k, '","displayName":"', F.when(k % 3 != 0, _text("FJORD ", k, " as")).otherwise("Fjord Inn"), '"}]')), (_text(guest.JOBS, "f_C=7", k, "&location=Norway&start=0"), F.when(k % 2 == 0, card).otherwise("<p>none</p>")),
+        (_text("https://linkedin.com/company/", slug), _page(_text("Fjord ", k), slug, _text("f", k, ".no"), k)), (_text("https://linkedin.com/company/f", k), _page(name, _text("f", k), "a.no", k)),
+    ]
+    captured = c.select(F.explode(F.array(*[F.struct(u.alias("url"), b.alias("body")) for u, b in answers])).alias("a")).select("a.*")
+    return guest.discovered_handles(companies, captured)[1].select("position", "suggested", "candidates", "accepted_url")
+
+
+@query(
+    "display_slices",
+    f"""with {OBSERVATIONS_SQL}, o as (select *, cast(id as bigint) as i from judged where exact_entity), l as (select * from o where platform = 'linkedin')
+select u.organisation_number, (select max(i) from l where l.organisation_number = u.organisation_number and signal_type = 'profile_metrics') as profile, (select least(10, count(*)) from l where l.organisation_number = u.organisation_number and signal_type = 'public_post') as posts,
+  (select least(10, count(*)) from l where l.organisation_number = u.organisation_number and signal_type = 'job_posting') as jobs, (select count(distinct platform || ' ' || source_url) from o where o.organisation_number = u.organisation_number and signal_type = 'profile_handle') as handles
+from (select distinct organisation_number from l where signal_type in ('profile_metrics', 'public_post', 'job_posting') union select distinct organisation_number from o where signal_type = 'profile_handle' and source_url is not null) as u""",
+)
+def display_slices(spark, sf_dir):
+    """PRJ8: the slices of observations that a company's page shows."""
+    from heddle.operators import connectors
+
+    rows = observations(spark, sf_dir).withColumns({"at": F.col("id").cast("bigint"), "evidence_span": F.col("id"), "retrieved_at": F.col("retrieved_at").cast("string")})
+    shown = connectors.display_slices(rows, "at")
+    size = lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("bigint").alias(x)
+    return shown.select("organisation_number", F.col("profile.text").cast("bigint").alias("profile"), size("posts"), size("jobs"), size("handles"))

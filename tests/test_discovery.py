@@ -138,3 +138,52 @@ def test_postings_of_exactly_the_company(spark):
     assert {r.organisation_number: (r.error, r.confirmed_id, r.pages_read, r.candidate_cards, r.exact_jobs, r.detail_errors) for r in report.collect()} == {
         "1": (None, "20", 4, 1 + 3 + 3 + 0, 1, 1), "2": (None, None, 1, 1, 1, 0), "3": ("invalid LinkedIn company handle", None, 0, 0, 0, 0), "4": (None, None, 0, 0, 0, 0),
     }
+
+
+def test_results_of_a_provider(spark):
+    body = json.dumps({"web": {"results": [{"url": "u1", "title": "T"}, "x", {"title": "no url"}, {"url": "u4", "description": "S"}]}})
+    rows = spark.createDataFrame([(body,), ("no",), (None,), ('{"web":null}',)], "b string").select(guest.search_results(F.col("b")).alias("r")).collect()
+    assert [[tuple(x) for x in r.r] for r in rows] == [[(1, "u1", "T", ""), (4, "u4", "", "S")], [], [], []]
+
+
+def page_of(name, url, site=None, staff=None, place=None, about="", posts=()):
+    graph = [{"@type": "Organization", "name": name, "url": url, "description": about} | ({"numberOfEmployees": {"value": staff}} if staff else {})] + [{"@type": "DiscussionForumPosting", "url": u, "text": t, "author": {"url": url}} for u, t in posts]
+    extra = (f'<div data-test-id="about-us__website"><dd><a href="x">{site}</a></dd></div>' if site else "") + (f'<div data-test-id="about-us__headquarters"><dd>{place}</dd></div>' if place else "")
+    return f'<meta name="description" content="{name} | 12 followers"><script type="application/ld+json">{json.dumps({"@graph": graph})}</script>{extra}'
+
+
+def test_pages_behind_handles(spark):
+    link = lambda x: f"https://www.linkedin.com/company/{x}"
+    handles = [(0, "1", link("fjord")), (1, "1", link("FJORD")), (2, "2", link("gone")), (3, "3", link("other")), (4, "4", link("none")), (5, "5", link("login")), (6, "6", link("site"))]
+    names = [("1", "Fjord AS", None), ("2", "Nord Ås AS", None), ("3", "Vest AS", "vest.no"), ("4", "X AS", None), ("5", "Y AS", None), ("6", "Z AS", "z.no")]
+    captured = [
+        (link("fjord"), 200, page_of("FJORD", link("fjord"), staff=5, posts=[("https://l/activity-1", "Hei"), ("", "x"), ("https://l/activity-2", "")])), (link("FJORD"), 200, page_of("Fjord", link("fjord"))), (link("gone"), 404, ""), (link("nord-as-as"), 200, page_of("Nord Ås", link("nord"))),
+        (link("other"), 200, page_of("Annet", link("other"), site="https://annet.no")), (link("login"), 200, "<p>log in</p>"), (link("site"), 200, page_of("Zeta", link("site"), site="www.z.no/om")),
+    ]
+    out, told = guest.handle_profiles(spark.createDataFrame(handles, "position int, organisation_number string, profile_url string"), spark.createDataFrame(names, "organisation_number string, name string, site_host string"), spark.createDataFrame(captured, "url string, status int, body string"))
+    assert [r.outcome for r in told.orderBy("position").collect()] == ["extracted", "duplicate", "extracted", "identity_not_established", "not_captured", "no_structured_profile", "extracted"]
+    got = sorted((r.organisation_number, r.signal_type, r.evidence_span) for r in out.collect())
+    assert got == [
+        ("1", "profile_metrics", "FJORD — 12 followers — 5 visible employee profiles"), ("1", "public_post", "Hei"), ("1", "workforce_snapshot", "LinkedIn structured company profile reports 5 associated employee profiles and size None."),
+        ("2", "profile_metrics", "Nord Ås — 12 followers — None visible employee profiles"), ("6", "profile_metrics", "Zeta — 12 followers — None visible employee profiles"),
+    ]
+
+
+def test_handles_that_nobody_linked(spark):
+    link = lambda x: f"https://linkedin.com/company/{x}"
+    suggest = lambda *items: json.dumps([{"type": "COMPANY", "id": i, "displayName": n} for i, n in items])
+    by_id = lambda i: f"{guest.JOBS}f_C={i}&location=Norway&start=0"
+    companies = [(0, "1", "Fjord Kraft AS", "BERGEN", "fjord.no", [], []), (1, "2", "Nord AS", "OSLO", None, ["Nordlaget"], ["Ola Nord"]), (2, "3", "Ingen AS", "OSLO", None, [], []), (3, "4", "Vest AS", "OSLO", None, [], []), (4, "5", "Øst AS", "Oslo", None, [], [])]
+    captured = {
+        guest.TYPEAHEAD + "Fjord+Kraft+AS": suggest(("10", "FJORD kraft as"), ("11", "Fjord Kraft")), link("fjord-kraft-as"): page_of("Fjord Kraft", link("fjord-kraft-as"), site="https://fjord.no"),
+        guest.TYPEAHEAD + "Nord+AS": suggest(("20", "Nord AS")), by_id("20"): card(222222, "nordnorge") + card(222223, "nord"), link("nord-as"): page_of("Annet", link("nord-as")), link("nordnorge"): page_of("Nord AS", link("nordnorge")), link("nord"): page_of("Nord AS", link("nord")),
+        guest.TYPEAHEAD + "Nordlaget": suggest(("21", "Nordlaget")), guest.TYPEAHEAD + "Vest+AS": suggest(("40", "Vest Inn")), guest.TYPEAHEAD + "%C3%98st+AS": suggest(("50", "Øst AS")), link("ost-as"): page_of("Øst AS", link("ost"), place="Sentrum, Oslo"),
+    }
+    bodies = spark.createDataFrame(list(captured.items()), "url string, body string")
+    rows = spark.createDataFrame(companies, "position int, organisation_number string, name string, municipality string, site_host string, aliases array<string>, leaders array<string>")
+    handles, told = guest.discovered_handles(rows, bodies)
+    assert [(r.suggested, r.candidates, r.accepted_url) for r in told.orderBy("position").collect()] == [(1, 1, link("fjord-kraft-as")), (1, 3, link("nordnorge")), (0, 0, None), (0, 0, None), (1, 1, link("ost"))]
+    got = {r.organisation_number: (r.profile_url, r.company_ids) for r in handles.collect()}
+    assert got == {"1": (link("fjord-kraft-as"), ["10"]), "2": (link("nordnorge"), ["20"]), "5": (link("ost"), ["50"])}
+    fuzzy = guest.discovered_handles(rows, bodies, fuzzy=True)[1].orderBy("position").collect()
+    assert (fuzzy[1].suggested, fuzzy[1].candidates) == (2, 4)
