@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import identity, text, urls
 from heddle.operators import pages as markup
+from heddle.session import durable
 
 
 def blank(x: Column) -> Column:
@@ -63,7 +64,7 @@ def discovered(profiles: DataFrame, results: DataFrame, fetched: DataFrame, limi
     rows = chosen.join(judged, "organisation_number", "left")
     good = (c("site_status") == "available") & (c("site_score") >= 0.9)
     outcome = F.when(c("selected").isNull(), "abstained_before_crawl").when(c("site_status").isNull(), "not_captured").when(good, "verified").otherwise("quarantined")
-    told = rows.select("organisation_number", "candidates", c("selected.url").alias("selected_url"), c("selected.score").alias("candidate_score"), outcome.alias("outcome"), "site_score", F.when(good, c("site_url")).alias("website"), F.when(good, c("social_links")).alias("social_links"))
+    told = durable(rows.select("organisation_number", "candidates", c("selected.url").alias("selected_url"), c("selected.score").alias("candidate_score"), outcome.alias("outcome"), "site_score", F.when(good, c("site_url")).alias("website"), F.when(good, c("social_links")).alias("social_links")))
     n = lambda x: F.count_if(c("outcome") == x)
     skipped = profiles.agg(F.count_if(~blank(c("website"))).alias("registry_website_present_skipped"))
     counts = told.agg(F.count("*").alias("queried"), n("abstained_before_crawl").alias("abstained_before_crawl"), n("not_captured").alias("not_captured"), n("verified").alias("verified_sites"), n("quarantined").alias("quarantined_sites"))

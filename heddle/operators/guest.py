@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from heddle.functions import graphs, text, urls
 from heddle.operators import pages as markup
 from heddle.operators.discovery import discovery_identity, keep_first_by, profile_identity
+from heddle.session import durable
 
 #: Addresses of the network's open services (fixed values).
 TYPEAHEAD = "https://www.linkedin.com/jobs-guest/api/typeaheadHits?typeaheadType=COMPANY&query="
@@ -154,7 +155,7 @@ def jobs(handles: DataFrame, captured: DataFrame, search_pages: int = 3) -> tupl
     )
     # Each different response is read once, for all that ask for it.
     asked = tried.unionByName(paged.select(tried.columns))
-    read = job_cards(bodies.join(asked.select("_request").distinct(), "_request", "left_semi"), "_body").select("_request", "_sha", "cards", c("jobs").alias("found"))
+    read = durable(job_cards(bodies.join(asked.select("_request").distinct(), "_request", "left_semi"), "_body").select("_request", "_sha", "cards", c("jobs").alias("found")))
     met = asked.join(read, "_request").withColumn("exact", F.filter("found", lambda j: j["company_url"] == c("expected_url")))
     handle = ["organisation_number", "expected_url"]
     # The first id with postings of its own ends the ids; the first page that is empty or wasn't captured ends the pages.
@@ -223,7 +224,7 @@ def handle_profiles(handles: DataFrame, companies: DataFrame, captured: DataFram
     outcome = F.when(c("body").isNull(), "not_captured").when(c("name").isNull(), "no_structured_profile").when(~c("_i.publishable_candidate"), "identity_not_established").otherwise("extracted")
     rows = judged.withColumn("outcome", outcome)
     place = F.row_number().over(Window.partitionBy("organisation_number", "page_url", "outcome").orderBy("position"))
-    rows = rows.withColumn("outcome", F.when((c("outcome") == "extracted") & (place > 1), "duplicate").otherwise(c("outcome")))
+    rows = durable(rows.withColumn("outcome", F.when((c("outcome") == "extracted") & (place > 1), "duplicate").otherwise(c("outcome"))).drop("body"))
     good = rows.filter("outcome = 'extracted'")
     shown = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
     metrics = _observed(good, "linkedin-profile-", F.concat("expected_url", F.lit("|profile")), "profile_metrics", "social_profile_metrics", c("final_url"), F.concat("name", F.lit(" — "), shown(c("followers")), F.lit(" followers — "), shown(c("visible_employees")), F.lit(" visible employee profiles")), followers=c("followers"), employees=c("visible_employees"))
@@ -248,7 +249,7 @@ def discovered_handles(companies: DataFrame, captured: DataFrame, fuzzy: bool =
     asked = companies.select("organisation_number", F.explode(names).alias("q")).select("organisation_number", "q.*")
     heard = asked.join(bodies, F.concat(F.lit(TYPEAHEAD), F.url_encode("query")) == c("_request"))
     suggested = heard.select("organisation_number", "n", "query", "alias", F.posexplode(F.filter(typeahead(c("_body"), c("query")), lambda s: full(s["name"]) == full(c("query")))).alias("at", "s"))
-    exact = suggested.select("organisation_number", "n", "at", "query", "alias", c("s.id").alias("company_id"))
+    exact = durable(suggested.select("organisation_number", "n", "at", "query", "alias", c("s.id").alias("company_id")))
     order = Window.partitionBy("organisation_number").orderBy("n", "at")
     ranked = exact.withColumn("place", F.row_number().over(order))
     # Only companies that are suggested at all have candidates; the first two ids are followed.
@@ -259,7 +260,7 @@ def discovered_handles(companies: DataFrame, captured: DataFrame, fuzzy: bool =
     by_job = jobs_.join(linked, "_request").select("organisation_number", "place", "alias", "query", F.posexplode("_urls").alias("at", "url"))
     sources = F.array_compact(F.array(F.lit("company_id_job_link"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query"))))
     through = by_job.select("organisation_number", F.lit(1).alias("stage"), "place", "at", "url", F.explode(sources).alias("source"))
-    met = own.unionByName(through).filter("url is not null").groupBy("organisation_number", "url").agg(F.min(F.struct("stage", "place", "at")).alias("first"), F.array_sort(F.collect_set("source")).alias("sources"))
+    met = durable(own.unionByName(through).filter("url is not null").groupBy("organisation_number", "url").agg(F.min(F.struct("stage", "place", "at")).alias("first"), F.array_sort(F.collect_set("source")).alias("sources")))
     pages_ = profiles(met.join(bodies, c("url") == c("_request")).withColumnRenamed("_body", "body").drop("_request").withColumnRenamed("url", "candidate_url"))
     said = F.concat_ws(" ", "description", F.array_join(F.transform("posts", lambda p: p["text"]), " "))
     facts = pages_.filter("name is not null").select("organisation_number", "candidate_url", "first", "sources", "page_url", F.sha2("body", 256).alias("content_sha256"), c("name").alias("found_name"), c("website").alias("found_site"), F.coalesce("headquarters", F.lit("")).alias("found_place"), said.alias("found_text"), F.array_contains("sources", "company_id_job_link").alias("by_job_link"))

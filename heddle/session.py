@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, name: str = "heddle", **extra: str) -> SparkSession:
@@ -45,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, so that what is made of it several times isn't computed again, and the copy outlives any executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once a session, so that they import it from wherever the driver was started."""
     sent = spark.conf.get("spark.heddle.shipped", None)

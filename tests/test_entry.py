@@ -35,3 +35,27 @@ def test_nothing_else_imports_the_corpus_subpackage():
             if f.endswith(".py"):
                 with open(os.path.join(folder, f), encoding="utf-8") as text:
                     assert "heddle.llm" not in text.read(), f
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path, sf_dir):
+    """A driver that was started elsewhere, without a path in its environment: queries send the package along."""
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+import __spark_entry__ as e
+from heddle.session import local_session
+spark = local_session(2, "elsewhere", **{{"spark.sql.shuffle.partitions": "2"}})
+print("rows", e.queries()["sequence_ratio"](spark, {sf_dir!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert said.returncode == 0, said.stderr[-2000:]
+    assert int(said.stdout.split("rows")[-1]) > 0
+
+
+def test_every_query_reads_a_table(spark, sf_dir):
+    """No query outside of the corpus operators runs on literal rows alone."""
+    from heddle.registry import QUERIES
+
+    streams = {n for n in QUERIES if n.startswith("stream_")}
+    for name in ("news_mentions", "iso_times", "accounting_obligation", "screen_plan_rows", "screen_refused", "headline_match", "public_url_reject", "org_number_extract", "identity_score_v1", "identity_score_v2", "name_dialects", "revenue_fallback", "job_cards", "js_shell"):
+        assert name not in streams and QUERIES[name](spark, sf_dir).inputFiles(), name
