@@ -224,7 +224,7 @@ def handle_profiles(handles: DataFrame, companies: DataFrame, captured: DataFram
     outcome = F.when(c("body").isNull(), "not_captured").when(c("name").isNull(), "no_structured_profile").when(~c("_i.publishable_candidate"), "identity_not_established").otherwise("extracted")
     rows = judged.withColumn("outcome", outcome)
     place = F.row_number().over(Window.partitionBy("organisation_number", "page_url", "outcome").orderBy("position"))
-    rows = durable(rows.withColumn("outcome", F.when((c("outcome") == "extracted") & (place > 1), "duplicate").otherwise(c("outcome"))).drop("body"))
+    rows = rows.withColumn("outcome", F.when((c("outcome") == "extracted") & (place > 1), "duplicate").otherwise(c("outcome"))).drop("body")
     good = rows.filter("outcome = 'extracted'")
     shown = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
     metrics = _observed(good, "linkedin-profile-", F.concat("expected_url", F.lit("|profile")), "profile_metrics", "social_profile_metrics", c("final_url"), F.concat("name", F.lit(" — "), shown(c("followers")), F.lit(" followers — "), shown(c("visible_employees")), F.lit(" visible employee profiles")), followers=c("followers"), employees=c("visible_employees"))
