@@ -23,12 +23,17 @@ _SHOWN = "(sign(total) * (abs(total) // (1000 * n) + case when 2 * (abs(total) %
 _TOTAL = "cast(sum(gain) * 1000000 as bigint) as total"
 
 
+def _half_even(x, places: int):
+    """A double rounded as the SQL rounds it, half to even by its scaled double: 0.5075 is 507.5 thousandths less a bit there, and 0.507."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
 def runs(spark, sf_dir):
     e, v = F.col("event_id"), F.col("value")
     names = F.array(*map(F.lit, controller.STRATEGIES))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("organisation_number"), F.get(names, (e % (_N - 1)).cast("int")).alias("strategy"),
-        F.when(e % 7 != 0, F.bround((v - 50) / 25, 3)).alias("learning_gain"), F.bround(v / 100, 3).alias("score_delta"),
+        F.when(e % 7 != 0, _half_even((v - 50) / 25, 3)).alias("learning_gain"), _half_even(v / 100, 3).alias("score_delta"),
     )
 
 
