@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heddle.functions import graphs, text, urls
 from heddle.operators import pages as markup
 from heddle.operators.discovery import discovery_identity, keep_first_by, profile_identity
-from heddle.session import durable
+from heddle.session import durable, spread
 
 #: Addresses of the network's open services (fixed values).
 TYPEAHEAD = "https://www.linkedin.com/jobs-guest/api/typeaheadHits?typeaheadType=COMPANY&query="
@@ -144,8 +144,8 @@ def jobs(handles: DataFrame, captured: DataFrame, search_pages: int = 3) -> tupl
     rows = handles.withColumns({"expected_url": company_url(c("profile_url")), "_query": F.coalesce(F.nullif(text.company_name(c("name")), F.lit("")), c("name"))})
     good = rows.filter("expected_url is not null")
     bodies = captured.select(c("url").alias("_request"), c("body").alias("_body"), c("content_sha256").alias("_sha"))
-    suggested = good.select("organisation_number", "name", "expected_url", F.concat(F.lit(TYPEAHEAD), F.url_encode("_query")).alias("_request")).join(bodies, "_request", "left").select("organisation_number", "expected_url", typeahead(c("_body"), c("name")).alias("suggested"))
-    known = good.join(suggested, ["organisation_number", "expected_url"], "left")
+    suggested = good.select("organisation_number", "name", "expected_url", F.concat(F.lit(TYPEAHEAD), F.url_encode("_query")).alias("_request")).join(spread(bodies), "_request", "left").select("organisation_number", "expected_url", typeahead(c("_body"), c("name")).alias("suggested"))
+    known = good.join(spread(suggested), ["organisation_number", "expected_url"], "left")
     exact = F.transform(F.filter("suggested", lambda s: s["exact"]), lambda s: s["id"])
     ids = F.array_sort(F.array_distinct(F.concat(F.filter(F.coalesce("company_ids", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""), F.coalesce(exact, F.array().cast("array<string>")))))
     base = known.select("organisation_number", "expected_url", "_query", ids.alias("_ids"))
@@ -155,19 +155,19 @@ def jobs(handles: DataFrame, captured: DataFrame, search_pages: int = 3) -> tupl
     )
     # Each different response is read once, for all that ask for it.
     asked = tried.unionByName(paged.select(tried.columns))
-    read = durable(job_cards(bodies.join(asked.select("_request").distinct(), "_request", "left_semi"), "_body").select("_request", "_sha", "cards", c("jobs").alias("found")))
-    met = asked.join(read, "_request").withColumn("exact", F.filter("found", lambda j: j["company_url"] == c("expected_url")))
+    read = durable(job_cards(bodies.join(spread(asked.select("_request").distinct()), "_request", "left_semi"), "_body").select("_request", "_sha", "cards", c("jobs").alias("found")))
+    met = asked.join(spread(read), "_request").withColumn("exact", F.filter("found", lambda j: j["company_url"] == c("expected_url")))
     handle = ["organisation_number", "expected_url"]
     # The first id with postings of its own ends the ids; the first page that is empty or wasn't captured ends the pages.
     first_id = met.filter("stage = 0 and size(exact) > 0").groupBy(*handle).agg(F.min_by("company_id", "at").alias("confirmed_id"), F.min("at").alias("_last_id"))
-    empty = asked.filter("stage = 1").join(met.filter("stage = 1 and cards > 0").select(*handle, "at", F.lit(True).alias("_some")), [*handle, "at"], "left").filter("_some is null").groupBy(*handle).agg(F.min("at").alias("_end"))
-    seen = met.join(first_id, handle, "left").join(empty, handle, "left")
+    empty = asked.filter("stage = 1").join(spread(met.filter("stage = 1 and cards > 0").select(*handle, "at", F.lit(True).alias("_some"))), [*handle, "at"], "left").filter("_some is null").groupBy(*handle).agg(F.min("at").alias("_end"))
+    seen = met.join(spread(first_id), handle, "left").join(spread(empty), handle, "left")
     seen = seen.filter((c("stage") == 0) & (c("at") <= F.coalesce("_last_id", c("at"))) | (c("stage") == 1) & (c("at") <= F.coalesce("_end", c("at"))))
     each = seen.select(*handle, "stage", "at", "company_id", "confirmed_id", "_sha", F.posexplode("exact").alias("place", "job"))
     once = keep_first_by(each.withColumn("_job", c("job.job_id")), ["organisation_number", "_job"], [c("stage"), c("at"), c("place")]).drop("_job")
     wanted = once.withColumn("_request", F.concat(F.lit(DETAIL), c("job.job_id")))
-    details = markup.with_parts(bodies.join(wanted.select("_request").distinct(), "_request", "left_semi"), "_body").select("_request", c("_sha").alias("detail_sha256"), detail_urls(c("links")).alias("_linked"))
-    checked = wanted.join(details, "_request", "left").withColumn("verified", F.coalesce(F.array_contains("_linked", c("expected_url")), F.lit(False)))
+    details = markup.with_parts(bodies.join(spread(wanted.select("_request").distinct()), "_request", "left_semi"), "_body").select("_request", c("_sha").alias("detail_sha256"), detail_urls(c("links")).alias("_linked"))
+    checked = wanted.join(spread(details), "_request", "left").withColumn("verified", F.coalesce(F.array_contains("_linked", c("expected_url")), F.lit(False)))
     span = F.array_join(F.filter(F.array("job.title", "job.company", "job.location"), lambda x: x != ""), " — ")
     out = checked.filter("verified").select(
         F.concat(F.lit("linkedin-guest-job-"), F.substring(F.sha2(F.concat("organisation_number", F.lit("|"), "job.job_id"), 256), 1, 24)).alias("id"), "organisation_number", c("_request").alias("source_url"), c("detail_sha256").alias("content_sha256"), span.alias("evidence_span"),
@@ -176,7 +176,7 @@ def jobs(handles: DataFrame, captured: DataFrame, search_pages: int = 3) -> tupl
     pages_read = seen.groupBy(*handle).agg(F.count("*").alias("pages_read"), F.sum("cards").alias("candidate_cards"))
     verified = checked.groupBy(*handle).agg(F.count_if("verified").alias("exact_jobs"), F.count_if(~c("verified")).alias("detail_errors"))
     number = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    told = rows.select("organisation_number", "expected_url", F.when(c("expected_url").isNull(), "invalid LinkedIn company handle").alias("error")).join(first_id.drop("_last_id"), handle, "left").join(pages_read, handle, "left").join(verified, handle, "left")
+    told = rows.select("organisation_number", "expected_url", F.when(c("expected_url").isNull(), "invalid LinkedIn company handle").alias("error")).join(spread(first_id.drop("_last_id")), handle, "left").join(spread(pages_read), handle, "left").join(spread(verified), handle, "left")
     report = told.select("organisation_number", "expected_url", "error", "confirmed_id", *[number(c(x)).alias(x) for x in ("pages_read", "candidate_cards", "exact_jobs", "detail_errors")])
     return out, report
 
@@ -211,12 +211,12 @@ def handle_profiles(handles: DataFrame, companies: DataFrame, captured: DataFram
     """
     c = F.col
     pages_ = captured.select(c("url").alias("_url"), c("status").alias("_status"), c("body").alias("_body"))
-    asked = handles.withColumn("expected_url", company_url(c("profile_url"))).join(companies, "organisation_number", "left").withColumn("_fallback", legal_name_url(c("name")))
-    first = asked.join(pages_, c("profile_url") == c("_url"), "left")
+    asked = handles.withColumn("expected_url", company_url(c("profile_url"))).join(spread(companies), "organisation_number", "left").withColumn("_fallback", legal_name_url(c("name")))
+    first = asked.join(spread(pages_), c("profile_url") == c("_url"), "left")
     # The legal name's address is looked up only for pages that are gone, and only if it is another page.
     again = first.filter((c("_status") == 404) & c("_fallback").isNotNull() & ~company_url(c("_fallback")).eqNullSafe(c("expected_url")))
-    second = again.select("position", "_fallback").join(pages_, c("_fallback") == c("_url"), "left").select("position", c("_status").alias("_status2"), c("_body").alias("_body2"))
-    both = first.join(second, "position", "left")
+    second = again.select("position", "_fallback").join(spread(pages_), c("_fallback") == c("_url"), "left").select("position", c("_status").alias("_status2"), c("_body").alias("_body2"))
+    both = first.join(spread(second), "position", "left")
     body = F.when(c("_status") == 200, c("_body")).when(c("_status2") == 200, c("_body2"))
     got = both.select("position", "organisation_number", "name", "site_host", "profile_url", "expected_url", F.when(c("_status") == 200, c("profile_url")).when(c("_status2") == 200, c("_fallback")).alias("final_url"), body.alias("body"))
     read = profiles(got.withColumnsRenamed({"name": "_legal", "site_host": "_host"})).withColumn("content_sha256", F.sha2(F.coalesce("body", F.lit("")), 256))
@@ -247,27 +247,27 @@ def discovered_handles(companies: DataFrame, captured: DataFrame, fuzzy: bool =
     bodies = captured.select(c("url").alias("_request"), c("body").alias("_body"))
     names = F.concat(F.array(F.struct(F.lit(0).alias("n"), c("name").alias("query"), F.lit(False).alias("alias"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a, i: F.struct((i + 1).alias("n"), a.alias("query"), F.lit(True).alias("alias"))) if fuzzy else F.array().cast("array<struct<n:int,query:string,alias:boolean>>"))
     asked = companies.select("organisation_number", F.explode(names).alias("q")).select("organisation_number", "q.*")
-    heard = asked.join(bodies, F.concat(F.lit(TYPEAHEAD), F.url_encode("query")) == c("_request"))
+    heard = asked.join(spread(bodies), F.concat(F.lit(TYPEAHEAD), F.url_encode("query")) == c("_request"))
     suggested = heard.select("organisation_number", "n", "query", "alias", F.posexplode(F.filter(typeahead(c("_body"), c("query")), lambda s: full(s["name"]) == full(c("query")))).alias("at", "s"))
     exact = durable(suggested.select("organisation_number", "n", "at", "query", "alias", c("s.id").alias("company_id")))
     order = Window.partitionBy("organisation_number").orderBy("n", "at")
     ranked = exact.withColumn("place", F.row_number().over(order))
     # Only companies that are suggested at all have candidates; the first two ids are followed.
     known = exact.groupBy("organisation_number").agg(F.array_sort(F.collect_set("company_id")).alias("company_ids"), F.count("*").alias("suggested"))
-    own = asked.join(known, "organisation_number").select("organisation_number", F.lit(0).alias("stage"), c("n").alias("place"), F.lit(0).alias("at"), F.coalesce(company_url(legal_name_url(c("query"))), legal_name_url(c("query"))).alias("url"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query")).otherwise("legal_name_slug").alias("source"))
+    own = asked.join(spread(known), "organisation_number").select("organisation_number", F.lit(0).alias("stage"), c("n").alias("place"), F.lit(0).alias("at"), F.coalesce(company_url(legal_name_url(c("query"))), legal_name_url(c("query"))).alias("url"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query")).otherwise("legal_name_slug").alias("source"))
     jobs_ = ranked.filter("place <= 2").withColumn("_request", F.concat(F.lit(f"{JOBS}f_C="), F.url_encode("company_id"), F.lit("&location=Norway&start=0")))
-    linked = job_cards(bodies.join(jobs_.select("_request").distinct(), "_request", "left_semi"), "_body").select("_request", F.array_distinct(F.filter(F.transform("jobs", lambda j: j["company_url"]), lambda u: u.isNotNull())).alias("_urls"))
-    by_job = jobs_.join(linked, "_request").select("organisation_number", "place", "alias", "query", F.posexplode("_urls").alias("at", "url"))
+    linked = job_cards(bodies.join(spread(jobs_.select("_request").distinct()), "_request", "left_semi"), "_body").select("_request", F.array_distinct(F.filter(F.transform("jobs", lambda j: j["company_url"]), lambda u: u.isNotNull())).alias("_urls"))
+    by_job = jobs_.join(spread(linked), "_request").select("organisation_number", "place", "alias", "query", F.posexplode("_urls").alias("at", "url"))
     sources = F.array_compact(F.array(F.lit("company_id_job_link"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query"))))
     through = by_job.select("organisation_number", F.lit(1).alias("stage"), "place", "at", "url", F.explode(sources).alias("source"))
     met = durable(own.unionByName(through).filter("url is not null").groupBy("organisation_number", "url").agg(F.min(F.struct("stage", "place", "at")).alias("first"), F.array_sort(F.collect_set("source")).alias("sources")))
-    pages_ = profiles(met.join(bodies, c("url") == c("_request")).withColumnRenamed("_body", "body").drop("_request").withColumnRenamed("url", "candidate_url"))
+    pages_ = profiles(met.join(spread(bodies), c("url") == c("_request")).withColumnRenamed("_body", "body").drop("_request").withColumnRenamed("url", "candidate_url"))
     said = F.concat_ws(" ", "description", F.array_join(F.transform("posts", lambda p: p["text"]), " "))
     facts = pages_.filter("name is not null").select("organisation_number", "candidate_url", "first", "sources", "page_url", F.sha2("body", 256).alias("content_sha256"), c("name").alias("found_name"), c("website").alias("found_site"), F.coalesce("headquarters", F.lit("")).alias("found_place"), said.alias("found_text"), F.array_contains("sources", "company_id_job_link").alias("by_job_link"))
     alias = F.transform(F.filter("sources", lambda s: F.startswith(s, F.lit("official_site_alias:"))), lambda s: F.substring_index(s, "official_site_alias:", -1))
-    judged = discovery_identity(facts.join(companies.drop("aliases"), "organisation_number").withColumn("aliases", alias))
+    judged = discovery_identity(facts.join(spread(companies.drop("aliases")), "organisation_number").withColumn("aliases", alias))
     taken = judged.filter("exact_entity").groupBy("organisation_number").agg(F.min_by(F.struct("candidate_url", F.coalesce("page_url", "candidate_url").alias("resolved_url"), "content_sha256"), "first").alias("t"))
-    rows = companies.select("position", "organisation_number").join(known, "organisation_number", "left").join(met.groupBy("organisation_number").agg(F.count("*").alias("candidates")), "organisation_number", "left").join(taken, "organisation_number", "left")
+    rows = companies.select("position", "organisation_number").join(spread(known), "organisation_number", "left").join(spread(met.groupBy("organisation_number").agg(F.count("*").alias("candidates"))), "organisation_number", "left").join(spread(taken), "organisation_number", "left")
     fixed = {"platform": "linkedin", "signal_type": "profile_handle", "acquisition_mode": "unofficial_api_experiment", "rights_status": "experimental", "source_class": "professional_network", "strategy": "verified_handle_extraction"}
     found = rows.filter("t is not null")
     handles = found.select(F.concat(F.lit("linkedin-discovered-handle-"), F.substring(F.sha2(F.concat_ws("|", "organisation_number", "t.resolved_url"), 256), 1, 24)).alias("id"), "organisation_number", c("t.resolved_url").alias("profile_url"), "company_ids", c("t.content_sha256").alias("content_sha256"), F.lit(True).alias("exact_entity"), *[F.lit(v).alias(k) for k, v in fixed.items()])

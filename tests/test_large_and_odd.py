@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import numbers
 from heddle.operators import pages
-from heddle.plans import control
+from heddle.plans import control, found
 
 
 def test_amounts_that_round_to_a_thousand_are_whole(spark):
@@ -42,3 +42,9 @@ def test_scripts_keep_their_ampersands(spark):
     html = """<script type="application/ld+json">{"name":"A & B &amp"}</script><a href="/?x=1&copy=2">l</a>"""
     r = pages.with_parts(spark.createDataFrame([(html,)], "html string")).head()
     assert (r.json_ld, r.links[0].href) == (['{"name":"A & B &amp"}'], "/?x=1&copy=2")
+
+
+@pytest.mark.parametrize("made", [lambda *a: found._jobs(*a)[0], lambda *a: found._jobs(*a)[1], lambda *a: found._handles(*a)[0], lambda *a: found._handles(*a)[1], found.discovered_handles], ids=["jobs", "report", "observations", "outcomes", "discovered"])
+def test_pages_made_of_rows_are_not_sent_through_the_driver(spark, sf_dir, made):
+    plan = made(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
