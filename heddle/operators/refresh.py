@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.session import spread
+
 FAILED = ["source_error", "failed", "blocked"]
 
 
@@ -51,19 +53,31 @@ def profile_changes(old: DataFrame, new: DataFrame, key: str = "organisation_num
     ``status, source_url, retrieved_at, effective_at, as_of, source_class, source_type, content_sha256``. A null that a failed or blocked source left is no change.
     """
     c = F.col
-    packed = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(f"_n{name}"), F.first(F.struct("evidence", *[c(f.replace(".", "_")).cast("string").alias(f.replace(".", "_")) for f in TRACKED])).alias(f"_{name}"))
-    both = packed(old, "old").join(packed(new, "new"), key, "full")
+    modules = {f.split(".", 1)[0]: f for f in TRACKED}
+
+    def packed(rows: DataFrame, name: str, told) -> DataFrame:
+        """A row an entity with its fields and, of each module, what is told of a change; rows are counted once they are sorted by entity, so that they are sent and sorted once."""
+        record = lambda f: told(evidence_for(c("evidence"), f))
+        values = F.struct(*[c(f.replace(".", "_")).cast("string").alias(f.replace(".", "_")) for f in TRACKED], F.struct(*[record(f).alias(m) for m, f in modules.items()]).alias("evidence"))
+        return rows.select(key, values.alias(f"_{name}")).withColumn(f"_n{name}", F.count("*").over(Window.partitionBy(key)))
+
+    before = packed(old, "old", lambda r: F.struct(r["content_sha256"].alias("content_sha256")))
+    after = packed(new, "new", lambda r: F.struct(
+        r["status"].alias("status"), r["source_url"].alias("source_url"), r["retrieved_at"].alias("retrieved_at"), F.coalesce(r["effective_at"], r["as_of"]).alias("effective_at"), F.coalesce(r["source_class"], r["source_type"]).alias("source_class"),
+        r["content_sha256"].alias("content_sha256"),
+    ))
+    both = before.join(spread(after), key, "full")
     fault = F.when(c("_old").isNull() | c("_new").isNull(), "Refresh datasets must have identical organisation-number membership").when((c("_nold") > 1) | (c("_nnew") > 1), "Refresh datasets must have each organisation number once")
     both = both.withColumn("_ok", F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True)).filter("_ok")
 
     def change(field: str, place: int) -> Column:
         column = field.replace(".", "_")
         was, now = c(f"_old.{column}"), c(f"_new.{column}")
-        before, record = evidence_for(c("_old.evidence"), field), evidence_for(c("_new.evidence"), field)
+        before, record = (c(f"{side}.evidence.{field.split('.', 1)[0]}") for side in ("_old", "_new"))
         unseen = now.isNull() & F.coalesce(record["status"].isin(FAILED), F.lit(False))
         told = F.struct(
-            F.lit(place).alias("place"), F.lit(field).alias("field"), was.alias("old_value"), now.alias("new_value"), record["source_url"].alias("source_url"), record["retrieved_at"].alias("retrieved_at"), F.coalesce(record["effective_at"], record["as_of"]).alias("effective_at"),
-            F.coalesce(record["source_class"], record["source_type"]).alias("source_class"), before["content_sha256"].alias("old_content_sha256"), record["content_sha256"].alias("new_content_sha256"), record["status"].alias("status"),
+            F.lit(place).alias("place"), F.lit(field).alias("field"), was.alias("old_value"), now.alias("new_value"), record["source_url"].alias("source_url"), record["retrieved_at"].alias("retrieved_at"), record["effective_at"].alias("effective_at"),
+            record["source_class"].alias("source_class"), before["content_sha256"].alias("old_content_sha256"), record["content_sha256"].alias("new_content_sha256"), record["status"].alias("status"),
         )
         return F.when(~was.eqNullSafe(now) & ~unseen, told)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import numbers
 from heddle.operators import pages
-from heddle.plans import control, found
+from heddle.plans import changes, control, found
 
 
 def test_amounts_that_round_to_a_thousand_are_whole(spark):
@@ -48,3 +48,8 @@ def test_scripts_keep_their_ampersands(spark):
 def test_pages_made_of_rows_are_not_sent_through_the_driver(spark, sf_dir, made):
     plan = made(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_profiles_are_not_sorted_before_they_are_sent(spark, sf_dir):
+    plan = changes.refresh_profiles(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "SortAggregate" not in plan
