@@ -45,6 +45,16 @@ def evidence_for(evidence: Column, field: str) -> Column:
     return F.coalesce(evidence["registry_live"], evidence["registry"]) if module == "registry" else evidence[module]
 
 
+def _packed_hash(text: Column) -> Column:
+    """A hash's digits as bytes, half as many, as nothing else of a record is as long when it is sent; what is no text of small hex digits stays one."""
+    whole = text.rlike(r"\A([0-9a-f]{2})*\z")
+    return F.struct(F.when(whole, F.unhex(text)).alias("bytes"), F.when(~whole, text).alias("text"))
+
+
+def _unpacked_hash(packed: Column) -> Column:
+    return F.coalesce(F.lower(F.hex(packed["bytes"])), packed["text"])
+
+
 def profile_changes(old: DataFrame, new: DataFrame, key: str = "organisation_number") -> DataFrame:
     """REF1, REF2: what changed between two sets of profiles in the tracked fields: field by field in order, with both values, the source and time of the new one,
     and the content's hashes on both sides. Fails the query if the sets aren't of the same entities, or have one twice.
@@ -61,10 +71,10 @@ def profile_changes(old: DataFrame, new: DataFrame, key: str = "organisation_num
         values = F.struct(*[c(f.replace(".", "_")).cast("string").alias(f.replace(".", "_")) for f in TRACKED], F.struct(*[record(f).alias(m) for m, f in modules.items()]).alias("evidence"))
         return rows.select(key, values.alias(f"_{name}")).withColumn(f"_n{name}", F.count("*").over(Window.partitionBy(key)))
 
-    before = packed(old, "old", lambda r: F.struct(r["content_sha256"].alias("content_sha256")))
+    before = packed(old, "old", lambda r: F.struct(_packed_hash(r["content_sha256"]).alias("content_sha256")))
     after = packed(new, "new", lambda r: F.struct(
         r["status"].alias("status"), r["source_url"].alias("source_url"), r["retrieved_at"].alias("retrieved_at"), F.coalesce(r["effective_at"], r["as_of"]).alias("effective_at"), F.coalesce(r["source_class"], r["source_type"]).alias("source_class"),
-        r["content_sha256"].alias("content_sha256"),
+        _packed_hash(r["content_sha256"]).alias("content_sha256"),
     ))
     both = before.join(spread(after), key, "full")
     fault = F.when(c("_old").isNull() | c("_new").isNull(), "Refresh datasets must have identical organisation-number membership").when((c("_nold") > 1) | (c("_nnew") > 1), "Refresh datasets must have each organisation number once")
@@ -77,7 +87,7 @@ def profile_changes(old: DataFrame, new: DataFrame, key: str = "organisation_num
         unseen = now.isNull() & F.coalesce(record["status"].isin(FAILED), F.lit(False))
         told = F.struct(
             F.lit(place).alias("place"), F.lit(field).alias("field"), was.alias("old_value"), now.alias("new_value"), record["source_url"].alias("source_url"), record["retrieved_at"].alias("retrieved_at"), record["effective_at"].alias("effective_at"),
-            record["source_class"].alias("source_class"), before["content_sha256"].alias("old_content_sha256"), record["content_sha256"].alias("new_content_sha256"), record["status"].alias("status"),
+            record["source_class"].alias("source_class"), _unpacked_hash(before["content_sha256"]).alias("old_content_sha256"), _unpacked_hash(record["content_sha256"]).alias("new_content_sha256"), record["status"].alias("status"),
         )
         return F.when(~was.eqNullSafe(now) & ~unseen, told)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import numbers
-from heddle.operators import pages
+from heddle.operators import pages, refresh
 from heddle.plans import changes, control, found
 
 
@@ -53,3 +53,11 @@ def test_pages_made_of_rows_are_not_sent_through_the_driver(spark, sf_dir, made)
 def test_profiles_are_not_sorted_before_they_are_sent(spark, sf_dir):
     plan = changes.refresh_profiles(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "SortAggregate" not in plan
+
+
+def test_hashes_are_sent_as_bytes_and_come_back_as_they_were(spark):
+    texts = ["ab" * 32, "", "AB" * 32, "abc", "no hash", "ab\n", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, x string")
+    packed = rows.select("id", refresh._packed_hash(F.col("x")).alias("p"))
+    got = packed.select("id", F.length("p.bytes").alias("n"), refresh._unpacked_hash(F.col("p")).alias("x")).orderBy("id").collect()
+    assert [r.x for r in got] == texts and got[0].n == 32
