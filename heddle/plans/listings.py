@@ -8,7 +8,7 @@ from heddle.functions import domains, urls
 from heddle.functions.text import MAP_LEGAL_WORDS
 from heddle.operators import maps
 from heddle.registry import query
-from heddle.session import table
+from heddle.session import dealt, table
 
 _RULES_SQL = "rules as (select * from (values " + ", ".join("(" + (f"'{r[2:]}', 'wildcard'" if r.startswith("*.") else f"'{r[1:]}', 'exception'" if r.startswith("!") else f"'{r}', 'plain'") + ")" for r in domains.RULES) + ") t(base, kind))"
 _ENDS = ["", ".co.uk", ".x.ck", ".www.ck", ".nore.kommune.no", ".city.kawasaki.jp", ".b.kawasaki.jp", ".github.io", ".unknown", ".", ".CO.NO"]
@@ -37,7 +37,7 @@ _FORMS = ["{name}", "{name} AS", "Nabo {k}", "{half}", "{name}"]
 
 def _profiles(spark, sf_dir):
     k = F.col("c_custkey")
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    c, n = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey"), table(spark, sf_dir, "nation")
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(
         "c_custkey", k.cast("string").alias("organisation_number"), F.concat(F.when(k % 10 == 0, "Holding").otherwise(F.concat(F.lit("Fjord Kraft"), k.cast("string"))), F.lit(" AS")).alias("name"),
         F.concat(F.lit("Vei "), k.cast("string")).alias("street"), F.lpad((k % 9000).cast("string"), 4, "0").alias("postcode"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("city"),

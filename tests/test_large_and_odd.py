@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import numbers
 from heddle.operators import pages, refresh
-from heddle.plans import changes, control, found
+from heddle.plans import changes, control, found, listings
 
 
 def test_amounts_that_round_to_a_thousand_are_whole(spark):
@@ -61,3 +61,8 @@ def test_hashes_are_sent_as_bytes_and_come_back_as_they_were(spark):
     packed = rows.select("id", refresh._packed_hash(F.col("x")).alias("p"))
     got = packed.select("id", F.length("p.bytes").alias("n"), refresh._unpacked_hash(F.col("p")).alias("x")).orderBy("id").collect()
     assert [r.x for r in got] == texts and got[0].n == 32
+
+
+def test_listings_are_made_by_all_tasks(spark, sf_dir):
+    """The customers are one row group, so one task would make and sort all of their listings."""
+    assert listings._listings(spark, sf_dir).rdd.getNumPartitions() == 4 and listings._profiles(spark, sf_dir).rdd.getNumPartitions() == 4
