@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heddle.operators import register
 from heddle.operators.screen import parse, screen
 from heddle.registry import query
-from heddle.session import table
+from heddle.session import dealt, table
 
 _R_SQL = """r as (select c_custkey as k, case c_custkey % 5 when 0 then 'AS' when 1 then 'ASA' when 2 then 'ENK' when 3 then 'KF' end as form, case when c_custkey % 4 <> 0 then c_custkey % 130 end as staff, c_custkey % 11 = 0 as bankrupt, c_custkey % 13 = 0 as liquidating,
   c_custkey % 3 = 0 as web, case when c_custkey % 2 = 0 then '2025' when c_custkey % 7 <> 0 then '2024' end as filed, case when c_custkey % 6 <> 0 then (10 + c_custkey % 8) || '.' || (c_custkey % 100) end as industry, lpad(cast(c_custkey % 5600 as varchar), 4, '0') as place from customer),
@@ -61,6 +61,6 @@ def workspaces(spark, sf_dir):
     history = F.transform(F.sequence(F.lit(0), (89 + k % 20).cast("int")), lambda i: F.concat(F.lit('{"q":'), i.cast("string"), F.lit("}")))
     whole = lambda version: F.concat(F.lit(f'{{"schema_version":{version},"pins":["b","a"],"history":['), F.array_join(history, ","), F.lit("]}"))
     body = F.when(k % 4 == 0, whole(1)).when(k % 4 == 1, "not json").when(k % 4 == 2, whole(2))
-    w = table(spark, sf_dir, "customer").select("c_custkey", register.workspace(body).alias("w"))
+    w = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", register.workspace(body).alias("w"))
     w = w.select("c_custkey", register.recorded(F.col("w"), F.lit('{"q":"last"}'), F.array(F.lit("new"), F.lit("new"))).alias("w"))
     return w.select("c_custkey", F.size("w.history").alias("entries"), F.array_join("w.pins", ",").alias("pins"), "w.warning", F.get("w.history", F.lit(0)).alias("first"))

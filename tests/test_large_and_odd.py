@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import numbers
 from heddle.operators import pages, refresh
-from heddle.plans import changes, control, found, listings
+from heddle.plans import changes, control, found, listings, registers
 
 
 def test_amounts_that_round_to_a_thousand_are_whole(spark):
@@ -66,3 +66,8 @@ def test_hashes_are_sent_as_bytes_and_come_back_as_they_were(spark):
 def test_listings_are_made_by_all_tasks(spark, sf_dir):
     """The customers are one row group, so one task would make and sort all of their listings."""
     assert listings._listings(spark, sf_dir).rdd.getNumPartitions() == 4 and listings._profiles(spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("made", [registers.workspaces], ids=["workspaces"])
+def test_rows_that_cost_much_are_dealt_over_all_tasks(spark, sf_dir, made):
+    assert made(spark, sf_dir).rdd.getNumPartitions() == 4
