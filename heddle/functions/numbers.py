@@ -12,19 +12,23 @@ THOUSANDS = ["i hele tusen", "i 1 000", "i 1000", "tusen nok", "nok 1000", "nok
 MILLIONS = ["i millioner", "i mill", "mnok", "mill. nok"]
 
 
-def norwegian_number(raw: Column, scale: Column | float = 1.0) -> Column:
+def norwegian_number(raw: Column, scale: Column | float = 1.0, once=lambda value, of: of(value)) -> Column:
     """A number with spaces between thousands and a decimal comma, negative by one sign (before or behind) or brackets,
     times ``scale``. Dots divide thousands if a comma is right of all of them; a comma left of a dot is no number. Without a comma
-    a dot is the decimal point. Null if it is none; an explicit zero stays zero."""
-    text = F.trim(F.replace(raw, F.lit("\u00a0"), F.lit(" ")))
-    bracket = text.rlike(r"^\(.*\)$")
-    negative = bracket | text.rlike("^[-−]") | text.rlike("-$")
-    bare = F.when(bracket, F.regexp_replace(text, r"^\(|\)$", "")).when(text.rlike("^[-−]"), F.substr(text, F.lit(2))).when(text.rlike("-$"), F.regexp_replace(text, "-$", "")).otherwise(text)
-    bare = F.replace(bare, F.lit(" "), F.lit(""))
-    plain = F.when(bare.rlike(r",[^.]*$") & bare.rlike(r"\."), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(~bare.rlike(r"\."), F.replace(bare, F.lit(","), F.lit("."))).otherwise(bare)
-    value = F.when(plain.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
+    a dot is the decimal point. Null if it is none; an explicit zero stays zero. Inside of a lambda, where Spark works out a value each
+    time that it is named, ``once`` is ``urls.bound``."""
     scale = F.lit(scale) if not isinstance(scale, Column) else scale
-    return F.when(text.isin(NULL_TOKENS), None).otherwise(F.when(negative, -value).otherwise(value) * scale)
+
+    def read(text: Column) -> Column:
+        bracket = text.rlike(r"^\(.*\)$")
+        negative = bracket | text.rlike("^[-−]") | text.rlike("-$")
+        bare = F.when(bracket, F.regexp_replace(text, r"^\(|\)$", "")).when(text.rlike("^[-−]"), F.substr(text, F.lit(2))).when(text.rlike("-$"), F.regexp_replace(text, "-$", "")).otherwise(text)
+        plain = lambda b: F.when(b.rlike(r",[^.]*$") & b.rlike(r"\."), F.replace(F.replace(b, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(~b.rlike(r"\."), F.replace(b, F.lit(","), F.lit("."))).otherwise(b)
+        number = lambda p: F.when(p.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), p.try_cast("double"))
+        value = once(once(F.replace(bare, F.lit(" "), F.lit("")), plain), number)
+        return F.when(text.isin(NULL_TOKENS), None).otherwise(F.when(negative, -value).otherwise(value) * scale)
+
+    return once(F.trim(F.replace(raw, F.lit("\u00a0"), F.lit(" "))), read)
 
 
 def scale_factor(text: Column) -> Column:

@@ -97,18 +97,17 @@ def normalized_account(record: Column, default_scale: float = 1.0) -> Column:
     or as a Norwegian text, times the unit that ``scale`` tells. What is missing is null; a number 0 of its own gives way to the nested one."""
     def read(v: Column) -> Column:
         at = lambda path: F.nullif(F.try_variant_get(v, f"$.{path}", "string"), F.lit(""))
-        scale = F.when(at("scale").isNotNull(), scale_factor(at("scale"))).otherwise(F.lit(default_scale))
+        scale = bound(at("scale"), lambda told: F.when(told.isNotNull(), scale_factor(told)).otherwise(F.lit(default_scale)))
 
-        def amount(name: str, path: str) -> Column:
+        def amount(name: str, path: str, scale: Column) -> Column:
             # Only a number may be zero and give way; a text that says zero is what was told.
             told = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING"
-            zero = (at(name).try_cast("double") == 0) & ~F.coalesce(told, F.lit(False))
-            raw = F.coalesce(F.when(~F.coalesce(zero, F.lit(False)), at(name)), at(path))
-            value = lambda x: F.coalesce(x["t"].try_cast("double") * x["s"], norwegian_number(x["t"], x["s"]))
-            return bound(F.struct(raw.alias("t"), scale.alias("s")), value)
+            zero = lambda x: (x.try_cast("double") == 0) & ~F.coalesce(told, F.lit(False))
+            raw = F.coalesce(bound(at(name), lambda x: F.when(~F.coalesce(zero(x), F.lit(False)), x)), at(path))
+            return bound(raw, lambda x: F.coalesce(x.try_cast("double") * scale, norwegian_number(x, scale, bound)))
 
         named = [F.coalesce(at("id"), at("record_id")).alias("record_id"), F.coalesce(at("regnskapstype"), at("account_type")).alias("account_type"), F.coalesce(at("regnskapsperiode"), at("period")).alias("reporting_period"), F.coalesce(at("valuta"), at("currency"), F.lit("NOK")).alias("currency")]
-        return F.struct(*named, *[amount(n, p).alias(n) for n, p in AMOUNTS.items()])
+        return bound(scale, lambda s: F.struct(*named, *[amount(n, p, s).alias(n) for n, p in AMOUNTS.items()]))
 
     return bound(F.try_parse_json(record), read)
 

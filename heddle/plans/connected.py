@@ -8,7 +8,7 @@ from heddle.functions import urls
 from heddle.operators import connectors, envelope, profile
 from heddle.plans.base import COMPANIES_SQL, companies
 from heddle.registry import query
-from heddle.session import table
+from heddle.session import dealt, table
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '')"
 _SITES_SQL = f"""p as (select {_HOST} as org, page_id, url, sha256(html) as sha, 'T' || page_id as title, case page_id % 4 when 0 then '/news/' || page_id when 1 then '/press/2024/' || page_id when 2 then '/newsroom' else '/om' end as path from pages where regexp_matches(url, '^[A-Za-z]+://')),
@@ -164,7 +164,7 @@ def account_normalise(spark, sf_dir):
         F.struct(F.struct((v + 1).alias("sumDriftsinntekter")).alias("driftsinntekter")).alias("driftsresultat"), F.when(k % 5 != 0, F.concat(F.lit("("), v.cast("string"), F.lit(",0)"))).otherwise("–").alias("aarsresultat"),
     )
     record = F.struct(F.concat(F.lit("r"), k.cast("string")).alias("id"), F.when(k % 2 == 0, "EUR").alias("valuta"), scale.alias("scale"), F.when(k % 4 == 0, v.cast("string")).when(k % 4 == 1, "0").alias("revenue"), F.when(k % 7 != 0, "0,0").alias("equity"), nested.alias("resultatregnskapResultat"))
-    a = table(spark, sf_dir, "orders").select("o_orderkey", profile.normalized_account(F.to_json(record)).alias("a"))
+    a = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", profile.normalized_account(F.to_json(record)).alias("a"))
     return a.select("o_orderkey", "a.record_id", "a.currency", "a.revenue", "a.annual_result", "a.equity")
 
 
