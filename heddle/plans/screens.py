@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heddle.operators.screen import NOTHING, REFUSED, TOPICS, parse, plans, screen, topics
 from heddle.plans.base import COMPANIES_SQL, companies
 from heddle.registry import query
-from heddle.session import table
+from heddle.session import dealt, table
 
 SEGMENTS = ("building", "automobile", "machinery", "household", "furniture")
 
@@ -112,7 +112,7 @@ def _asked(spark, sf_dir):
     for i, w in enumerate(_WORDINGS):
         parts = re.split(r"[{}]", w)
         wording = F.when(k % 8 == i, F.concat(*[fields[x] if j % 2 else F.lit(x) for j, x in enumerate(parts)])).otherwise(wording)
-    return table(spark, sf_dir, "part").select("p_partkey", wording.alias("query"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type"), "p_partkey").select("p_partkey", wording.alias("query"))
 
 
 @query("screen_plan_rows", _PLAN_SQL)

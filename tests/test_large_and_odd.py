@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import numbers
 from heddle.operators import pages, refresh
-from heddle.plans import changes, connected, control, found, listings, registers
+from heddle.plans import changes, connected, control, found, listings, registers, screens
 
 
 def test_amounts_that_round_to_a_thousand_are_whole(spark):
@@ -68,6 +68,6 @@ def test_listings_are_made_by_all_tasks(spark, sf_dir):
     assert listings._listings(spark, sf_dir).rdd.getNumPartitions() == 4 and listings._profiles(spark, sf_dir).rdd.getNumPartitions() == 4
 
 
-@pytest.mark.parametrize("made", [registers.workspaces, connected.account_normalise], ids=["workspaces", "accounts"])
+@pytest.mark.parametrize("made", [registers.workspaces, screens._asked, connected.account_normalise], ids=["workspaces", "screens", "accounts"])
 def test_rows_that_cost_much_are_dealt_over_all_tasks(spark, sf_dir, made):
     assert made(spark, sf_dir).rdd.getNumPartitions() == 4
