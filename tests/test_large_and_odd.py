@@ -71,3 +71,9 @@ def test_listings_are_made_by_all_tasks(spark, sf_dir):
 @pytest.mark.parametrize("made", [registers.workspaces, screens._asked, connected.account_normalise], ids=["workspaces", "screens", "accounts"])
 def test_rows_that_cost_much_are_dealt_over_all_tasks(spark, sf_dir, made):
     assert made(spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+def test_screens_are_read_after_they_are_dealt(spark, sf_dir):
+    """Once, and above the exchange by the part's key; a filter on what was read would be moved below it."""
+    plan = screens.screen_refused(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression")
