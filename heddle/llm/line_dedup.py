@@ -1,61 +1,50 @@
 """Fuzzy deduplication of lines: of every group of near-equal lines in the corpus one occurrence stays.
 
+All in DataFrame functions:
+
 1. *Signatures*, in one scan. A line's signature is over all its character shingles of ``width`` characters, the same
    ones that decide, so its estimate holds for lines of any length, script and white space. The hashes are sorted once;
    band ``j`` is the ``rows`` smallest hashes above the ``j``-th of ``bands`` fixed bounds, going round at the end. Two
    lines agree there with probability about ``J ** rows``, as for ``rows`` independent minima: 0.995 in any of ten bands
    of four at a similarity of 0.8. Keys, places and bands are written once; all later steps read those.
-2. *Buckets*. Where one piece of the input has many lines of a band, they are known to share it and only one of them is
-   sent on under the band alone, so a band that a third of all lines have is spread like any other.
+2. *Buckets*. Bands are dealt once; those that different lines share are found by their least and greatest key and
+   looked up again in the rows dealt, which pass by one after the other. A band that a third of all lines have takes no memory.
 3. *Stars*: in a bucket every line first meets one line, that with the most bucket neighbours. Of an original
    and its variants this is the original, since a variant has left some of the buckets.
 4. *Verification*: the exact Jaccard similarity of all character shingles of both lines, from their texts.
 5. *The rest*: after *union-find* by star contraction (:mod:`heddle.llm.graph`), every line of a bucket meets all lines of it
-   that are in other components, so components are those of all candidate pairs. Large buckets are cut into runs of lines,
-   and each two runs meet in one group, which counts common shingles as a product of incidence matrices and gives only
-   edges that join components. A task holds two runs. Of ``n`` lines of one bucket that stars leave apart each is sent to all its runs, that is
-   ``n / RUN_LINES`` times: work, and beyond a thousand such lines rows too, grow with the square of ``n``.
+   that are in other components, so components are those of all candidate pairs. Two bounds that no alike pair exceeds come
+   before, on the sizes and on the bits in which parity maps of the shingles differ; a pair comes from the least band that it
+   shares alone. Of ``n`` lines of one bucket that stars leave apart each is sent to ``1 + n / BUCKET_RUN`` salts without its
+   text: work, and beyond some such lines rows too, grow with the square of ``n``.
 6. The first occurrence of a component stays.
 
-Signatures and similarities are computed over Arrow batches: in Spark's functions alone one shingle costs some 0.4 µs
-and the operator could not keep to its limits (see README); the joins, buckets and components are DataFrame operations.
-
 Defined results: null texts stay null; lines of fewer than ``least_words`` words are never touched, nor are
 empty ones; repeated rows are separate occurrences, so a second copy loses its lines; of places with the same key the
 smaller row number is first; a document all of whose long lines go and which has no other line with a word is dropped,
-since its text is kept elsewhere; a line of any length is signed whole, in memory of some 60 bytes a character of the
-longest text; an empty table gives an empty one; other columns are kept, whatever their names, and a new column whose name is taken gets an
+since its text is kept elsewhere; a line of any length is signed whole, in memory of a few arrays with a hash for each character
+of the longest line; an empty table gives an empty one; other columns are kept, whatever their names, and a new column whose name is taken gets an
 underscore behind. The input has to be
 read the same way twice (a file, a table, a checkpoint).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from heddle.llm.common import durable, free_names, packed, small_or_shuffled, unpacked, written
 from heddle.llm.graph import components
 
 WORD = r"[^\x20\x09-\x0D]"
 SPACE = " \t\n\x0b\x0c\r"
-#: Characters, pairs, lines and texts that are worked on at once; lines of a band in one piece that are known to share it.
-CHARS_AT_ONCE, PAIRS_AT_ONCE, LINES_AT_ONCE, TEXTS_AT_ONCE, KNOWN = 1 << 18, 1 << 10, 30_000, 500, 16
-#: Lines and shingles of a bucket in one run; columns of a dense piece of an incidence matrix; entries of a sparse one.
-RUN_LINES, RUN_SHINGLES, COLUMNS, ENTRIES = 1_000, 500_000, 2_048, 1_000_000
-#: Lines of a bucket whose pairs are looked at one by one.
-SMALL = 12
-#: Bits of a shingle's hash in signatures, beside the line's number.
-HASH_BITS = 40
-PRIME = 0x9E3779B97F4A7C15
+#: 64-bit words of a line's parity map; about how many lines of a bucket meet its others in one salt.
+MAP_WORDS, BUCKET_RUN = 8, 1_000
+#: Sorted hashes above a bound of which a band is taken, as long as enough of them differ.
+NEAR = 9
 
 
 @dataclass(frozen=True)
@@ -69,353 +58,114 @@ class Likeness:
     least_words: int = 5
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
-
-def _joined(left: np.ndarray, right: np.ndarray, span: int) -> np.ndarray:
-    return left * np.uint64(pow(PRIME, span, 1 << 64)) + right
-
-
-def window_hashes(points: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``width`` code points, put together from windows of powers of two."""
-    part, span, got, done = points.astype(np.uint64) + np.uint64(1), 1, 0, None
-    while True:
-        if width & span:
-            done = part if done is None else _joined(done[: len(part) - got], part[got:], span)
-            got += span
-        if got == width:
-            return _mixed(done)
-        if len(part) <= span:
-            return np.empty(0, np.uint64)
-        part = _joined(part[:-span], part[span:], span)
-        span *= 2
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _shingles(points: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, bits: int) -> np.ndarray:
-    """Sorted and distinct: each line's number, shifted, and ``bits`` bits of the hash of each of its shingles. A line
-    shorter than a shingle is its own only one."""
-    length = end - start
-    counts = np.maximum(length - width + 1, 0)
-    line = np.repeat(np.arange(len(start), dtype=np.uint64), counts)
-    at = np.arange(len(line)) + np.repeat(start - (np.cumsum(counts) - counts), counts)
-    down = np.uint64(64 - bits)
-    found = (line << np.uint64(bits)) | (window_hashes(points, width)[at] >> down if len(line) else line)
-    short = np.flatnonzero((counts == 0) & (length > 0))
-    if len(short):
-        whole = [window_hashes(points[start[i] : end[i]], int(length[i]))[0] >> down for i in short]
-        found = np.append(found, (short.astype(np.uint64) << np.uint64(bits)) | np.array(whole, np.uint64))
-    found.sort()
-    return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
-
-
-def _lines(points: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of many lines: the number, start and end of each that has enough words, without white space around it."""
-    space = (points == 32) | ((points >= 9) & (points <= 13))
-    first = ~space
-    full = np.flatnonzero(first)
-    first[1:] &= space[:-1]
-    words = np.flatnonzero(first)
-    breaks = np.flatnonzero(points == 10)
-    start, end = np.append(0, breaks + 1), np.append(breaks, len(points))
-    long = np.flatnonzero(np.searchsorted(words, end) - np.searchsorted(words, start) >= max(1, least_words))
-    return long, full[np.searchsorted(full, start[long])], full[np.searchsorted(full, end[long]) - 1] + 1
-
-
-def _bands(found: np.ndarray, n: int, how: Likeness) -> np.ndarray:
-    """``n`` lines' bands, each one hash, from their shingles."""
-    bits, numbers = np.uint64(HASH_BITS), np.arange(n, dtype=np.uint64)
-    begin = np.searchsorted(found, numbers << bits)
-    size = np.append(begin[1:], len(found)) - begin
-    out = np.empty((n, how.bands), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(how.bands):
-            bound = np.uint64((1 << HASH_BITS) * j // how.bands)
-            at = np.searchsorted(found, (numbers << bits) | bound) - begin
-            h = np.full(n, j + 1, np.uint64)
-            for r in range(how.rows):
-                h = _mixed(h * np.uint64(PRIME) + (found[begin + (at + r) % size] & np.uint64((1 << HASH_BITS) - 1)))
-            out[:, j] = h
-    return out
-
-
-def _chunks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of items with about ``CHARS_AT_ONCE`` characters and at most ``most`` items."""
-    first, total = 0, 0
-    for i, n in enumerate(lengths):
-        if i > first and (total + n > CHARS_AT_ONCE or i - first >= most):
-            yield first, i
-            first, total = i, 0
-        total += n + 1
-    if first < len(lengths):
-        yield first, len(lengths)
-
-
-def signed_lines(texts: list[str], how: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """Of runs of texts: each long line's text, place in it, 128-bit key and bands."""
-    for a, b in _chunks([len(t) for t in texts], len(texts)):
-        some = texts[a:b]
-        whole = "\n".join(some)
-        points = _points(whole)
-        number, start, end = _lines(points, how.least_words)
-        if not len(number):
-            continue
-        begins = np.cumsum([0, *(t.count("\n") + 1 for t in some)])
-        text = np.searchsorted(begins, number, "right") - 1
-        bands = _bands(_shingles(points, start, end, how.width, HASH_BITS), len(number), how)
-        keys = [blake2b(whole[s:e].encode("utf-8", "surrogatepass"), digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        yield text + a, (number - begins[text]).astype(np.int32), keys, bands
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in small batches, so that few texts are Python objects at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            yield batch.slice(at, TEXTS_AT_ONCE)
-
-
-def _sign(how: Likeness, key: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            row, order = batch.column(0).to_numpy(), batch.column(1)
-            for text, pos, keys, bands in signed_lines(batch.column(2).to_pylist(), how):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[text]), order.take(pa.array(text)).cast(key), pa.array(pos), pa.array(keys, pa.binary()), pa.array(np.frombuffer(b"".join(keys), np.int64)[::2]), pa.array([x.tobytes() for x in bands], pa.binary())],
-                    names=["_row", "_order", "_pos", "_key", "_k", "_bands"],
-                )
-
-    return run
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used: as an element of an array it has a name."""
+    return F.transform(F.array(value), use)[0]
+
+
+def shingles(line: Column, how: Likeness) -> Column:
+    """Hashes of a line's character shingles, at every place. A line shorter than a shingle is its own only one.
+
+    Of UTF-32, where each character takes four bytes, a piece is cut out without looking for its place.
+    """
+    last = lambda b: F.greatest(F.octet_length(b) - (4 * how.width - 1), F.lit(1))
+    return once(F.encode(line, "UTF-32"), lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * how.width)))))
+
+
+def _with_bands(lines: DataFrame, how: Likeness) -> DataFrame:
+    """Adds ``_bands`` of ``_line``, each one hash.
+
+    The bounds are sorted among the hashes, so that a bound's place tells where its band begins. Each step's arrays are
+    columns, as within one column they would be worked out for each band. A step with a function of arrays, such as
+    :func:`once`, is compiled in small methods; all steps together would be one that is too large for the JVM's compiler.
+    """
+    bounds = F.array(*[F.lit(-(2**63) + (2**64 // how.bands) * j) for j in range(how.bands)])
+    near, numbers = max(NEAR, 2 * how.rows), range(how.bands)
+    same = lambda x: x
+    rows = lines.withColumn("_sorted", F.sort_array(F.concat(shingles(F.col("_line"), how), bounds)))
+    rows = rows.withColumns({"_ring": F.concat("_sorted", F.slice("_sorted", 1, near)), "_n": once(F.size("_sorted"), same)} | {f"_at{j}": F.array_position("_sorted", bounds[j]).cast("int") + 1 for j in numbers})
+    rows = rows.withColumns({"_n": once(F.col("_n"), same)} | {f"_near{j}": F.array_except(F.slice("_ring", F.col(f"_at{j}"), near), bounds) for j in numbers})
+    whole = [once(F.concat(F.slice("_sorted", F.col(f"_at{j}"), F.col("_n")), F.col("_sorted")), lambda x: F.array_except(x, bounds)) for j in numbers]
+    picked = [F.when(F.size(f"_near{j}") >= how.rows, F.col(f"_near{j}")).otherwise(whole[j]) for j in numbers]
+    bands = F.array(*[F.xxhash64(F.lit(j), F.slice(picked[j], 1, how.rows)) for j in numbers])
+    return rows.select(*lines.columns, bands.alias("_bands"))
 
 
 def occurrences(rows: DataFrame, how: Likeness) -> DataFrame:
-    """Written: of every long line of ``rows`` (``_row, _order, _text``) its place, 128-bit key, first half of it, and bands."""
-    kind = rows.schema["_order"].dataType.simpleString()
-    run = _sign(how, to_arrow_type(rows.schema["_order"].dataType))
-    return written(rows.filter(F.col("_text").isNotNull()).select("_row", "_order", "_text").mapInArrow(run, f"_row long, _order {kind}, _pos int, _key binary, _k long, _bands binary"))
-
-
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band rows of ``_k, _bands``. Bands that many lines of one piece have stay in a group of that piece, marked ``_piece``;
-    only their least key goes on under the band alone, as all others do."""
-
-    def sent(keys: list[np.ndarray], bands: list[np.ndarray]) -> pa.RecordBatch:
-        band = np.concatenate(bands)
-        k = np.repeat(np.concatenate(keys), band.shape[1])
-        band = band.ravel()
-        order = np.lexsort((k, band))
-        band, k = band[order], k[order]
-        new = np.append(True, (band[1:] != band[:-1]) | (k[1:] != k[:-1]))
-        band, k = band[new], k[new]
-        first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-        size = np.diff(np.append(first, len(band)))
-        known = np.repeat(size > KNOWN, size)
-        # The piece's mark is made of the keys it has, so that a task that runs again makes the same.
-        mark = int(_mixed(np.array([np.bitwise_xor.reduce(k.view(np.uint64))], np.uint64))[0] >> np.uint64(1)) | 1
-        heads = first[size > KNOWN]
-        piece = np.where(known, mark, 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(band, band[heads])), pa.array(np.append(k, k[heads])), pa.array(np.append(piece, np.zeros(len(heads), np.int64)))], names=["_band", "_k", "_piece"])
-
-    keys: list[np.ndarray] = []
-    bands: list[np.ndarray] = []
-    for batch in batches:
-        if batch.num_rows:
-            raw = b"".join(batch.column(1).to_pylist())
-            keys.append(batch.column(0).to_numpy())
-            bands.append(np.frombuffer(raw, np.int64).reshape(batch.num_rows, -1))
-        if sum(map(len, keys)) >= LINES_AT_ONCE:
-            yield sent(keys, bands)
-            keys, bands = [], []
-    if keys:
-        yield sent(keys, bands)
+    """Written: of every long line of ``rows`` (``_row, _order, _text``) its place, 128-bit key, a 64-bit one, and bands."""
+    lines = rows.select("_row", "_order", F.posexplode(F.split("_text", "\n")).alias("_pos", "_raw")).select("_row", "_order", "_pos", F.btrim("_raw", F.lit(SPACE)).alias("_line"))
+    long = lines.filter(F.col("_line").rlike(rf"^(?:{WORD}++[\x20\x09-\x0D]++){{{max(1, how.least_words) - 1}}}{WORD}"))
+    return written(_with_bands(long, how).select("_row", "_order", "_pos", F.unhex(F.md5("_line")).alias("_key"), F.xxhash64("_line").alias("_k"), "_bands"))
 
 
 def buckets(found: DataFrame) -> DataFrame:
     """``_band, _k`` of the bands that different lines share."""
-    rows = found.select("_k", "_bands").mapInArrow(_deal, "_band long, _k long, _piece long")
-    by = Window.partitionBy("_band", "_piece")
-    return rows.withColumns({"_lo": F.min("_k").over(by), "_hi": F.max("_k").over(by)}).filter("_lo < _hi").select("_band", "_k").distinct()
-
-
-LINE = "_k long, _key binary, _line string, _size int"
-
-
-def _pick(how: Likeness):
-    """The lines of ``_text`` at the places ``_at`` (``p``, ``key``, ``k``), with the number of their shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            keys, lines, ks = [], [], []
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = text.split("\n")
-                lines += [parts[x["p"]].strip(SPACE) for x in places]
-                keys += [x["key"] for x in places]
-                ks += [x["k"] for x in places]
-            for a, b in _chunks([len(x) for x in lines], PAIRS_AT_ONCE):
-                owner, _ = _sets(lines[a:b], how)
-                size = np.bincount(owner, minlength=b - a).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ks[a:b], pa.int64()), pa.array(keys[a:b], pa.binary()), pa.array(lines[a:b]), pa.array(size)], names=["_k", "_key", "_line", "_size"])
-
-    return run
-
-
-def _sets(lines: list[str], how: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of lines: the line's number, and as many bits of the hash as there is room for."""
-    bits = 63 - len(lines).bit_length()
-    lengths = np.array([len(x) for x in lines])
-    end = np.cumsum(lengths + 1) - 1
-    found = _shingles(_points("\n".join(lines)), end - lengths, end, how.width, bits)
-    return (found >> np.uint64(bits)).astype(np.int64), found & np.uint64((1 << bits) - 1)
-
-
-def alike(a: list[str], b: list[str], how: Likeness) -> np.ndarray:
-    """Whether each line of ``a`` and that of ``b`` beside it are similar enough, by all their shingles."""
-    out = np.zeros(len(a), bool)
-    for i, j in _chunks([len(x) + len(y) + 1 for x, y in zip(a, b, strict=True)], PAIRS_AT_ONCE):
-        owner, h = _sets([z for x, y in zip(a[i:j], b[i:j], strict=True) for z in (x, y)], how)
-        size = np.bincount(owner, minlength=2 * (j - i))
-        bits = np.uint64(63 - (2 * (j - i)).bit_length())
-        met = np.sort(((owner // 2).astype(np.uint64) << bits) | h)
-        common = np.bincount((met[1:][met[1:] == met[:-1]] >> bits).astype(np.int64), minlength=j - i)
-        out[i:j] = 100 * common >= how.percent * (size[::2] + size[1::2] - common)
-    return out
-
-
-def overlaps(owner: np.ndarray, column: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
-    """How many columns each of the lines ``some`` has in common with each of ``n``. Columns of many lines are multiplied as
-    dense matrices, the others' meetings are counted one by one."""
-    place = np.full(n, -1)
-    place[some] = np.arange(len(some))
-    mine = place[owner] >= 0
-    in_some, in_all = np.bincount(column[mine], minlength=column.max() + 1), np.bincount(column)
-    dense = in_some * in_all * 64 > len(some) * n
-    out = np.zeros((len(some), n), np.float32)
-    number = np.cumsum(dense) - 1
-    many = dense[column]
-    for at in range(0, int(dense.sum()), COLUMNS):
-        here = many & (number[column] >= at) & (number[column] < at + COLUMNS)
-        full = np.zeros((n, min(COLUMNS, int(dense.sum()) - at)), np.float32)
-        full[owner[here], number[column[here]] - at] = 1
-        out += full[some] @ full.T
-    order = np.flatnonzero(~many & (in_some[column] > 0) & (in_all[column] > 1))
-    order = order[np.argsort(column[order], kind="stable")]
-    begin = np.searchsorted(column[order], np.arange(len(in_all)))
-    rows = order[place[owner[order]] >= 0]
-    ends = np.cumsum(in_all[column[rows]])
-    flat = out.ravel()
-    first = 0
-    while first < len(rows):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + ENTRIES)))
-        part = rows[first:last]
-        times = in_all[column[part]]
-        at = np.arange(times.sum()) + np.repeat(begin[column[part]] - (np.cumsum(times) - times), times)
-        flat += np.bincount(np.repeat(place[owner[part]] * n, times) + owner[order[at]], minlength=len(flat)).astype(np.float32)
-        first = last
-    return out
-
-
-def _edges(part: np.ndarray, salt: np.ndarray, lines: list[str], how: Likeness) -> Iterator[tuple[int, int]]:
-    """Alike lines of different components in two runs of a bucket, or in one."""
-    some = np.flatnonzero(part != np.bincount(part).argmax())
-    owner, h = _sets(lines, how)
-    size = np.bincount(owner, minlength=len(lines))
-    common = overlaps(owner, np.unique(h, return_inverse=True)[1], some, len(lines))
-    apart = part[some, None] != part[None, :]
-    if salt.min() != salt.max():
-        apart &= salt[some, None] != salt[None, :]
-    i, j = np.nonzero(apart & (100 * common >= how.percent * (size[some, None] + size[None, :] - common)))
-    return zip(some[i].tolist(), j.tolist(), strict=True)
-
-
-def _meet(how: Likeness):
-    """Edges between lines of different components in each bucket, or two runs of one, of a lot; no more than join these
-    components. Pairs of small buckets are verified together."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_band", "_key"], ignore_index=True)
-        part, _ = pd.factorize(rows["_part"])
-        salt, line, band = rows["_salt"].to_numpy(), rows["_line"].tolist(), rows["_band"].to_numpy()
-        begin = np.flatnonzero(np.append(True, band[1:] != band[:-1])).tolist()
-        over: dict[int, int] = {}
-        edges, pairs = [], {}
-
-        def top(x: int) -> int:
-            while x in over:
-                x = over[x]
-            return x
-
-        def join(i: int, j: int) -> None:
-            x, y = top(part[i]), top(part[j])
-            if x != y:
-                over[x] = y
-                edges.append((rows["_key"][i], rows["_key"][j]))
-
-        for a, b in zip(begin, [*begin[1:], len(rows)], strict=True):
-            if b - a <= SMALL:
-                pairs |= {(rows["_key"][i], rows["_key"][j]): (i, j) for i in range(a, b) for j in range(i + 1, b) if part[i] != part[j]}
-            elif (part[a:b] != part[a]).any():
-                for i, j in _edges(np.unique(part[a:b], return_inverse=True)[1], salt[a:b], line[a:b], how):
-                    join(a + i, a + j)
-        left = [(i, j) for i, j in pairs.values() if top(part[i]) != top(part[j])]
-        for (i, j), good in zip(left, alike([line[i] for i, _ in left], [line[j] for _, j in left], how), strict=True):
-            if good:
-                join(i, j)
-        return pd.DataFrame(edges, columns=["a", "b"])
-
-    return run
-
-
-def _verify(how: Likeness):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), how)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
-
-    return run
+    rows = found.select("_k", F.explode("_bands").alias("_band")).repartition("_band")
+    shared = rows.groupBy("_band").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi")).filter("_lo < _hi").select("_band")
+    return rows.join(shared.hint("shuffle_hash"), "_band").select("_band", "_k").distinct()
+
+
+def _picked(rows: DataFrame, places: DataFrame, how: Likeness) -> DataFrame:
+    """Written: the lines at the places ``_at`` (``p``, ``key``, ``k``), with a number each and the number of their shingles."""
+    at = once(F.split("_text", "\n"), lambda x: F.transform("_at", lambda a: F.struct(a["key"].alias("key"), a["k"].alias("k"), x[a["p"]].alias("raw"))))
+    lines = rows.join(places, "_row").select(F.explode(at).alias("x")).select(F.col("x.k").alias("_k"), F.col("x.key").alias("_key"), F.btrim("x.raw", F.lit(SPACE)).alias("_line"))
+    return written(lines.select("*", F.size(F.array_distinct(shingles(F.col("_line"), how))).alias("_size")).withColumn("_id", F.monotonically_increasing_id()))
 
 
 def _alike(pairs: DataFrame, lines: DataFrame, how: Likeness) -> DataFrame:
-    """The pairs ``a, b`` of keys whose similarity is large enough."""
-    left, right = (lines.select(F.col("_key").alias(x), F.col("_line").alias(f"_l{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_la", "_lb").mapInArrow(_verify(how), "a binary, b binary")
+    """The pairs ``a, b`` of lines' numbers whose similarity is large enough."""
+    left, right = (lines.select(F.col("_id").alias(x), F.col("_line").alias(f"_l{x}"), F.col("_size").alias(f"_n{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("_common", F.size(F.array_intersect(shingles(F.col("_la"), how), shingles(F.col("_lb"), how))))
+    return both.filter(100 * F.col("_common") >= how.percent * (F.col("_na") + F.col("_nb") - F.col("_common"))).select("a", "b")
+
+
+def _parity(word: int) -> Column:
+    """64 bits: of every shingle hash in ``_s`` that is dealt to this word one bit is turned."""
+    mine = F.filter("_s", lambda h: F.pmod(F.shiftright(h, 6), F.lit(MAP_WORDS)) == word)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
+
+
+def _may_be_alike(how: Likeness) -> Column:
+    """False only for pairs that can't be alike. Every bit in which the maps differ is a shingle of one line alone."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"_m{i}a").bitwiseXOR(F.col(f"_m{i}b"))) for i in range(MAP_WORDS)])
+    na, nb = F.col("_na"), F.col("_nb")
+    return (100 * F.least(na, nb) >= how.percent * F.greatest(na, nb)) & ((100 + how.percent) * differ <= (100 - how.percent) * (na + nb))
 
 
 def _across(members: DataFrame, label: DataFrame, lines: DataFrame, how: Likeness) -> DataFrame:
-    """Edges ``a, b`` of alike lines in a bucket that are in two components."""
-    part = members.join(label.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_part", F.coalesce("component", "_key")).drop("component")
-    runs = F.expr(f"1 + greatest(count(*) div {RUN_LINES}, sum(_size) div {RUN_SHINGLES})")
-    mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1"), runs.alias("_runs")).filter("_p0 < _p1").select("_band", "_runs")
-    dealt = part.join(mixed, "_band").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.col("_runs")))
-    each = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_runs") - 1)))
-    group = [F.least("_salt", "_other").alias("_one"), F.greatest("_salt", "_other").alias("_two")]
-    lots = 1 + members.count() // RUN_LINES
-    lot = F.when(F.col("_runs") == 1, F.pmod(F.xxhash64("_band"), F.lit(lots))).otherwise(F.col("_band")).alias("_lot")
-    full = each.select(lot, "_band", "_runs", *group, "_salt", "_key", "_part").join(lines.select("_key", "_line"), "_key")
-    return full.groupBy("_lot", "_runs", "_one", "_two").applyInPandas(_meet(how), "a binary, b binary")
-
-
-def near_pairs(rows: DataFrame, found: DataFrame, firsts: DataFrame, how: Likeness) -> DataFrame:
-    """Edges ``a, b`` between keys of different lines, with the components of all verified candidate pairs.
+    """Pairs ``a, b`` that share a bucket, are in two components and may be alike. Large buckets are dealt by a salt."""
+    part = members.join(label.withColumnRenamed("node", "_id"), "_id", "left").withColumn("_part", F.coalesce("component", "_id")).drop("component")
+    mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1"), F.count("*").alias("_n")).filter("_p0 < _p1").select("_band", F.expr(f"1 + _n div {BUCKET_RUN}").alias("_salts"))
+    part = durable(part.join(mixed, "_band"))
+    own = part.groupBy("_id").agg(F.collect_list("_band").alias("_in"))
+    mapped = lines.select("_id", "_line").join(own, "_id").select("_id", "_in", F.array_distinct(shingles(F.col("_line"), how)).alias("_s"))
+    full = part.join(durable(mapped.select("_id", "_in", *[_parity(i).alias(f"_m{i}") for i in range(MAP_WORDS)])), "_id")
+    of = lambda rows, x: rows.select(F.col("_band").alias(f"_band{x}"), F.col("_salt").alias(f"_salt{x}"), F.col("_id").alias(x), F.col("_part").alias(f"_p{x}"), F.col("_size").alias(f"_n{x}"), F.col("_in").alias(f"_in{x}"), *[F.col(f"_m{i}").alias(f"_m{i}{x}") for i in range(MAP_WORDS)])
+    one = of(full.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts"))), "a")
+    two = of(full.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))), "b").hint("merge")
+    met = one.join(two, (F.col("_banda") == F.col("_bandb")) & (F.col("_salta") == F.col("_saltb")) & (F.col("_pa") < F.col("_pb")) & _may_be_alike(how))
+    return met.filter(F.array_min(F.array_intersect("_ina", "_inb")) == F.col("_banda")).select("a", "b")
+
+
+def near_pairs(rows: DataFrame, found: DataFrame, firsts: DataFrame, how: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Edges ``a, b`` between numbers of different lines, with the components of all verified candidate pairs, and the
+    ``_key`` of each number ``_id``.
 
     ``found`` are the occurrences, ``firsts`` has the place where each key is first.
     """
     shared = durable(buckets(found))
     places = firsts.join(shared.select("_k").distinct(), "_k", "left_semi").groupBy("_first.r").agg(F.collect_list(F.struct(F.col("_first.p").alias("p"), F.col("_key").alias("key"), F.col("_k").alias("k"))).alias("_at"))
     places = small_or_shuffled(durable(places.withColumnRenamed("r", "_row")), bytes_of=32 * F.size("_at") + 32)
-    lines = written(rows.join(places, "_row").select("_text", "_at").mapInArrow(_pick(how), LINE))
-    members = durable(shared.join(lines.drop("_line"), "_k").drop("_k"))
+    lines = _picked(rows, places, how)
+    members = durable(shared.join(lines.select("_k", "_id", "_size"), "_k").drop("_k"))
     counts = members.groupBy("_band").agg(F.count("*").alias("_n"))
-    weights = members.join(counts, "_band").groupBy("_key").agg(F.sum("_n").alias("_w"))
-    heads = members.join(weights, "_key").groupBy("_band").agg(F.max(F.struct("_w", "_key", "_size")).alias("h")).select("_band", F.col("h._key").alias("a"), F.col("h._size").alias("_size_a"))
+    weights = members.join(counts, "_band").groupBy("_id").agg(F.sum("_n").alias("_w"))
+    heads = members.join(weights, "_id").groupBy("_band").agg(F.max(F.struct("_w", "_id", "_size")).alias("h")).select("_band", F.col("h._id").alias("a"), F.col("h._size").alias("_size_a"))
     sizes = how.percent * F.greatest("_size", "_size_a") <= 100 * F.least("_size", "_size_a")
-    pairs = heads.join(members, "_band").filter((F.col("a") != F.col("_key")) & sizes).select("a", F.col("_key").alias("b")).distinct()
+    pairs = heads.join(members, "_band").filter((F.col("a") != F.col("_id")) & sizes).select("a", F.col("_id").alias("b")).distinct()
     label = durable(components(_alike(pairs, lines, how), "a", "b"))
-    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_across(members, label, lines, how))
+    edges = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_alike(_across(members, label, lines, how), lines, how))
+    return edges, lines.select("_id", "_key")
 
 
 def removals(rows: DataFrame, how: Likeness) -> DataFrame:
@@ -423,7 +173,8 @@ def removals(rows: DataFrame, how: Likeness) -> DataFrame:
     found = occurrences(rows, how)
     place = F.struct(F.col("_order").alias("o"), F.col("_row").alias("r"), F.col("_pos").alias("p"))
     firsts = written(found.select("_key", "_k", place.alias("_at")).groupBy("_key", "_k").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")))
-    group = durable(components(near_pairs(rows, found, firsts, how), "a", "b").withColumnRenamed("node", "_key"))
+    edges, keys = near_pairs(rows, found, firsts, how)
+    group = durable(components(edges, "a", "b").withColumnRenamed("node", "_id").join(keys, "_id").select("_key", "component"))
     grouped = firsts.join(group, "_key")
     stays = grouped.groupBy("component").agg(F.min("_first").alias("_stays"))
     near = grouped.join(stays, "component").select("_key", "_stays.r", "_stays.p")

@@ -48,7 +48,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.language import _logistic, fold
-from heddle.llm.line_dedup import window_hashes
 
 #: Letters, other characters in 38 classes, and the mark of a word's beginning.
 SYMBOLS, BEGIN = 65, "^"
@@ -56,6 +55,8 @@ SYMBOLS, BEGIN = 65, "^"
 REMEMBERED = 800_000
 #: Weights of words' sequences in landmarks that are summed up at once.
 AT_ONCE = 4_000_000
+#: Base of windows' hashes.
+PRIME = 0x9E3779B97F4A7C15
 #: Ends of sentences.
 STOPS = re.compile(r"[.!?]+[\"')]*\s|\n")
 #: Characters that look like letters, when between letters (fixed values).
@@ -64,6 +65,31 @@ EDGE = re.compile(r"^[^\w@$]+|^[@$_]{2,}|[\W_]+$")
 INNER = re.compile(r"[\W_]+")
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def _joined(left: np.ndarray, right: np.ndarray, span: int) -> np.ndarray:
+    return left * np.uint64(pow(PRIME, span, 1 << 64)) + right
+
+
+def window_hashes(points: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``width`` code points, put together from windows of powers of two."""
+    part, span, got, done = points.astype(np.uint64) + np.uint64(1), 1, 0, None
+    while True:
+        if width & span:
+            done = part if done is None else _joined(done[: len(part) - got], part[got:], span)
+            got += span
+        if got == width:
+            return _mixed(done)
+        if len(part) <= span:
+            return np.empty(0, np.uint64)
+        part = _joined(part[:-span], part[span:], span)
+        span *= 2
+
+
 @dataclass(frozen=True)
 class Training:
     decay: float = 0.7

@@ -143,6 +143,40 @@ def test_equal_lines_keep_their_first(spark, odd, empty):
     assert sum(r.n_removed for r in out.filter("doc_id = 2").collect()) == 2
 
 
+def test_lines_meet_without_python_workers(spark, monkeypatch):
+    """Against all pairs, by DataFrame operations alone, with large buckets dealt by salts and with bands that go round."""
+    import random
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz\u00e9\U0001f600") for _ in range(6))
+    lines = []
+    for n in (5, 6, 12, 30, 60):
+        original = [word() for _ in range(n)]
+        for _ in range(24):
+            lines.append(" ".join(word() if r.random() < 1.5 / n else w for w in original))
+    lines += ["a b c d e", "a b c d f", "a a a a a a a a a a a a a a a a", "a a a a a a a a a a a a a a a a a a", "\t".join("ab" * 20)]
+    lines.append(lines[30] + " " + lines[30])
+    group = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j in range(i):
+            a, b = shingles(x), shingles(lines[j])
+            if 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {i: int(g in group[:i]) for i, g in enumerate(group)}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+
+    def refused(*_):
+        raise AssertionError("runs in Python workers")
+
+    for owner, names in ((type(docs), ("mapInArrow", "mapInPandas")), (type(docs.groupBy()), ("applyInPandas", "applyInArrow"))):
+        for name in names:
+            monkeypatch.setattr(owner, name, refused)
+    for run, near in ((1_000, 9), (3, 4)):
+        monkeypatch.setattr(line_dedup, "BUCKET_RUN", run)
+        monkeypatch.setattr(line_dedup, "NEAR", near)
+        assert {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(docs, counts=True).collect()} == want
+
+
 def brute(rows):
     sets, inverse, parent, links = [], defaultdict(list), {}, 0
     for _, text in rows:
