@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
 GAP = np.uint64(0x9E3779B97F4A7C15)
+#: Held-back texts that the driver measures at once.
+MEASURED_AT_ONCE = 50
 
 
 @dataclass(frozen=True)
@@ -112,23 +114,26 @@ def _count(order: int):
 class Models:
     """All languages' models in sorted hash arrays: ``keys[n]``, ``logp[n]`` and ``weight[n]``, a column a language."""
 
-    def __init__(self, counts: pd.DataFrame, how: Training):
-        self.langs = sorted(counts["lang"].unique().tolist())
+    def __init__(self, counts: pd.DataFrame, how: Training, langs: list[str] | None = None):
+        """``counts``: sorted by language, length and hash; with ``langs``, sorted, a language is its place there."""
+        self.langs = sorted(counts["lang"].unique().tolist()) if langs is None else langs
+        if langs is None:
+            counts = counts.assign(lang=counts["lang"].map({k: i for i, k in enumerate(self.langs)}))
         self.order = how.order
         self.keys: list[np.ndarray] = []
         self.logp: list[np.ndarray] = []
         self.weight: list[np.ndarray] = []
         self.floor = -np.log(how.alphabet)
-        column = {k: i for i, k in enumerate(self.langs)}
         # A string's count below the highest order is the number of different characters seen before it.
-        each = {n: counts[counts["n"] == n] for n in range(1, how.order + 1)}
-        lower = {n: each[n + 1].groupby(["lang", "rest"]).size() for n in range(1, how.order)}
+        each = lambda n: counts[(counts["n"] == n).to_numpy()].drop(columns="n")  # noqa: E731  one length at a time, as the driver's memory is small
         lead = np.int64(_spread(np.array([33 + 1], np.uint64)).view(np.int64)[0])
         for n in range(1, how.order + 1):
-            part = each[n].copy()
+            part = each(n)
             part["h"] = part["h"].to_numpy().view(np.uint64)
             if n < how.order:
-                seen = lower[n].reindex(pd.MultiIndex.from_arrays([part["lang"], part["h"].to_numpy().view(np.int64)])).to_numpy()
+                lower = each(n + 1).groupby(["lang", "rest"]).size()
+                seen = lower.reindex(pd.MultiIndex.from_arrays([part["lang"], part["h"].to_numpy().view(np.int64)])).to_numpy()
+                del lower
                 # Strings from a word's beginning have nothing before them: their plain counts stand.
                 part["c"] = np.where(np.isnan(seen), part["c"], seen)
             part["c"] = part["c"].astype(float)
@@ -137,10 +142,10 @@ class Models:
             c = part["c"].to_numpy()
             own = np.maximum(c - how.discount, 0) / total
             handed = how.discount * np.minimum(kinds, total / how.discount) / total
-            base = np.exp(self.floor) if n == 1 else np.exp(self._of(part["rest"].to_numpy().view(np.uint64), n - 1, part["lang"].map(column).to_numpy()))
+            base = np.exp(self.floor) if n == 1 else np.exp(self._of(part["rest"].to_numpy().view(np.uint64), n - 1, part["lang"].to_numpy()))
             keys = np.unique(part["h"].to_numpy().astype(np.uint64))
             logp = np.full((len(keys), len(self.langs)), np.nan, np.float32)
-            row, col = np.searchsorted(keys, part["h"].to_numpy().astype(np.uint64)), part["lang"].map(column).to_numpy()
+            row, col = np.searchsorted(keys, part["h"].to_numpy().astype(np.uint64)), part["lang"].to_numpy()
             logp[row, col] = np.log(own + handed * base)
             self.keys.append(keys)
             self.logp.append(logp)
@@ -251,6 +256,24 @@ def fold(key: str) -> Column:
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 5
 
 
+def _collected(counts: DataFrame) -> tuple[pd.DataFrame, list[str]]:
+    """The counts of :func:`_count`, sorted, with each language's place in the languages sorted by name, and these.
+
+    As Arrow columns of which each is let go once it is copied: as rows of Python objects they would take some ten times the memory.
+    """
+    table = counts.toArrow()
+    names = table["lang"].unique().to_pylist()
+    langs = sorted(names)
+    place = np.array([langs.index(x) for x in names], np.int16)
+    code = np.concatenate([np.empty(0, np.int16), *[place[x.indices.to_numpy()] for x in table["lang"].dictionary_encode().unify_dictionaries().chunks]]) if names else np.empty(0, np.int16)
+    order = np.lexsort((table["h"].to_numpy(), table["n"].to_numpy(), code))
+    columns = {"lang": code[order]}
+    for name in ("n", "h", "ctx", "rest", "c"):
+        columns[name] = table[name].to_numpy()[order]
+        table = table.drop_columns([name])
+    return pd.DataFrame(columns, copy=False), langs
+
+
 def train(labelled: DataFrame, how: Training = Training(), *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier | None:
     """A classifier of the rows of ``labelled``; None if no row has a language and a letter."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"), F.xxhash64(F.col(key), F.lit(1)).alias("rank"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
@@ -259,16 +282,19 @@ def train(labelled: DataFrame, how: Training = Training(), *, key: str = "doc_id
     chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "row"))).filter(F.col("place") <= how.per_language).select("row", F.col("place").alias("place"))
     sample = rows.join(F.broadcast(chosen), "row").select("lang", "text", (F.col("place") % how.held_out_of == 0).alias("held"))
     counts = sample.filter("not held").select("lang", "text").mapInPandas(_count(how.order), "lang string, n int, h long, ctx long, rest long, c long").groupBy("lang", "n", "h", "ctx", "rest").agg(F.sum("c").alias("c"))
-    table = counts.toPandas()
+    table, langs = _collected(counts)
     if table.empty:
         return None
-    models = Models(table.sort_values(["lang", "n", "h"], ignore_index=True), how)
-    held = sample.filter("held").select("lang", "text").toPandas()
+    models = Models(table, how, langs)
+    del table
+    held = sample.filter("held").select("lang", "text").toArrow().to_pandas()
     k = len(models.langs)
     usual, spread = np.full(k, 10.0), np.full(k, 1.0)
     slope, offset = 10.0, 0.0
     if len(held):
-        h, some = models.measure(held["text"].tolist())
+        texts = held["text"].tolist()
+        parts = [models.measure(texts[i : i + MEASURED_AT_ONCE]) for i in range(0, len(texts), MEASURED_AT_ONCE)]
+        h, some = (np.concatenate(x) for x in zip(*parts, strict=True))
         right = h.argmin(axis=1) == held["lang"].map({x: i for i, x in enumerate(models.langs)}).fillna(-1).to_numpy()
         if k > 1 and some.any():
             slope, offset = _logistic((np.partition(h, 1, axis=1)[:, 1] - h.min(axis=1))[some], right[some].astype(float))

@@ -380,3 +380,26 @@ def test_toxic_documents_by_language(spark):
     for lang, recall in (("en", 0.85), ("de", 0.7), ("fr", 0.85), ("es", 0.8)):
         assert share(lang, 1, (True,)) >= recall and share(lang, 0, (True,)) <= 0.06, lang
     assert share("es", 1, (False,)) >= 0.8
+
+
+def test_language_counts_reach_the_driver_as_columns(spark, sf_dir, monkeypatch):
+    """Not as rows of Python objects; held-back texts are measured a few at a time, with the same outcome."""
+    from pyspark.sql import DataFrame
+
+    def refused(*args):
+        raise AssertionError("rows of Python objects in the driver")
+
+    most, measure = [], language.Models.measure
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(0)), "toPandas", refused)
+        m.setattr(DataFrame, "toPandas", refused)
+        m.setattr(language.Models, "measure", lambda self, texts: most.append(len(texts)) or measure(self, texts))
+        docs = load(spark, sf_dir, "documents")
+        m.setattr(language, "MEASURED_AT_ONCE", 10)
+        few = language.train(docs)
+        assert max(most) <= 10 and len(most) > 1
+        m.setattr(language, "MEASURED_AT_ONCE", 1 << 30)
+        whole = language.train(docs)
+    assert few.models.langs == sorted(few.models.langs) and (few.slope, few.offset) == (whole.slope, whole.offset)
+    assert (few.usual == whole.usual).all() and (few.spread == whole.spread).all()
+    assert language.train(docs.filter("doc_id < 0")) is None
