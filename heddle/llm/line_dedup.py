@@ -43,7 +43,7 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACE = " \t\n\x0b\x0c\r"
 #: 64-bit words of a line's parity map; about how many lines of a bucket meet its others in one salt.
 MAP_WORDS, BUCKET_RUN = 8, 1_000
-#: Sorted hashes above a bound of which a band is taken, as long as enough of them differ.
+#: Sorted hashes that are put behind the last one, so that a band can go round: at least as many as a band has.
 NEAR = 9
 
 
@@ -75,19 +75,14 @@ def shingles(line: Column, how: Likeness) -> Column:
 def _with_bands(lines: DataFrame, how: Likeness) -> DataFrame:
     """Adds ``_bands`` of ``_line``, each one hash.
 
-    The bounds are sorted among the hashes, so that a bound's place tells where its band begins. Each step's arrays are
-    columns, as within one column they would be worked out for each band. A step with a function of arrays, such as
-    :func:`once`, is compiled in small methods; all steps together would be one that is too large for the JVM's compiler.
+    The bounds are sorted among the distinct hashes, so that a bound's place, less the bounds before it, tells where its band
+    begins. Each step's arrays are columns, as within one column they would be worked out for each band.
     """
     bounds = F.array(*[F.lit(-(2**63) + (2**64 // how.bands) * j) for j in range(how.bands)])
-    near, numbers = max(NEAR, 2 * how.rows), range(how.bands)
     same = lambda x: x
-    rows = lines.withColumn("_sorted", F.sort_array(F.concat(shingles(F.col("_line"), how), bounds)))
-    rows = rows.withColumns({"_ring": F.concat("_sorted", F.slice("_sorted", 1, near)), "_n": once(F.size("_sorted"), same)} | {f"_at{j}": F.array_position("_sorted", bounds[j]).cast("int") + 1 for j in numbers})
-    rows = rows.withColumns({"_n": once(F.col("_n"), same)} | {f"_near{j}": F.array_except(F.slice("_ring", F.col(f"_at{j}"), near), bounds) for j in numbers})
-    whole = [once(F.concat(F.slice("_sorted", F.col(f"_at{j}"), F.col("_n")), F.col("_sorted")), lambda x: F.array_except(x, bounds)) for j in numbers]
-    picked = [F.when(F.size(f"_near{j}") >= how.rows, F.col(f"_near{j}")).otherwise(whole[j]) for j in numbers]
-    bands = F.array(*[F.xxhash64(F.lit(j), F.slice(picked[j], 1, how.rows)) for j in numbers])
+    rows = lines.withColumn("_sorted", F.sort_array(F.array_distinct(shingles(F.col("_line"), how))))
+    rows = rows.withColumns({"_ring": F.concat("_sorted", F.slice("_sorted", 1, max(NEAR, how.rows))), "_among": F.sort_array(F.concat("_sorted", bounds)), "_n": once(F.least(F.size("_sorted"), F.lit(how.rows)), same)})
+    bands = F.array(*[F.xxhash64(F.lit(j), F.slice("_ring", F.array_position("_among", bounds[j]).cast("int") - j, F.col("_n"))) for j in range(how.bands)])
     return rows.select(*lines.columns, bands.alias("_bands"))
 
 
@@ -120,9 +115,9 @@ def _alike(pairs: DataFrame, lines: DataFrame, how: Likeness) -> DataFrame:
 
 
 def _parity(word: int) -> Column:
-    """64 bits: of every shingle hash in ``_s`` that is dealt to this word one bit is turned."""
-    mine = F.filter("_s", lambda h: F.pmod(F.shiftright(h, 6), F.lit(MAP_WORDS)) == word)
-    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
+    """64 bits: of every shingle hash ``_h`` of a line that is dealt to this word one bit is turned."""
+    turned = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("_h", F.lit(64)).cast("int"))
+    return F.bit_xor(F.when(F.pmod(F.shiftright("_h", 6), F.lit(MAP_WORDS)) == word, turned).otherwise(F.lit(0).cast("bigint")))
 
 
 def _may_be_alike(how: Likeness) -> Column:
@@ -138,8 +133,9 @@ def _across(members: DataFrame, label: DataFrame, lines: DataFrame, how: Likenes
     mixed = part.groupBy("_band").agg(F.min("_part").alias("_p0"), F.max("_part").alias("_p1"), F.count("*").alias("_n")).filter("_p0 < _p1").select("_band", F.expr(f"1 + _n div {BUCKET_RUN}").alias("_salts"))
     part = durable(part.join(mixed, "_band"))
     own = part.groupBy("_id").agg(F.collect_list("_band").alias("_in"))
-    mapped = lines.select("_id", "_line").join(own, "_id").select("_id", "_in", F.array_distinct(shingles(F.col("_line"), how)).alias("_s"))
-    full = part.join(durable(mapped.select("_id", "_in", *[_parity(i).alias(f"_m{i}") for i in range(MAP_WORDS)])), "_id")
+    hashes = lines.select("_id", "_line").join(own.select("_id"), "_id").select("_id", F.explode(F.array_distinct(shingles(F.col("_line"), how))).alias("_h"))
+    maps = hashes.groupBy("_id").agg(*[_parity(i).alias(f"_m{i}") for i in range(MAP_WORDS)])
+    full = part.join(durable(own.join(maps, "_id")), "_id")
     of = lambda rows, x: rows.select(F.col("_band").alias(f"_band{x}"), F.col("_salt").alias(f"_salt{x}"), F.col("_id").alias(x), F.col("_part").alias(f"_p{x}"), F.col("_size").alias(f"_n{x}"), F.col("_in").alias(f"_in{x}"), *[F.col(f"_m{i}").alias(f"_m{i}{x}") for i in range(MAP_WORDS)])
     one = of(full.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts"))), "a")
     two = of(full.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))), "b").hint("merge")

@@ -325,3 +325,41 @@ def test_a_group_larger_than_a_shard_is_dealt(spark):
     docs = spark.createDataFrame([(i, "same text" if i < 600 else f"text {i}") for i in range(1000)], "doc_id long, text string")
     n = Counter(r.shard for r in sharding.sharded(docs).collect())
     assert len(n) == 8 and max(n.values()) < 200
+
+
+def test_small_graphs_take_few_tasks(spark):
+    """A round of components is not dealt over all of the session's partitions when it has a handful of edges."""
+    from heddle.llm.graph import components
+
+    tracker, names = spark.sparkContext.statusTracker(), ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("211", "false"), strict=True):
+            spark.conf.set(n, v)
+        pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 40)], "a long, b long").coalesce(1)
+        spark.sparkContext.setJobGroup("few-tasks", "components")
+        got = {r.node: r.component for r in components(pairs, "a", "b").collect()}
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-tasks")]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(40)}
+    stages = [tracker.getStageInfo(k) for k in {k for j in jobs for k in j.stageIds}]
+    rounds = sum(x.name.startswith("checkpoint") for x in stages if x)
+    assert rounds > 2 and sum(x.numCompletedTasks for x in stages if x) < 211 * 3 * rounds
+
+
+def test_bands_are_the_smallest_hashes_above_their_bounds(spark):
+    """Also of lines with fewer different shingles than a band has rows, and of ones that repeat themselves."""
+    from pyspark.sql import functions as F
+
+    how = line_dedup.Likeness()
+    lines = ["a b c d e", "ha " * 40 + "x y", "a b c d ef", " ".join(words(40, 1)), "z" * 300 + " b c d e f", "\U0001f600 b c d e f g"]
+    rows = line_dedup._with_bands(spark.createDataFrame([(x,) for x in lines], "_line string"), how).withColumn("h", line_dedup.shingles(F.col("_line"), how))
+    bounds = [-(2**63) + (2**64 // how.bands) * j for j in range(how.bands)]
+    for r in rows.collect():
+        h = sorted(set(r.h))
+        want = [sorted(h, key=lambda x: (x - b) % 2**64)[: how.rows] for b in bounds]
+        picked = spark.createDataFrame([(j, w) for j, w in enumerate(want)], "j int, w array<bigint>").select("j", F.xxhash64("j", "w").alias("x")).collect()
+        assert [x.x for x in sorted(picked)] == r._bands, r._line
