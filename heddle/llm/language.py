@@ -259,7 +259,7 @@ def fold(key: str) -> Column:
 def _collected(counts: DataFrame) -> tuple[pd.DataFrame, list[str]]:
     """The counts of :func:`_count`, sorted, with each language's place in the languages sorted by name, and these.
 
-    As Arrow columns of which each is let go once it is copied: as rows of Python objects they would take some ten times the memory.
+    As Arrow columns of which each is let go once it is copied: not as rows of Python objects, which take more memory.
     """
     table = counts.toArrow()
     names = table["lang"].unique().to_pylist()
