@@ -49,10 +49,12 @@ def ocr_count(raw: Column) -> Column:
 
 
 def currency(amount: Column) -> Column:
-    """Millions (M) and thousands (k) with one decimal, smaller amounts whole, also where they round to a thousand; N/A for null."""
+    """Millions (M) and thousands (k) with one decimal, smaller amounts whole, also where they round to a thousand; a loss that rounds to nothing keeps
+    its sign; N/A for null."""
     mark = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
     size = F.abs(amount)
-    small = F.format_string("%.0f NOK", F.bround(amount, 0))
+    # Both round halves to even, but bround goes through decimals, which have no negative zero.
+    small = F.format_string("%.0f NOK", F.rint(amount))
     return F.when(amount.isNull(), "N/A").when(size >= 1e6, mark(F.bround(amount / 1e6, 1), "M NOK")).when(size >= 1e3, mark(F.bround(amount / 1e3, 1), "k NOK")).otherwise(small)
 
 

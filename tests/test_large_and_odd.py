@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from heddle.functions import numbers
 from heddle.operators import pages, refresh
-from heddle.plans import changes, connected, control, found, listings, registers, screens
+from heddle.plans import changes, companies, connected, control, found, listings, registers, screens
+from heddle.registry import ORACLES
 
 
 def test_amounts_that_round_to_a_thousand_are_whole(spark):
@@ -16,6 +17,26 @@ def test_amounts_that_round_to_a_thousand_are_whole(spark):
     assert got == ["1000 NOK", "-1000 NOK", "1000 NOK", "12 NOK", "1.0k NOK", "N/A"]
 
 
+def test_losses_that_round_to_nothing_keep_their_sign(spark, duck, tmp_path):
+    """As one balance in some twenty thousand has them: the SQL and the reference write -0, and halves go to the even number."""
+    balances = [-0.5, -0.49, -0.01, 0.0, 0.5, -0.51, -1.5, 2.5, -999.5, 999.5, -1050.0]
+    told = ", ".join(f"({i + 1}, {x}::double)" for i, x in enumerate(balances))
+    made = {
+        "customer": f"select i::bigint as c_custkey, 'C' || i as c_name, 0 as c_nationkey, x as c_acctbal, 'BUILDING' as c_mktsegment from (values {told}) t(i, x)",
+        "orders": f"select i::bigint as o_orderkey, i::bigint as o_custkey, 100.0::double as o_totalprice, timestamp '2020-01-01' as o_orderdate from (values {told}) t(i, x)", "nation": "select 0 as n_nationkey, 'N' as n_name",
+    }
+    own = duck.cursor()
+    own.execute("create schema small_losses")
+    own.execute("set schema = 'small_losses'")
+    for name, sql in made.items():
+        own.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        own.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet')")
+    want = own.execute(f"select organisation_number, brief from ({ORACLES['company_brief']}) order by 1").fetchall()
+    got = [tuple(r) for r in companies.company_brief(spark, str(tmp_path)).orderBy("organisation_number").collect()]
+    assert [b.split("operating result of ")[1].split(",")[0] for _, b in got] == ["-0 NOK", "-0 NOK", "-0 NOK", "0 NOK", "0 NOK", "-1 NOK", "-2 NOK", "2 NOK", "-1000 NOK", "1000 NOK", "-1.0k NOK"]
+    assert got == want
+
+
 def test_runs_are_rounded_as_the_sql_rounds_them(spark, duck, tmp_path):
     """Halves that a scaled double misses (0.5075) or meets (0.1715), as one table in a hundred has them."""
     values = [50.75, 17.15, 51.15, 50.15, 48.65, 0.65, 99.99]
