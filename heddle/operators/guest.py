@@ -236,8 +236,8 @@ def handle_profiles(handles: DataFrame, companies: DataFrame, captured: DataFram
 
 
 def discovered_handles(companies: DataFrame, captured: DataFrame, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
-    """DRV4: network pages of companies that nobody linked: those that the search box suggests under exactly the name lead to candidates, by the name's own address and by the postings of the
-    suggested ids, and the first candidate that is exactly the company is taken.
+    """DRV4: network pages of companies that nobody linked: those that the search box suggests under exactly the name lead to candidates, by the name's own address and by the postings of
+    every suggested id, however many there are, and the first candidate that is exactly the company is taken.
 
     ``companies`` are ``position, organisation_number, name, municipality, site_host, aliases, leaders``; aliases are asked for only if ``fuzzy``. Returns the handles, and a row for each
     company with what was suggested, tried and taken.
@@ -250,17 +250,15 @@ def discovered_handles(companies: DataFrame, captured: DataFrame, fuzzy: bool =
     heard = asked.join(spread(bodies), F.concat(F.lit(TYPEAHEAD), F.url_encode("query")) == c("_request"))
     suggested = heard.select("organisation_number", "n", "query", "alias", F.posexplode(F.filter(typeahead(c("_body"), c("query")), lambda s: full(s["name"]) == full(c("query")))).alias("at", "s"))
     exact = durable(suggested.select("organisation_number", "n", "at", "query", "alias", c("s.id").alias("company_id")))
-    order = Window.partitionBy("organisation_number").orderBy("n", "at")
-    ranked = exact.withColumn("place", F.row_number().over(order))
-    # Only companies that are suggested at all have candidates; the first two ids are followed.
+    # Only companies that are suggested at all have candidates; the ids come in the order of the names asked for and of their answers.
     known = exact.groupBy("organisation_number").agg(F.array_sort(F.collect_set("company_id")).alias("company_ids"), F.count("*").alias("suggested"))
-    own = asked.join(spread(known), "organisation_number").select("organisation_number", F.lit(0).alias("stage"), c("n").alias("place"), F.lit(0).alias("at"), F.coalesce(company_url(legal_name_url(c("query"))), legal_name_url(c("query"))).alias("url"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query")).otherwise("legal_name_slug").alias("source"))
-    jobs_ = ranked.filter("place <= 2").withColumn("_request", F.concat(F.lit(f"{JOBS}f_C="), F.url_encode("company_id"), F.lit("&location=Norway&start=0")))
+    own = asked.join(spread(known), "organisation_number").select("organisation_number", F.lit(0).alias("stage"), "n", F.lit(0).alias("at"), F.lit(0).alias("link"), F.coalesce(company_url(legal_name_url(c("query"))), legal_name_url(c("query"))).alias("url"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query")).otherwise("legal_name_slug").alias("source"))
+    jobs_ = exact.withColumn("_request", F.concat(F.lit(f"{JOBS}f_C="), F.url_encode("company_id"), F.lit("&location=Norway&start=0")))
     linked = job_cards(bodies.join(spread(jobs_.select("_request").distinct()), "_request", "left_semi"), "_body").select("_request", F.array_distinct(F.filter(F.transform("jobs", lambda j: j["company_url"]), lambda u: u.isNotNull())).alias("_urls"))
-    by_job = jobs_.join(spread(linked), "_request").select("organisation_number", "place", "alias", "query", F.posexplode("_urls").alias("at", "url"))
+    by_job = jobs_.join(spread(linked), "_request").select("organisation_number", "n", "at", "alias", "query", F.posexplode("_urls").alias("link", "url"))
     sources = F.array_compact(F.array(F.lit("company_id_job_link"), F.when(c("alias"), F.concat(F.lit("official_site_alias:"), "query"))))
-    through = by_job.select("organisation_number", F.lit(1).alias("stage"), "place", "at", "url", F.explode(sources).alias("source"))
-    met = durable(own.unionByName(through).filter("url is not null").groupBy("organisation_number", "url").agg(F.min(F.struct("stage", "place", "at")).alias("first"), F.array_sort(F.collect_set("source")).alias("sources")))
+    through = by_job.select("organisation_number", F.lit(1).alias("stage"), "n", "at", "link", "url", F.explode(sources).alias("source"))
+    met = durable(own.unionByName(through).filter("url is not null").groupBy("organisation_number", "url").agg(F.min(F.struct("stage", "n", "at", "link")).alias("first"), F.array_sort(F.collect_set("source")).alias("sources")))
     pages_ = profiles(met.join(spread(bodies), c("url") == c("_request")).withColumnRenamed("_body", "body").drop("_request").withColumnRenamed("url", "candidate_url"))
     said = F.concat_ws(" ", "description", F.array_join(F.transform("posts", lambda p: p["text"]), " "))
     facts = pages_.filter("name is not null").select("organisation_number", "candidate_url", "first", "sources", "page_url", F.sha2("body", 256).alias("content_sha256"), c("name").alias("found_name"), c("website").alias("found_site"), F.coalesce("headquarters", F.lit("")).alias("found_place"), said.alias("found_text"), F.array_contains("sources", "company_id_job_link").alias("by_job_link"))

@@ -187,3 +187,21 @@ def test_handles_that_nobody_linked(spark):
     assert got == {"1": (link("fjord-kraft-as"), ["10"]), "2": (link("nordnorge"), ["20"]), "5": (link("ost"), ["50"])}
     fuzzy = guest.discovered_handles(rows, bodies, fuzzy=True)[1].orderBy("position").collect()
     assert (fuzzy[1].suggested, fuzzy[1].candidates) == (2, 4)
+
+
+def test_all_suggested_ids_are_followed(spark):
+    """Not only the first two: candidates of later ids are counted, the first exact one is taken, and an alias comes behind all ids of the name."""
+    link = lambda x: f"https://linkedin.com/company/{x}"
+    by_id = lambda i: f"{guest.JOBS}f_C={i}&location=Norway&start=0"
+    suggest = lambda name, ids: json.dumps([{"type": "COMPANY", "id": str(i), "displayName": name} for i in ids])
+    companies = [(0, "1", "Fjord AS", "BERGEN", None, [], []), (1, "2", "Nord AS", "OSLO", None, ["Nordlaget"], []), (2, "3", "Vest AS", "OSLO", None, [], [])]
+    captured = {guest.TYPEAHEAD + "Fjord+AS": suggest("Fjord AS", range(100, 112)), guest.TYPEAHEAD + "Nord+AS": suggest("Nord AS", (200, 201, 202)), guest.TYPEAHEAD + "Nordlaget": suggest("Nordlaget", (210,)), guest.TYPEAHEAD + "Vest+AS": suggest("Vest AS", (300, 301, 302))}
+    captured |= {by_id(100 + i): card(1000000 + i, f"f{i}") for i in range(12)} | {link(f"f{i}"): page_of("Fjord AS" if i in (7, 9) else "Annet", link(f"f{i}")) for i in range(12)}
+    captured |= {by_id(202): card(2000002, "n2"), by_id(210): card(2000010, "n10"), link("n2"): page_of("Nord AS", link("n2")), link("n10"): page_of("Nord AS", link("n10"))}
+    captured |= {by_id(i): card(3000000 + i, "v") for i in (300, 301)} | {by_id(302): "<p>none</p>", link("v"): page_of("Annet", link("v"))}
+    bodies = spark.createDataFrame(list(captured.items()), "url string, body string")
+    rows = spark.createDataFrame(companies, "position int, organisation_number string, name string, municipality string, site_host string, aliases array<string>, leaders array<string>")
+    told = lambda fuzzy: [(r.suggested, r.candidates, r.accepted_url) for r in guest.discovered_handles(rows, bodies, fuzzy)[1].orderBy("position").collect()]
+    # The name's own address is a candidate besides those of the ids.
+    assert told(False) == [(12, 13, link("f7")), (3, 2, link("n2")), (3, 2, None)]
+    assert told(True) == [(12, 13, link("f7")), (4, 4, link("n2")), (3, 2, None)]
